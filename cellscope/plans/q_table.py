@@ -36,7 +36,7 @@ def headway_median(spark, d):
     w = Window.partitionBy("user_id").orderBy("s", "event_id")
     e = t(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     gaps = e.withColumn("gap", (F.col("s") - F.lag("s").over(w)) / 60.0).filter("gap > 0")
-    return gaps.groupBy("user_id").agg(F.round(F.percentile("gap", F.lit(0.5)), 1).alias("headway_min"))
+    return gaps.groupBy("user_id").agg(F.round(F.percentile("gap", F.lit(0.5)), 4).alias("headway_min"))
 
 
 def distinct_trips(spark, d):
@@ -214,7 +214,7 @@ QUERIES = {
     "nearest_rank_p95": (nearest_rank_p95, f"SELECT grp AS l_returnflag, v AS p95 FROM {_RANKED} WHERE i = round_even(0.95::DOUBLE * (n - 1), 0)"),
     "linear_percentile": (linear_percentile, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.98), 4) AS p98 FROM lineitem GROUP BY 1"),
     "grouping_sets_trips": (grouping_sets_trips, "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_duration, round(sum(l_extendedprice), 2) AS length, grouping(l_returnflag)::INT AS total FROM lineitem GROUP BY ROLLUP (l_returnflag)"),
-    "headway_median": (headway_median, f"SELECT user_id, round(quantile_cont(gap, 0.5), 1) AS headway_min FROM (SELECT user_id, (s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id)) / 60.0::DOUBLE AS gap FROM {_EV}) WHERE gap > 0 GROUP BY user_id"),
+    "headway_median": (headway_median, f"SELECT user_id, round(quantile_cont(gap, 0.5), 4) AS headway_min FROM (SELECT user_id, (s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id)) / 60.0::DOUBLE AS gap FROM {_EV}) WHERE gap > 0 GROUP BY user_id"),
     "distinct_trips": (distinct_trips, "SELECT user_id, count(DISTINCT event_type) AS routes, count(*) AS stops FROM events GROUP BY user_id"),
     "entropy_diversity": (entropy_diversity, """SELECT l_suppkey, round(h / ln(2.0::DOUBLE), 6) AS bits, round(h / ln(greatest(2, k)) * 100, 4) AS evenness FROM (SELECT l_suppkey, count(*) AS k, -sum(n / s * ln(n / s)) AS h FROM
         (SELECT l_suppkey, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY l_suppkey)::DOUBLE AS s FROM lineitem GROUP BY l_suppkey, l_linenumber) GROUP BY l_suppkey)"""),
