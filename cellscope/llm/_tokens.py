@@ -19,10 +19,10 @@ MEMO_BYTES = 12_000_000
 
 
 class WordSums:
-    """``score``: a list of words -> an array with a row of ``width`` numbers for each."""
+    """``score``: a list of words -> an array with a row of ``width`` numbers for each. ``tokens``: a text's words."""
 
-    def __init__(self, score: Callable[[list[bytes]], np.ndarray], width: int) -> None:
-        self.score, self.width = score, width
+    def __init__(self, score: Callable[[list[bytes]], np.ndarray], width: int, tokens: Callable[[str | None], list[bytes]] = words_of) -> None:
+        self.score, self.width, self.tokens = score, width, tokens
         self._forget()
 
     def _forget(self) -> None:
@@ -46,7 +46,7 @@ class WordSums:
     def _sums(self, texts: list[str | None]) -> np.ndarray:
         if len(self.index) > MEMO_WORDS or self.bytes > MEMO_BYTES:
             self._forget()
-        lists = [words_of(t) for t in texts]
+        lists = [self.tokens(t) for t in texts]
         fresh = set().union(*lists).difference(self.index) if lists else set()
         if fresh:
             self._learn(sorted(fresh))

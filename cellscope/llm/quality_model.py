@@ -1,7 +1,8 @@
 """Quality classifier on supervised subword embeddings.
 
 A document is the mean of learned vectors of its hashed features: each word, and the 3- and 4-byte grams
-of each word between boundary marks. A softmax over two classes follows. Vectors, weights and bias are
+of each word between boundary marks. A word that repeats the one before it is one feature of its own, the
+only word pair that generalises over vocabularies. A softmax over two classes follows. Vectors, weights and bias are
 trained together by numpy stochastic gradient descent on a bounded sample of labelled documents.
 At prediction time the model is linear in the features, so a word's share of the score is a number.
 """
@@ -22,13 +23,22 @@ from ._tokens import WordSums, of_model, spread
 
 BUCKETS = 1 << 16
 DIM = 10
-SAMPLE_DOCS, WORDS_PER_DOC = 6000, 400  # bound of the training sample
-EPOCHS, RATE = 12, 1.0
+SAMPLE_DOCS, WORDS_PER_DOC = 3000, 200  # bound of the training sample
+EPOCHS, RATE = 8, 1.0
 GRAMS = (3, 4)
+REPEAT = b"\x01"
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words; one that equals the word before it is the token REPEAT."""
+    words = words_of(text)
+    return [REPEAT if a == b else a for a, b in zip(words, [b"", *words], strict=False)]
 
 
 def features_of(word: bytes) -> list[int]:
     """Buckets of a word and its grams."""
+    if word == REPEAT:
+        return [zlib.crc32(REPEAT) % BUCKETS]
     crc, marked = zlib.crc32, b"<" + word + b">"
     return [crc(b"\0" + word) % BUCKETS, *[crc(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]]
 
@@ -46,8 +56,8 @@ class SubwordClassifier:
         inputs = []
         for words in texts:
             flat = [f for w in words for f in (known.get(w) or known.setdefault(w, features_of(w)))]
-            ids, n = np.unique(np.array(flat, np.int64), return_counts=True)
-            inputs.append((ids, n / max(1, len(flat))))
+            ids, n = np.unique(np.array(flat, np.int32), return_counts=True)
+            inputs.append((ids, (n / max(1, len(flat))).astype(np.float32)))
         losses, total, seen = [], epochs * len(inputs), 0
         for _ in range(epochs):
             loss = 0.0
@@ -80,7 +90,7 @@ class SubwordClassifier:
                 out[i] = odds[f].sum(), len(f)
             return out
 
-        return WordSums(score, 2)
+        return WordSums(score, 2, tokens_of)
 
     def score(self, sums: np.ndarray) -> np.ndarray:
         z = sums[:, 0] / np.maximum(sums[:, 1], 1) + self.bias[1] - self.bias[0]
@@ -98,7 +108,7 @@ def train(docs: DataFrame, labelled: DataFrame) -> SubwordClassifier:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["words"] = [spread(words_of(t), WORDS_PER_DOC) for t in b["text"]]
+            b["words"] = [spread(tokens_of(t), WORDS_PER_DOC) for t in b["text"]]
             yield b[["doc_id", "quality", "words"]]
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, quality int, words array<binary>").toPandas()
