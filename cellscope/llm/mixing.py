@@ -81,16 +81,17 @@ def mix(docs: DataFrame) -> DataFrame:
 
     The rows keep their place: only the table of sources is joined to them, so no text is shuffled.
     """
-    own = docs.columns
-    sized = docs.withColumn("__size", n_words(F.col("text")))
-    narrow = stored(sized.select("source", F.col("__size").alias("size")), "sizes")
-    per_source = stored(narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
-    targets = source_targets(per_source).select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    same = F.col("source").eqNullSafe(F.col("__source"))
+    sized = docs.select("source", n_words(F.col("text")).alias("size"))
+    per_source = stored(stored(sized, "sizes").groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(per_source).select(F.col("source").alias("__source"), rate.alias("__rate"))
+    # The whole row travels as one struct, so no name in it can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc"), F.col("source").alias("__from"))
+    same = F.col("__from").eqNullSafe(F.col("__source"))
     if per_source.count() <= BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(targets), same)
+        rated = rows.join(F.broadcast(targets), same)
     else:
         salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
-    times = copies(F.col("__rate"), F.col("doc_id"))
-    return rated.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*own)
+        rated = rows.withColumn("__own", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
+    times = copies(F.col("__rate"), F.col("__doc"))
+    return rated.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__copy")).select("row.*")

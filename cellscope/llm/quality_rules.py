@@ -105,8 +105,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """Documents that are kept, with the text that their lines left; columns as in ``docs``."""
-    found = judged(docs).filter("q_kept")
-    changed = {"text": F.col("q_clean_text")}
+    # The whole row travels as one struct, so no name in it can clash.
+    found = judged(docs.select(F.struct("*").alias("row"), F.col("text"))).filter("q_kept")
+    row = F.col("row").withField("text", F.col("q_clean_text"))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length("q_clean_text").cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(changed).select(*docs.columns)
+        row = row.withField("n_chars", F.length("q_clean_text").cast(docs.schema["n_chars"].dataType))
+    return found.select(row.alias("row")).select("row.*")

@@ -217,8 +217,7 @@ def near_dedup(docs: DataFrame, size: int = 5, bits: int = 512, similarity: floa
 
     Texts are near copies when their fingerprints' angle says that the Jaccard similarity of their
     ``size``-word shingles is ``similarity`` or more: J = c / (2 - c) for a cosine c. Groups are
-    connected components. Columns are those of ``docs``; clashing names do no harm, as only added
-    columns carry a prefix of their own. Texts without words form one group. Rows that repeat in full
+    connected components. Columns are those of ``docs``, whatever their names. Texts without words form one group. Rows that repeat in full
     are one document.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -229,11 +228,11 @@ def near_dedup(docs: DataFrame, size: int = 5, bits: int = 512, similarity: floa
     ids = found.groupBy(group.alias("g"), "doc_id", "text_hash").agg(F.count("*").alias("n"))
     keep = ids.groupBy("g").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("k"))
     keep = stored(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), F.col("k.n").alias("__n")).distinct(), "kept")
-    own = docs.withColumn("__row_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash"))
-    once = own.join(keep.filter("__n = 1"), same, "left_semi").drop("__row_hash")
+    # The whole row travels as one struct, so no name in it can clash.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__row_hash"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__row_hash") == F.col("__hash"))
+    once = own.join(keep.filter("__n = 1"), same, "left_semi").select("row.*")
     if keep.filter("__n > 1").isEmpty():
         return once
-    more = own.join(keep.filter("__n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__row_hash"]).drop("__row_hash")
+    more = own.join(keep.filter("__n > 1"), same, "left_semi").dropDuplicates(["__doc", "__row_hash"]).select("row.*")
     return once.unionByName(more)
-
