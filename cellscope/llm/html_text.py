@@ -45,8 +45,8 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
-TABLE = frozenset("thead tbody tfoot tr td th caption".split())
-ENDS = BLOCK | TABLE
+FORMATTING = frozenset("a abbr b big cite code em font i label q s small span strike strong sub sup tt u".split())
+ENDS = BLOCK | frozenset("thead tbody tfoot tr td th caption".split())
 P_SCOPE = frozenset("table td th caption button object html body".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 
@@ -105,8 +105,8 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            # An inline element's end tag never ends a block that was opened inside it.
-            at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag not in ENDS and stack[i].tag in ENDS)), 0)
+            # A formatting element's end tag never ends a block that was opened inside it.
+            at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag in FORMATTING and stack[i].tag in ENDS)), 0)
             if at_tag and stack[at_tag].tag == tag:
                 del stack[at_tag:]
             elif tag == "br":
