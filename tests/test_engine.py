@@ -4,11 +4,12 @@ import gzip
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.functions import geo, models, num, text
-from cellscope.operators import classify, graph, grid, quality, raster, scores, spatial_joins, tables
+from cellscope.functions import buildings, geo, models, num, streets, sun, text
+from cellscope.operators import classify, graph, grid, growth, quality, raster, scores, sight, spatial_joins, tables
 from cellscope.sources import readers, sinks
 from cellscope.streaming import ingest
 
@@ -213,3 +214,112 @@ def test_ingest_adds_nothing_twice(spark, tmp_path):
     run()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/history").collect()) == ["a", "b", "c"]
     assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/latest").collect()) == ["b", "c"]
+
+
+def test_viewshed_brute_force(spark):
+    n, radius = 14, 5
+    v = {(y, x): float((y * 31 + x * 17) % 23) for y in range(n) for x in range(n)}
+    r = spark.createDataFrame([(y, x, h) for (y, x), h in v.items()], "row int, col int, v double")
+    eyes = {1: (7, 7), 2: (0, 3), 3: (50, 50)}
+    o = spark.createDataFrame([(k, *p) for k, p in eyes.items()], "k int, row int, col int")
+    want = set()
+    for k, (oy, ox) in eyes.items():
+        if (oy, ox) not in v:
+            continue
+        for (y, x), h in v.items():
+            far = math.hypot(y - oy, x - ox)
+            if far > radius:
+                continue
+            steps, eye = math.ceil(far), v[oy, ox] + 1.7
+            ray = [(v[math.floor(oy + (y - oy) * s / steps + 0.5), math.floor(ox + (x - ox) * s / steps + 0.5)] - eye) / (far * s / steps * 9) for s in range(1, steps)]
+            if far == 0 or (h - eye) / (far * 9) >= max(ray, default=-math.inf) - 1e-6:
+                want.add((k, y, x))
+    assert {tuple(r) for r in sight.viewshed(r, o, radius).collect()} == want
+    assert {tuple(r) for r in sight.viewshed(r, o, 0).collect()} == {(1, 7, 7), (2, 0, 3)}
+    assert sight.viewshed(r.limit(0), o, radius).count() == 0
+
+
+def test_crowds_and_forces(spark):
+    lit = F.lit
+    assert one(spark, a=streets.force(lit(1000), lit("riot"))) == (167, 101, 42, 26)
+    assert [one(spark, a=streets.crowd_radius(lit(n))) for n in (500, 501, 9000)] == [300, 500, 1800]
+    e = spark.createDataFrame([(1, 22.5, 75.6, 400)], "k int, lat double, lon double, people int")
+    s = spark.createDataFrame([(5, 22.5, 75.6, 1.0), (6, 22.501, 75.6, 1000.0), (7, 23.0, 75.6, 9.0)], "t int, lat double, lon double, area double")
+    got = sight.crowd_spread(e, s).first()
+    far = 6371000 * math.radians(0.001)
+    assert got["segments"] == 2 and got["placed"] == pytest.approx(6 + 394 * (1 - far / 300) * 0.3)
+
+
+def test_tags_and_directives(spark):
+    lit = F.lit
+    none = lit(None).cast("string")
+    assert [one(spark, a=streets.width(lit(w), lit(n), lit(k))) for w, n, k in (("5 m", "2", "trunk"), ("x", "2", "trunk"), ("0", "0", "steps"), ("-1m", "a", "other"))] == [5, 7, 1.5, 4]
+    assert one(spark, a=streets.width(none, none, none)) == 4
+    got = one(spark, a=streets.directives(lit("[ACTION] Go a:1 b:'x y' a:2\n[ACTION]\nnone [ACTION] z")))
+    assert [(r["type"], dict(r["params"])) for r in got] == [("go", {"a": "2", "b": "x y"})]
+    assert one(spark, a=streets.directives(lit("")), b=streets.without_directives(lit("a\n[ACTION] x\nb"))) == ([], "a\nb")
+    assert [one(spark, a=streets.context(lit(q))) for q in ("What does it need?", "AQI now", "hello")] == ["planning", "environment", "general"]
+
+
+def test_sun(spark):
+    noon = F.lit(1718884800.0 - 4 * 75.8577 * 60)
+    p = one(spark, a=sun.position(F.lit(22.7), F.lit(75.8577), noon, sun.elements(sun.centuries(noon))))
+    assert p["altitude"] == pytest.approx(89.2, abs=0.6)
+    d = one(spark, a=sun.elements(sun.centuries(noon)))["decl"]
+    assert d == pytest.approx(23.43, abs=0.02)
+    assert [one(spark, a=sun.day_length(F.lit(x), F.lit(d)))["polar"] for x in (80.0, -80.0, 20.0)] == ["day", "night", None]
+
+
+def test_ridge_equals_numpy(spark):
+    rows = [(float(i % 7 * 10), None if i % 5 == 0 else float(i % 11 * 9), float("nan") if i % 13 == 0 else i % 7 * 3.0 - i % 11 + 0.5) for i in range(60)]
+    got = growth.ridge(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y")
+    ok = [r for r in rows if r[2] == r[2]]
+    x = np.array([[1, r[0] / 100, (50 if r[1] is None else r[1]) / 100] for r in ok])
+    y = np.array([r[2] for r in ok])
+    w = np.linalg.solve(x.T @ x + np.diag([0, 1, 1]), x.T @ y)
+    assert [got["intercept"], *got["weights"].values()] == pytest.approx(w)
+    assert got["r2"] == pytest.approx(1 - ((y - x @ w) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and got["n"] == len(ok)
+    assert growth.ridge(spark.createDataFrame(rows[:1], "a double, b double, y double"), ["a", "b"], "y") is None
+
+
+def test_growth(spark):
+    cells = [(y, x, x < 3, x < 3 or (x < 6 and y % 2 == 0), float(x), float(y % 2)) for y in range(20) for x in range(10)]
+    df = spark.createDataFrame(cells, "row int, col int, was boolean, now boolean, a double, b double")
+    p = {(r["row"], r["col"]): r["potential"] for r in growth.transition_potential(df, ["a", "b"], trees=10, depth=4).collect()}
+    assert len(p) == 200 and all(p[y, x] == 0 for y in range(20) for x in range(3))
+    assert p[4, 4] > 0.8 and p[5, 8] < 0.2
+    flat = growth.transition_potential(df.withColumn("now", F.col("was")), ["a", "b"])
+    assert {r["potential"] for r in flat.collect()} == {0.0}
+    pot = spark.createDataFrame([(y, x, (y * 7 + x * 3) % 11 / 10) for y in range(6) for x in range(6)], "row int, col int, potential double")
+    start = {(y, x): 1.0 if (y, x) == (2, 2) else 0.0 for y in range(6) for x in range(6)}
+    got = {(r["row"], r["col"]): r["p"] for r in growth.project(spark.createDataFrame([(*k, v) for k, v in start.items()], "row int, col int, v double"), pot, 2, 3).collect()}
+    q, state = {(r["row"], r["col"]): r["potential"] for r in pot.collect()}, dict(start)
+    want = dict(start)
+    for s in range(3):
+        near = lambda k: sum(state.get((k[0] + a, k[1] + b), 0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b) / 8  # noqa: B023, E731
+        best = sorted((k for k in state if state[k] == 0 and q[k] * near(k) > 0), key=lambda k: (-q[k] * near(k), k))[:2]
+        for k in best:
+            want[k] = 1 - s / 3 * 0.6
+        state |= dict.fromkeys(best, 1.0)
+    want = {k: max(v, q[k] * 0.4) for k, v in want.items()}
+    assert got == pytest.approx(want)
+
+
+def test_sequential_ids_and_dual(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(500)], "a int, b int")
+    got = tables.sequential_ids(df, ["a", "b"]).collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["id"])] == sorted((i * 37 % 101, i) for i in range(500))
+    assert sorted(r["id"] for r in got) == list(range(500))
+    e = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 12, 11), (4, 50, 50)], "k int, u int, v int")
+    assert sorted(tuple(r) for r in growth.dual(e).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_footprints(spark):
+    pt = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    ring = F.array(pt(0.0, 0.0), pt(4.0, 0.0), pt(4.0, 1.0), pt(0.0, 0.0))
+    assert one(spark, a=buildings.orientation(ring)) == pytest.approx(math.degrees(math.atan2(-1, -4)) % 180)
+    assert one(spark, a=buildings.orientation(F.slice(ring, 1, 2))) == 0
+    assert tuple(one(spark, a=buildings.vertex_mean(ring))) == (2.0, 0.25)
+    assert one(spark, a=buildings.dxf_ring(F.slice(ring, 1, 1), "B", F.lit(0))) is None
+    assert [one(spark, a=buildings.diversity(F.array(*map(F.lit, v)))) for v in ([5, 5], [5, 0], [0, 0])] == [100, 0, 0]
+    assert one(spark, a=buildings.urban_form(F.lit(0), F.lit(2), F.lit(1)), b=buildings.urban_form(F.lit(60), F.lit(2), F.lit(99))) == ("Undeveloped", "Dense Low-Rise")
