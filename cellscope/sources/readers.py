@@ -102,3 +102,60 @@ def raster_tiles(spark: SparkSession, path: str) -> DataFrame:
 def score_shards(spark: SparkSession, path: str, region: str, prefixes: list[str]) -> DataFrame:
     """Only the shards of a region that a viewport needs: both filters prune partitions."""
     return spark.read.parquet(path).filter((F.col("region") == region) & F.col("prefix").isin(prefixes))
+
+
+def html_table(spark: SparkSession, path: str, table_id: str, least_cells: int = 9) -> DataFrame:
+    """``cells array<string>``: the rows of one table of each page, tags gone, white space single; short rows are dropped."""
+    page = spark.read.text(path, wholetext=True)
+    body = F.regexp_extract("value", rf"(?is)<table[^>]*\bid\s*=\s*[\"']?{table_id}\b[^>]*>(.*?)</table>", 1)
+    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)
+    clean = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "(?s)<[^>]*>", " "), r"\s+", " "))
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), clean)
+    return page.select(F.explode(rows).alias("row")).select(cells.alias("cells")).filter(F.size("cells") >= least_cells)
+
+
+def quake_table(spark: SparkSession, path: str, table_id: str) -> DataFrame:
+    """Quakes of a bulletin page; rows without magnitude or place are dropped, an unknown depth is 0."""
+    at = lambda i: F.col("cells")[i]
+    number = lambda i: at(i).try_cast("double")
+    rows = html_table(spark, path, table_id).select(
+        number(0).alias("magnitude"), at(1).alias("origin_time"), number(2).alias("lat"), number(3).alias("lon"), F.coalesce(number(4), F.lit(0.0)).alias("depth_km"),
+        at(5).alias("region"), at(6).alias("location"), at(7).alias("review"),
+    )
+    key = F.format_string("%s|%.3f,%.3f", "origin_time", "lat", "lon")
+    return rows.filter("magnitude is not null and lat is not null and lon is not null").withColumn("id", key)
+
+
+def quake_feed(spark: SparkSession, path: str) -> DataFrame:
+    """``id, magnitude, time_ms, place, lat, lon, depth_km`` of GeoJSON quake feeds."""
+    raw = spark.read.schema("features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<mag:double,time:long,place:string>>>").option("multiLine", True).json(path)
+    xyz = lambda i: F.get("f.geometry.coordinates", F.lit(i))
+    f = raw.select(F.explode("features").alias("f"))
+    return f.select("f.id", F.col("f.properties.mag").alias("magnitude"), F.col("f.properties.time").alias("time_ms"), "f.properties.place", xyz(1).alias("lat"), xyz(0).alias("lon"), F.coalesce(xyz(2), F.lit(0.0)).alias("depth_km")).filter("magnitude is not null and lat is not null and lon is not null")
+
+
+def paged(spark: SparkSession, path: str, most_pages: int = 3) -> DataFrame:
+    """Records, as JSON text, of a paged service's answers kept as files: pages after the last record or the limit are not read on."""
+    raw = spark.read.schema("meta struct<page:int,limit:int,found:long>, results array<variant>").option("multiLine", True).json(path)
+    wanted = raw.filter((F.col("meta.page") <= most_pages) & ((F.col("meta.page") - 1) * F.col("meta.limit") < F.col("meta.found")))
+    return wanted.select(F.col("meta.page").alias("page"), F.explode("results").alias("r")).select("page", F.to_json("r").alias("record"))
+
+
+def sensor_readings(spark: SparkSession, path: str) -> DataFrame:
+    """Readings of any source: place, time and a map of metrics; readings without a place or metric are dropped."""
+    raw = spark.read.schema("source string, type string, ts timestamp, lat double, lon double, metrics map<string,double>").json(path)
+    held = F.map_filter("metrics", lambda _, v: v.isNotNull())
+    return raw.filter("lat is not null and lon is not null").withColumn("metrics", held).filter(F.size("metrics") > 0)
+
+
+def simulated_trips(spark: SparkSession, path: str) -> DataFrame:
+    """Trips of a traffic simulation's XML report."""
+    raw = spark.read.format("xml").option("rowTag", "tripinfo").schema("_id string, _depart double, _duration double, _waitingTime double, _timeLoss double, _routeLength double").load(path)
+    return raw.toDF("id", "depart", "duration", "waiting", "time_loss", "length")
+
+
+def simulated_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``start, stop, edge, speed, density, entered`` per interval; inner edges (":") are left out, a missing speed is null."""
+    raw = spark.read.format("xml").option("rowTag", "interval").schema("_begin double, _end double, edge array<struct<_id:string,_speed:double,_density:double,_entered:double>>").load(path)
+    e = raw.select(F.col("_begin").alias("start"), F.col("_end").alias("stop"), F.explode("edge").alias("e")).filter("not startswith(e._id, ':')")
+    return e.select("start", "stop", F.col("e._id").alias("edge"), F.when(F.col("e._speed") >= 0, F.col("e._speed")).alias("speed"), F.coalesce("e._density", F.lit(0.0)).alias("density"), F.coalesce("e._entered", F.lit(0.0)).cast("long").alias("entered"))

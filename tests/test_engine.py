@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.functions import buildings, geo, models, num, streets, sun, text
-from cellscope.operators import classify, graph, grid, growth, quality, raster, scores, sight, spatial_joins, tables
+from cellscope.functions import buildings, estate, geo, models, num, streets, sun, text
+from cellscope.operators import classify, flood, graph, grid, growth, quality, raster, scores, sight, spatial_joins, tables
 from cellscope.sources import readers, sinks
 from cellscope.streaming import ingest
 
@@ -323,3 +323,51 @@ def test_footprints(spark):
     assert one(spark, a=buildings.dxf_ring(F.slice(ring, 1, 1), "B", F.lit(0))) is None
     assert [one(spark, a=buildings.diversity(F.array(*map(F.lit, v)))) for v in ([5, 5], [5, 0], [0, 0])] == [100, 0, 0]
     assert one(spark, a=buildings.urban_form(F.lit(0), F.lit(2), F.lit(1)), b=buildings.urban_form(F.lit(60), F.lit(2), F.lit(99))) == ("Undeveloped", "Dense Low-Rise")
+
+
+def test_quake_sources(spark, tmp_path):
+    row = lambda *c: "<tr>" + "".join(f"<td class=x> {v} </td>" for v in c) + "</tr>"
+    page = "<table id='other'>" + row(*"abcdefghi") + "</table><TABLE class=t id=\"list\"><tr><th>m</th></tr>" + row("4.5", "t1", "22.5", "75.6", "x", "<b>Deep</b>\n region", "loc", "ok", "") + row("?", "t2", "1", "2", "3", "r", "l", "ok", "") + row("1", "short") + "</TABLE>"
+    (tmp_path / "a.html").write_text(page)
+    got = readers.quake_table(spark, str(tmp_path / "a.html"), "list").collect()
+    assert [(r["id"], r["magnitude"], r["depth_km"], r["region"]) for r in got] == [("t1|22.500,75.600", 4.5, 0.0, "Deep region")]
+    feed = {"features": [{"id": "q1", "geometry": {"coordinates": [75.6, 22.5, 10.0]}, "properties": {"mag": 5.1, "time": 7, "place": "p"}}, {"id": "q2", "geometry": None, "properties": {"mag": 1.0}}]}
+    (tmp_path / "f.json").write_text(json.dumps(feed))
+    assert [tuple(r) for r in readers.quake_feed(spark, str(tmp_path / "f.json")).collect()] == [("q1", 5.1, 7, "p", 22.5, 75.6, 10.0)]
+
+
+def test_paged_and_sensor_sources(spark, tmp_path):
+    for page in (1, 2, 3):
+        (tmp_path / f"page-{page}.json").write_text(json.dumps({"meta": {"page": page, "limit": 2, "found": 3}, "results": [{"id": page * 10}, {"id": page * 10 + 1}] if page < 3 else [{"id": 99}]}))
+    got = readers.paged(spark, str(tmp_path / "page-*.json")).collect()
+    assert sorted(json.loads(r["record"])["id"] for r in got) == [10, 11, 20, 21]
+    assert readers.paged(spark, str(tmp_path / "page-*.json"), 1).count() == 2
+    lines = [{"source": "a", "ts": "2024-01-01T00:00:00", "lat": 1.0, "lon": 2.0, "metrics": {"pm": 3.0, "no": None}}, {"source": "b", "lat": 1.0, "lon": 2.0, "metrics": {}}, {"source": "c", "lon": 2.0, "metrics": {"x": 1.0}}]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert [(r["source"], r["metrics"]) for r in readers.sensor_readings(spark, str(tmp_path / "s.jsonl")).collect()] == [("a", {"pm": 3.0})]
+
+
+def test_simulation_sources(spark, tmp_path):
+    (tmp_path / "t.xml").write_text('<tripinfos><tripinfo id="v1" depart="3.0" duration="60.5" waitingTime="1" timeLoss="2" routeLength="500"/></tripinfos>')
+    assert tuple(readers.simulated_trips(spark, str(tmp_path / "t.xml")).first()) == ("v1", 3.0, 60.5, 1.0, 2.0, 500.0)
+    (tmp_path / "e.xml").write_text('<meandata><interval begin="0" end="300"><edge id="e1" speed="-1" entered="2.0"/><edge id=":j" speed="3"/></interval><interval begin="300" end="600"><edge id="e1" speed="5" density="1.5"/></interval></meandata>')
+    got = sorted(tuple(r) for r in readers.simulated_edges(spark, str(tmp_path / "e.xml")).collect())
+    assert got == [(0.0, 300.0, "e1", None, 0.0, 2), (300.0, 600.0, "e1", 5.0, 1.5, 0)]
+
+
+def test_outlook(spark):
+    lit = F.lit
+    none = F.create_map().cast("map<string,double>")
+    o = one(spark, a=estate.outlook(none))
+    assert (o["score"], o["band"], o["confidence"], o["used"], o["lifted"]) == (None, "unknown", "no_data", 0, "")
+    few = F.create_map(lit("jobs"), lit(80.0), lit("green"), lit(200.0), lit("made_up"), lit(1.0))
+    o = one(spark, a=estate.outlook(few, "live"))
+    w = {"jobs": 0.9 * 0.8, "green": 0.6 * 1.4}
+    assert o["score"] == math.floor((80 * w["jobs"] + 100 * w["green"]) / sum(w.values()) + 0.5) and (o["confidence"], o["lifted"], o["held"]) == ("low", "green,jobs", "")
+
+
+def test_flood_zones_empty_evidence(spark):
+    cells = spark.createDataFrame([(1, 22.5, 75.6)], "k int, lat double, lon double")
+    e = spark.createDataFrame([(1, "water", 22.5, 75.6), (2, "permanent", 22.5, 75.6), (3, "seasonal", 22.5, 75.6)], "t int, kind string, lat double, lon double")
+    assert [tuple(r) for r in flood.zones(cells, e.limit(0), 10.0).collect()] == [(1, 0, "low")]
+    assert [tuple(r) for r in flood.zones(cells, e, 10.0).collect()] == [(1, 35, "high")]
