@@ -194,3 +194,22 @@ def reachable_within(edges: DataFrame, sources: DataFrame, limit: float, rounds:
 
 def ranked(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), key)))
+
+
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node, closeness`` of the source nodes: nodes reached over their total distance, scaled by the share reached.
+
+    Every source costs a table of all nodes that it reaches; name the sources to bound that.
+    """
+    n = both_ways(edges).select("a").distinct().count()
+    far = reachable_within(edges, sources, float("inf"), rounds=n)
+    g = far.groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("m"), F.sum("cost").alias("total"))
+    value = F.when(F.col("total") > 0, F.col("m") / F.col("total") * (F.col("m") / F.lit(float(max(1, n - 1))))).otherwise(0.0)
+    return g.select("node", value.alias("closeness"))
+
+
+def without_isolates(edges: DataFrame, least_nodes: int) -> DataFrame:
+    """The edges of components that have at least so many nodes."""
+    labels = components(edges)
+    large = labels.groupBy("component").count().filter(F.col("count") >= least_nodes).select("component")
+    return edges.join(labels.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")

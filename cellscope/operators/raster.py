@@ -58,15 +58,17 @@ def local_minima(r: DataFrame, reach: int = 1) -> DataFrame:
     return r.join(around, ["row", "col"]).filter("v < m").select("row", "col")
 
 
-def flow_accumulation(direction: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """``row, col, cells``: how many cells drain through each cell, itself included.
+def flow_accumulation(direction: DataFrame, rounds: int = 10_000, weights: DataFrame | None = None) -> DataFrame:
+    """``row, col, cells``: how many cells drain through each cell, itself included; with ``weights(row, col, w)`` their sum.
 
     Counts walk downstream one step per round from all cells at once; a round's table only holds what
     is still moving, and what has met on a cell moves on as one sum.
     """
     down = durable(direction.select("row", "col", (F.col("row") + F.col("dr")).alias("r2"), (F.col("col") + F.col("dc")).alias("c2")))
-    moving = down.select("row", "col", F.lit(1).cast("long").alias("n"))
-    parts = [moving]
+    start = down.select("row", "col", F.lit(1).cast("long").alias("n"))
+    if weights is not None:
+        start = durable(down.select("row", "col").join(weights, ["row", "col"], "left").select("row", "col", F.coalesce("w", F.lit(0.0)).alias("n")))
+    moving, parts = start, [start]
     for _ in range(rounds):
         moving = durable(moving.join(down.filter("r2 is not null"), ["row", "col"]).groupBy(F.col("r2").alias("row"), F.col("c2").alias("col")).agg(F.sum("n").alias("n")))
         if moving.isEmpty():
@@ -81,7 +83,7 @@ def _total(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("row", "col").agg(F.sum("n").cast("long").alias("n"))
+    return out.groupBy("row", "col").agg(F.sum("n").alias("n"))
 
 
 def ca_step(r: DataFrame, potential: DataFrame, demand: int) -> DataFrame:
@@ -115,3 +117,46 @@ def mosaic(bands: DataFrame, missing: float = -99.0) -> DataFrame:
 
 def downstream_rank(acc: DataFrame) -> DataFrame:
     return acc.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cells"), "row", "col")))
+
+
+def upsample(r: DataFrame, size: int, to: int) -> DataFrame:
+    """``row, col, v``: a size x size raster drawn out to ``to`` x ``to`` by bilinear interpolation, corners kept.
+
+    Each source cell sends its value to the targets less than one cell away; a target adds up to four of them.
+    """
+    scale = (size - 1) / (to - 1)
+    span = lambda x: F.sequence(F.greatest(F.lit(0), F.ceil((x - 1) / scale)).cast("int"), F.least(F.lit(to - 1), F.floor((x + 1) / scale)).cast("int"))
+    near = lambda x, t: F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(t * F.lit(scale) - x))
+    sent = r.withColumn("ty", F.explode(span(F.col("row")))).withColumn("tx", F.explode(span(F.col("col"))))
+    return sent.groupBy(F.col("ty").alias("row"), F.col("tx").alias("col")).agg(F.sum(F.col("v") * near(F.col("row"), F.col("ty")) * near(F.col("col"), F.col("tx"))).alias("v"))
+
+
+def coarsen(r: DataFrame, factor: int) -> DataFrame:
+    """``row, col, v``: means over squares of ``factor`` cells; missing cells take no part."""
+    return r.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(F.avg("v").alias("v"))
+
+
+def window_mean(points: DataFrame, r: DataFrame, reach: int) -> DataFrame:
+    """``k, v``: the mean of the raster around each point (k, row, col); 0 where no cell of the window is there."""
+    span = F.sequence(F.lit(-reach), F.lit(reach))
+    around = points.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
+    met = around.select("k", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).join(r, ["row", "col"])
+    means = met.groupBy("k").agg(F.avg("v").alias("v"))
+    return points.select("k").join(means, "k", "left").select("k", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def regions(mask: DataFrame, least_cells: int, width: int) -> DataFrame:
+    """``region, cells, south, west, north, east``: connected cells (by edges) of a mask (row, col) as boxes of cells.
+
+    ``width`` is the raster's number of columns; a region is named by its smallest row * width + col.
+    """
+    from . import graph
+
+    node = F.col("row").cast("long") * width + F.col("col")
+    own = durable(mask.select("row", "col", node.alias("node")).distinct())
+    steps = F.explode(F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c"))))
+    to = own.select(F.col("node").alias("a"), "row", "col", steps.alias("s")).select("a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    edges = to.join(own, ["row", "col"]).select("a", F.col("node").alias("b"), F.lit(1.0).alias("w"))
+    named = own.join(graph.components(edges), "node", "left").withColumn("region", F.coalesce("component", "node"))
+    box = named.groupBy("region").agg(F.count("*").alias("cells"), F.min("row").alias("south"), F.min("col").alias("west"), F.max("row").alias("north"), F.max("col").alias("east"))
+    return box.filter(F.col("cells") >= least_cells)

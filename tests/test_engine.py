@@ -371,3 +371,39 @@ def test_flood_zones_empty_evidence(spark):
     e = spark.createDataFrame([(1, "water", 22.5, 75.6), (2, "permanent", 22.5, 75.6), (3, "seasonal", 22.5, 75.6)], "t int, kind string, lat double, lon double")
     assert [tuple(r) for r in flood.zones(cells, e.limit(0), 10.0).collect()] == [(1, 0, "low")]
     assert [tuple(r) for r in flood.zones(cells, e, 10.0).collect()] == [(1, 35, "high")]
+
+
+def test_routed_weights(spark):
+    v = {(y, x): float(10 * y + (y * 7 + x * 3) % 5) for y in range(6) for x in range(5)}
+    r = spark.createDataFrame([(*k, h) for k, h in v.items()], "row int, col int, v double")
+    w = spark.createDataFrame([(y, x, (y + x) / 4) for y, x in v if (y, x) != (3, 3)], "row int, col int, w double")
+    down = {(q["row"], q["col"]): (q["row"] + q["dr"], q["col"] + q["dc"]) if q["dr"] is not None else None for q in raster.flow_direction(r, 0.0).collect()}
+    want = dict.fromkeys(v, 0.0)
+    for (y, x) in v:
+        at, seen = (y, x), 0
+        while at is not None and seen < 50:
+            want[at] += 0.0 if (y, x) == (3, 3) else (y + x) / 4
+            at, seen = down[at], seen + 1
+    got = {(q["row"], q["col"]): q["cells"] for q in raster.flow_accumulation(raster.flow_direction(r, 0.0), weights=w).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_mask_regions(spark):
+    m = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (3, 3), (2, 2)], "row int, col int")
+    assert [tuple(r) for r in raster.regions(m, 2, 10).collect()] == [(0, 3, 0, 0, 1, 1)]
+    assert raster.regions(m, 1, 10).count() == 3
+    assert raster.regions(m.limit(0), 1, 10).count() == 0
+
+
+def test_closeness_and_isolates(spark):
+    raw = [(1, 2, 1.0), (2, 3, 2.0), (1, 3, 5.0), (3, 4, 1.0), (8, 9, 1.0)]
+    e = graph.undirected(spark.createDataFrame(raw, "a int, b int, w double"), "w")
+    got = {r["node"]: r["closeness"] for r in graph.closeness(e, e.selectExpr("a as node").distinct()).collect()}
+    assert got[1] == pytest.approx(3 / (1 + 3 + 4) * 3 / 5) and got[8] == pytest.approx(1 * 1 / 5)
+    assert sorted(r["a"] for r in graph.without_isolates(e, 3).collect()) == [1, 1, 2, 3]
+
+
+def test_upsample_keeps_corners(spark):
+    r = spark.createDataFrame([(y, x, float(y * 3 + x)) for y in range(3) for x in range(3)], "row int, col int, v double")
+    up = {(q["row"], q["col"]): q["v"] for q in raster.upsample(r, 3, 5).collect()}
+    assert len(up) == 25 and (up[0, 0], up[4, 4], up[1, 1], up[0, 1]) == (0.0, 8.0, 2.0, 0.5)
