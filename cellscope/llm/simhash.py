@@ -14,6 +14,11 @@ differ in at most d bytes, so they share at least B - d positional bytes. A list
 Members of a list are verified by their Hamming distance. Only links that connect are returned: all of a
 short list, a spanning forest of a long one, so groups of thousands of copies never become all pairs.
 Equal fingerprints are collapsed before the index is built.
+
+Where texts must reach a similarity, the distance only proposes: links go out to a wider distance, those
+too close to be in doubt are taken, and the others are compared on the texts' sets of shingles. Long lists
+then give all links of small clusters; in a larger cluster, what is not in doubt joins up as a forest, and
+each member outside the largest part links to its nearest member of another part.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from .components import connected_components
 SEED = 42
 SHORT_LIST = 32
 TILE = 20_000
+# Estimated similarities are off by 0.036 at 0.8 (512 bits): proposals start WIDER below, doubt ends MARGIN above.
+WIDER = 0.1
+MARGIN = 0.12
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -57,13 +65,20 @@ def _mixed(h: np.ndarray, block: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, size: int = 3, bits: int = 64) -> bytes:
-    """A bit is 1 if set in over half the shingles' hashes; a text without words is all zero."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
+    digest = xxhash.xxh64_intdigest
     parts = shingles([w.lower() for w in words_of(text)], size)
-    if not parts:
+    return np.fromiter((digest(s, SEED) for s in parts), np.uint64, len(parts))
+
+
+def fingerprint(text: str | None, size: int = 3, bits: int = 64, distinct: bool = False) -> bytes:
+    """A bit is 1 if set in over half the (distinct) shingles' hashes; a text without words is all zero."""
+    h = shingle_hashes(text, size)
+    if distinct:
+        h = np.unique(h)
+    if not len(h):
         return bytes(bits // 8)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in parts), np.uint64, len(parts))
     total = np.zeros(bits, np.int64)
     for at in range(0, len(h), 255 * 64):
         part = h[at : at + 255 * 64]
@@ -76,12 +91,12 @@ def fingerprint(text: str | None, size: int = 3, bits: int = 64) -> bytes:
     return np.packbits(total * 2 > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
     """``doc_id, text_hash, fp``: one row per row of ``docs``, in one pass without a shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["fp"] = [fingerprint(t, size, bits) for t in b["text"]]
+            b["fp"] = [fingerprint(t, size, bits, distinct) for t in b["text"]]
             yield b[["doc_id", "text_hash", "fp"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -138,8 +153,43 @@ def _long_links(at: int, n: int, fps: np.ndarray, distance: int) -> list[tuple[i
     return out
 
 
-def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int) -> Iterator[pd.DataFrame]:
-    """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches."""
+def _cluster_links(members: np.ndarray, fps: np.ndarray, distance: int, sure: int) -> list[tuple[int, int]]:
+    """Links of one cluster of a long list, to be verified: all if it is small, else those described above."""
+    if len(members) <= SHORT_LIST:
+        i, j = np.triu_indices(len(members), 1)
+        hit = _far(fps[members[i]], fps[members[j]]) <= distance
+        return list(zip(members[i][hit].tolist(), members[j][hit].tolist(), strict=True))
+    own = np.ascontiguousarray(fps[members])
+    out = _long_links(0, len(members), own, sure)
+    part = np.arange(len(members))
+    for x, y in out:  # a forest lists x before y, so x's part is known
+        part[y] = part[x]
+    largest = np.bincount(part).argmax()
+    for x in np.flatnonzero(part != largest):
+        far = _far(own, own[x][None, :])
+        far[part == part[x]] = distance + 1
+        y = int(far.argmin())
+        if far[y] <= distance:
+            out.append((int(x), y))
+    return [(int(members[x]), int(members[y])) for x, y in out]
+
+
+def _doubtful_long_links(at: int, n: int, fps: np.ndarray, distance: int, sure: int) -> list[tuple[int, int]]:
+    """Links of a long list that are to be verified."""
+    part = {}
+    for x, y in _long_links(at, n, fps, distance):
+        part[y] = part.setdefault(x, x)
+    clusters: dict[int, list[int]] = {}
+    for x, root in part.items():
+        clusters.setdefault(root, []).append(x)
+    return [link for c in clusters.values() for link in _cluster_links(np.array(c), fps, distance, sure)]
+
+
+def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, sure: int | None = None) -> Iterator[pd.DataFrame]:
+    """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches.
+
+    With ``sure`` the links are to be verified unless ``d``, their distance, is at most this.
+    """
     held: list[pd.DataFrame] = []
 
     def emit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -151,10 +201,13 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int) -
         a, b = _short_links(cut[small], sizes[small], fps, distance)
         pairs = list(zip(a.tolist(), b.tolist(), strict=True))
         for at, n in zip(cut[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
-            pairs += _long_links(int(at), int(n), fps, distance)
+            pairs += _long_links(int(at), int(n), fps, distance) if sure is None else _doubtful_long_links(int(at), int(n), fps, distance, sure)
         raw = frame["fp"].tolist()
         found = {(raw[i], raw[j]) if raw[i] > raw[j] else (raw[j], raw[i]) for i, j in pairs}
-        return pd.DataFrame(sorted(found), columns=["u", "v"])
+        out = pd.DataFrame(sorted(found), columns=["u", "v"])
+        if sure is not None:
+            out["d"] = _far(_rows(out["u"], width), _rows(out["v"], width)).astype(np.int32) if len(out) else np.empty(0, np.int32)
+        return out
 
     for b in batches:
         if not len(b):
@@ -173,8 +226,8 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int) -
         yield emit(pd.concat(held, ignore_index=True))
 
 
-def linked_fingerprints(distinct: DataFrame, bits: int, distance: int) -> DataFrame:
-    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer."""
+def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None) -> DataFrame:
+    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer; with ``sure`` also ``d``."""
     positions = keys_of(bits, distance)
     bounded = len(positions[0]) >= bits // 8 - distance >= 1
     entries = [F.concat(F.lit(bytes([i])), *[F.substring("fp", p + 1, 1) for p in where]) for i, where in enumerate(positions)]
@@ -189,22 +242,66 @@ def linked_fingerprints(distinct: DataFrame, bits: int, distance: int) -> DataFr
     width = bits // 8
     found = (
         lists.repartition("key").sortWithinPartitions("key").select("key", "fp")
-        .mapInPandas(lambda it: links_in_lists(it, width, distance), "u binary, v binary")
+        .mapInPandas(lambda it: links_in_lists(it, width, distance, sure), "u binary, v binary" + (", d int" if sure is not None else ""))
     )
     return found.distinct()
 
 
-def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance: int = 2) -> DataFrame:
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``fp, set``: the distinct shingles' hashes of one text for each fingerprint of ``docs(fp, text)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500]
+                yield pd.DataFrame({"fp": part["fp"], "set": [np.unique(shingle_hashes(t, size)).view(np.int64) for t in part["text"]]})
+
+    return docs.select("fp", "text").mapInPandas(run, "fp binary, set array<bigint>")
+
+
+def verified_links(links: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, sure: int) -> DataFrame:
+    """Links ``u, v`` out of ``links(u, v, d)`` whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``rows(fp, doc_id, text_hash)`` says which text stands for a fingerprint; only texts with a link in
+    doubt are read again, each once.
+    """
+    doubtful = links.filter(F.col("d") > sure)
+    ends = doubtful.select(F.col("u").alias("fp")).unionByName(doubtful.select(F.col("v").alias("fp"))).distinct()
+    one = rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("k"))
+    own = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), "text")
+    same = F.col("__doc").eqNullSafe(F.col("k.doc_id")) & (F.col("__hash") == F.col("k.text_hash"))
+    sets = stored(shingle_sets(own.join(one, same), size).groupBy("fp").agg(F.any_value("set").alias("set")), "shingles")
+    pairs = doubtful.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    near = pairs.filter(shared / (F.size("a") + F.size("b") - shared) >= similarity)
+    return near.select("u", "v").unionByName(links.filter(F.col("d") <= sure).select("u", "v"))
+
+
+def bits_at(similarity: float, bits: int) -> int:
+    """Differing bits to expect of two texts: J = c / (2 - c) for the cosine c of their shingles."""
+    return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+
+
+def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """Fingerprint and component of every row: ``doc_id, text_hash, fp, component_id``.
 
+    With ``similarity`` each shingle of a text counts once, and links are verified on the shingles: to this
+    similarity, unless the fingerprints say MARGIN more.
+
     component_id is the smallest doc_id in the component. A null text counts as a text without words; all
     of these share the zero fingerprint and are linked like any others. Rows with a null doc_id take part
     under no id (component_id is null if nothing else is linked). Repeated rows come back as often as they
     came. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
-    rows = stored(fingerprints(docs.select("doc_id", "text"), size, bits), "fingerprints")
+    rows = stored(fingerprints(docs.select("doc_id", "text"), size, bits, similarity is not None), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(linked_fingerprints(least.select("fp"), bits, distance))
+    if similarity is None:
+        links = linked_fingerprints(least.select("fp"), bits, distance)
+    else:
+        sure = bits_at(min(1.0, similarity + MARGIN), bits)
+        found = stored(linked_fingerprints(least.select("fp"), bits, distance, sure), "links")
+        links = verified_links(found, rows, docs, size, similarity, sure)
+    roots = connected_components(links)
     member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     member = stored(member, "members")
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -215,13 +312,11 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
 def near_dedup(docs: DataFrame, size: int = 5, bits: int = 512, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each group of near copies: that with the smallest doc_id, then text hash.
 
-    Texts are near copies when their fingerprints' angle says that the Jaccard similarity of their
-    ``size``-word shingles is ``similarity`` or more: J = c / (2 - c) for a cosine c. Groups are
-    connected components. Columns are those of ``docs``, whatever their names. Texts without words form one group. Rows that repeat in full
+    Texts are near copies when the Jaccard similarity of their ``size``-word shingles is ``similarity`` or
+    more: fingerprints propose, the shingles decide. Groups are connected components. Columns are those of ``docs``, whatever their names. Texts without words form one group. Rows that repeat in full
     are one document.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    found = simhash_components(docs, size, bits, round(angle * bits))
+    found = simhash_components(docs, size, bits, bits_at(max(0.0, similarity - WIDER), bits), similarity)
     # The group is named by its smallest id; without one, by its own fingerprint.
     group = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))

@@ -286,6 +286,23 @@ def test_near_dedup_recall(spark, monkeypatch):
     assert {x["doc_id"] for x in simhash.near_dedup(df).collect()} == kept
 
 
+def test_near_dedup_decides_on_shingles(spark):
+    """Texts of 0.7 to 0.79 stay, whole groups of them too; a line that fills both texts makes no copies of them."""
+    r = random.Random(9)
+    data, base = [], [f"w{r.randrange(9000)}" for _ in range(300)]
+    for i in range(60):  # all alike but for one block of their own
+        data.append((i, " ".join(base[:270] + [f"own{i}x{k}" for k in range(36 + 4 * (i % 2))])))
+        assert i == 0 or 0.7 <= jaccard(data[0][1], data[i][1]) < 0.8
+    for i in range(2):
+        data.append((100 + i, "the same seven words in a line\n" * 300 + " ".join(f"end{i}x{k}" for k in range(20))))
+    for i in range(50):  # a large group of true copies
+        u = [f"g{k}" for k in range(200)]
+        u[i] = "swap"
+        data.append((200 + i, " ".join(u)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(df).collect()) == [*range(60), 100, 101, 200]
+
+
 def test_near_dedup_keeps_one_of_repeats(docs):
     kept = rows(simhash.near_dedup(docs), "doc_id", "text")
     assert sum(i == 8 for i, _ in kept) == 1
