@@ -267,7 +267,7 @@ def verified_links(links: DataFrame, rows: DataFrame, docs: DataFrame, size: int
     """
     doubtful = links.filter(F.col("d") > sure)
     ends = doubtful.select(F.col("u").alias("fp")).unionByName(doubtful.select(F.col("v").alias("fp"))).distinct()
-    one = rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("k"))
+    one = rows.groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")).join(ends, "fp", "left_semi")
     own = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), "text")
     same = F.col("__doc").eqNullSafe(F.col("k.doc_id")) & (F.col("__hash") == F.col("k.text_hash"))
     sets = stored(shingle_sets(own.join(one, same), size).groupBy("fp").agg(F.any_value("set").alias("set")), "shingles")
