@@ -18,7 +18,9 @@ Equal fingerprints are collapsed before the index is built.
 Where texts must reach a similarity, the distance only proposes: links go out to a wider distance, those
 too close to be in doubt are taken, and the others are compared on the texts' sets of shingles. Long lists
 then give all links of small clusters; in a larger cluster, what is not in doubt joins up as a forest, and
-each member outside the largest part links to its nearest member of another part.
+each member outside the largest part links to its nearest member of another part. Once these are verified,
+the lists of such clusters are gone through again, and every pair that is still in different components
+is compared: no pair that was proposed stays undecided.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ from .components import connected_components
 SEED = 42
 SHORT_LIST = 32
 TILE = 20_000
+# Positions whose pairs are all tried; pairs of fingerprints looked at together.
+GROUP = 8
+BLOCK = 1 << 18
 # Estimated similarities are off by 0.036 at 0.8 (512 bits): proposals start WIDER below, doubt ends MARGIN above.
 WIDER = 0.1
 MARGIN = 0.12
@@ -154,7 +159,10 @@ def _long_links(at: int, n: int, fps: np.ndarray, distance: int) -> list[tuple[i
 
 
 def _cluster_links(members: np.ndarray, fps: np.ndarray, distance: int, sure: int) -> list[tuple[int, int]]:
-    """Links of one cluster of a long list, to be verified: all if it is small, else those described above."""
+    """Links of one cluster of a long list, to be verified: all if it is small, else those described above.
+
+    A larger cluster of several parts also gives a loop for each member: its other pairs are still to be looked at.
+    """
     if len(members) <= SHORT_LIST:
         i, j = np.triu_indices(len(members), 1)
         hit = _far(fps[members[i]], fps[members[j]]) <= distance
@@ -164,6 +172,8 @@ def _cluster_links(members: np.ndarray, fps: np.ndarray, distance: int, sure: in
     part = np.arange(len(members))
     for x, y in out:  # a forest lists x before y, so x's part is known
         part[y] = part[x]
+    if (part != part[0]).any():
+        out += [(x, x) for x in range(len(members))]
     largest = np.bincount(part).argmax()
     for x in np.flatnonzero(part != largest):
         far = _far(own, own[x][None, :])
@@ -185,64 +195,117 @@ def _doubtful_long_links(at: int, n: int, fps: np.ndarray, distance: int, sure:
     return [link for c in clusters.values() for link in _cluster_links(np.array(c), fps, distance, sure)]
 
 
-def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, sure: int | None = None) -> Iterator[pd.DataFrame]:
+def _apart_links(at: int, n: int, fps: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of a list between members of different labels, some rows at a time."""
+    if (label[at : at + n] == label[at]).all():
+        return
+    step = max(1, BLOCK // n)
+    for x in range(at, at + n, step):
+        rows = slice(x, min(x + step, at + n))
+        far = _far(fps[rows, None, :], fps[None, x : at + n, :])
+        i, j = np.nonzero((far <= distance) & (label[rows, None] != label[None, x : at + n]))
+        yield i[i < j] + x, j[i < j] + x
+
+
+def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, sure: int | None = None, firsts: tuple[int, ...] = (), apart: bool = False) -> Iterator[pd.DataFrame]:
     """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches.
 
-    With ``sure`` the links are to be verified unless ``d``, their distance, is at most this.
+    With ``sure`` the links are to be verified unless ``d``, their distance, is at most this. ``firsts`` has the
+    position of each list's byte if the lists are to be divided by a second byte of its GROUP here. With ``apart``
+    the links are all those between members of different ``label``.
     """
     held: list[pd.DataFrame] = []
 
-    def emit(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = frame["key"].to_numpy()
-        fps = np.ascontiguousarray(_rows(frame["fp"], width))
-        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[cut, len(keys)])
-        small = (sizes > 1) & (sizes <= SHORT_LIST)
-        a, b = _short_links(cut[small], sizes[small], fps, distance)
-        pairs = list(zip(a.tolist(), b.tolist(), strict=True))
-        for at, n in zip(cut[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
-            pairs += _long_links(int(at), int(n), fps, distance) if sure is None else _doubtful_long_links(int(at), int(n), fps, distance, sure)
-        raw = frame["fp"].tolist()
-        found = {(raw[i], raw[j]) if raw[i] > raw[j] else (raw[j], raw[i]) for i, j in pairs}
+    def divided(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers in the order of the lists, and where each list starts."""
+        own = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
+        if not firsts:
+            yield np.arange(len(keys)), own
+            return
+        first = np.array([firsts[k[0]] for k in keys])
+        for lag in range(1, GROUP):
+            rows = np.flatnonzero((first % GROUP + lag < GROUP) & (first + lag < width))
+            if len(rows):
+                second = own[rows] * 256 + fps[rows, first[rows] + lag]
+                order = np.argsort(second, kind="stable")
+                yield rows[order], second[order]
+
+    def named(raw: list[bytes], i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        found = {(raw[x], raw[y]) if raw[x] > raw[y] else (raw[y], raw[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
         out = pd.DataFrame(sorted(found), columns=["u", "v"])
         if sure is not None:
             out["d"] = _far(_rows(out["u"], width), _rows(out["v"], width)).astype(np.int32) if len(out) else np.empty(0, np.int32)
         return out
 
+    def emit(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fps, raw = np.ascontiguousarray(_rows(frame["fp"], width)), frame["fp"].tolist()
+        label = pd.factorize(frame["label"])[0] if apart else None
+        left, right, count = [], [], 0
+        for rows, lists in divided(frame["key"].to_numpy(), fps):
+            own = fps[rows]
+            cut = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+            sizes = np.diff(np.r_[cut, len(lists)])
+            if apart:
+                for at, n in zip(cut[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                    for i, j in _apart_links(at, n, own, label[rows], distance):
+                        left.append(rows[i])
+                        right.append(rows[j])
+                        count += len(i)
+                        if count > BLOCK:
+                            yield named(raw, np.concatenate(left), np.concatenate(right))
+                            left, right, count = [], [], 0
+                continue
+            small = (sizes > 1) & (sizes <= SHORT_LIST)
+            i, j = _short_links(cut[small], sizes[small], own, distance)
+            left.append(rows[i])
+            right.append(rows[j])
+            for at, n in zip(cut[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
+                pairs = _long_links(at, n, own, distance) if sure is None else _doubtful_long_links(at, n, own, distance, sure)
+                i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+                left.append(rows[i])
+                right.append(rows[j])
+        if left:
+            yield named(raw, np.concatenate(left), np.concatenate(right))
+
     for b in batches:
         if not len(b):
             continue
         last = b["key"].iloc[-1]
         split = int(np.searchsorted((b["key"] == last).to_numpy(), True))
         if split:
-            yield emit(pd.concat([*held, b.iloc[:split]], ignore_index=True))
+            yield from emit(pd.concat([*held, b.iloc[:split]], ignore_index=True))
             held = [b.iloc[split:]]
         elif held and held[-1]["key"].iloc[-1] != last:
-            yield emit(pd.concat(held, ignore_index=True))
+            yield from emit(pd.concat(held, ignore_index=True))
             held = [b]
         else:
             held.append(b)
     if held:
-        yield emit(pd.concat(held, ignore_index=True))
+        yield from emit(pd.concat(held, ignore_index=True))
+
 
+def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None, apart: bool = False) -> DataFrame:
+    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer; with ``sure`` also ``d``.
 
-def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None) -> DataFrame:
-    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer; with ``sure`` also ``d``."""
+    With ``sure``, a loop marks a fingerprint that has pairs left to look at. With ``apart`` the links are all
+    those between fingerprints of different ``label``.
+    """
     positions = keys_of(bits, distance)
     bounded = len(positions[0]) >= bits // 8 - distance >= 1
     entries = [F.concat(F.lit(bytes([i])), *[F.substring("fp", p + 1, 1) for p in where]) for i, where in enumerate(positions)]
-    lists = distinct.select("fp", F.explode(F.array(*entries)).alias("key"))
+    more = ["label"] if apart else []
+    lists = distinct.select("fp", *more, F.explode(F.array(*entries)).alias("key"))
     if not bounded:
         # A list beyond TILE members is cut into parts; each pair of parts becomes a list of its own.
         counts = lists.groupBy("key").count().filter(F.col("count") > TILE)
         parts = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int")
         own = F.pmod(F.hash("fp"), F.col("parts"))
         tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.concat("key", F.unhex(F.format_string("%08x%08x", F.least(own, o), F.greatest(own, o)))))
-        lists = lists.join(counts, "key", "left").withColumn("parts", parts).select("fp", F.explode(tiles).alias("key"))
-    width = bits // 8
+        lists = lists.join(counts, "key", "left").withColumn("parts", parts).select("fp", *more, F.explode(tiles).alias("key"))
+    width, firsts = bits // 8, ()
     found = (
-        lists.repartition("key").sortWithinPartitions("key").select("key", "fp")
-        .mapInPandas(lambda it: links_in_lists(it, width, distance, sure), "u binary, v binary" + (", d int" if sure is not None else ""))
+        lists.repartition("key").sortWithinPartitions("key").select("key", "fp", *more)
+        .mapInPandas(lambda it: links_in_lists(it, width, distance, sure, firsts, apart), "u binary, v binary" + (", d int" if sure is not None else ""))
     )
     return found.distinct()
 
@@ -300,8 +363,16 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
     else:
         sure = bits_at(min(1.0, similarity + MARGIN), bits)
         found = stored(linked_fingerprints(least.select("fp"), bits, distance, sure), "links")
-        links = verified_links(found, rows, docs, size, similarity, sure)
+        links = verified_links(found.filter("u <> v"), rows, docs, size, similarity, sure)
     roots = connected_components(links)
+    if similarity is not None:
+        roots = stored(roots, "roots")
+        crowded = found.filter("u = v").select(F.col("u").alias("fp"))
+        crowded = crowded.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
+        rest = stored(linked_fingerprints(crowded, bits, distance, sure, apart=True).join(found, ["u", "v"], "left_anti"), "links")
+        if not rest.isEmpty():
+            more = verified_links(rest, rows, docs, size, similarity, sure)
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     member = stored(member, "members")
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))

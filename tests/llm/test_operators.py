@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -303,6 +304,35 @@ def test_near_dedup_decides_on_shingles(spark):
     assert sorted(x["doc_id"] for x in simhash.near_dedup(df).collect()) == [*range(60), 100, 101, 200]
 
 
+def test_near_dedup_compares_all_of_a_crowd(spark):
+    """A pair of 0.81 is found although both its texts look as near to 80 others, which are at 0.796 only."""
+    data, expect = [], []
+    for g in range(0, 12_000, 1000):
+        base, own = [f"g{g}w{k}" for k in range(250)], [f"own{g}x{k}" for k in range(28)]
+        data += [(g + i, " ".join([*base[:249], f"last{g}x{i}"])) for i in range(80)]
+        data += [(g + 100, " ".join(base[:222] + own)), (g + 101, " ".join(base[:222] + own[:3] + [f"other{g}x{k}" for k in range(25)]))]
+        assert jaccard(data[-1][1], data[-2][1]) > 0.81 and max(jaccard(data[-i][1], data[-3][1]) for i in (1, 2)) < 0.8
+        expect += [g, g + 100]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(df).collect()) == expect
+
+
+def test_pairs_apart_in_lists():
+    """Every pair within the distance whose members have different labels, each list by itself, and only these."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 256, 64, np.uint8)
+    fps = np.stack([base ^ np.packbits(r.random(512) < 0.1) for _ in range(90)])
+    fps[:, 0] = base[0]
+    label = [bytes([i % 5]) for i in range(90)]
+    raw = [f.tobytes() for f in fps]
+    frame = pd.DataFrame({"key": [b"\0" + raw[0][:1]] * 90, "fp": raw, "label": label})
+    found = pd.concat(simhash.links_in_lists(iter([frame]), 64, 95, 47, (0,), True))
+    near = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(raw[i], raw[j], strict=True))
+    meet = lambda i, j: (fps[i, 1:8] == fps[j, 1:8]).any()
+    expect = {(max(raw[i], raw[j]), min(raw[i], raw[j])) for i in range(90) for j in range(i) if label[i] != label[j] and near(i, j) <= 95 and meet(i, j)}
+    assert expect and set(zip(found["u"], found["v"], strict=True)) == expect
+
+
 def test_near_dedup_keeps_one_of_repeats(docs):
     kept = rows(simhash.near_dedup(docs), "doc_id", "text")
     assert sum(i == 8 for i, _ in kept) == 1
