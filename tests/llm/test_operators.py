@@ -333,6 +333,17 @@ def test_pairs_apart_in_lists():
     assert expect and set(zip(found["u"], found["v"], strict=True)) == expect
 
 
+def test_near_dedup_at_the_threshold(spark):
+    """Lone pairs whose similarity is 0.80: none is missed."""
+    data = []
+    for i in range(300):
+        t = [f"p{i}w{k}" for k in range(250)]
+        data += [(i, " ".join(t)), (1000 + i, " ".join(t[:223] + [f"p{i}z{k}" for k in range(27)]))]
+        assert 0.8 <= jaccard(data[-1][1], data[-2][1]) < 0.81
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    assert sorted(x["doc_id"] for x in simhash.near_dedup(df).collect()) == [*range(300)]
+
+
 def test_near_dedup_keeps_one_of_repeats(docs):
     kept = rows(simhash.near_dedup(docs), "doc_id", "text")
     assert sum(i == 8 for i, _ in kept) == 1
