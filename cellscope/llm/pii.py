@@ -46,13 +46,13 @@ _ACCOUNT_WORDS = ("iban", "account", "konto", "compte", "cuenta", "bank")
 _AGAINST = ("version", "isbn", "issue", "page", "sha", "commit", "checksum", "order", "chapter")
 _COUNTRIES = frozenset("DE FR ES GB IT NL BE AT CH PL PT IE SE DK FI NO LU CZ".split())
 
-_SECRET = re.compile(r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})")
+_SECRET = re.compile(r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})")
 _CLOUD_KEY = re.compile(r"(?<![A-Z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Z0-9])")
-_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Z0-9])")
 _SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")
-_NAME = re.compile(r"[A-ZÀ-Þ][\w'-]{1,40}(?: [A-ZÀ-Þ][\w'-]{1,40})?")
+_NAME = re.compile(r"[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -150,7 +150,10 @@ def features_of(pattern: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, pattern) outside base spans and each other, leftmost and longest first."""
+    """(kind, start, end, pattern) outside base spans and each other, leftmost and longest first.
+
+    Of a candidate that overlaps these, each part outside them stays, under the pattern of the whole.
+    """
     found: list[tuple[int, int, str]] = []
     has_digit = _DIGIT.search(text) is not None
     if "=" in text or ":" in text:
@@ -170,12 +173,18 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     taken = sorted((s, e) for _, s, e in base)
     out, last, j = [], 0, 0
     for start, end, kind in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
-        while j < len(taken) and taken[j][1] <= start:
+        at, parts = max(start, last), []
+        while j < len(taken) and taken[j][1] <= at:
             j += 1
-        if start < last or (j < len(taken) and taken[j][0] < end):
-            continue
-        out.append((kind, start, end, pattern_of(kind, _votes(kind, text, start, end), end - start)))
-        last = end
+        i = j
+        while i < len(taken) and taken[i][0] < end:
+            parts.append((at, taken[i][0]))
+            at, i = max(at, taken[i][1]), i + 1
+        parts = [(s, e) for s, e in [*parts, (at, end)] if s < e and not text[s:e].isspace()]
+        if parts:
+            pattern = pattern_of(kind, _votes(kind, text, start, end), end - start)
+            out += [(kind, s, e, pattern) for s, e in parts]
+        last = max(last, end)
     return out
 
 

@@ -581,6 +581,21 @@ def test_pii_query_and_mask(spark):
     assert masked[3] == "nothing at all." and masked[4] is None
 
 
+def test_pii_leaves_no_part():
+    """Long credentials and names go whole; of one around a base span what lies outside it goes too."""
+    every = frozenset(range(3**pii.LABELERS * len(pii.ADDED) * 4))
+    cases = [
+        (f"token={'aB3.' * 300} end", "token=<SECRET> end"),
+        (f"the {'0a' * 90} end", "the <SECRET> end"),
+        ("Dr. Hans Peter Maria Schmidt came", "Dr. <NAME> came"),
+        ("password=xy!bob@site.org!zz9 end", "password=<SECRET><EMAIL><SECRET> end"),
+        ("secret=k9/10.1.2.3/q end", "secret=<SECRET><IP><SECRET> end"),
+        ("tel 555-123-4567 and +1 555-123-4567", "tel <LOCALPHONE> and <PHONE>"),
+    ]
+    for text, masked in cases:
+        assert pii.masked_text(text, every) == masked
+
+
 def test_em_finds_reliable_labelers():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.5
