@@ -23,7 +23,7 @@ MAX_DEPTH = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas annotation annotation-xml select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -38,16 +38,21 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table", "tbody", "thead", "tfoot"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, {"html"}),
+    "select": ({"select"}, {"table"}),
+    "input": ({"select"}, {"table"}),
+    "textarea": ({"select"}, {"table"}),
 }
 FORMATTING = frozenset("a abbr b big cite code em font i label q s small span strike strong sub sup tt u".split())
 ENDS = BLOCK | frozenset("thead tbody tfoot tr td th caption".split())
 P_SCOPE = frozenset("table td th caption button object html body".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+DRAWN_LATER = frozenset("defs symbol clippath mask pattern marker desc metadata title style script".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*))>?", re.S)
@@ -97,7 +102,7 @@ def parse(html: str) -> Node:
             break
         if m.start() > at:
             text = unescape(html[at : m.start()])
-            if stack[-1].tag == "head" and not text.isspace():
+            if stack[-1].tag in ("head", "colgroup") and not text.isspace():
                 stack.pop()
             stack[-1].children.append(text)
         at = m.end()
@@ -105,6 +110,8 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if tag == "form" and (stack[-1].tag in SECTIONS or stack[-1].tag in ("table", "tr")):
+                continue
             # A formatting element's end tag never ends a block that was opened inside it.
             at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag in FORMATTING and stack[i].tag in ENDS)), 0)
             if at_tag and stack[at_tag].tag == tag:
@@ -116,13 +123,20 @@ def parse(html: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY and tag != "head":
             stack.pop()
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
         if tag in CLOSES_P:
             close({"p"}, P_SCOPE)
         if tag in IMPLIED:
             close(*map(frozenset, IMPLIED[tag]))
+        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in SECTIONS) and len(stack) < MAX_DEPTH:
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
         node = Node(tag, _attributes(m[3]) if m[3] and not m[3].isspace() else None)
         stack[-1].children.append(node)
-        if tag in VOID:
+        # A form between the parts of a table holds nothing: the rows stay the table's.
+        if tag in VOID or (tag == "form" and (stack[-1].tag in SECTIONS or stack[-1].tag in ("table", "tr"))):
             continue
         if tag in RAW or tag in RCDATA:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -189,7 +203,10 @@ def _span(cell: Node) -> int:
 def _table(node: Node, out: _Text) -> None:
     """Cells of a column start at the same place; a cell with several lines takes as many lines."""
     for c in node.children:
-        if not isinstance(c, Node) or (c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col") and c.visible()):
+        if isinstance(c, Node) and c.tag in SECTIONS:
+            if c.visible():
+                _into([x for x in c.children if not (isinstance(x, Node) and x.tag == "tr")], out)
+        elif not (isinstance(c, Node) and c.tag == "tr"):
             _into([c], out)
     out.flush()
     grid = []
@@ -237,6 +254,18 @@ def _list(node: Node, out: _Text) -> None:
             _into([c], out)
 
 
+def _svg(node: Node, out: _Text) -> None:
+    """The text in a drawing; each text stands by itself."""
+    for c in node.children:
+        if isinstance(c, Node) and c.tag not in DRAWN_LATER and c.visible() and c.attrs.get("display") != "none":
+            if c.tag in ("text", "foreignobject"):
+                out.inline(" ")
+                _into(c.children, out)
+                out.inline(" ")
+            else:
+                _svg(c, out)
+
+
 def _into(children: list, out: _Text) -> None:
     for c in children:
         if isinstance(c, str):
@@ -253,6 +282,8 @@ def _into(children: list, out: _Text) -> None:
         elif c.tag == "input":
             if c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and c.attrs.get("value"):
                 out.inline(f" {c.attrs['value']} ")
+        elif c.tag == "svg":
+            _svg(c, out)
         elif c.tag in BLOCK:
             out.blank() if c.tag in SPACED else out.flush()
             if c.tag == "table":
@@ -287,7 +318,10 @@ def _plain(node: Node) -> Iterator[str]:
         elif c.visible():
             if c.tag == "br":
                 yield "\n"
-            yield from _plain(c)
+            if c.tag == "svg":
+                yield "\n".join(_lines([c]))
+            else:
+                yield from _plain(c)
 
 
 def html_to_text(html: str | None) -> str:

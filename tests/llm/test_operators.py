@@ -147,6 +147,25 @@ def test_html_cases(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tbody><td>a<td>b</table>", "a  b"),
+        ("<table><tbody>loose<tr><td>a</table>", "loose\na"),
+        ("<table><tbody><form><tr><td>a</tr><td>b</form><tr><td>c</table>d", "a\nb\nc\n\nd"),
+        ("<table><tbody><div>x</div><tr><td>a</table>", "x\na"),
+        ("<table><colgroup><col><tr><td>a<td>b</table>", "a  b"),
+        ("<table><colgroup><col>x<tbody><tr><td>a</table>", "x\na"),
+        ("<table><caption>cap<td>a</table>", "cap\na"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("<svg><title>no</title><defs><text>no</text></defs><g><text>one</text><text>two</text></g></svg>", "one two"),
+        ("<select><option>a<input value=c>b", "c b"),
+    ],
+)
+def test_html_keeps_visible_text(html, text):
+    assert html_text.html_to_text(html) == text
+
+
 def test_html_round_trip():
     """A random tree, written as HTML with end tags left out at random, gives each word once and in order."""
     r = random.Random(9)
