@@ -22,9 +22,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; in tests a temporary one."""
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; on a local master a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cellscope-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -37,7 +39,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cellscope/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what ``stored`` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove((spark, df.stored_at))
+
+
+def hub_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``n`` how often ``left`` has it out of ``total``.
+
+    Keys with over a thousandth of all rows are at most a thousand: these rows of ``right`` are broadcast, so
+    that no task gets a hot key whole. The other keys meet by shuffle. ``n`` is left out.
+    """
+    hot = F.col("n") > max(1000, total // 1000)
+    hubs, rest = F.broadcast(right.filter(hot).drop("n")), right.filter(~hot).drop("n")
+    return left.join(hubs, on).unionByName(left.join(hubs.select(on), on, "left_anti").join(rest, on))
 
 
 def forget_stored(spark: SparkSession) -> None:

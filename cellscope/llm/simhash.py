@@ -1,21 +1,23 @@
 """SimHash near-duplicates through an inverted index over byte positions with count filtering.
 
 A fingerprint of B bytes is B (position, byte) entries. Two fingerprints that differ in at most d bits
-differ in at most d bytes, so they share at least B - d positional bytes. A list for a single byte holds
-1/256 of the corpus, so the lists here are keyed by several positions at once:
-
-* If B - d >= 1 (64 bits, d = 2: at least 6 of 8), there is one list for every choice of B - d positions.
-  A list's members share the guaranteed minimum by construction, each linked pair meets in at least one
-  list, and as only d bytes are free a list holds at most 256**d different fingerprints.
-* Wide fingerprints for similarity thresholds (512 bits for 0.8) have no guaranteed minimum. The count that
-  is asked for is two shared bytes within a group of eight positions: every pair of positions of a group
-  makes lists, which are dealt out by the first byte and divided by the second where they arrive. A pair of
-  texts misses all groups with probability 1.2e-4 at a similarity of 0.80 and 2.4e-6 at 0.85, and the wider
-  distance with 0.7e-4 at 0.80, by calculation. Long lists are dealt out in tiles.
-
-Members of a list are verified by their Hamming distance. Only links that connect are returned: all of a
-short list, a spanning forest of a long one, so groups of thousands of copies never become all pairs.
-Equal fingerprints are collapsed before the index is built.
+differ in at most d bytes, so they share at least B - d positional bytes: the guaranteed minimum. Lists of
+the index are keyed by several entries at once, so that they are short; for the pairs of a list the shared
+positional bytes are tallied over all positions, pairs below the minimum are dropped, and the others are
+verified by their Hamming distance.
+
+* With a guaranteed minimum (64 bits, d = 2: 6 of 8) positions form d + 2 blocks, of which a linked pair
+  shares two or more whole: there is a list for each two blocks, six of four bytes each. A list that grows
+  frequent is split by two further positions, six ways, as its linked pairs share at least two of the rest;
+  such a list holds at most 256**d different fingerprints. Nothing is lost on the way.
+* Wide fingerprints for similarity thresholds (512 bits for 0.8) have no guaranteed minimum. The tally asks
+  for LEAST of 64, and for two within one group of eight positions: every pair of positions of a group
+  makes lists, which are dealt out by the first byte and divided by the second where they arrive. By
+  calculation a pair at 0.80 misses all groups with probability 1.2e-4, the tally with 2e-4, and the wider
+  distance with 0.7e-4; 17 shared bytes are expected of it. Long lists are dealt out in tiles.
+
+Only links that connect are returned: all of a short list, a spanning forest of a long one, so groups of
+thousands of copies never become all pairs. Equal fingerprints are collapsed before the index is built.
 
 Where texts must reach a similarity, the distance only proposes: links go out to a wider distance, those
 too close to be in doubt are taken, and the others are compared on the texts' sets of shingles. Long lists
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, words_of
+from ._common import hub_join, stored, words_of
 from .components import connected_components
 
 SEED = 42
@@ -46,6 +48,11 @@ TILE = 20_000
 # Positions whose pairs are all tried; pairs of fingerprints looked at together.
 GROUP = 8
 BLOCK = 1 << 18
+# Shared positional bytes that a pair of wide fingerprints needs; members from which a list is frequent.
+LEAST = 6
+FREQUENT = 4096
+BROADCAST_LISTS = 100_000
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
 # Estimated similarities are off by 0.036 at 0.8 (512 bits): proposals start WIDER below, doubt ends MARGIN above.
 WIDER = 0.15
 MARGIN = 0.12
@@ -99,25 +106,24 @@ def fingerprint(text: str | None, size: int = 3, bits: int = 64, distinct: bool
 
 
 def fingerprints(docs: DataFrame, size: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
-    """``doc_id, text_hash, fp``: one row per row of ``docs``, in one pass without a shuffle."""
+    """``doc_id, text_hash, fp``: one row per row of ``docs``, in one pass without a shuffle. Only texts go to Python."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, size, bits, distinct) for t in texts], dtype=object)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(run, "binary")("text").alias("fp"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["fp"] = [fingerprint(t, size, bits, distinct) for t in b["text"]]
-            yield b[["doc_id", "text_hash", "fp"]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return narrow.mapInPandas(run, f"doc_id {kind}, text_hash long, fp binary")
+def least_shared(bits: int, distance: int) -> int:
+    """Positional bytes that a pair must share: the guaranteed minimum, or LEAST where there is none."""
+    least = bits // 8 - distance
+    return least if least >= 1 else LEAST
 
 
-def keys_of(bits: int, distance: int) -> list[tuple[int, ...]]:
-    """Byte positions of each list: all choices of the guaranteed minimum, or all but the last of each GROUP, one by one."""
-    n = bits // 8
-    least = n - distance
-    if least >= 1 and math.comb(n, least) <= 64:
-        return list(combinations(range(n), least))
-    return [(i,) for i in range(n - 1) if i % GROUP < GROUP - 1]
+def blocks_of(bits: int, distance: int) -> list[tuple[int, ...]]:
+    """The positions in ``distance`` + 2 blocks; empty if they are too few for that."""
+    n, k = bits // 8, distance + 2
+    return [tuple(range(n * i // k, n * (i + 1) // k)) for i in range(k)] if 2 <= k <= n else []
 
 
 def _rows(column, width: int) -> np.ndarray:
@@ -128,7 +134,16 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _short_links(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, least: int, distance: int) -> np.ndarray:
+    """Which pairs share ``least`` positional bytes or more, by tally, and differ in at most ``distance`` bits."""
+    x = np.bitwise_xor(a, b).view(np.uint64)
+    shared = np.bitwise_count(~(((x & _LOW) + _LOW) | x | _LOW)).sum(axis=-1, dtype=np.int64)  # bytes of x that are zero
+    hit = shared >= least
+    hit[hit] = np.bitwise_count(x[hit]).sum(axis=-1, dtype=np.int64) <= distance
+    return hit
+
+
+def _short_links(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray, least: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """All links inside lists of at most SHORT_LIST members: rows i and i + lag of the same list."""
     left, right = [], []
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -138,20 +153,20 @@ def _short_links(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray, distanc
         if not len(i):
             break
         a, b = rows[i], rows[i + lag]
-        hit = _far(fps[a], fps[b]) <= distance
+        hit = _near(fps[a], fps[b], least, distance)
         left.append(a[hit])
         right.append(b[hit])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def _long_links(at: int, n: int, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _long_links(at: int, n: int, fps: np.ndarray, least: int, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of a long list: each member looks only among those not reached yet."""
     out, rest = [], np.arange(at, at + n)
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = _far(fps[rest], fps[x][None, :]) <= distance
+            hit = _near(fps[rest], fps[x][None, :], least, distance)
             if hit.any():
                 new = rest[hit].tolist()
                 out += [(x, y) for y in new]
@@ -160,17 +175,17 @@ def _long_links(at: int, n: int, fps: np.ndarray, distance: int) -> list[tuple[i
     return out
 
 
-def _cluster_links(members: np.ndarray, fps: np.ndarray, distance: int, sure: int) -> list[tuple[int, int]]:
+def _cluster_links(members: np.ndarray, fps: np.ndarray, least: int, distance: int, sure: int) -> list[tuple[int, int]]:
     """Links of one cluster of a long list, to be verified: all if it is small, else those described above.
 
     A larger cluster of several parts also gives a loop for each member: its other pairs are still to be looked at.
     """
     if len(members) <= SHORT_LIST:
         i, j = np.triu_indices(len(members), 1)
-        hit = _far(fps[members[i]], fps[members[j]]) <= distance
+        hit = _near(fps[members[i]], fps[members[j]], least, distance)
         return list(zip(members[i][hit].tolist(), members[j][hit].tolist(), strict=True))
     own = np.ascontiguousarray(fps[members])
-    out = _long_links(0, len(members), own, sure)
+    out = _long_links(0, len(members), own, least, sure)
     part = np.arange(len(members))
     for x, y in out:  # a forest lists x before y, so x's part is known
         part[y] = part[x]
@@ -179,37 +194,37 @@ def _cluster_links(members: np.ndarray, fps: np.ndarray, distance: int, sure: in
     largest = np.bincount(part).argmax()
     for x in np.flatnonzero(part != largest):
         far = _far(own, own[x][None, :])
-        far[part == part[x]] = distance + 1
+        far[(part == part[x]) | ~_near(own, own[x][None, :], least, distance)] = distance + 1
         y = int(far.argmin())
         if far[y] <= distance:
             out.append((int(x), y))
     return [(int(members[x]), int(members[y])) for x, y in out]
 
 
-def _doubtful_long_links(at: int, n: int, fps: np.ndarray, distance: int, sure: int) -> list[tuple[int, int]]:
+def _doubtful_long_links(at: int, n: int, fps: np.ndarray, least: int, distance: int, sure: int) -> list[tuple[int, int]]:
     """Links of a long list that are to be verified."""
     part = {}
-    for x, y in _long_links(at, n, fps, distance):
+    for x, y in _long_links(at, n, fps, least, distance):
         part[y] = part.setdefault(x, x)
     clusters: dict[int, list[int]] = {}
     for x, root in part.items():
         clusters.setdefault(root, []).append(x)
-    return [link for c in clusters.values() for link in _cluster_links(np.array(c), fps, distance, sure)]
+    return [link for c in clusters.values() for link in _cluster_links(np.array(c), fps, least, distance, sure)]
 
 
-def _apart_links(at: int, n: int, fps: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _apart_links(at: int, n: int, fps: np.ndarray, label: np.ndarray, least: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All links of a list between members of different labels, some rows at a time."""
     if (label[at : at + n] == label[at]).all():
         return
     step = max(1, BLOCK // n)
     for x in range(at, at + n, step):
         rows = slice(x, min(x + step, at + n))
-        far = _far(fps[rows, None, :], fps[None, x : at + n, :])
-        i, j = np.nonzero((far <= distance) & (label[rows, None] != label[None, x : at + n]))
+        near = _near(fps[rows, None, :], fps[None, x : at + n, :], least, distance)
+        i, j = np.nonzero(near & (label[rows, None] != label[None, x : at + n]))
         yield i[i < j] + x, j[i < j] + x
 
 
-def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, sure: int | None = None, firsts: tuple[int, ...] = (), apart: bool = False) -> Iterator[pd.DataFrame]:
+def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, least: int, sure: int | None = None, firsts: tuple[int, ...] = (), apart: bool = False) -> Iterator[pd.DataFrame]:
     """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches.
 
     With ``sure`` the links are to be verified unless ``d``, their distance, is at most this. ``firsts`` has the
@@ -249,7 +264,7 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, s
             sizes = np.diff(np.r_[cut, len(lists)])
             if apart:
                 for at, n in zip(cut[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                    for i, j in _apart_links(at, n, own, label[rows], distance):
+                    for i, j in _apart_links(at, n, own, label[rows], least, distance):
                         left.append(rows[i])
                         right.append(rows[j])
                         count += len(i)
@@ -258,11 +273,11 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, s
                             left, right, count = [], [], 0
                 continue
             small = (sizes > 1) & (sizes <= SHORT_LIST)
-            i, j = _short_links(cut[small], sizes[small], own, distance)
+            i, j = _short_links(cut[small], sizes[small], own, least, distance)
             left.append(rows[i])
             right.append(rows[j])
             for at, n in zip(cut[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
-                pairs = _long_links(at, n, own, distance) if sure is None else _doubtful_long_links(at, n, own, distance, sure)
+                pairs = _long_links(at, n, own, least, distance) if sure is None else _doubtful_long_links(at, n, own, least, distance, sure)
                 i, j = np.array(pairs, np.int64).reshape(-1, 2).T
                 left.append(rows[i])
                 right.append(rows[j])
@@ -286,28 +301,55 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, s
         yield from emit(pd.concat(held, ignore_index=True))
 
 
+def _bytes_at(positions: tuple[int, ...]):
+    return [F.substring("fp", p + 1, 1) for p in positions]
+
+
+def _block_lists(distinct: DataFrame, bits: int, distance: int) -> DataFrame:
+    """``fp, key``: a list for each two blocks; frequent lists are split by as many further positions as reach the minimum."""
+    blocks, n = blocks_of(bits, distance), bits // 8
+    keyed = [blocks[a] + blocks[b] for a, b in combinations(range(len(blocks)), 2)]
+    lists = distinct.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([i])), *_bytes_at(p)) for i, p in enumerate(keyed)])).alias("key"))
+    frequent = stored(lists.groupBy("key").count().filter(F.col("count") > FREQUENT).select("key", F.lit(True).alias("frequent")), "frequent")
+    lists = lists.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_LISTS else frequent, "key", "left")
+    further = []
+    for p in keyed:
+        rest = [x for x in range(n) if x not in p]
+        more = combinations(rest, max(0, n - distance - len(p)))
+        further.append(F.array(*[F.concat("key", F.lit(bytes(m)), *_bytes_at(m)) for m in more]))
+    which = F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int")
+    keys = F.when(F.col("frequent"), F.get(F.array(*further), which)).otherwise(F.array("key"))
+    return lists.select("fp", F.explode(keys).alias("key"))
+
+
+def _group_lists(distinct: DataFrame, firsts: tuple[int, ...]) -> DataFrame:
+    """``fp, key`` and the other columns: a list for each position and byte; one beyond TILE members becomes a list for each pair of its parts."""
+    entries = [F.concat(F.lit(bytes([i])), *_bytes_at((p,))) for i, p in enumerate(firsts)]
+    lists = distinct.select("*", F.explode(F.array(*entries)).alias("key"))
+    # At most 256 rows for each position, whatever the corpus.
+    counts = F.broadcast(lists.groupBy("key").count().filter(F.col("count") > TILE))
+    parts = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int")
+    own = F.pmod(F.hash("fp"), F.col("parts"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.concat("key", F.unhex(F.format_string("%08x%08x", F.least(own, o), F.greatest(own, o)))))
+    return lists.join(counts, "key", "left").withColumn("parts", parts).select(*distinct.columns, F.explode(tiles).alias("key"))
+
+
 def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None, apart: bool = False) -> DataFrame:
     """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer; with ``sure`` also ``d``.
 
     With ``sure``, a loop marks a fingerprint that has pairs left to look at. With ``apart`` the links are all
     those between fingerprints of different ``label``.
     """
-    positions = keys_of(bits, distance)
-    bounded = len(positions[0]) >= bits // 8 - distance >= 1
-    entries = [F.concat(F.lit(bytes([i])), *[F.substring("fp", p + 1, 1) for p in where]) for i, where in enumerate(positions)]
+    width, least = bits // 8, least_shared(bits, distance)
     more = ["label"] if apart else []
-    lists = distinct.select("fp", *more, F.explode(F.array(*entries)).alias("key"))
-    if not bounded:
-        # A list beyond TILE members is cut into parts; each pair of parts becomes a list of its own.
-        counts = lists.groupBy("key").count().filter(F.col("count") > TILE)
-        parts = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int")
-        own = F.pmod(F.hash("fp"), F.col("parts"))
-        tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.concat("key", F.unhex(F.format_string("%08x%08x", F.least(own, o), F.greatest(own, o)))))
-        lists = lists.join(counts, "key", "left").withColumn("parts", parts).select("fp", *more, F.explode(tiles).alias("key"))
-    width, firsts = bits // 8, () if bounded else tuple(p for p, in positions)
+    if blocks_of(bits, distance):
+        firsts, lists = (), _block_lists(distinct.select("fp"), bits, distance)
+    else:
+        firsts = tuple(i for i in range(width - 1) if i % GROUP < GROUP - 1)
+        lists = _group_lists(distinct.select("fp", *more), firsts)
     found = (
         lists.repartition("key").sortWithinPartitions("key").select("key", "fp", *more)
-        .mapInPandas(lambda it: links_in_lists(it, width, distance, sure, firsts, apart), "u binary, v binary" + (", d int" if sure is not None else ""))
+        .mapInPandas(lambda it: links_in_lists(it, width, distance, least, sure, firsts, apart), "u binary, v binary" + (", d int" if sure is not None else ""))
     )
     return found.distinct()
 
@@ -359,7 +401,8 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
     came. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     rows = stored(fingerprints(docs.select("doc_id", "text"), size, bits, similarity is not None), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    total = rows.count()
     if similarity is None:
         links = linked_fingerprints(least.select("fp"), bits, distance)
     else:
@@ -375,11 +418,11 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
         if not rest.isEmpty():
             more = verified_links(rest, rows, docs, size, similarity, sure)
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", F.col("n").alias("times"))
     member = stored(member, "members")
-    smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    named = stored(hub_join(member, smallest, "root", total).select("fp", "component_id", F.col("times").alias("n")), "named")
+    return hub_join(rows, named, "fp", total).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, size: int = 5, bits: int = 512, similarity: float = 0.8) -> DataFrame:

@@ -345,7 +345,7 @@ def test_pairs_apart_in_lists():
     label = [bytes([i % 5]) for i in range(90)]
     raw = [f.tobytes() for f in fps]
     frame = pd.DataFrame({"key": [b"\0" + raw[0][:1]] * 90, "fp": raw, "label": label})
-    found = pd.concat(simhash.links_in_lists(iter([frame]), 64, 95, 47, (0,), True))
+    found = pd.concat(simhash.links_in_lists(iter([frame]), 64, 95, 2, 47, (0,), True))
     near = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(raw[i], raw[j], strict=True))
     meet = lambda i, j: (fps[i, 1:8] == fps[j, 1:8]).any()
     expect = {(max(raw[i], raw[j]), min(raw[i], raw[j])) for i in range(90) for j in range(i) if label[i] != label[j] and near(i, j) <= 95 and meet(i, j)}
