@@ -1,9 +1,15 @@
 """Mixing sources to target weights: repetition rates per source, whole copies plus one Bernoulli copy.
 
 All of it is DataFrame operations. Sizes are counted once per document and stored with its source (no
-texts); tokens are summed per source, map-side first, so a hot source costs no more than others. Rates are
-joined by broadcast while the number of sources is within ``BROADCAST_SOURCES``; beyond it each source's
-row is dealt over ``SALTS`` salts, so that no task gets a whole hot source.
+texts); tokens are summed per source, map-side first, so a hot source costs no more than others. Every
+document has a hash-seeded draw in [0, 1), and its further copy when the draw is under the source's
+fraction. A few long documents can carry a source far from its target that way, so the cut for all others
+moves to where the source's words come nearest to it: documents over 1/LARGE of their source draw against
+the fraction itself, the rest against the cut. The cut is found from words by (source, BINS of the draw),
+then from the documents of the one bin where the target falls, so no task gets a whole hot source.
+
+Rates are joined by broadcast while the number of sources is within ``BROADCAST_SOURCES``; beyond it each
+source's row is dealt over ``SALTS`` salts.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 BROADCAST_SOURCES = 50_000  # rows of about 60 bytes
 SALTS = 64
 SEED = 17
+LARGE = 25
+BINS = 4096
 
 
 def source_targets(per_source: DataFrame) -> DataFrame:
@@ -46,23 +54,59 @@ def source_targets(per_source: DataFrame) -> DataFrame:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def copies(rate: Column, *key: Column, seed: int = SEED) -> Column:
-    """floor(rate) copies, and one more with the fraction's probability by a hash of ``key``."""
-    return (F.floor(rate) + (unit_hash(*key, seed=seed) < rate - F.floor(rate)).cast("long")).cast("long")
+def draw(key: Column) -> Column:
+    """A document's draw in [0, 1), a multiple of 2**-52, from its id."""
+    return unit_hash(key, seed=SEED)
 
 
-def with_rates(sized: DataFrame) -> DataFrame:
-    """Add ``source_size, target, copies`` to a table with ``doc_id, source, size``."""
+def _to_sources(rows: DataFrame, source: str, targets: DataFrame, n: int, key: str) -> DataFrame:
+    """``rows`` with the columns of their source in ``targets(__source, ...)``."""
+    same = F.col(source).eqNullSafe(F.col("__source"))
+    if n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(targets), same)
+    salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
+
+
+def with_cuts(sized: DataFrame) -> tuple[DataFrame, int]:
+    """``__source, source_size, target, whole, fraction, cut`` of every source of ``sized(doc_id, source, size)``, and their number."""
     per_source = stored(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
-    targets = source_targets(per_source).withColumnRenamed("source", "__source")
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    if per_source.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(targets), same)
-    else:
-        salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
+    n = per_source.count()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.drop("__source").withColumn("copies", copies(rate, F.col("doc_id")))
+    rates = source_targets(per_source).withColumn("rate", rate).select(F.col("source").alias("__source"), "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("fraction"))
+    rates = stored(rates, "rates")
+    large = F.col("size") * LARGE > F.col("source_size")
+    drawn = _to_sources(sized, "source", rates, n, "doc_id").select("__source", "size", "source_size", "fraction", draw(F.col("doc_id")).alias("h"), large.alias("large"))
+    bins = drawn.groupBy("__source", F.floor(F.col("h") * BINS).alias("bin")).agg(
+        F.coalesce(F.sum(F.when(~F.col("large"), F.col("size"))), F.lit(0)).alias("words"),
+        F.coalesce(F.sum(F.when(F.col("large") & (F.col("h") < F.col("fraction")), F.col("size"))), F.lit(0)).alias("taken"),
+    )
+    upto = Window.partitionBy("__source").orderBy("bin")
+    whole = Window.partitionBy("__source")
+    bins = bins.select("__source", "bin", F.sum("words").over(upto).alias("end"), "words", F.sum("words").over(whole).alias("small"), F.sum("taken").over(whole).alias("taken"))
+    same = lambda d: d.withColumnRenamed("__source", "__s")
+    want = F.col("target") - F.col("whole") * F.col("source_size") - F.col("taken")
+    bins = rates.join(same(bins), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("want", want)
+    at = stored(bins.filter((F.col("end") - F.col("words") <= F.col("want")) & (F.col("want") < F.col("end"))).select("__source", "bin", "want", (F.col("end") - F.col("words")).alias("before")), "bins")
+    # The documents of one bin for each source; equal draws are one step.
+    inside = _to_sources(sized, "source", rates.select("__source", "source_size").join(same(at), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s"), n, "doc_id")
+    inside = inside.withColumn("h", draw(F.col("doc_id"))).filter((F.floor(F.col("h") * BINS) == F.col("bin")) & ~large)
+    steps = inside.groupBy("__source", "bin", "want", "before", "h").agg(F.sum("size").alias("size"))
+    steps = steps.select("__source", "h", (F.col("before") + F.sum("size").over(Window.partitionBy("__source").orderBy("h")) - F.col("want")).alias("miss"))
+    # A cut below the whole bin: draws are multiples of 2**-52.
+    below = at.select("__source", (F.col("bin") / BINS - F.lit(2.0**-53)).alias("h"), (F.col("before") - F.col("want")).alias("miss"))
+    cuts = steps.unionByName(below).groupBy("__source").agg(F.min(F.struct(F.abs("miss").alias("miss"), "h"))["h"].alias("cut"))
+    ends = bins.groupBy("__source").agg((F.max("want") < 0).alias("none"))
+    named = rates.join(same(cuts), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s").join(same(ends), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    cut = F.coalesce("cut", F.when(F.col("none"), F.lit(-1.0)).otherwise(F.lit(1.0)))
+    return stored(named.select("__source", "source_size", "target", "whole", "fraction", cut.alias("cut")), "cuts"), n
+
+
+def copies(size: Column, key: Column) -> Column:
+    """Whole copies, and one more by the draw; from the columns of ``with_cuts``."""
+    h = draw(key)
+    more = F.when(size * LARGE > F.col("source_size"), h < F.col("fraction")).otherwise(h <= F.col("cut"))
+    return (F.col("whole") + (more & (F.col("fraction") > 0)).cast("long")).cast("long")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -70,28 +114,21 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
     A null or empty text has size 0. A null source is a source of its own, the last. Rows that repeat a
     doc_id share its draw. Sources without words have the target 0. An empty table gives an empty result.
-    Further columns are ignored.
+    A very long document costs no more than its count. Further columns are ignored.
     """
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    return with_rates(sized).withColumn("taken", F.col("size") * F.col("copies"))
+    cuts, n = with_cuts(sized)
+    rated = _to_sources(sized, "source", cuts, n, "doc_id").withColumn("copies", copies(F.col("size"), F.col("doc_id")))
+    return rated.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its source's rate says, columns unchanged.
+    """The mixed corpus: each row of ``docs`` as often as ``mix_digest`` says, columns unchanged.
 
     The rows keep their place: only the table of sources is joined to them, so no text is shuffled.
     """
-    sized = docs.select("source", n_words(F.col("text")).alias("size"))
-    per_source = stored(stored(sized, "sizes").groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sources")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = source_targets(per_source).select(F.col("source").alias("__source"), rate.alias("__rate"))
+    cuts, n = with_cuts(stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes"))
     # The whole row travels as one struct, so no name in it can clash.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc"), F.col("source").alias("__from"))
-    same = F.col("__from").eqNullSafe(F.col("__source"))
-    if per_source.count() <= BROADCAST_SOURCES:
-        rated = rows.join(F.broadcast(targets), same)
-    else:
-        salted = targets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = rows.withColumn("__own", F.pmod(F.xxhash64("__doc"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
-    times = copies(F.col("__rate"), F.col("__doc"))
-    return rated.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__copy")).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc"), F.col("source").alias("__from"), n_words(F.col("text")).alias("__size"))
+    rated = _to_sources(rows, "__from", cuts, n, "__doc").withColumn("__times", copies(F.col("__size"), F.col("__doc")))
+    return rated.filter("__times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "__times")).alias("__copy")).select("row.*")

@@ -96,11 +96,24 @@ WITH sized AS (
     CASE WHEN l.place IS NULL OR o.place < l.place THEN (3 * o.source_size)::DOUBLE ELSE (o.w * l.tokens)::DOUBLE / l.weights END AS target
   FROM ordered o LEFT JOIN level l ON true
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     ('0x' || substr(md5(concat_ws(':', coalesce(s.doc_id::VARCHAR, ''), '17')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), parts AS (
+  SELECT *, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction, size * 25 > source_size AS large FROM rated
+), wanted AS (
+  SELECT source, any_value(target) - any_value(whole) * any_value(source_size) - coalesce(sum(size) FILTER (WHERE large AND draw < fraction), 0)::BIGINT AS want,
+    coalesce(sum(size) FILTER (WHERE NOT large), 0)::BIGINT AS small FROM parts GROUP BY source
+), steps AS (
+  SELECT source, draw, sum(sum(size)) OVER (PARTITION BY source ORDER BY draw)::BIGINT AS upto FROM parts WHERE NOT large GROUP BY source, draw
+  UNION ALL SELECT source, -1, 0 FROM wanted
+), cuts AS (
+  SELECT w.source, CASE WHEN w.want < 0 THEN -1 WHEN w.want >= w.small THEN 1 ELSE (SELECT arg_min(s.draw, (abs(s.upto - w.want), s.draw)) FROM steps s WHERE s.source IS NOT DISTINCT FROM w.source) END AS cut
+  FROM wanted w
 )
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM rated
+SELECT doc_id, size, source_size, target,
+  size * (whole + (fraction > 0 AND CASE WHEN large THEN draw < fraction ELSE draw <= cut END)::BIGINT) AS taken
+FROM parts p JOIN cuts c ON p.source IS NOT DISTINCT FROM c.source
 """
 
 _QUALITY = r"""
