@@ -15,11 +15,12 @@ follow each other are joined into one piece.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -75,10 +76,10 @@ def _parts(n: int, capacity: int, grain: int) -> Iterator[tuple[int, int]]:
         yield from ((a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def pack_batch(docs: list[tuple[object, np.ndarray]], first: int, capacity: int = WINDOW, grain: int = GRAIN) -> tuple[list[tuple], int]:
-    """Pieces of the given (id, token ids) and the next free sequence number."""
+def pack_batch(docs: list[np.ndarray], first: int, capacity: int = WINDOW, grain: int = GRAIN) -> tuple[list[tuple], int]:
+    """Pieces of the given documents' token ids, each with its document's place among them, and the next free sequence number."""
     out, parts, sequence = [], [], first
-    for d, (_, ids) in enumerate(docs):
+    for d, ids in enumerate(docs):
         for start, length in _parts(len(ids), capacity, grain):
             if length == capacity:
                 out.append((d, start, length, sequence, 0))
@@ -96,7 +97,7 @@ def pack_batch(docs: list[tuple[object, np.ndarray]], first: int, capacity: int
         out += map(tuple, pieces)
         sequence += 1
     crc = zlib.crc32
-    return [(docs[d][0], s, n, crc(docs[d][1][s : s + n].tobytes()), len(docs[d][1]), q, o) for d, s, n, q, o in out], sequence
+    return [(d, s, n, crc(docs[d][s : s + n].tobytes()), len(docs[d]), q, o) for d, s, n, q, o in out], sequence
 
 
 def _byte_chars() -> dict[str, int]:
@@ -107,16 +108,22 @@ def _byte_chars() -> dict[str, int]:
 
 
 def encoder(tokenizer: str):
-    """texts -> ids as unsigned 32-bit little-endian, with the end id. The file is read on the executors.
+    """texts -> ids as unsigned 32-bit little-endian, with the end id.
+
+    ``tokenizer`` is a file's path, or the name of a public vocabulary; it is looked up and read where this
+    runs, on the executors.
 
     The ids are those of the ``tokenizers`` library. For Latin-1 texts without a special token's name
     they are taken from an encoder that is built from the same file's vocabulary and gives the same ids
     at a fifth of the time (a test compares the two); any other text goes through the library itself.
     """
     import json
-    import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if not os.path.exists(tokenizer):
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(tokenizer)
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -128,7 +135,7 @@ def encoder(tokenizer: str):
     ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(texts: Iterable[str]) -> Iterator[np.ndarray]:
         for text in texts:
             if text.isascii() or _latin(text):
                 if not any(s in text for s in special):
@@ -152,39 +159,36 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = WINDOW, grain: int = G
 
     A null or empty text is the end id alone. Repeated rows and rows with a null doc_id are documents of
     their own. sequence_id is unique over all tasks: the task's partition number in the upper bits, a
-    running number below. An empty table gives no pieces. Further columns are ignored.
+    running number below. A very long text is cut into whole windows. An empty table gives no pieces. Ids
+    pass through as Arrow values of their own type. Further columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple[object, np.ndarray]] = []
+        names: list[pa.Array] = []  # ids of the held documents, a slice per batch they came in
+        held: list[np.ndarray] = []
         tokens = 0
 
-        def flush() -> pd.DataFrame:
-            nonlocal sequence, held, tokens
+        def flush() -> pa.RecordBatch:
+            nonlocal sequence, names, held, tokens
             rows, sequence = pack_batch(held, sequence, capacity, grain)
-            held, tokens = [], 0
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            return out.astype({"doc_id": object}) if out["doc_id"].isna().any() else out
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            ids = pa.concat_arrays(names).take(cols[0])
+            names, held, tokens = [], [], 0
+            return pa.RecordBatch.from_arrays([ids, *cols[1:]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            texts = ["" if t is None else t for t in b["text"]]
-            ids = [None if pd.isna(i) else i for i in b["doc_id"]]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 500_000):
-                    size += len(texts[upto])
-                    upto += 1
-                for i, e in zip(ids[at:upto], encode(texts[at:upto]), strict=True):
-                    held.append((i, e))
-                    tokens += len(e)
-                    if tokens >= BATCH_WINDOWS * capacity:
-                        yield flush()
-                at = upto
+            ids, first = b.column("doc_id"), 0
+            for i, e in enumerate(encode(t.as_py() or "" for t in b.column("text"))):
+                held.append(e)
+                tokens += len(e)
+                if tokens >= BATCH_WINDOWS * capacity:
+                    names.append(ids.slice(first, i + 1 - first))
+                    first = i + 1
+                    yield flush()
+            names.append(ids.slice(first))
         if held:
             yield flush()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

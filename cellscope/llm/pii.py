@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) follow exact rules and always stay. Besides them, wider candidates
 are proposed (local phone numbers, spelled-out addresses, titled names, account numbers, credentials);
 labelers of three sorts vote on each: regular expressions (shape), gazetteers (known given names, key
-words, country codes) and context (words around the span). A candidate's votes and shape form a pattern.
+words, country codes) and context (words before the span in its sentence). No span has a longest length. A candidate's votes and shape form a pattern.
 
 Patterns are counted over the whole corpus, map-side first; a count per pattern is all that reaches the
 driver (votes are three-valued, so there are at most ``3**LABELERS * kinds * 4`` patterns). There,
@@ -14,6 +14,7 @@ over votes, kind and shape is fitted to the posterior. Its verdict per pattern g
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +47,12 @@ _ACCOUNT_WORDS = ("iban", "account", "konto", "compte", "cuenta", "bank")
 _AGAINST = ("version", "isbn", "issue", "page", "sha", "commit", "checksum", "order", "chapter")
 _COUNTRIES = frozenset("DE FR ES GB IT NL BE AT CH PL PT IE SE DK FI NO LU CZ".split())
 
-_SECRET = re.compile(r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})")
+_SECRET = re.compile(r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s*+[=:]\s*+[\"']?([^\s\"']{6,})")
 _CLOUD_KEY = re.compile(r"(?<![A-Z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Z0-9])")
 _HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Z0-9])")
-_SPELLED = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")
+_SPELLED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+")
 _NAME = re.compile(r"[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)*")
 
 
@@ -106,31 +107,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
+class Context:
+    """Where a text has the labelers' words and where its sentences begin; made once for a text with candidates."""
+
+    _WORDS = {n: re.compile("|".join(map(re.escape, sorted(w, key=len, reverse=True))), re.I) for n, w in (("key", _KEYWORDS), ("phone", _PHONE_WORDS), ("account", _ACCOUNT_WORDS), ("against", _AGAINST), ("mail", ("mail", "contact")))}
+    _BEGIN = re.compile(r"(?:[.!?] |\n)\s*")
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.begins = [0, *[m.end() for m in self._BEGIN.finditer(text)]]
+        self.ends = {n: [m.end() for m in p.finditer(text)] for n, p in self._WORDS.items()}
+
+    def has(self, name: str, start: int) -> bool:
+        """Is one of these words before ``start`` in its sentence?"""
+        begin = self.begins[bisect_right(self.begins, start) - 1]
+        i = bisect_right(self.ends[name], start) - 1
+        return i >= 0 and self.ends[name][i] > begin
+
+    def assigned(self, start: int) -> bool:
+        """Does an equals sign or a colon come just before, but for spaces and quotes?"""
+        while start and self.text[start - 1] in " \t\"'":
+            start -= 1
+        return start > 0 and self.text[start - 1] in "=:"
+
+
+def _votes(kind: str, text: str, start: int, end: int, context: Context) -> tuple[int, ...]:
     """Shape, gazetteer, key word, context, counter-evidence; each 1 for, -1 against, 0 no opinion."""
-    span, before = text[start:end], text[max(0, start - 40) : start].lower()
+    span = text[start:end]
     digits = sum(c in "0123456789" for c in span)
-    near = before.replace('"', " ")
-    key = any(k in near for k in _KEYWORDS)
     if kind == "secret":
         mixed = 0 < digits < len(span) and len(set(span)) >= 8
         shape = 1 if mixed or len(span) >= 32 else -1 if digits == 0 else 0
-        gazetteer, word, context = int(bool(_CLOUD_KEY.match(span))), int(key), 1 if near.rstrip().endswith(("=", ":")) else 0
+        gazetteer, word, near = int(bool(_CLOUD_KEY.match(span))), int(context.has("key", start)), int(context.assigned(start))
     elif kind == "localphone":
-        shape, gazetteer, word = 1, 0, int(any(k in near for k in _PHONE_WORDS))
-        context = 1 if word else -1 if any(k in near for k in _ACCOUNT_WORDS) else 0
+        shape, gazetteer, word = 1, 0, int(context.has("phone", start))
+        near = 1 if word else -1 if context.has("account", start) else 0
     elif kind == "account":
         rearranged = span.replace(" ", "")
         value = "".join(str(int(c, 36)) for c in rearranged[4:] + rearranged[:4])
         shape, gazetteer = 1 if int(value) % 97 == 1 else -1, 1 if span[:2] in _COUNTRIES else -1
-        word = int(any(k in near for k in _ACCOUNT_WORDS))
-        context = word
+        word = near = int(context.has("account", start))
     elif kind == "address":
-        shape, gazetteer, word, context = 1, int(span.lower().rstrip().endswith((" com", " org", " net", ".com", ".org", ".net", ")com"))), 0, int("mail" in near or "contact" in near)
+        shape, gazetteer, word, near = 1, int(span.lower().rstrip().endswith((" com", " org", " net", ".com", ".org", ".net", ")com"))), 0, int(context.has("mail", start))
     else:
         first = span.split()[0].lower()
-        shape, gazetteer, word, context = 1 if " " in span else 0, 1 if first in _GIVEN else 0, 1, 0
-    return shape, gazetteer, word, context, -1 if any(k in near for k in _AGAINST) else 0
+        shape, gazetteer, word, near = 1 if " " in span else 0, 1 if first in _GIVEN else 0, 1, 0
+    return shape, gazetteer, word, near, -1 if context.has("against", start) else 0
 
 
 def pattern_of(kind: str, votes: tuple[int, ...], length: int) -> int:
@@ -171,7 +193,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if not found:
         return []
     taken = sorted((s, e) for _, s, e in base)
-    out, last, j = [], 0, 0
+    out, last, j, context = [], 0, 0, Context(text)
     for start, end, kind in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
         at, parts = max(start, last), []
         while j < len(taken) and taken[j][1] <= at:
@@ -182,7 +204,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             at, i = max(at, taken[i][1]), i + 1
         parts = [(s, e) for s, e in [*parts, (at, end)] if s < e and not text[s:e].isspace()]
         if parts:
-            pattern = pattern_of(kind, _votes(kind, text, start, end), end - start)
+            pattern = pattern_of(kind, _votes(kind, text, start, end, context), end - start)
             out += [(kind, s, e, pattern) for s, e in parts]
         last = max(last, end)
     return out
@@ -222,26 +244,24 @@ def fit_spans(patterns: dict[int, int], rounds: int = 400) -> frozenset[int]:
     return frozenset(k for k, v in zip(keys, p, strict=True) if v >= 0.5)
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base array<string>, found array<struct<kind:string,start:long,stop:long,pattern:long>>"
+FOUND = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base:array<string>,found:array<struct<kind:string,start:long,stop:long,pattern:long>>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id``, base counts, base spans and candidates of every whole text, in one pass."""
+def scanned_texts(texts: pd.Series) -> pd.DataFrame:
+    """Base counts, base spans and candidates of each text; of a null text as of an empty one."""
+    rows = []
+    for text in texts:
+        text = "" if text is None else text
+        base = base_spans(text)
+        kinds = [k for k, _, _ in base]
+        more = [{"kind": k, "start": s, "stop": e, "pattern": p} for k, s, e, p in candidates(text, base)]
+        rows.append((*[kinds.count(k) for k in BASE], [f"{k}:{s}:{e}" for k, s, e in base], more))
+    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "found"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
-                text = "" if text is None else text
-                base = base_spans(text)
-                kinds = [k for k, _, _ in base]
-                more = [{"kind": k, "start": s, "stop": e, "pattern": p} for k, s, e, p in candidates(text, base)]
-                rows.append((i, *[kinds.count(k) for k in BASE], [f"{k}:{s}:{e}" for k, s, e in base], more))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "found"])
-            yield out.astype({"doc_id": b["doc_id"].dtype})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {FOUND}")
+def scan(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and what ``scanned_texts`` finds, in one pass over whole texts. Only texts go to Python."""
+    return docs.select("doc_id", F.pandas_udf(scanned_texts, FOUND)("text").alias("s")).select("doc_id", "s.*")
 
 
 def fitted(scanned: DataFrame) -> frozenset[int]:
@@ -280,16 +300,15 @@ def masked_text(text: str, accepted: frozenset[int]) -> str:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked; columns as they are, n_chars counted anew.
+    """``docs`` with personal data masked; columns as they are, n_chars counted anew. A null text stays null.
 
     Texts are scanned twice, once for the patterns' counts and once to mask, so that no text is shuffled.
+    Other columns never reach Python.
     """
     accepted = fitted(scan(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["text"] = [None if t is None else masked_text(t, accepted) for t in b["text"]]
-            yield b
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked_text(t, accepted) for t in texts], dtype=object)
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.withColumn("text", F.pandas_udf(run, "string")("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, WORD, let
+from ._common import WORD, let
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -20,7 +20,12 @@ LOST_PERCENT = 30
 BOILERPLATE = (
     "all rights reserved|cookie policy|accept cookies|accept all cookies|terms of use|terms of service|privacy policy"
     "|enable javascript|click here to|subscribe to our newsletter|sign up for our|share this page|skip to content|back to top"
+    "|tous droits réservés|politique de confidentialité|conditions générales|accepter les cookies|haut de page"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|nach oben springen"
+    "|todos los derechos reservados|política de privacidad|condiciones de uso|aceptar cookies|volver arriba"
 )
+WHITE = " \t\n\x0b\f\r"
+BARS = "|»•·"
 
 
 def _length_without(c: Column, chars: str) -> Column:
@@ -52,15 +57,34 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
 
 
-def line_fails(line: Column) -> Column:
-    """A line fails by punctuation (symbols or exclamations throughout), navigation bars, or boilerplate."""
+def _marks(c: Column, chars: str) -> Column:
+    return F.length(c) - _length_without(c, chars)
+
+
+def judged_line(line: Column) -> Column:
+    """``struct(line, words)`` of a line; words is null unless it fails.
+
+    A line fails by punctuation (symbols or exclamations throughout), navigation bars, or boilerplate.
+    """
     words = F.coalesce(F.regexp_count(line, F.lit(WORD)), F.lit(0))
-    symbols = F.length(line) - _length_without(line, SYMBOLS)
-    shouts = F.length(line) - _length_without(line, "!")
-    bars = F.length(line) - _length_without(line, "|»•·")
-    furniture = F.lower(line).rlike(BOILERPLATE) & (words <= 30)
-    # Whole-line tests, cheap first: a mark for every other word, bars between most words.
-    return (symbols * 2 >= words) & (symbols >= 3) | (shouts * 2 >= words) & (shouts >= 6) | (bars >= 3) & (bars * 4 >= words) | furniture
+
+    def verdict(n: Column) -> Column:
+        # Whole-line tests: a mark for every other word, bars between most words.
+        symbols, shouts, bars = _marks(line, SYMBOLS), _marks(line, "!"), _marks(line, BARS)
+        furniture = (n <= 30) & F.lower(line).rlike(BOILERPLATE)
+        fails = (symbols >= 3) & (symbols * 2 >= n) | (shouts >= 6) & (shouts * 2 >= n) | (bars >= 3) & (bars * 4 >= n) | furniture
+        return F.struct(line.alias("line"), F.when(fails, n).alias("words"))
+
+    return let(words, verdict)
+
+
+def may_fail(text: Column) -> Column:
+    """False only if no line of the text can fail: too few marks in all of it, and no phrase of site furniture."""
+    some = F.lower(text)
+    phrase = None
+    for p in BOILERPLATE.split("|"):
+        phrase = some.contains(p) if phrase is None else phrase | some.contains(p)
+    return (_marks(text, SYMBOLS) >= 3) | (_marks(text, "!") >= 6) | (_marks(text, BARS) >= 3) | phrase
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,31 +93,32 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     ``q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words``, ``q_base_failed``,
     ``q_lost_words`` (words in failing lines), ``q_clean_text`` (the other lines, in order), ``q_kept``.
     A null text counts as an empty one: 0 words, base failed, clean text empty. Line breaks are ``\\n``;
-    a line without a word is kept as it is. Rows are independent: repeated rows get equal verdicts, an
+    a line without a word is kept as it is. A very long text or line is judged whole. Rows are independent: repeated rows get equal verdicts, an
     empty table gives an empty result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    w = F.filter(F.split(t, SPACE), lambda x: x != "")
+    w = F.filter(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), lambda x: x != "")
     lines = F.split(t, "\n", -1)
     base = docs.withColumns({"q__t": t, "q__w": w, "q__lines": lines})
-    with_word = F.filter("q__lines", lambda x: x.rlike(WORD))
-    failing = F.filter("q__lines", line_fails)
-    lost = let(failing, lambda bad: F.aggregate(bad, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(WORD))))
-    clean = let(F.array_distinct(failing), lambda bad: F.when(F.size(bad) == 0, F.col("q__t")).otherwise(F.array_join(F.filter("q__lines", lambda x: ~line_fails(x)), "\n")))
+    with_word = F.filter("q__lines", lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    base = base.withColumn("q__judged", F.when(may_fail(F.col("q__t")), F.transform("q__lines", judged_line)))
+    lost = F.aggregate("q__judged", F.lit(0), lambda n, x: n + F.coalesce(x["words"], F.lit(0)))
+    good = F.filter("q__judged", lambda x: x["words"].isNull())
+    clean = F.when(F.size(good) < F.size("q__lines"), F.array_join(F.transform(good, lambda x: x["line"]), "\n")).otherwise(F.col("q__t"))
     figures = base.withColumns(
         {
             "q_n_words": F.size("q__w").cast("long"),
-            "q_word_chars": _length_without(F.col("q__t"), " \t\n\x0b\f\r").cast("long"),
+            "q_word_chars": _length_without(F.col("q__t"), WHITE).cast("long"),
             "q_n_symbols": (F.length("q__t") - _length_without(F.col("q__t"), SYMBOLS)).cast("long"),
             "q_n_dup_lines": let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "q_n_repeat_words": repeated_words(F.col("q__w")).cast("long"),
-            "q_lost_words": lost.cast("long"),
+            "q_lost_words": F.coalesce(lost, F.lit(0)).cast("long"),
             "q_clean_text": clean,
         }
     )
     failed = (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > REPEAT_PERCENT * F.col("q_n_words"))
     kept = ~failed & (100 * F.col("q_lost_words") <= LOST_PERCENT * F.col("q_n_words"))
-    return figures.withColumns({"q_base_failed": failed, "q_kept": kept}).drop("q__t", "q__w", "q__lines")
+    return figures.withColumns({"q_base_failed": failed, "q_kept": kept}).drop("q__t", "q__w", "q__lines", "q__judged")
 
 
 def digest(docs: DataFrame) -> DataFrame:

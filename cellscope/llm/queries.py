@@ -68,7 +68,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+    return packing.pack(documents(spark, sf_dir), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
