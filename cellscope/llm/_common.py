@@ -52,7 +52,7 @@ def discard(df: DataFrame) -> None:
     _written.remove((spark, df.stored_at))
 
 
-def hub_join(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+def hub_join(left: DataFrame, right: DataFrame, on: str | list[str], total: int) -> DataFrame:
     """``left`` joined with ``right``, which has one row per key and in ``n`` how often ``left`` has it out of ``total``.
 
     Keys with over a thousandth of all rows are at most a thousand: these rows of ``right`` are broadcast, so

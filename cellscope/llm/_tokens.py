@@ -1,7 +1,6 @@
 """Sums of per-word results over whole texts, with a bounded memo of words.
 
-Both text models here score a text as a sum over its words of a function of the word alone. Words repeat,
-so each worker keeps what it has computed; the memo is emptied when its keys reach ``MEMO_BYTES``, which
+A linear model scores a text as a sum over its words of a function of the word alone. Words repeat, so each worker keeps what it has computed; the memo is emptied when its keys reach ``MEMO_BYTES``, which
 changes the time and never the result.
 """
 
@@ -78,8 +77,3 @@ def of_model(model_id: str, make: Callable[[], WordSums]) -> WordSums:
     if _current is None or _current[0] != model_id:
         _current = (model_id, make())
     return _current[1]
-
-
-def spread(words: list[bytes], most: int) -> list[bytes]:
-    """At most ``most`` words, evenly spread over the whole text (for fitting only)."""
-    return words if len(words) <= most else [words[i * len(words) // most] for i in range(most)]

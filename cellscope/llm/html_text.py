@@ -1,23 +1,34 @@
 """Layout-aware rendering of HTML to text: a tree builder with implied tags, visibility rules, a renderer.
 
 The builder reads tags, text and raw elements in one pass and closes elements that HTML ends implicitly
-(paragraphs, list items, table parts, options). The renderer walks the tree: blocks are set apart by line
-breaks (paragraphs and headings by a blank line), lists get bullets or numbers and indents, tables are
-laid out in columns as wide as their widest cell, ``pre`` keeps its white space, other white space
-collapses. Everything visible is emitted, navigation and footers included; what is invisible (scripts,
-styles, head, comments, ``hidden``, ``display:none``, closed ``details``) is not.
+(paragraphs, list items, table parts, options). A second pass takes out what can't be seen: scripts, styles,
+head, comments, ``hidden``, ``display:none`` and ``visibility``, inherited and taken back, from style
+attributes and from a page's own style rules with simple selectors, and closed ``details``. The renderer
+walks the tree: blocks are set apart by line breaks (paragraphs and headings by a blank line), lists get
+bullets or numbers and indents, tables are laid out in columns with row and column spans, ``pre`` keeps its
+white space, other white space collapses. Everything visible is emitted, navigation and footers included.
+
+Layout never makes much of little: cells wider than CELL_WIDTH stand out of their column instead of widening
+it, tables wider than TABLE_WIDTH have two spaces between cells, and lists, quotes and tables nested deeper
+than LEVELS are plain blocks. All text stays.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MAX_DEPTH = 150
+CELL_WIDTH, TABLE_WIDTH, LEVELS = 60, 400, 40
+# The most columns and rows that the HTML standard lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+DEPTH = 1 << 20  # the interpreter's recursion limit while a page is rendered; pages are bounded by their length
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +68,12 @@ HEAD_ONLY = frozenset("base link meta title style script template noscript".spli
 
 _TOKEN = re.compile(r"<!--(?:.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*))>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -68,9 +84,72 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
     def visible(self) -> bool:
-        if self.tag in HIDDEN or "hidden" in self.attrs:
-            return False
-        return not ("style" in self.attrs and _INVISIBLE.search(self.attrs["style"])) and not (self.tag == "dialog" and "open" not in self.attrs)
+        return self.tag not in HIDDEN and "hidden" not in self.attrs and not (self.tag == "dialog" and "open" not in self.attrs)
+
+
+def _declared(style: str) -> tuple[str | None, str | None]:
+    """The last ``display`` and ``visibility`` of some declarations."""
+    display, visibility = _DISPLAY.findall(style), _VISIBILITY.findall(style)
+    return display[-1].lower() if display else None, visibility[-1].lower() if visibility else None
+
+
+class Rules:
+    """Style rules that show or hide, by simple selectors: a tag, classes and an id. Rules under conditions (``@media``) are left out."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.by: dict[str, list[tuple]] = {}
+        for sheet in sheets:
+            for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet))):
+                display, visibility = _declared(body)
+                if display or visibility:
+                    for selector in selectors.split(","):
+                        self._add(selector.strip(), display, visibility)
+
+    def _add(self, selector: str, display: str | None, visibility: str | None) -> None:
+        m = _SIMPLE.fullmatch(selector)
+        if not m or not selector:
+            return
+        tag = "" if m[1] in (None, "*") else m[1].lower()
+        marks = re.findall(r"[.#][\w-]+", m[2])
+        weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), bool(tag), len(self.by))
+        self.by.setdefault(marks[0] if marks else tag, []).append((weight, tag, frozenset(marks), display, visibility))
+
+    def of(self, node: Node) -> tuple[str | None, str | None]:
+        marks = {"." + c for c in node.attrs.get("class", "").split()}
+        if "id" in node.attrs:
+            marks.add("#" + node.attrs["id"])
+        fits = [r for k in (*marks, node.tag, "") for r in self.by.get(k, ()) if r[1] in ("", node.tag) and r[2] <= marks]
+        display = visibility = None
+        for _, _, _, d, v in sorted(fits, key=lambda r: r[0]):
+            display, visibility = d or display, v or visibility
+        return display, visibility
+
+
+def take_out_hidden(root: Node, sheets: list[str]) -> None:
+    """Leave only what can be seen: elements that aren't displayed go whole, invisible ones lose their own text."""
+    rules = Rules(sheets)
+    todo = [(root, True)]
+    while todo:
+        node, shown = todo.pop()
+        kept: list = []
+        for c in node.children:
+            if isinstance(c, str):
+                if shown:
+                    kept.append(c)
+                continue
+            if not c.visible():
+                continue
+            display, visibility = _declared(c.attrs["style"]) if "style" in c.attrs else (None, None)
+            if rules.by and not (display and visibility):
+                d, v = rules.of(c)
+                display, visibility = display or d, visibility or v
+            if display == "none":
+                continue
+            seen = visibility not in ("hidden", "collapse") if visibility in ("hidden", "collapse", "visible") else shown
+            if seen or c.tag not in ("img", "input"):
+                kept.append(c)
+                todo.append((c, seen))
+        node.children = kept
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -81,18 +160,25 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(html: str) -> Node:
-    """The element tree. Anything is accepted: stray end tags are ignored, open elements end with the text."""
+    """The tree of what can be seen. Anything is accepted: stray end tags are ignored, open elements end with the text."""
     root = Node("html")
-    stack = [root]
+    stack, is_open = [root], Counter()  # how many of a tag are open, so that a search for none is none
+    sheets: list[str] = []
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        is_open[node.tag] += 1
+
+    def cut(i: int) -> None:
+        is_open.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
-    def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
+        i = len(stack) - 1
+        while i > 0 and any(is_open[t] for t in tags) and stack[i].tag not in stop:
             if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, stop)
-            if stack[i].tag in stop:
-                return None
-        return None
+                cut(i)
+            i -= 1
 
     at, size = 0, len(html)
     while at < size:
@@ -103,7 +189,7 @@ def parse(html: str) -> Node:
         if m.start() > at:
             text = unescape(html[at : m.start()])
             if stack[-1].tag in ("head", "colgroup") and not text.isspace():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(text)
         at = m.end()
         if m[2] is None:
@@ -113,26 +199,26 @@ def parse(html: str) -> Node:
             if tag == "form" and (stack[-1].tag in SECTIONS or stack[-1].tag in ("table", "tr")):
                 continue
             # A formatting element's end tag never ends a block that was opened inside it.
-            at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag in FORMATTING and stack[i].tag in ENDS)), 0)
+            at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag in FORMATTING and stack[i].tag in ENDS)), 0) if is_open[tag] else 0
             if at_tag and stack[at_tag].tag == tag:
-                del stack[at_tag:]
+                cut(at_tag)
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             continue
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY and tag != "head":
-            stack.pop()
+            cut(len(stack) - 1)
         if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
-            close({"p"}, P_SCOPE)
+            close(frozenset({"p"}), P_SCOPE)
         if tag in IMPLIED:
             close(*map(frozenset, IMPLIED[tag]))
-        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in SECTIONS) and len(stack) < MAX_DEPTH:
+        if tag in ("td", "th") and (stack[-1].tag == "table" or stack[-1].tag in SECTIONS):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, _attributes(m[3]) if m[3] and not m[3].isspace() else None)
         stack[-1].children.append(node)
         # A form between the parts of a table holds nothing: the rows stay the table's.
@@ -142,18 +228,21 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             body = html[at : end.start() if end else size]
             node.children.append(unescape(body) if tag in RCDATA else body)
+            if tag == "style":
+                sheets.append(body)
             at = end.start() if end else size
             at = (html.find(">", at) + 1 or size) if end else size
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        push(node)
+    take_out_hidden(root, sheets)
     return root
 
 
 class _Text:
     """Lines under construction: inline text collects until a break; blank lines never double."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 0) -> None:
+        self.level = level  # lists, quotes and tables around
         self.lines: list[str] = []
         self.now: list[str] = []
 
@@ -188,67 +277,97 @@ class _Text:
 
 def _rows(table: Node) -> Iterator[Node]:
     for part in table.children:
-        if isinstance(part, Node) and part.visible():
+        if isinstance(part, Node):
             if part.tag == "tr":
                 yield part
-            elif part.tag in ("thead", "tbody", "tfoot"):
-                yield from (r for r in part.children if isinstance(r, Node) and r.tag == "tr" and r.visible())
-
-
-def _span(cell: Node) -> int:
-    value = cell.attrs.get("colspan", "1")
-    return min(int(value), 100) if value.isascii() and value.isdigit() and int(value[:4]) else 1
+            elif part.tag in SECTIONS:
+                yield from (r for r in part.children if isinstance(r, Node) and r.tag == "tr")
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "1")
+    return min(int(value[:6]), most) if value.isascii() and value.isdigit() and int(value[:6]) else 1
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, span, lines) of every cell: a cell goes right of those that reach down from rows above."""
+    out, reach = [], []  # first column, column after it, rows that it is still taken for
+    for cells in rows:
+        at, k, now, new = 0, 0, [], []
+        for lines, wide, high in cells:
+            while k < len(reach) and reach[k][0] <= at:
+                at, k = max(at, reach[k][1]), k + 1
+            now.append((at, wide, lines))
+            if high > 1:
+                new.append((at, at + wide, high))
+            at += wide
+        reach = sorted((a, b, n - 1) for a, b, n in reach + new if n > 1)
+        out.append(now)
+    return out
 
 
 def _table(node: Node, out: _Text) -> None:
     """Cells of a column start at the same place; a cell with several lines takes as many lines."""
     for c in node.children:
         if isinstance(c, Node) and c.tag in SECTIONS:
-            if c.visible():
-                _into([x for x in c.children if not (isinstance(x, Node) and x.tag == "tr")], out)
+            _into([x for x in c.children if not (isinstance(x, Node) and x.tag == "tr")], out)
         elif not (isinstance(c, Node) and c.tag == "tr"):
             _into([c], out)
     out.flush()
-    grid = []
+    rows = []
     for row in _rows(node):
-        cells = [(_lines(c.children), _span(c)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and c.visible()]
-        loose = _lines([c for c in row.children if not (isinstance(c, Node) and c.tag in ("td", "th"))])
+        cells = [(_lines(c.children, out.level + 1), _span(c, "colspan", MOST_COLUMNS), _span(c, "rowspan", MOST_ROWS)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")]
+        loose = _lines([c for c in row.children if not (isinstance(c, Node) and c.tag in ("td", "th"))], out.level + 1)
         if loose:
             out.lines += loose
         if cells:
-            grid.append(cells)
+            rows.append(cells)
+    grid = _placed(rows)
+    # Columns that a cell starts in, each as wide as the widest of its own cells that isn't too wide.
     widths: dict[int, int] = {}
     for cells in grid:
-        at = 0
-        for lines, span in cells:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
+        for at, span, lines in cells:
+            own = max(map(len, lines), default=0) if span == 1 else 0
+            widths[at] = max(widths.get(at, 0), own if own <= CELL_WIDTH else 0)
+    starts, x = {}, 0
+    for c in sorted(widths):
+        starts[c], x = x, x + widths[c] + 2
+    aligned = x <= TABLE_WIDTH
     for cells in grid:
-        for i in range(max(len(lines) for lines, _ in cells)):
-            text, at = "", 0
-            for lines, span in cells:
-                width = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                text += (lines[i] if i < len(lines) else "").ljust(width) + "  "
-                at += span
+        for i in range(max(len(lines) for _, _, lines in cells)):
+            text = ""
+            for at, _, lines in cells:
+                part = lines[i] if i < len(lines) else ""
+                if aligned:
+                    text = text.ljust(starts[at]) if not text or len(text) + 2 <= starts[at] else text + "  "
+                elif text:
+                    text += "  "
+                text += part
             out.lines.append(text.rstrip(" "))
 
 
-def _lines(children: list) -> list[str]:
-    out = _Text()
+def _lines(children: list, level: int) -> list[str]:
+    out = _Text(level)
     _into(children, out)
     return out.done()
 
 
+def _item(node: Node, mark: str, out: _Text) -> None:
+    out.flush()
+    if out.level >= LEVELS:
+        out.now.append(mark)
+        _into(node.children, out)
+        out.flush()
+        return
+    body = _lines(node.children, out.level + 1) or [""]
+    out.lines += [(mark + x if i == 0 else " " * len(mark) + x).rstrip(" ") for i, x in enumerate(body)]
+
+
 def _list(node: Node, out: _Text) -> None:
     number = int(start) if (start := node.attrs.get("start", "1")).isascii() and start.isdigit() and len(start) < 9 else 1
     for c in node.children:
         if isinstance(c, Node) and c.tag == "li":
-            if c.visible():
-                mark = f"{number}. " if node.tag == "ol" else "- "
-                body = _lines(c.children) or [""]
-                out.flush()
-                out.lines += [(mark + x if i == 0 else " " * len(mark) + x if x else x).rstrip(" ") for i, x in enumerate(body)]
+            _item(c, f"{number}. " if node.tag == "ol" else "- ", out)
             number += 1
         else:
             _into([c], out)
@@ -257,7 +376,7 @@ def _list(node: Node, out: _Text) -> None:
 def _svg(node: Node, out: _Text) -> None:
     """The text in a drawing; each text stands by itself."""
     for c in node.children:
-        if isinstance(c, Node) and c.tag not in DRAWN_LATER and c.visible() and c.attrs.get("display") != "none":
+        if isinstance(c, Node) and c.tag not in DRAWN_LATER and c.attrs.get("display") != "none":
             if c.tag in ("text", "foreignobject"):
                 out.inline(" ")
                 _into(c.children, out)
@@ -270,8 +389,6 @@ def _into(children: list, out: _Text) -> None:
     for c in children:
         if isinstance(c, str):
             out.inline(c)
-        elif not c.visible():
-            continue
         elif c.tag == "br":
             out.br()
         elif c.tag == "hr":
@@ -286,20 +403,19 @@ def _into(children: list, out: _Text) -> None:
             _svg(c, out)
         elif c.tag in BLOCK:
             out.blank() if c.tag in SPACED else out.flush()
-            if c.tag == "table":
+            if c.tag == "table" and out.level < LEVELS:
                 _table(c, out)
             elif c.tag in ("ul", "ol", "menu", "dir"):
                 _list(c, out)
             elif c.tag == "pre":
                 text = "".join(_plain(c))
                 out.lines += [x.rstrip() for x in text.removeprefix("\n").rstrip().split("\n")] if text.strip() else []
-            elif c.tag in ("blockquote", "dd"):
-                out.lines += [f"  {x}" if x else x for x in _lines(c.children)]
+            elif c.tag in ("blockquote", "dd") and out.level < LEVELS:
+                out.lines += [f"  {x}" if x else x for x in _lines(c.children, out.level + 1)]
             elif c.tag == "details" and "open" not in c.attrs:
                 _into([x for x in c.children if isinstance(x, Node) and x.tag == "summary"], out)
             elif c.tag == "li":
-                body = _lines(c.children)
-                out.lines += [("- " if i == 0 else "  ") + x if x else x for i, x in enumerate(body)]
+                _item(c, "- ", out)
             else:
                 _into(c.children, out)
             out.blank() if c.tag in SPACED else out.flush()
@@ -315,30 +431,34 @@ def _plain(node: Node) -> Iterator[str]:
     for c in node.children:
         if isinstance(c, str):
             yield c
-        elif c.visible():
-            if c.tag == "br":
-                yield "\n"
-            if c.tag == "svg":
-                yield "\n".join(_lines([c]))
-            else:
-                yield from _plain(c)
+        elif c.tag == "svg":
+            yield "\n".join(_lines([c], LEVELS))
+        elif c.tag == "br":
+            yield "\n"
+        else:
+            yield from _plain(c)
 
 
 def html_to_text(html: str | None) -> str:
     """Visible text of a page. Null or empty: an empty text. Text without any tag is collapsed text."""
-    return "\n".join(_lines(parse(html).children)) if html else ""
+    if not html:
+        return ""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(DEPTH)
+    try:
+        return "\n".join(_lines(parse(html).children, 0))
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def rendered(pages: pd.Series) -> pd.Series:
+    return pd.Series([html_to_text(h) for h in pages], dtype=object)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """``page_id, text`` for every row of ``pages``, in one pass without a shuffle.
+    """``page_id, text`` for every row of ``pages``, in one pass without a shuffle. Only the pages' HTML goes to Python.
 
     Repeated rows and rows with a null page_id are rendered like others; an empty table gives an empty
-    result; further columns are ignored. Elements nested deeper than MAX_DEPTH become siblings.
+    result; a very long page is rendered whole; further columns are ignored.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "text": [html_to_text(h) for h in b[column]]})
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", column).mapInPandas(run, f"page_id {kind}, text string")
+    return pages.select("page_id", F.pandas_udf(rendered, "string")(column).alias("text"))

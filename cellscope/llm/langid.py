@@ -1,15 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes (with the space before it) in both directions and gives every position
-a distribution over languages; a document's distribution is the mean over all its positions. Sequences
-end at white space, so a word's labels depend on the word alone and workers can keep them. Training is
-numpy throughout: backpropagation through time on batches of equal length, Adam steps, a fixed seed.
+The network reads a text's bytes in both directions and gives every position a distribution over languages;
+a document's distribution is the mean over all its positions. Texts are read whole, in windows of STRIDE
+bytes: each is read together with CONTEXT bytes on either side, over which the states of both directions
+warm up, and only its own STRIDE positions are labelled. Windows are of one length, so that many texts are
+read in one batch; bytes past a text's ends are PAD and have no label. Training is numpy throughout:
+backpropagation through time on such windows of whole sample texts, Adam steps, a fixed seed.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import words_of
-from ._tokens import WordSums, of_model, spread
-
-SPAN = 24  # bytes of a sequence; longer words are cut
-HIDDEN = 12
-DOCS_PER_LANGUAGE, WORDS_PER_DOC = 300, 160  # bound of the training sample
-STEPS, BATCH, RATE = 900, 256, 0.02
+STRIDE, CONTEXT, PAD = 256, 16, 0
+HIDDEN = 8
+DOCS_PER_LANGUAGE = 300  # bound of the training sample, in documents
+SPAN, STEPS, BATCH, RATE = 64, 320, 128, 0.03
+ROWS = 768  # windows in a batch
+CHARS = 2_000_000  # characters of texts whose windows are made together
 UNKNOWN = "und"
+SALTS = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -98,21 +99,17 @@ class ByteGRU:
             grad |= {f"W{d}": dw, f"U{d}": du, f"b{d}": dg.sum(axis=(0, 1))}
         return loss, grad
 
-    def fit(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
-        """Adam on batches of one language-balanced draw and one sequence length each."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[float]:
+        """Adam on batches of spans drawn from whole texts, PAD between them: a language, then one of its positions, each alike."""
         rng = np.random.default_rng(seed)
-        pieces, owner = _pieces(words)
-        length, y = np.array([len(p) for p in pieces]), labels[owner]
-        per_class = np.bincount(y, minlength=len(self.languages))
-        weight = length / per_class[y]
-        groups = [(i := np.flatnonzero(length == n), weight[i] / weight[i].sum()) for n in np.unique(length)]
-        share = np.array([weight[i].sum() for i, _ in groups])
+        between = bytes(CONTEXT)
+        whole = {y: np.frombuffer(between + between.join(t for t, l in zip(texts, labels, strict=True) if l == y) + bytes(SPAN), np.uint8) for y in range(len(self.languages))}
         first, second, losses = {}, {}, []
         for step in range(1, steps + 1):
-            i, w = groups[rng.choice(len(groups), p=share / share.sum())]
-            chosen = rng.choice(i, size=BATCH, p=w)
-            x = np.frombuffer(b"".join(pieces[j] for j in chosen), np.uint8).reshape(BATCH, -1)
-            loss, grad = self.gradients(x, y[chosen])
+            y = rng.integers(0, len(self.languages), BATCH)
+            at = [int(rng.integers(0, len(whole[k]) - SPAN + 1)) for k in y.tolist()]
+            x = np.stack([whole[k][a : a + SPAN] for k, a in zip(y.tolist(), at, strict=True)])
+            loss, grad = self.gradients(x, y)
             losses.append(loss)
             rate = RATE * (1 - 0.95 * step / steps)
             for k, g in grad.items():
@@ -122,83 +119,134 @@ class ByteGRU:
                 self.p[k] -= (rate * move).astype(np.float32)
         return losses
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Per word: the positions' probabilities, summed, and the number of positions."""
-        pieces, owner = _pieces(words)
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        length = np.array([len(p) for p in pieces])
-        for n in np.unique(length):
-            group = np.flatnonzero(length == n)
-            for at in range(0, len(group), 4096):
-                i = group[at : at + 4096]
-                x = np.frombuffer(b"".join(pieces[j] for j in i), np.uint8).reshape(len(i), n)
-                np.add.at(out[:, :-1], owner[i], self.positions(x).sum(axis=1))
-        np.add.at(out[:, -1], owner, length)
-        return out
-
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over all positions of each text (texts, languages); zeros for an empty text."""
+        out = np.zeros((len(texts), len(self.languages)))
+        windows, owner, length = windows_of(texts)
+        read = Reader(self)
+        for at in range(0, len(windows), ROWS):
+            np.add.at(out, owner[at : at + ROWS], read(windows[at : at + ROWS], length[at : at + ROWS]))
+        return out / np.maximum([[len(t)] for t in texts], 1)
 
-def _pieces(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        w = b" " + w.lower()
-        for at in range(0, len(w), SPAN):
-            pieces.append(w[at : at + SPAN])
-            owner.append(i)
-    return pieces, np.array(owner, np.int64)
 
+class Reader:
+    """The trained network as it reads: both directions side by side in one state, a step of all windows at a time.
 
-def sample_words(learnable: DataFrame) -> pd.DataFrame:
-    """``lang, word``: words spread over at most DOCS_PER_LANGUAGE documents of each language.
-
-    Documents are chosen by the hash of their id; only chosen texts are read in full. The result is
-    bounded by the number of languages times DOCS_PER_LANGUAGE times WORDS_PER_DOC.
+    The same numbers as ``ByteGRU.positions`` gives. Windows are columns; rows are update, reset and candidate,
+    forward before backward in each; the sigmoids' halves are in the weights.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learnable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCS_PER_LANGUAGE).drop("n")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["words"] = [spread(words_of(t), WORDS_PER_DOC) for t in b["text"]]
-            yield b[["doc_id", "lang", "words"]]
 
-    chosen = learnable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
-    rows = chosen.mapInPandas(run, "doc_id long, lang string, words array<binary>").toPandas()
-    rows = rows.sort_values(["lang", "doc_id"], kind="stable")
-    return pd.DataFrame({"lang": rows["lang"].to_numpy().repeat(rows["words"].map(len)), "word": [bytes(w) for ws in rows["words"] for w in ws]})
+    def __init__(self, model: ByteGRU) -> None:
+        h, p = model.hidden, model.p
+        half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), h)
+        self.h, self.v, self.c = h, np.ascontiguousarray(p["V"].T), p["c"][:, None]
+        self.u, self.w = np.zeros((6 * h, 2 * h), np.float32), []
+        for d, name in enumerate("fb"):
+            self.u.reshape(3, 2, h, 2 * h)[:, d, :, d * h : (d + 1) * h] = (p[f"U{name}"] * half).T.reshape(3, h, h)
+            self.w.append(np.ascontiguousarray(((p[f"W{name}"] + p[f"b{name}"]) * half).T, dtype=np.float32))
+
+    def __call__(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Sums of probabilities over each window's own positions (rows, languages)."""
+        h, (n, steps) = self.h, x.shape
+        index = np.ascontiguousarray(x.T, dtype=np.intp)
+        state, out = np.zeros((2 * h, n), np.float32), np.empty((steps, 2 * h, n), np.float32)
+        given, a = [np.empty((3 * h, n), np.float32) for _ in "fb"], np.empty((6 * h, n), np.float32)
+        gates, new = a[: 4 * h], a[4 * h :]
+        both = gates.reshape(2, 2, h, n)
+        for t in range(steps):
+            np.take(self.w[0], index[t], axis=1, out=given[0], mode="clip")
+            np.take(self.w[1], index[steps - 1 - t], axis=1, out=given[1], mode="clip")
+            np.matmul(self.u, state, out=a)
+            for d in (0, 1):
+                both[:, d] += given[d][: 2 * h].reshape(2, h, n)
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new *= a[2 * h : 4 * h]
+            new[:h] += given[0][2 * h :]
+            new[h:] += given[1][2 * h :]
+            np.tanh(new, out=new)
+            state -= new
+            state *= a[: 2 * h]
+            state += new
+            out[t] = state
+        own = slice(CONTEXT, CONTEXT + STRIDE)
+        prob = self.v[:, :h] @ out[own, :h] + self.v[:, h:] @ out[::-1][own, h:] + self.c
+        prob -= prob.max(axis=1, keepdims=True)
+        np.exp(prob, out=prob)
+        prob /= prob.sum(axis=1, keepdims=True)
+        prob *= (np.arange(STRIDE)[:, None] < length[None, :])[:, None, :]
+        return prob.sum(axis=0, dtype=np.float64).T
+
+
+def bytes_of(text: str) -> bytes:
+    """What the network reads of a text: its UTF-8 bytes, A-Z lowered."""
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
+def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (rows, CONTEXT + STRIDE + CONTEXT), the text that each is of, and how many own positions it has."""
+    count = np.array([-(-len(t) // STRIDE) for t in texts], np.int64)
+    parts = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(bytes(CONTEXT) + t + bytes(n * STRIDE - len(t) + CONTEXT), np.uint8), STRIDE + 2 * CONTEXT)[::STRIDE] for t, n in zip(texts, count.tolist(), strict=True) if n]
+    owner = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(STRIDE, np.array([len(t) for t in texts], np.int64)[owner] - place * STRIDE)
+    return np.concatenate(parts) if parts else np.empty((0, STRIDE + 2 * CONTEXT), np.uint8), owner, length
+
+
+def sample(learnable: DataFrame) -> pd.DataFrame:
+    """``lang, text``: the whole texts of at most DOCS_PER_LANGUAGE documents of each language.
+
+    Documents are chosen by the hash of their id, over salts first, so that no task ranks a whole language.
+    An id that comes with several texts counts with the smallest: no more rows than the bound are collected.
+    """
+    ids = learnable.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCS_PER_LANGUAGE).drop("n")
+    chosen = learnable.join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"])
+    rows = chosen.groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text"))
+    return rows.select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"], kind="stable")
 
 
 def train(learnable: DataFrame) -> ByteGRU | None:
-    """Fit to ``doc_id, text, lang`` rows; None if there is nothing to learn from."""
-    rows = sample_words(learnable.filter("lang is not null and text is not null and doc_id is not null"))
+    """Fit to ``doc_id, text, lang`` rows, ids of any type; None if there is nothing to learn from."""
+    rows = sample(learnable.filter("lang is not null and text <> '' and doc_id is not null"))
     if rows.empty:
         return None
     names = sorted(rows["lang"].unique())
     model = ByteGRU(names)
-    model.fit(rows["word"].tolist(), rows["lang"].map({n: i for i, n in enumerate(names)}).to_numpy())
+    model.fit([bytes_of(t) for t in rows["text"]], rows["lang"].map({n: i for i, n in enumerate(names)}).to_numpy())
     return model
 
 
+def has_letter(text: str | None) -> bool:
+    """Letters are what Unicode calls so; fractions and raised digits are none."""
+    return text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def predicted(texts: pd.Series, model: ByteGRU | None) -> pd.DataFrame:
+    """``lang_pred, score`` of each text."""
+    names = np.array([*model.languages, UNKNOWN] if model else [UNKNOWN], dtype=object)
+    best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+    known = np.flatnonzero([model is not None and has_letter(t) for t in texts])
+    size = np.cumsum([len(texts.iloc[i]) for i in known])
+    for group in np.split(known, np.flatnonzero(np.diff(size // CHARS)) + 1) if len(known) else []:
+        share = model.pooled([bytes_of(texts.iloc[i]) for i in group])
+        best[group], score[group] = share.argmax(axis=1), share.max(axis=1)
+    return pd.DataFrame({"lang_pred": names[best], "score": np.clip(score, 0, 1)})
+
+
 def predict(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     """``doc_id, lang_pred, score`` for every whole text: the pooled distribution's largest entry.
 
-    ``und`` with score 0 for a null text or one without a letter, or without a model. Only the text is
-    read. Repeated rows get equal results; an empty table gives an empty result.
+    ``und`` with score 0 for a null text or one without a letter, or without a model. Only texts go to Python.
+    A very long text is read window after window. Repeated rows get equal results; an empty table gives an
+    empty result.
     """
-    model_id = uuid.uuid4().hex
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = of_model(model_id, lambda: WordSums(model.word_sums, len(model.languages) + 1)) if model else None
-        names = np.array([*model.languages, UNKNOWN] if model else [UNKNOWN], dtype=object)
-        for b in batches:
-            texts = b["text"].tolist()
-            known = np.array([model is not None and t is not None and _LETTER.search(t) is not None for t in texts], bool)
-            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            if known.any():
-                s = sums(texts)
-                share = s[:, :-1] / np.maximum(s[:, -1:], 1)
-                best = np.where(known, share.argmax(axis=1), len(names) - 1)
-                score = np.where(known, share.max(axis=1), 0.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": names[best], "score": np.clip(score, 0, 1)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield predicted(texts, model)
+
+    return docs.select("doc_id", F.pandas_udf(run, "struct<lang_pred:string,score:double>")("text").alias("p")).select("doc_id", "p.*")

@@ -1,10 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed features: each word, and the 3- and 4-byte grams
-of each word between boundary marks. A word that repeats the one before it is one feature of its own, the
-only word pair that generalises over vocabularies. A softmax over two classes follows. Vectors, weights and bias are
-trained together by numpy stochastic gradient descent on a bounded sample of labelled documents.
-At prediction time the model is linear in the features, so a word's share of the score is a number.
+A document is the mean of learned vectors of its hashed features: each word, and the 3- and 4-character
+grams of each word between boundary marks. A softmax over two classes follows. Vectors, weights and bias are
+trained together by numpy stochastic gradient descent on the whole texts of a bounded sample of labelled
+documents. At prediction time the model is linear in the features, so a word's share of the score is a number.
 """
 
 from __future__ import annotations
@@ -19,28 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import words_of
-from ._tokens import WordSums, of_model, spread
+from ._tokens import WordSums, of_model
 
 BUCKETS = 1 << 16
 DIM = 10
-SAMPLE_DOCS, WORDS_PER_DOC = 3000, 200  # bound of the training sample
+SAMPLE_DOCS = 3000  # bound of the training sample, in labelled documents
 EPOCHS, RATE = 8, 1.0
 GRAMS = (3, 4)
-REPEAT = b"\x01"
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words; one that equals the word before it is the token REPEAT."""
-    words = words_of(text)
-    return [REPEAT if a == b else a for a, b in zip(words, [b"", *words], strict=False)]
 
 
 def features_of(word: bytes) -> list[int]:
-    """Buckets of a word and its grams."""
-    if word == REPEAT:
-        return [zlib.crc32(REPEAT) % BUCKETS]
+    """Buckets of a word and of its grams of characters."""
     crc, marked = zlib.crc32, b"<" + word + b">"
-    return [crc(b"\0" + word) % BUCKETS, *[crc(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]]
+    own = crc(b"\0" + word) % BUCKETS
+    if word.isascii():
+        return [own, *[crc(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]]
+    text = marked.decode("utf-8", "surrogatepass")
+    return [own, *[crc(text[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(text) - n + 1)]]
 
 
 class SubwordClassifier:
@@ -90,7 +84,7 @@ class SubwordClassifier:
                 out[i] = odds[f].sum(), len(f)
             return out
 
-        return WordSums(score, 2, tokens_of)
+        return WordSums(score, 2)
 
     def score(self, sums: np.ndarray) -> np.ndarray:
         z = sums[:, 0] / np.maximum(sums[:, 1], 1) + self.bias[1] - self.bias[0]
@@ -98,38 +92,32 @@ class SubwordClassifier:
 
 
 def train(docs: DataFrame, labelled: DataFrame) -> SubwordClassifier:
-    """Fit to ``doc_id, quality`` rows, at most SAMPLE_DOCS of them, chosen by the hash of the id.
+    """Fit to ``doc_id, quality`` rows, at most SAMPLE_DOCS of them, chosen by the hash of the id; ids of any type.
 
-    Rows with a null id or quality are left out; an id with several labels counts with its largest.
-    Without any rows the model gives 0.5 everywhere.
+    Rows with a null id or quality are left out; an id with several labels counts with its largest, one with
+    several texts with the smallest. Without any rows the model gives 0.5 everywhere.
     """
     one = labelled.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["words"] = [spread(tokens_of(t), WORDS_PER_DOC) for t in b["text"]]
-            yield b[["doc_id", "quality", "words"]]
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, quality int, words array<binary>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    ids = one.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = chosen.select("h", "quality", "text").toPandas().sort_values(["h", "text"], kind="stable")
     model = SubwordClassifier()
-    model.fit([[bytes(w) for w in ws] for ws in rows["words"]], [int(q > 0) for q in rows["quality"]])
+    model.fit([words_of(t) for t in rows["text"]], [int(q > 0) for q in rows["quality"]])
     return model
 
 
 def predict(docs: DataFrame, model: SubwordClassifier) -> DataFrame:
     """``doc_id, score, predicted`` for every whole text; a text without words gets the model's bias.
 
-    Only the text is read. Repeated rows get equal results; an empty table gives an empty result.
+    Only texts go to Python. A very long text is summed whole. Repeated rows get equal results; an empty table
+    gives an empty result.
     """
     model_id = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sums = of_model(model_id, model.word_sums)
-        for b in batches:
-            p = model.score(sums(b["text"].tolist()))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)})
+        for texts in batches:
+            p = model.score(sums(texts.tolist()))
+            yield pd.DataFrame({"score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", F.pandas_udf(run, "struct<score:double,predicted:int>")("text").alias("p")).select("doc_id", "p.*")

@@ -1,20 +1,21 @@
 """Exact top-k search by a three-phase uniform threshold over slices of the vectors.
 
-The score, an inner product, is a sum over slices of the dimensions; each slice has its own score list.
-
-1. Gather: in each tile (a block of queries against a block of rows) every slice gives its best k rows.
-   Their full scores are lower bounds of what the k-th best can be.
-2. Cutoff: the k-th largest of them over all tiles, per query, is a safe cutoff c. A row whose sum over m
-   slices reaches c has a slice that reaches c / m, so only rows with such a slice are collected.
-3. Resolve: collected rows whose upper bound (c / m for slices that were not collected) reaches c get
-   their exact score; a tile returns its best k, ties to smaller ids, and one window ranks the rest.
-
-Cutoffs travel with their queries' blocks and are never broadcast. Tiles are keyed by (query block, row
-block), so a task holds two blocks and a strip of scores at a time, however many rows look alike.
+The score, an inner product, is a sum over slices of the dimensions; each slice gives a score list of its own.
+Queries come in blocks of bounded size; the rows stay where they are and are never copied for a block.
+
+1. Gather: over about SAMPLE_ROWS rows, chosen by hash, each task gives the entries at the head of every
+   slice's list, with their full scores. The k-th best of them is a safe cutoff c for a query: no more than
+   k - 1 rows of the table can be missing from the answer below it.
+2. Collect: the block of queries with its cutoffs is broadcast. A row whose sum over m slices reaches c has a
+   slice that reaches c / m, so from each list only the entries from c / m up are collected.
+3. Resolve: collected rows get their exact score, the sum of their slices. A task keeps its k best per query,
+   ties to smaller ids, and raises its own cutoff to the k-th of them; one window ranks what the tasks return.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ._common import stored
 
-QUERY_BLOCK, ROW_BLOCK, STRIP, SLICES = 4096, 8192, 64, 4
+QUERY_BLOCK, SAMPLE_ROWS, STRIP, SLICES = 8192, 4096, 64, 4
+# Rows of a batch that are scored together.
+ROWS = 8192
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -42,71 +45,88 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     """Rows of longs, filled with zeros where a vector is shorter."""
     out = np.zeros((len(column), width), np.int64)
     for i, v in enumerate(column):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = v[:width]
     return out
 
 
-def _pair(q: pd.DataFrame, r: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    width = max((len(v) for c in (q["v"], r["v"]) for v in c), default=0)
-    a, b = _matrix(q["v"], width), _matrix(r["v"], width)
+def _same_width(a: np.ndarray, column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The queries' matrix and that of ``column``, over the components that the queries have."""
+    b = _matrix(column, a.shape[1])
     # Floats multiply faster and are exact while every sum stays below 2**53.
-    if width and float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * width < 2**53:
+    if a.size and float(np.abs(a).max()) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2**53:
         return a.astype(np.float64), b.astype(np.float64)
     return a, b
 
 
-def _slices(width: int) -> list[slice]:
-    cuts = np.linspace(0, width, SLICES + 1).astype(int)
+def slices_of(width: int) -> list[slice]:
+    cuts = np.linspace(0, width, min(SLICES, max(1, width)) + 1).astype(int)
     return [slice(x, y) for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
-def _gather(k: int):
-    def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "scores": []})
-        a, b = _pair(q, r)
-        qid, rid = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-        best = []
-        n = min(k + 1, len(rid))  # one more than k: the query itself may be among them
-        for at in range(0, len(a), STRIP):
-            parts = [a[at : at + STRIP, s] @ b[:, s].T for s in _slices(a.shape[1])]
-            seen = np.sort(np.concatenate([np.argpartition(-p, n - 1, axis=1)[:, :n] for p in parts], axis=1), axis=1)
-            score = np.take_along_axis(sum(parts), seen, axis=1)
-            for i in range(len(seen)):
-                new = np.r_[True, seen[i, 1:] != seen[i, :-1]] & (rid[seen[i]] != qid[at + i])
-                best.append(np.sort(score[i, new])[::-1][:k].astype(np.int64))
-        return pd.DataFrame({"query_id": qid, "scores": best})
-
-    return run
-
-
-def _resolve(k: int):
-    def run(key: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(q) and len(r):
-            r = r.sort_values("vec_id", kind="stable")
-            a, b = _pair(q, r)
-            qid, rid, cut = q["vec_id"].to_numpy(), r["vec_id"].to_numpy(), q["cutoff"].tolist()
-            for at in range(0, len(a), STRIP):
-                parts = np.stack([a[at : at + STRIP, s] @ b[:, s].T for s in _slices(a.shape[1])])
-                m = len(parts)
-                for i in range(parts.shape[1]):
-                    p, c = parts[:, i], cut[at + i]
-                    if c is None or c != c:
-                        near = np.arange(len(rid))
-                    else:
-                        near = np.flatnonzero((p * m >= c).any(axis=0))
-                        near = near[np.maximum(p[:, near] * m, c).sum(axis=0) >= m * c]
-                    near = near[rid[near] != qid[at + i]]
-                    exact = p[:, near].sum(axis=0)
-                    if c is not None and c == c:
-                        near, exact = near[exact >= c], exact[exact >= c]
-                    top = np.argsort(-exact, kind="stable")[:k]
-                    out.append((np.full(len(top), qid[at + i]), rid[near[top]], exact[top].astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-    return run
+def _lists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Score lists (slices, queries, rows)."""
+    return np.stack([a[:, s] @ b[:, s].T for s in slices_of(a.shape[1])])
+
+
+def gathered(qid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query's place, row id and full score of the k + 1 highest entries of every list, some queries at a time."""
+    n = min(k + 1, len(rid))  # one more than k: the query itself may be among them
+    for at in range(0, len(a), STRIP):
+        lists = _lists(a[at : at + STRIP], b)
+        seen = np.argpartition(-lists, n - 1, axis=2)[:, :, :n]
+        i = np.broadcast_to(np.arange(lists.shape[1])[None, :, None], seen.shape).ravel()
+        pair = np.unique(i.astype(np.int64) * len(rid) + seen.ravel())
+        i, j = pair // len(rid), pair % len(rid)
+        own = qid[at + i] != rid[j]
+        yield (at + i)[own], rid[j[own]], lists[:, i[own], j[own]].sum(axis=0)
+
+
+def resolved(qid: np.ndarray, a: np.ndarray, cut: np.ndarray, rid: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query's place, row id and exact score of the rows with an entry from c / m up, where the score reaches c."""
+    for at in range(0, len(a), STRIP):
+        lists = _lists(a[at : at + STRIP], b)
+        c = cut[at : at + STRIP]
+        i, j = np.nonzero((lists * len(lists) >= c[None, :, None]).any(axis=0))
+        exact = lists[:, i, j].sum(axis=0)
+        good = (exact >= c[i]) & (qid[at + i] != rid[j])
+        yield at + i[good], rid[j[good]], exact[good]
+
+
+class Best:
+    """The k best (score, then smaller id) of each query so far."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.at, self.row, self.score = k, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], cut: np.ndarray) -> None:
+        """Take what is ``found``, and raise the cutoffs of queries that have k."""
+        parts = list(zip(*found, strict=True)) or [[], [], []]
+        at, row = (np.concatenate([own, *map(np.asarray, p)]).astype(np.int64) for own, p in ((self.at, parts[0]), (self.row, parts[1])))
+        score = np.concatenate([self.score, *[np.asarray(p, np.int64) for p in parts[2]]])
+        order = np.lexsort((row, -score, at))
+        at, row, score = at[order], row[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < self.k
+        self.at, self.row, self.score = at[keep], row[keep], score[keep]
+        last = place == self.k - 1
+        cut[at[last]] = np.maximum(cut[at[last]], score[last])
+
+
+def _search(rows: DataFrame, block, k: int, gather: bool) -> DataFrame:
+    """``query_id, vec_id, score``: the k best of each task for each query of the broadcast block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, queries, cut = block.value
+        cut, best = cut.copy(), Best(k)
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                part = whole.iloc[at : at + ROWS]
+                a, b = _same_width(queries, part["v"])
+                rid = part["vec_id"].to_numpy()
+                best.add(gathered(qid, a, rid, b, k) if gather else resolved(qid, a, cut, rid, b), cut)
+        yield pd.DataFrame({"query_id": qid[best.at], "vec_id": best.row, "score": best.score})
+
+    return rows.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score long")
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
@@ -114,19 +134,29 @@ def topk(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
 
     Both tables have ``vec_id, v`` with one row per id, as ``integer_vectors`` gives them. A row is no
     candidate of the query of the same id. Ties go to the smaller vec_id; fewer than k candidates are
-    all returned; vectors of different lengths are compared over their common components. Empty tables
-    give an empty result.
+    all returned; vectors of different lengths are compared over their common components. Vectors may be
+    long, in blocks of as many as fit. Empty tables give an empty result.
+
+    A block is about QUERY_BLOCK queries, dealt by hash: only that many vectors ever reach the driver.
     """
-    n_q, n_r = queries.count(), rows.count()
-    blocks_q, blocks_r = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_r // ROW_BLOCK))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    r = rows.withColumn("rb", own(blocks_r)).withColumn("qb", every(blocks_q)).groupBy("qb", "rb")
-    q = queries.withColumn("qb", own(blocks_q))
-    tiled = lambda d: d.withColumn("rb", every(blocks_r)).groupBy("qb", "rb")
-    lists = tiled(q).cogroup(r).applyInPandas(_gather(k), "query_id long, scores array<long>")
-    cutoff = lists.groupBy("query_id").agg(F.get(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k - 1)).alias("cutoff"))
-    cut = stored(q.join(cutoff.withColumnRenamed("query_id", "vec_id"), "vec_id", "left"), "cutoffs")
-    found = tiled(cut).cogroup(r).applyInPandas(_resolve(k), "query_id long, vec_id long, score long")
+    context = rows.sparkSession.sparkContext
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    sample = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, rows.count() // SAMPLE_ROWS))) == 0
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda d: d.withColumn("rank", F.row_number().over(order))
+    parts = []
+    for n in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).select("vec_id", "v").toPandas().sort_values("vec_id")
+        qid, matrix = own["vec_id"].to_numpy(np.int64), _matrix(own["v"], int(own["v"].map(len).max()) if len(own) else 0)
+        cut = np.full(len(own), -np.inf)
+        first = context.broadcast((qid, matrix, cut))
+        safe = ranked(_search(rows.filter(sample), first, k, True)).filter(F.col("rank") == k).select("query_id", "score").toPandas()
+        cut[np.searchsorted(qid, safe["query_id"].to_numpy(np.int64))] = safe["score"]
+        block = context.broadcast((qid, matrix, cut))
+        parts.append(stored(ranked(_search(rows, block, k, False)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best"))
+        first.unpersist()
+        block.unpersist()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,19 +1,21 @@
 """URL filters: fixed rules first, then a tree of path templates per host.
 
 Rules give verdicts to the urls that they cover; these are the labels. Each url is put on a node of its
-host's template tree: path segments whose values vary (numbers, hashes, or segments with many siblings
-under one parent) are generalised to wildcards. Sibling branches of a host that look alike, by the shape
-of what is below them and by their smoothed share of blocked urls, are merged. A template is rejected if
-its purity, the share of blocked among labelled urls smoothed towards its branches' share, reaches the
-threshold; without labels among look-alikes of the same host nothing is rejected. All of it is counting: aggregation map-side first, joins on (host, template).
+host's template tree, at its full depth: path segments whose values vary (numbers, hashes, or segments with
+many siblings under one parent) are generalised to wildcards. Labelled sibling branches of a host are merged
+when two likelihood-ratio tests find no difference between them: one on their blocked and allowed urls, one
+on how their urls spread over the templates below them. A template is rejected if its purity, the share of
+blocked among its labelled urls smoothed towards the share of its merged branches, reaches the threshold;
+a template in a branch without labelled urls is allowed. All of it is counting: aggregation map-side first,
+joins on (host, template).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import discard, hub_join, stored
 
 # Fixed values: (verdict, host, path) of the rules, longest rule first when several fit.
 RULES = (
@@ -23,11 +25,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LEVELS = 3
 VARIES = 24  # different values under one parent from which a segment is a wildcard
 PRIOR = 4.0  # labelled urls that the parent's share weighs
 BASE_SHARE = 0.25  # share of blocked urls that is assumed where nothing is known
 THRESHOLD = 0.8
+# Fixed value: the 95 % point of chi-squared with one degree of freedom; for more degrees see ``unlike``.
+CHI_ONE = 3.841
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,56 +66,89 @@ def _segment(s: Column) -> Column:
 
 
 def template_nodes(path: Column) -> Column:
-    """The first LEVELS segments in general form; deeper ones make one last ``**``."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(segments, 1, LEVELS), _segment)
-    return F.when(F.size(segments) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    """All segments of a path in general form."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _segment)
 
 
 def wildcards(urls: DataFrame) -> DataFrame:
     """Replace a segment by ``*`` where its parent has more than VARIES different children.
 
-    Level by level from the top, as a wildcard gathers what was below its siblings. Children are counted
-    over distinct (host, parent, child) rows, so a hot host is counted in many tasks first.
+    Level by level from the top, as a wildcard gathers what was below its siblings, until no host has enough
+    paths of that depth for another wildcard. Children are counted over distinct (host, parent, child) rows,
+    so a hot host is counted in many tasks first. Each level is stored.
     """
-    nodes = urls.groupBy("host", "nodes").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    nodes = nodes.withColumn("path", F.col("nodes"))
-    for level in range(1, LEVELS + 1):
-        parent = F.slice("nodes", 1, level - 1)
-        child = F.get(F.col("nodes"), F.lit(level - 1))
+    nodes = stored(urls.withColumn("path", F.col("nodes")), "nodes")
+    level = 0
+    while not nodes.filter(F.size("nodes") > level).groupBy("host").count().filter(F.col("count") > VARIES).isEmpty():
+        parent, child = F.slice("nodes", 1, level), F.get(F.col("nodes"), F.lit(level))
         kids = nodes.filter(child.isNotNull()).select("host", parent.alias("parent"), child.alias("child")).distinct()
         wide = kids.groupBy("host", "parent").agg(F.count("*").alias("kids")).filter(F.col("kids") > VARIES).select("host", "parent", F.lit(True).alias("wide"))
-        general = F.when(F.col("wide") & child.isNotNull(), F.concat(parent, F.array(F.lit("*")), F.slice("nodes", level + 1, LEVELS + 1))).otherwise(F.col("nodes"))
-        nodes = nodes.withColumn("parent", parent).join(wide, ["host", "parent"], "left").withColumn("nodes", general).drop("parent", "wide")
+        below = F.slice("nodes", level + 2, F.greatest(F.size("nodes") - level - 1, F.lit(0)))
+        general = F.when(F.col("wide") & child.isNotNull(), F.concat(parent, F.array(F.lit("*")), below)).otherwise(F.col("nodes"))
+        after = stored(nodes.withColumn("parent", parent).join(wide, ["host", "parent"], "left").withColumn("nodes", general).drop("parent", "wide"), "nodes")
+        discard(nodes)
+        nodes, level = after, level + 1
     return nodes.select("host", F.col("path").alias("raw"), "nodes", "n", "blocked", "labelled")
 
 
-def judged_templates(counted: DataFrame) -> DataFrame:
-    """``host, raw, template, purity, rejected`` from ``wildcards``' table, branches merged.
+def _entropy(*counts: Column) -> Column:
+    """Sum of n ln n."""
+    out = F.lit(0.0)
+    for c in counts:
+        out = out + F.when(c > 0, c * F.log(c.cast("double"))).otherwise(F.lit(0.0))
+    return out
+
+
+def unlike(g: Column, freedom: Column) -> Column:
+    """Is a likelihood ratio beyond the 95 % point of chi-squared (Wilson and Hilferty's form above one degree)?"""
+    part = F.lit(2.0) / (9 * F.greatest(freedom, F.lit(1)))
+    point = F.when(freedom <= 1, F.lit(CHI_ONE)).otherwise(freedom * F.pow(1 - part + 1.645 * F.sqrt(part), F.lit(3.0)))
+    return (freedom > 0) & (g > point)
+
 
-    A branch is a host's first segment; its shape is the set of templates below it. Labelled branches of
-    one shape merge when their smoothed shares of blocked urls agree to one decimal. A branch without
-    labels can't be told from its look-alikes and merges with all of them.
+def merged_branches(counted: DataFrame) -> DataFrame:
+    """``host, branch, gb, gl``: labelled branches with the blocked and labelled urls of all branches they merge with.
+
+    A branch is a host's first segment; a host has at most VARIES of them and a wildcard. Labelled ones are
+    ordered by their share of blocked urls; neighbours that the two tests find alike are merged.
     """
+    branches = counted.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).filter("l > 0")
+    along = Window.partitionBy("host").orderBy(F.col("b") / F.col("l"), "branch")
+    before = lambda c: F.lag(c).over(along).alias(f"{c}0")
+    near = stored(branches.select("*", F.row_number().over(along).alias("place"), before("branch"), before("n"), before("b"), before("l")), "branches")
+    b, l, b0, l0, n, n0 = (F.col(c) for c in ("b", "l", "b0", "l0", "n", "n0"))
+    labels = 2 * (_entropy(b, l - b, b0, l0 - b0) + _entropy(l + l0) - _entropy(b + b0, l - b + l0 - b0) - _entropy(l, l0))
+    pairs = near.filter("branch0 is not null")
+    below = counted.groupBy("host", "branch", F.array_join(F.slice("nodes", 2, F.greatest(F.size("nodes") - 1, F.lit(0))), "/").alias("below")).agg(F.sum("n").alias("m"))
+    own = pairs.select("host", "place", "branch").join(below, ["host", "branch"]).select("host", "place", "below", F.col("m").alias("x"), F.lit(0).cast("long").alias("y"))
+    other = pairs.select("host", "place", F.col("branch0").alias("branch")).join(below, ["host", "branch"]).select("host", "place", "below", F.lit(0).cast("long").alias("x"), F.col("m").alias("y"))
+    both = own.unionByName(other).groupBy("host", "place", "below").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    spread = both.groupBy("host", "place").agg(F.sum(_entropy(F.col("x"), F.col("y")) - _entropy(F.col("x") + F.col("y"))).alias("parts"), (F.count("*") - 1).alias("freedom"))
+    tested = pairs.join(spread, ["host", "place"])
+    shape = 2 * (F.col("parts") + _entropy(n + n0) - _entropy(n, n0))
+    breaks = tested.select("host", "place", (unlike(labels, F.lit(1)) | unlike(shape, F.col("freedom"))).cast("int").alias("break"))
+    run = Window.partitionBy("host").orderBy("place")
+    grouped = near.join(breaks, ["host", "place"], "left").select("host", "branch", "b", "l", F.sum(F.coalesce("break", F.lit(0))).over(run).alias("g"))
+    whole = Window.partitionBy("host", "g")
+    return grouped.select("host", "branch", F.sum("b").over(whole).alias("gb"), F.sum("l").over(whole).alias("gl"))
+
+
+def judged_templates(counted: DataFrame) -> DataFrame:
+    """``host, raw, n, template, purity, rejected`` from ``wildcards``' table; purity is null in a branch without labels."""
     counted = counted.withColumn("template", F.concat(F.lit("/"), F.array_join("nodes", "/"))).withColumn("branch", F.coalesce(F.get("nodes", F.lit(0)), F.lit("")))
+    counted = stored(counted, "counted")
     smoothed = lambda blocked, labelled, to: (F.col(blocked) + PRIOR * to) / (F.col(labelled) + PRIOR)
-    below = F.array_join(F.slice("nodes", 2, LEVELS + 1), "/")
-    branches = counted.groupBy("host", "branch").agg(F.array_sort(F.collect_set(below)).alias("shape"), F.sum("blocked").alias("bb"), F.sum("labelled").alias("bl"))
-    branches = branches.withColumn("alike", F.when(F.col("bl") > 0, F.round(smoothed("bb", "bl", F.lit(BASE_SHARE)), 1)))
-    alike = branches.filter("bl > 0").groupBy("host", "shape", "alike").agg(F.sum("bb").alias("gb"), F.sum("bl").alias("gl"))
-    shaped = branches.groupBy("host", "shape").agg(F.sum("bb").alias("sb"), F.sum("bl").alias("sl"))
-    share = F.coalesce(smoothed("gb", "gl", F.lit(BASE_SHARE)), smoothed("sb", "sl", F.lit(BASE_SHARE)))
-    placed = branches.join(alike, ["host", "shape", "alike"], "left").join(shaped, ["host", "shape"]).select("host", "branch", share.alias("branch_share"))
     templates = counted.groupBy("host", "branch", "template").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
-    scored = templates.join(placed, ["host", "branch"]).select("host", "template", smoothed("tb", "tl", F.col("branch_share")).alias("purity"))
-    return counted.select("host", "raw", "template").join(scored, ["host", "template"]).select("host", "raw", "template", "purity", (F.col("purity") >= THRESHOLD).alias("rejected"))
+    scored = templates.join(merged_branches(counted), ["host", "branch"], "left")
+    scored = scored.select("host", "template", smoothed("tb", "tl", smoothed("gb", "gl", F.lit(BASE_SHARE))).alias("purity"))
+    return counted.select("host", "raw", "n", "template").join(scored, ["host", "template"]).select("host", "raw", "n", "template", "purity", F.coalesce(F.col("purity") >= THRESHOLD, F.lit(False)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages``.
 
     A null url, or one without ``://``, has an empty host and path and is judged like any other, on the
-    template ``/`` of the empty host. Repeated rows count as often as they come and get equal verdicts. An
+    template ``/`` of the empty host. A very long path has as many nodes as segments. Repeated rows count as often as they come and get equal verdicts. An
     empty table gives an empty result. Only page_id and url are read.
     """
     host, path = parts_of(F.col("url"))
@@ -123,6 +159,6 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("fits.verdict") == "block").alias("blocked"), F.count("fits").alias("labelled")
     )
     verdicts = stored(judged_templates(stored(wildcards(counts), "templates")), "verdicts")
-    named = own.join(verdicts.withColumnRenamed("raw", "nodes"), ["host", "nodes"], "left")
+    named = hub_join(own, verdicts.withColumnRenamed("raw", "nodes"), ["host", "nodes"], own.count())
     method = F.when(F.coalesce(F.col("rejected"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return named.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce(F.col("fits.verdict"), method).alias("verdict"), "template", "purity")
