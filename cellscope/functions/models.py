@@ -14,6 +14,7 @@ CAPACITY = {
     "motorway": 1.0, "motorway_link": 0.8, "trunk": 0.9, "trunk_link": 0.7, "primary": 0.75, "primary_link": 0.55, "secondary": 0.55, "secondary_link": 0.45,
     "tertiary": 0.4, "tertiary_link": 0.35, "unclassified": 0.3, "residential": 0.25, "living_street": 0.15, "service": 0.15, "track": 0.1,
 }
+# The capacity of any other class, and the upper ends of the service levels.
 DEFAULT_CAPACITY = 0.3
 LOS_CUTS = [(0.35, "A"), (0.55, "B"), (0.75, "C"), (0.9, "D"), (1.0, "E")]
 # Fixed values: (low, high, index low, index high) of the air quality bands.
@@ -21,6 +22,7 @@ PM25 = [(0, 30, 0, 50), (30, 60, 51, 100), (60, 90, 101, 200), (90, 120, 201, 30
 PM10 = [(0, 50, 0, 50), (50, 100, 51, 100), (100, 250, 101, 200), (250, 350, 201, 300), (350, 430, 301, 400), (430, 600, 401, 500)]
 
 
+# The numbers in the three sub-scores below are fixed values of the growth model.
 def built_up_expansion(last: Column, prev: Column, height_delta: Column, construction: Column) -> Column:
     yoy = F.when(prev > 0, (last - prev) / prev * 100).otherwise(F.lit(0.0))
     boost = F.least(F.lit(10.0), F.coalesce(construction, F.lit(0)) * 2.0)
@@ -143,3 +145,32 @@ def discharge_risk(ratio: Column) -> Column:
 def normalised_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b); 0 where both are 0. Vegetation, water and built-up indices are this of two bands."""
     return F.when(a + b == 0, F.lit(0.0)).otherwise((a - b) / (a + b))
+
+
+def growth_horizons(bue: Column, den: Column, cap: Column, trend: Column, expansion: Column) -> Column:
+    """A cell's growth record, null without any sub-score: now, in two and in five years, each with a band.
+
+    Five years on, the composite follows ``num.trend`` (may be null) of built-up
+    presence, and moves up to 20 towards what ``expansion`` (0 to 1, may be null) projects.
+    """
+    arrow = lambda s: F.when(s.isNull(), "none").when(s > 60, "up").when(s > 45, "level").otherwise("down")
+    now, two = horizon(bue, den, cap, "nowcast"), horizon(bue, den, cap, "year_2")
+    r2 = trend["r2"]
+    ahead = F.when(trend.isNotNull(), clamp(now + trend["slope"] * 5 * 200, 0.0, 100.0)).otherwise(now.cast("double"))
+    moved = half_up_int(clamp(ahead + (clamp(expansion, 0.0, 1.0) - 0.5) * 2 * 20, 0.0, 100.0)).cast("double")
+    five = half_up_int(F.when(expansion.isNotNull(), moved).otherwise(ahead))
+    wide = F.greatest(F.lit(10), half_up_int(25 * (1 - F.when(r2 >= 0, r2).otherwise(F.lit(0.0)))).cast("int"))
+    record = F.struct(
+        now.alias("now"), F.lit(5).alias("now_band"), two.alias("year_2"), F.lit(10).alias("year_2_band"), five.cast("int").alias("year_5"), wide.alias("year_5_band"),
+        arrow(bue).alias("bue"), arrow(den).alias("den"), arrow(cap).alias("cap"),
+    )
+    return F.when(bue.isNotNull() | den.isNotNull() | cap.isNotNull(), record)
+
+
+RING = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+
+def heat_ring(lat: Column, lon: Column, degrees: float = 0.09) -> Column:
+    """The eight points around a place, about ten kilometres off, as ``array<struct<lat, lon>>``."""
+    across = F.lit(degrees) / F.cos(F.radians(lat))
+    return F.array(*[F.struct((lat + dy * degrees).alias("lat"), (lon + dx * across).alias("lon")) for dy, dx in RING])

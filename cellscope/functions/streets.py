@@ -23,7 +23,9 @@ CONTEXTS = (
     ("infrastructure", r"transit|bus|metro|sensor|iudx|smart city|hospital|school|health|post office|infrastructure"),
     ("investment", r"invest|real estate|property|land|affordable|luxury|redevelop|warehouse"),
 )
+# The wire format of directive lines, "[ACTION] type key:value ...", values bare or in quotes.
 DIRECTIVE = r"(?m)^[ \t]*\[ACTION\][ \t]+([a-zA-Z_]+)[ \t]*([^\n]*)$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 PARAMETER = r"""([a-zA-Z_]+)\s*:\s*("[^"]*"|'[^']*'|\S+)"""
 
 
@@ -62,7 +64,10 @@ def context(question: Column) -> Column:
 
 
 def directives(text: Column) -> Column:
-    """``array<struct<type, params>>`` of a reply's directive lines; values lose their quotes, the last of a name counts."""
+    """``array<struct<type, params, numbers>>`` of a reply's directive lines; values lose their quotes, the last of a name counts.
+
+    ``numbers`` has the values that read as numbers, as such.
+    """
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(DIRECTIVE))
     clean = lambda v: F.regexp_replace(v, "^['\"]|['\"]$", "")
 
@@ -71,7 +76,8 @@ def directives(text: Column) -> Column:
         names, values = F.regexp_extract_all(rest, F.lit(PARAMETER), 1), F.regexp_extract_all(rest, F.lit(PARAMETER), 2)
         pairs = F.arrays_zip(names.alias("k"), F.transform(values, clean).alias("v"))
         last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]))
-        return F.struct(F.lower(F.regexp_extract(line, DIRECTIVE, 1)).alias("type"), F.map_from_entries(last).alias("params"))
+        numeric = F.transform(F.filter(last, lambda p: F.trim(p["v"]).rlike(NUMBER)), lambda p: F.struct(p["k"].alias("k"), F.trim(p["v"]).cast("double").alias("v")))
+        return F.struct(F.lower(F.regexp_extract(line, DIRECTIVE, 1)).alias("type"), F.map_from_entries(last).alias("params"), F.map_from_entries(numeric).alias("numbers"))
 
     return F.transform(lines, one)
 

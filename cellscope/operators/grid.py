@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -43,27 +43,38 @@ def indexed(points: DataFrame, level: int) -> DataFrame:
     return points.withColumns({"row": geo.cell_row(F.col("lat"), level), "col": geo.cell_col(F.col("lon"), level)})
 
 
-def disc_offsets(level: int, lat: float, radius_m: float) -> list[tuple[int, int]]:
-    """(row, column) offsets of fine bins whose centre is within the radius, at a latitude.
+def runs(first: Column, last: Column, most: int) -> Column:
+    """Array of ``struct(j, i)``: the aligned blocks of 2**j columns that make up the columns first to last.
 
-    Their number depends on radius and level alone, a few hundred at 400 m: a constant of the plan.
+    A run of n columns takes at most 2 * log2(n) blocks; ``most`` bounds n and so the number of levels.
     """
-    dy, dx = geo.SPAN / 4**level * METRES_PER_DEGREE, geo.SPAN / 4**level * METRES_PER_DEGREE * math.cos(math.radians(lat))
-    rows, cols = math.ceil(radius_m / dy), math.ceil(radius_m / dx)
-    return [(r, c) for r in range(-rows, rows + 1) for c in range(-cols, cols + 1) if (r * dy) ** 2 + (c * dx) ** 2 <= radius_m**2]
+    blocks = []
+    for j in range(most.bit_length() + 1):
+        low, high = F.ceil(first / (1 << j)).cast("long"), F.floor((last + 1) / (1 << j)).cast("long")
+        block = lambda i, j=j: F.struct(F.lit(j).alias("j"), i.alias("i"))
+        blocks += [F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), block(low)), F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), block(high - 1))]
+    return F.filter(F.array(*blocks), lambda b: b.isNotNull())
 
 
-def disc_counts(cells: DataFrame, points: DataFrame, by: str, level: int = 8, radius_m: float = 400.0, lat: float = 22.7, key: str = "k") -> DataFrame:
+def disc_counts(cells: DataFrame, points: DataFrame, by: str, level: int = 8, radius_m: float = 400.0, key: str = "k") -> DataFrame:
     """``key, by, cnt``: points by kind within a disc around each cell; kinds without points are absent.
 
-    Points are first counted per fine bin, so what is joined is bins, however many points a bin has. The
-    disc is a constant list of offsets: each cell explodes to the bins that it covers and meets them in
-    an equi-join on (row, col).
+    Points are first counted per fine bin, so what is joined is bins, however many points a bin has. A bin
+    belongs to the disc when its centre does, with a degree of longitude as long as at the cell's own latitude,
+    rounded to a degree. In each row of bins the disc is a run of columns; bins are summed up to aligned blocks
+    of 1, 2, 4, ... columns beforehand, so a run meets a few blocks in an equi-join on (row, level, block).
     """
+    step = geo.SPAN / 4**level * METRES_PER_DEGREE
+    across = step * F.cos(F.radians(F.bround("lat", 0)))
+    reach = math.ceil(radius_m / step)
+    widest = math.ceil(radius_m / (step * math.cos(math.radians(geo.SOUTH + geo.SPAN)))) * 2 + 1
     bins = indexed(points, level).groupBy("row", "col", by).agg(F.count("*").alias("n"))
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in disc_offsets(level, lat, radius_m)])
-    covered = indexed(cells, level).select(key, "row", "col", F.explode(offsets).alias("o")).select(key, (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"))
-    return covered.join(bins, ["row", "col"]).groupBy(key, by).agg(F.sum("n").cast("long").alias("cnt"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(widest.bit_length())))
+    blocks = bins.withColumn("j", levels).groupBy("row", "j", F.floor(F.col("col") / F.pow(F.lit(2.0), F.col("j"))).alias("i"), by).agg(F.sum("n").alias("n"))
+    rows = indexed(cells, level).select(key, "row", "col", across.alias("across"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("r"))
+    rows = rows.filter(F.abs("r") * step <= radius_m).withColumn("w", F.floor(F.sqrt(F.lit(radius_m**2) - (F.col("r") * step) * (F.col("r") * step)) / F.col("across")))
+    covered = rows.select(key, (F.col("row") + F.col("r")).alias("row"), F.explode(runs(F.col("col") - F.col("w"), F.col("col") + F.col("w"), widest)).alias("b")).select(key, "row", "b.j", "b.i")
+    return covered.join(blocks, ["row", "j", "i"]).groupBy(key, by).agg(F.sum("n").cast("long").alias("cnt"))
 
 
 def dense_index(points: DataFrame, south: float, west: float, north: float, east: float, ny: int, nx: int) -> DataFrame:

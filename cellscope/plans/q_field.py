@@ -30,8 +30,8 @@ def pixel_bands(spark, d):
 
 
 def upsampled(spark, d):
-    k = c("p_partkey") - 1
-    r = g.table(spark, d, "part").filter("p_partkey <= 64 and p_partkey >= 1").select(F.floor(k / 8).alias("row"), (k % 8).alias("col"), ((k * 37) % 53).cast("double").alias("v"))
+    k = c("p_partkey")
+    r = g.table(spark, d, "part").groupBy(F.floor(k % 64 / 8).alias("row"), (k % 8).alias("col")).agg(F.max(k * 37 % 53).cast("double").alias("v"))
     return raster.upsample(r, 8, 29).select("row", "col", F.round("v", 6).alias("v"))
 
 
@@ -55,13 +55,15 @@ def mask_regions(spark, d):
 
 def connected_streets(spark, d):
     """Edges left when components under four nodes are gone, counted by their first node."""
-    e = g.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(c("o_custkey").alias("a"), (c("o_custkey") + 2 + c("o_orderkey") % 5).alias("b"), F.lit(1.0).alias("w"))
+    e = g.table(spark, d, "orders").select(c("o_custkey").alias("a"), (c("o_custkey") + 2 + c("o_orderkey") % 5).alias("b"), F.lit(1.0).alias("w"))
     return graph.without_isolates(e, 4).groupBy("a").agg(F.count("*").alias("n"))
 
 
 def street_closeness(spark, d):
-    e = graph.undirected(g.table(spark, d, "customer").select(c("c_custkey").alias("a"), ((c("c_custkey") * 7 + 1) % 60).alias("b"), (c("c_custkey") % 9 + 1.0).alias("m")).filter("a < 60"), "m")
-    return graph.closeness(e, e.select(c("a").alias("node")).filter("node % 10 = 0").distinct()).select("node", F.round("closeness", 6).alias("closeness"))
+    """Every node of a network of sixty places that all customers' ways make up."""
+    k = c("c_custkey")
+    e = graph.undirected(g.table(spark, d, "customer").select((k % 60).alias("a"), ((k * 7 + F.floor(k / 60)) % 60).alias("b"), (k * 11 % 97 + 1.0).alias("m")), "m")
+    return graph.closeness(e, graph.both_ways(e).select(c("a").alias("node")).distinct()).select("node", F.round("closeness", 6).alias("closeness"))
 
 
 def building_exposure(spark, d):
@@ -106,7 +108,7 @@ _POINT = lambda lat, lon: f"(SELECT {_TX} AS x, {_TY} AS y FROM (SELECT {lat}::D
 QUERIES = {
     "raster_window": (raster_window, f"SELECT r // 3 AS \"row\", c // 3 AS col, round(avg(v), 6) AS v FROM {_GRID} WHERE r BETWEEN 2 AND 40 AND c BETWEEN 3 AND 14 GROUP BY ALL"),
     "pixel_bands": (pixel_bands, f"SELECT k, {', '.join(f'max(l_quantity) FILTER (l_linenumber = {i}) AS b{i}' for i in range(1, 5))} FROM {g.SITE} JOIN lineitem ON k % 37 = l_orderkey % 37 AND k * 3 % 41 = l_orderkey % 41 WHERE l_linenumber <= 4 GROUP BY k"),
-    "upsampled": (upsampled, """WITH s AS (SELECT (p_partkey - 1) // 8 AS r, (p_partkey - 1) % 8 AS c, (((p_partkey - 1) * 37) % 53)::DOUBLE AS v FROM part WHERE p_partkey BETWEEN 1 AND 64), t AS (SELECT y, x, y * 7 / 28.0::DOUBLE AS py, x * 7 / 28.0::DOUBLE AS px FROM range(29) a(y), range(29) b(x)),
+    "upsampled": (upsampled, """WITH s AS (SELECT p_partkey % 64 // 8 AS r, p_partkey % 8 AS c, max((p_partkey * 37) % 53)::DOUBLE AS v FROM part GROUP BY ALL), t AS (SELECT y, x, y * 7 / 28.0::DOUBLE AS py, x * 7 / 28.0::DOUBLE AS px FROM range(29) a(y), range(29) b(x)),
         u AS (SELECT *, floor(py)::INT AS y0, floor(px)::INT AS x0, least(7, floor(py)::INT + 1) AS y1, least(7, floor(px)::INT + 1) AS x1 FROM t)
         SELECT y::INT AS "row", x::INT AS col, round(a.v * (1 - (px - x0)) * (1 - (py - y0)) + b.v * (px - x0) * (1 - (py - y0)) + e.v * (1 - (px - x0)) * (py - y0) + f.v * (px - x0) * (py - y0), 6) AS v FROM u JOIN s a ON a.r = y0 AND a.c = x0 JOIN s b ON b.r = y0 AND b.c = x1 JOIN s e ON e.r = y1 AND e.c = x0 JOIN s f ON f.r = y1 AND f.c = x1"""),
     "population_windows": (population_windows, f"SELECT k, round(coalesce(avg(v), 0), 6) AS v FROM {g.SITE} LEFT JOIN {_GRID} g ON r BETWEEN k * 7 % 60 - 2 AND k * 7 % 60 + 2 AND c BETWEEN k * 11 % 30 - 2 AND k * 11 % 30 + 2 GROUP BY k"),
@@ -114,9 +116,9 @@ QUERIES = {
     "mask_regions": (mask_regions, f"""WITH RECURSIVE m AS (SELECT r, c, r * 20 + c AS id FROM {_GRID} WHERE v < 20), w(id, lab) AS (SELECT id, id FROM m UNION SELECT b.id, w.lab FROM w JOIN m a ON a.id = w.id JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), l AS (SELECT id, min(lab) AS region FROM w GROUP BY id)
         SELECT region, count(*) AS cells, min(r) AS south, min(c) AS west, max(r) AS north, max(c) AS east FROM l JOIN m USING (id) GROUP BY region HAVING count(*) >= 3"""),
     "connected_streets": (connected_streets, None),
-    "street_closeness": (street_closeness, """WITH RECURSIVE e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM (SELECT c_custkey AS a, (c_custkey * 7 + 1) % 60 AS b, c_custkey % 9 + 1 AS w FROM customer WHERE c_custkey < 60) WHERE a <> b GROUP BY ALL), t AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
-        p(s, n, cost) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a % 10 = 0 UNION SELECT s, b, cost + w FROM p JOIN t ON n = a WHERE cost + w <= 60), f AS (SELECT s, n, min(cost) AS cost FROM p GROUP BY ALL)
-        SELECT s AS node, round(CASE WHEN sum(cost) > 0 THEN (count(*) - 1) / sum(cost)::DOUBLE * ((count(*) - 1) / ((SELECT count(DISTINCT a) FROM t) - 1)::DOUBLE) ELSE 0 END, 6) AS closeness FROM f GROUP BY s"""),
+    "street_closeness": (street_closeness, """WITH e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM (SELECT c_custkey % 60 AS a, (c_custkey * 7 + c_custkey // 60) % 60 AS b, (c_custkey * 11 % 97 + 1)::DOUBLE AS w FROM customer) WHERE a <> b GROUP BY ALL),
+        d0 AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e UNION SELECT a, a, 0.0::DOUBLE FROM e UNION SELECT b, b, 0.0::DOUBLE FROM e), d1 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d0 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d0 x JOIN d0 y ON x.b = y.a) GROUP BY ALL), d2 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d1 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d1 x JOIN d1 y ON x.b = y.a) GROUP BY ALL), d3 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d2 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d2 x JOIN d2 y ON x.b = y.a) GROUP BY ALL), d4 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d3 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d3 x JOIN d3 y ON x.b = y.a) GROUP BY ALL), d5 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d4 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d4 x JOIN d4 y ON x.b = y.a) GROUP BY ALL), d6 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d5 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d5 x JOIN d5 y ON x.b = y.a) GROUP BY ALL)
+        SELECT a AS node, round((count(*) - 1) / sum(w) * ((count(*) - 1) / ((SELECT count(DISTINCT a) FROM d0) - 1)::DOUBLE), 6) AS closeness FROM d6 GROUP BY a"""),
     "building_exposure": (building_exposure, f"""WITH b AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS id, count(*) OVER () AS n FROM {g.SITE}), s AS (SELECT * FROM b WHERE id % greatest(1, n // least(50, n)) = 0 AND id / greatest(1, n // least(50, n)) < 50)
         SELECT CASE WHEN k // 7 % 10 < 2 THEN 'high' WHEN k // 7 % 10 < 5 THEN 'medium' ELSE 'low' END AS risk, count(*) AS sampled, floor(count(*) * max(n) / least(50, max(n))::DOUBLE + 0.5::DOUBLE)::BIGINT AS estimated FROM s GROUP BY 1"""),
     "norm_gaps": (norm_gaps, """SELECT c_nationkey, kind, need, have, need - have AS gap FROM (SELECT c_nationkey, unnest(['school', 'clinic', 'park']) AS kind, unnest([ceil(count(*) / 40)::BIGINT, ceil(count(*) / 100)::BIGINT, ceil(count(*) / 25)::BIGINT]) AS need,

@@ -134,7 +134,7 @@ def _reply():
 def reply_directives(spark, d):
     x = g.table(spark, d, "customer").select("c_custkey", F.posexplode(streets.directives(_reply())).alias("i", "a"))
     get = lambda n: F.try_element_at("a.params", F.lit(n)).alias(n)
-    return x.select("c_custkey", "i", "a.type", get("lat"), get("name"), get("id"))
+    return x.select("c_custkey", "i", "a.type", get("lat"), get("name"), get("id"), F.try_element_at("a.numbers", F.lit("lat")).alias("lat_number"))
 
 
 def reply_text(spark, d):
@@ -231,7 +231,7 @@ QUERIES = {
         (SELECT k, p, list({{'a': p, 'n': 1 - d / r, 'c': area * 6}} ORDER BY d, t) AS l FROM (SELECT e.k, s.k AS t, (e.k % 6000 + 100)::DOUBLE AS p, s.k % 400 * 1.5::DOUBLE + 10 AS area, {g.haversine_sql('e', 's')} * 1000 AS d,
         CASE WHEN e.k % 6000 + 100 <= 500 THEN 300.0::DOUBLE WHEN e.k % 6000 + 100 <= 1000 THEN 500 WHEN e.k % 6000 + 100 <= 2000 THEN 800 WHEN e.k % 6000 + 100 <= 5000 THEN 1200 ELSE 1800 END AS r FROM {g.FACILITY} e, {g.SITE} s) WHERE d <= r GROUP BY k, p)"""),
     "question_context": (question_context, f"SELECT {_CONTEXT} AS context, count(*) AS n FROM (SELECT ([{', '.join(repr(q) for q in QUESTIONS)}])[c_custkey % 8 + 1] AS q FROM customer) GROUP BY 1"),
-    "reply_directives": (reply_directives, """SELECT c_custkey, 0 AS i, 'fly_to' AS type, '7' AS lat, 'two words' AS name, NULL::VARCHAR AS id FROM customer UNION ALL SELECT c_custkey, 1, 'layer', NULL, NULL, 'a b' FROM customer"""),
+    "reply_directives": (reply_directives, """SELECT c_custkey, 0 AS i, 'fly_to' AS type, '7' AS lat, 'two words' AS name, NULL::VARCHAR AS id, 7.0::DOUBLE AS lat_number FROM customer UNION ALL SELECT c_custkey, 1, 'layer', NULL, NULL, 'a b', NULL FROM customer"""),
     "reply_text": (reply_text, f"""SELECT trim(regexp_replace(array_to_string(list_filter(string_split({_REPLY}, '\n'), lambda x: NOT regexp_matches(x, '^\\s*\\[ACTION\\]\\s')), '\n'), '\n{{3,}}', '\n\n', 'g')) AS shown, count(*) AS n FROM customer GROUP BY 1"""),
     "utilities": (utilities, """SELECT l_suppkey, CASE WHEN u > 0 AND o > 0 THEN 'mixed' WHEN u > 0 THEN 'underground' WHEN o > 0 OR s > 0 OR t > 0 THEN 'overhead' ELSE 'unknown' END AS supply, CASE WHEN m % 10 <> 0 THEN 100 - m % 101 END AS noise,
         CASE WHEN m % 10 = 0 THEN NULL WHEN 100 - m % 101 <= 25 THEN 'good' WHEN 100 - m % 101 <= 50 THEN 'moderate' WHEN 100 - m % 101 <= 70 THEN 'elevated' ELSE 'high' END AS status FROM (SELECT l_suppkey, count(*) FILTER (l_linenumber IN (1, 2) AND l_quantity > 48) AS o,

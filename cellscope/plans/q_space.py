@@ -10,6 +10,7 @@ from . import geography as g
 
 BOX = (22.5, 75.6, 22.9, 76.0)  # south, west, north, east
 NY, NX = 40, 40
+SHIFTS = (-13, 0, 12)  # degrees of latitude
 RING = [(75.65, 22.55), (75.95, 22.6), (75.9, 22.85), (75.75, 22.7), (75.62, 22.8)]
 
 
@@ -44,7 +45,9 @@ def feature_counts(spark, d):
 
 
 def disc_kernel_counts(spark, d):
-    return grid.disc_counts(g.sites(spark, d), g.pois(spark, d), "tag")
+    """Three times the same places, moved north and south: a disc is as many columns wide as its latitude asks for."""
+    moved = lambda p: p.withColumn("by", F.explode(F.array(*map(F.lit, SHIFTS)))).withColumns({"k": F.concat_ws(":", "by", "k"), "lat": F.col("lat") + F.col("by")})
+    return grid.disc_counts(moved(g.sites(spark, d)), moved(g.pois(spark, d)), "tag")
 
 
 def _cell_features(spark, d):
@@ -150,8 +153,12 @@ _IDX = "(greatest(0, least(39, 39 - floor((lat - 22.5::DOUBLE) / {h!r}::DOUBLE))
 _IN = "lon >= 75.6::DOUBLE AND lon < 76.0::DOUBLE AND lat >= 22.5::DOUBLE AND lat < 22.9::DOUBLE"
 
 
-def _offsets_sql(level=8, radius=400.0, lat=22.7):
-    return "(VALUES " + ", ".join(f"({r}, {c})" for r, c in grid.disc_offsets(level, lat, radius)) + ") o(dr, dc)"
+def _offsets_sql(level=8, radius=400.0):
+    """Offsets (dr, dc) of the bins of a disc for each whole degree of latitude."""
+    step = 36 / 4**level * 111320.0
+    reach = int(radius / step) + 2
+    return f"""(SELECT band, dr, dc FROM range(2, 40) a(band), range({-reach}, {reach + 1}) b(dr), range({-2 * reach}, {2 * reach + 1}) c(dc)
+      WHERE pow(dr * {step!r}::DOUBLE, 2) + pow(dc * {step!r}::DOUBLE * cos(radians(band)), 2) <= {radius**2!r}::DOUBLE) o"""
 
 
 _CELLS = f"""(SELECT {g.code_sql('r', 'c', 6)} AS code, r AS row, c AS col, 2.5::DOUBLE + (r + 0.5::DOUBLE) * {36 / 4**6!r}::DOUBLE AS lat, 63.5::DOUBLE + (c + 0.5::DOUBLE) * {36 / 4**6!r}::DOUBLE AS lon
@@ -162,8 +169,8 @@ _CLASSIFY = f"SELECT DISTINCT p.k, r.category, r.feature FROM {g.POI} p JOIN {_T
 _COMPOSITE = f"""
 WITH kinds AS (SELECT e.k, e.category, e.feature, p.lat, p.lon FROM ({_CLASSIFY}) e JOIN {g.POI} p ON p.k = e.k),
 bins AS (SELECT {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c, category, feature, count(*) AS n FROM kinds GROUP BY ALL),
-cells AS (SELECT code AS k, {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c FROM {_CELLS}),
-counts AS (SELECT x.k, b.category, b.feature, sum(b.n)::DOUBLE AS cnt FROM cells x, {_offsets_sql(radius=1500.0)}, bins b WHERE b.r = x.r + o.dr AND b.c = x.c + o.dc GROUP BY ALL)
+cells AS (SELECT code AS k, {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c, round_even(lat, 0) AS band FROM {_CELLS}),
+counts AS (SELECT x.k, b.category, b.feature, sum(b.n)::DOUBLE AS cnt FROM cells x, {_offsets_sql(radius=1500.0)}, bins b WHERE o.band = x.band AND b.r = x.r + o.dr AND b.c = x.c + o.dc GROUP BY ALL)
 {scores.composite_sql('cells', 'counts')}"""
 _CATALOG = "(VALUES " + ", ".join(f"('{q}', '{s}', {w}::DOUBLE)" for q, weights in scores.CATALOG.items() for s, w in weights.items()) + ") w(query, score_id, weight)"
 _LONG = "(UNPIVOT ({}) ON COLUMNS (* EXCLUDE (k)) INTO NAME score_id VALUE v)".format(_COMPOSITE)
@@ -193,9 +200,10 @@ QUERIES = {
     "cell_hierarchy_rollup": (cell_hierarchy_rollup, f"SELECT level::INT AS level, left(code, level::BIGINT) AS ancestor, count(*) AS n FROM (SELECT {g.code_sql(g.row_sql('lat', 8), g.col_sql('lon', 8), 8)} AS code FROM {g.SITE}), range(4, 9) l(level) GROUP BY ALL"),
     "tag_classify": (tag_classify, _CLASSIFY),
     "feature_counts": (feature_counts, f"SELECT category, feature, count(*) AS n FROM ({_CLASSIFY}) GROUP BY ALL"),
-    "disc_kernel_counts": (disc_kernel_counts, f"""WITH bins AS (SELECT {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c, tag, count(*) AS n FROM {g.POI} GROUP BY ALL),
-        cells AS (SELECT k, {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c FROM {g.SITE})
-        SELECT x.k, b.tag, sum(b.n)::BIGINT AS cnt FROM cells x, {_offsets_sql()}, bins b WHERE b.r = x.r + o.dr AND b.c = x.c + o.dc GROUP BY ALL"""),
+    "disc_kernel_counts": (disc_kernel_counts, f"""WITH moved(by_) AS (VALUES {", ".join(f"({x})" for x in SHIFTS)}),
+        bins AS (SELECT {g.row_sql('(lat + by_)', 8)} AS r, {g.col_sql('lon', 8)} AS c, tag, count(*) AS n FROM {g.POI}, moved GROUP BY ALL),
+        cells AS (SELECT by_ || ':' || k AS k, {g.row_sql('(lat + by_)', 8)} AS r, {g.col_sql('lon', 8)} AS c, round_even(lat + by_, 0) AS band FROM {g.SITE}, moved)
+        SELECT x.k, b.tag, sum(b.n)::BIGINT AS cnt FROM cells x, {_offsets_sql()}, bins b WHERE o.band = x.band AND b.r = x.r + o.dr AND b.c = x.c + o.dc GROUP BY ALL"""),
     "composite_scores": (composite_scores, _COMPOSITE),
     "rank_query_topk": (rank_query_topk, f"SELECT k, score FROM ({_RANKED}) WHERE query = 'family' ORDER BY score DESC, k LIMIT 10"),
     "rank_catalog": (rank_catalog, f"SELECT query, k, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, k) AS rank FROM ({_RANKED})) WHERE rank <= 3"),

@@ -14,9 +14,13 @@ c = F.col
 
 
 def _edges(spark, d):
-    """Suppliers and parts' groups as nodes; an edge for each large line."""
-    x = g.table(spark, d, "lineitem").filter("l_quantity >= 50 and l_linenumber = 1")
-    return graph.undirected(x.select(c("l_suppkey").alias("a"), (c("l_partkey") % 300 + 1000).alias("b"), c("l_tax").alias("t")), "t")
+    """Towns of forty customers: everyone has a street to someone before them in town, every fourth a second one."""
+    k = c("c_custkey")
+    town = k - k % 40
+    first, second = F.greatest(town, k - 1 - k * k % 9), F.greatest(town, k - 2)
+    s = g.table(spark, d, "customer")
+    own = s.select(k.alias("a"), first.alias("b"), ((k % 9 + 1) / 10.0).alias("t")).unionByName(s.filter(k % 4 == 0).select(k.alias("a"), second.alias("b"), ((k % 7 + 1) / 10.0).alias("t")))
+    return graph.undirected(own, "t")
 
 
 def node_degrees(spark, d):
@@ -92,7 +96,9 @@ def stream_dedupe(spark, d):
     return ingest.run_to_end(seen, f"dedupe_{uuid.uuid4().hex}", "append")
 
 
-_E = """(SELECT least(a, b) AS a, greatest(a, b) AS b, min(greatest(0.1, t)) AS w FROM (SELECT l_suppkey AS a, l_partkey % 300 + 1000 AS b, l_tax AS t FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1) WHERE a <> b GROUP BY ALL)"""
+_E = """(SELECT least(a, b) AS a, greatest(a, b) AS b, min(greatest(0.1::DOUBLE, t)) AS w FROM (
+    SELECT c_custkey AS a, greatest(c_custkey - c_custkey % 40, c_custkey - 1 - c_custkey * c_custkey % 9) AS b, (c_custkey % 9 + 1) / 10.0::DOUBLE AS t FROM customer
+    UNION ALL SELECT c_custkey, greatest(c_custkey - c_custkey % 40, c_custkey - 2), (c_custkey % 7 + 1) / 10.0::DOUBLE FROM customer WHERE c_custkey % 4 = 0) WHERE a <> b GROUP BY ALL)"""
 _BOTH = f"(SELECT a, b FROM {_E} UNION ALL SELECT b, a FROM {_E})"
 _DEM = "(SELECT (l_partkey % 40)::INT AS row, (l_suppkey % 40)::INT AS col, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY ALL)"
 _URBAN = f"(SELECT row, col, (CASE WHEN v > 27 THEN 1.0 ELSE 0.0 END)::DOUBLE AS v FROM {_DEM})"
@@ -108,7 +114,9 @@ QUERIES = {
     "node_degrees": (node_degrees, f"SELECT a AS node, count(*) AS degree, round(count(*) / (count(*) OVER () - 1)::DOUBLE, 6) AS centrality FROM {_BOTH} GROUP BY a"),
     "graph_components": (graph_components, f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_BOTH}), r AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node)
         SELECT node, min(label) AS component FROM r GROUP BY node"""),
-    "graph_bridges": (graph_bridges, None),
+    "graph_bridges": (graph_bridges, f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {_E}), t AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT a AS ea, b AS eb, a AS node FROM e UNION SELECT r.ea, r.eb, t.b FROM r JOIN t ON t.a = r.node WHERE NOT (least(t.a, t.b) = r.ea AND greatest(t.a, t.b) = r.eb))
+        SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.ea = e.a AND r.eb = e.b AND r.node = e.b)"""),
     "edge_betweenness": (edge_betweenness, None),
     "greedy_clusters": (greedy_clusters, None),
     "raster_slope": (raster_slope, f"""SELECT row, col, round(degrees(atan(sqrt(pow({_DIFF('n', 's', 10)}, 2) + pow({_DIFF('w', 'e', 10)}, 2)))), 5) AS slope FROM (SELECT x.row, x.col, x.v AS o, n.v AS n, s.v AS s, w.v AS w, e.v AS e FROM {_DEM} x

@@ -116,7 +116,8 @@ def full_outer_compare(spark, d):
 
 
 def seen_anti_join(spark, d):
-    return tables.unseen(t(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey")), t(spark, d, "orders"), "o_custkey")
+    """Events of users without a large order."""
+    return tables.unseen(t(spark, d, "events").select("event_id", F.col("user_id").alias("o_custkey")), t(spark, d, "orders").filter("o_totalprice > 400000"), "o_custkey")
 
 
 def exists_semi_join(spark, d):
@@ -144,7 +145,7 @@ def merge_reissue(spark, d):
     """Trips of two sets in order of departure with new consecutive ids."""
     o = t(spark, d, "orders")
     both = o.filter("o_orderkey % 2 = 0").select(F.lit("a").alias("s"), "o_orderkey", "o_orderdate").unionByName(o.filter("o_orderkey % 2 = 1").select(F.lit("b").alias("s"), "o_orderkey", "o_orderdate"))
-    return both.select("s", "o_orderkey", (F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1).alias("id"))
+    return tables.sequential_ids(both, ["o_orderdate", "o_orderkey"]).select("s", "o_orderkey", "id")
 
 
 def shared_endpoint(spark, d):
@@ -234,13 +235,13 @@ QUERIES = {
     "topn_per_key": (topn_per_key, "SELECT s_nationkey, s_suppkey, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) WHERE r <= 3"),
     "full_outer_compare": (full_outer_compare, """SELECT y::INT AS y, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) a
         FULL OUTER JOIN (SELECT year(l_shipdate) + 1 AS y, count(*) AS n FROM lineitem GROUP BY 1) b USING (y)"""),
-    "seen_anti_join": (seen_anti_join, "SELECT event_id, user_id AS o_custkey FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id)"),
+    "seen_anti_join": (seen_anti_join, "SELECT event_id, user_id AS o_custkey FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = user_id AND o_totalprice > 400000)"),
     "exists_semi_join": (exists_semi_join, "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)"),
     "upsert_by_key": (upsert_by_key, "SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'new' ELSE 'old' END AS state FROM supplier"),
     "set_except_intersect": (set_except_intersect, """SELECT n, 'both' AS part FROM (SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)
         UNION ALL SELECT n, 'customers only' FROM (SELECT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)"""),
     "dedupe_first": (dedupe_first, "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type"),
-    "merge_reissue": (merge_reissue, "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS s, o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::INT AS id FROM orders"),
+    "merge_reissue": (merge_reissue, "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS s, o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS id FROM orders"),
     "shared_endpoint": (shared_endpoint, f"""WITH r AS (SELECT k, class, round(lat1, 5) AS y, round(lon1, 5) AS x FROM {g.ROAD}), n AS (SELECT y, x, count(*) AS n, max(class) AS widest, min(class) AS low FROM r GROUP BY ALL)
         SELECT k, n - 1 AS neighbours, widest, low FROM r JOIN n USING (y, x) WHERE n > 1"""),
     "node_degree": (node_degree, f"SELECT lat, lon, count(*) AS degree FROM (SELECT round(lat1, 5) AS lat, round(lon1, 5) AS lon FROM {g.ROAD} UNION ALL SELECT round(lat2, 5), round(lon2, 5) FROM {g.ROAD}) GROUP BY ALL HAVING count(*) >= 4"),

@@ -16,7 +16,7 @@ def _docs(spark, d):
 
 
 def alert_infer(spark, d):
-    return _docs(spark, d).select("doc_id", x.first_match(c("text"), x.SEVERITY, "Minor").alias("severity"), x.first_match(F.left("text", F.lit(200)), x.CATEGORY, "Other").alias("category"))
+    return _docs(spark, d).select("doc_id", x.first_match(c("text"), x.SEVERITY, "Minor").alias("severity"), x.first_match(c("text"), x.CATEGORY, "Other").alias("category"))
 
 
 def alert_filter(spark, d):
@@ -54,7 +54,7 @@ def lexicon_weights(spark, d):
 
 
 def question_normalise(spark, d):
-    return g.table(spark, d, "conversations").select("conv_id", "turn", x.normal_question(F.concat(F.lit("  "), F.left("text", F.lit(60)), F.lit(" ?! "))).alias("key"))
+    return g.table(spark, d, "conversations").select("conv_id", "turn", x.normal_question(F.concat(F.lit("  "), c("text"), F.lit(" ?! "))).alias("key"))
 
 
 def csv_guard(spark, d):
@@ -77,7 +77,7 @@ def staleness(spark, d):
 
 def training_shapes(spark, d):
     """Instruction pairs: each user turn with the answer that follows it, in the three usual shapes."""
-    t = g.table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", "role", F.left("text", F.lit(80)).alias("text"))
+    t = g.table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", "role", "text")
     a = t.select("conv_id", (c("turn") - 1).alias("turn"), c("role").alias("r2"), c("text").alias("answer"))
     p = t.filter("role = 'user'").join(a.filter("r2 = 'assistant'"), ["conv_id", "turn"])
     return p.select("conv_id", "turn", c("text").alias("instruction"), F.lit("").alias("input"), c("answer").alias("output"), F.concat_ws("|", F.lit("human"), "text", F.lit("gpt"), "answer").alias("shared"))
@@ -138,19 +138,19 @@ _BAD = r"""SELECT event_id AS id, 'event_type' AS "column", 'one_of' AS rule FRO
     SELECT event_id, 'props', 'matches' FROM events WHERE NOT regexp_matches(props, '\{.*\}')"""
 
 QUERIES = {
-    "alert_infer": (alert_infer, f"SELECT doc_id, {_ROUTE('text', x.SEVERITY, 'Minor')} AS severity, {_ROUTE('left(text, 200)', x.CATEGORY, 'Other')} AS category FROM documents"),
+    "alert_infer": (alert_infer, f"SELECT doc_id, {_ROUTE('text', x.SEVERITY, 'Minor')} AS severity, {_ROUTE('text', x.CATEGORY, 'Other')} AS category FROM documents"),
     "alert_filter": (alert_filter, "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase') AND (contains(event_type, 'err') OR contains(lower(props), 'a'))"),
     "html_strip": (html_strip, f"SELECT page_id, md5({_STRIP}) AS digest, length({_STRIP})::INT AS n FROM pages"),
     "json_extract": (json_extract, r"SELECT event_id, CASE WHEN json_valid(regexp_extract(props, '(?s)\{.*\}')) THEN regexp_extract(props, '(?s)\{.*\}') END AS json FROM events"),
     "intent_route": (intent_route, f"SELECT conv_id, turn, {_ROUTE('text', x.ROUTES, 'best_residential')} AS query FROM conversations"),
     "lexicon_weights": (lexicon_weights, _lexicon_sql()),
-    "question_normalise": (question_normalise, r"SELECT conv_id, turn, regexp_replace(regexp_replace(trim(lower('  ' || left(text, 60) || ' ?! '), ' '), '\s+', ' ', 'g'), '[?.!,;]+$', '') AS key FROM conversations"),
+    "question_normalise": (question_normalise, r"SELECT conv_id, turn, regexp_replace(regexp_replace(trim(lower('  ' || text || ' ?! '), ' '), '\s+', ' ', 'g'), '[?.!,;]+$', '') AS key FROM conversations"),
     "csv_guard": (csv_guard, r"SELECT p_partkey, CASE WHEN regexp_matches(s, '^\s*[=+\-@]') THEN '''' || s ELSE s END AS cell FROM (SELECT p_partkey, (['=', '+', 'x', ' -', '@', ''])[p_partkey % 6 + 1] || p_partkey AS s FROM part)"),
     "time_and_units": (time_and_units, """SELECT o_orderkey, round(o_orderkey % 30 * 60 + o_orderkey % 60 + (o_orderkey * 7 % 60) / 60.0::DOUBLE, 6) AS minutes, (o_orderkey % 97) / 10.0::DOUBLE AS width,
         CASE WHEN o_orderkey * 37 % 4000 < 1000 THEN (o_orderkey * 37 % 4000)::VARCHAR || ' m' ELSE round((o_orderkey * 37 % 4000) / 1000.0::DOUBLE, 1)::VARCHAR || ' km' END AS label, {slug} AS slug FROM orders"""),
     "staleness": (staleness, """SELECT event_id, age AS age_min, age > 120 AS stale, CASE WHEN age < 60 THEN age || ' min' WHEN age < 1440 THEN age // 60 || ' h' ELSE age // 1440 || ' d' END AS label
         FROM (SELECT event_id, greatest(0, floor((1706750000 - floor(epoch(ts))) / 60))::BIGINT AS age FROM events)"""),
-    "training_shapes": (training_shapes, """SELECT u.conv_id, u.turn, left(u.text, 80) AS instruction, '' AS input, left(a.text, 80) AS output, 'human|' || left(u.text, 80) || '|gpt|' || left(a.text, 80) AS shared
+    "training_shapes": (training_shapes, """SELECT u.conv_id, u.turn, u.text AS instruction, '' AS input, a.text AS output, 'human|' || u.text || '|gpt|' || a.text AS shared
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND u.text IS NOT NULL AND a.text IS NOT NULL"""),
     "quality_rules": (quality_rules, _BAD),
     "quality_unique": (quality_unique, "SELECT event_id AS id, user_id AS key, min(event_id) OVER (PARTITION BY user_id) AS first_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1"),

@@ -19,11 +19,14 @@ def session(app: str = "cellscope", **conf: str) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage by a table in the folder of ``spark.checkpoint.dir``, which executors share.
 
-    In a session without that setting, as in tests, a temporary folder takes its place.
+    In a local session without that setting, as in tests, a temporary folder takes its place; on a cluster,
+    where it would be another folder on every machine, that is an error.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellscope-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/cellscope/step-{uuid.uuid4().hex}"

@@ -15,15 +15,24 @@ def write_shards(scores: DataFrame, path: str, region: str, prefix_len: int = 4)
 
 
 def upsert_manifest(spark: SparkSession, path: str, entry: DataFrame, key: str = "name") -> DataFrame:
-    """The manifest with the entry's rows in place of those of the same name; a new version beside the old."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    old = spark.read.schema(entry.schema).json(path) if there else entry.limit(0)
+    """The manifest with the entry's rows in place of those of the same name: a new version in a folder beside the old.
+
+    ``path`` holds folders ``v00000001``, ``v00000002``, ...; a version counts once its _SUCCESS file is there, so
+    a failure while one is written leaves the version before it in force. Older versions stay.
+    """
+    hadoop = _hadoop_path(spark, path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(f.getPath().getName()) for f in files.listStatus(hadoop) if files.exists(_hadoop_path(spark, f"{path}/{f.getPath().getName()}/_SUCCESS"))] if files.exists(hadoop) else []
+    last = max(done, default=None)
+    old = spark.read.schema(entry.schema).json(f"{path}/{last}") if last else entry.limit(0)
     rows = old.join(entry.select(key), key, "left_anti").unionByName(entry)
-    kept = [r.asDict(recursive=True) for r in rows.orderBy(key).collect()]  # one row per region
-    fresh = spark.createDataFrame(kept, entry.schema)
-    fresh.coalesce(1).write.mode("overwrite").json(path)
-    return fresh
+    version = f"{path}/v{int(last[1:]) + 1 if last else 1:08d}"
+    rows.coalesce(1).write.mode("overwrite").json(version)
+    return spark.read.schema(entry.schema).json(version)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def write_feature_collection(features: DataFrame, path: str) -> None:

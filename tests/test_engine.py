@@ -71,7 +71,34 @@ def test_disc_reaches_300_but_not_600_metres(spark):
     lat, lon = 22.72, 75.86
     points = spark.createDataFrame([(1, lat, lon, 7), (2, lat + 300 / 111320, lon, 7), (3, lat + 600 / 111320, lon, 7)], "k long, lat double, lon double, tag int")
     cells = spark.createDataFrame([("c", lat, lon)], "k string, lat double, lon double")
-    assert grid.disc_counts(cells, points, "tag", lat=lat).collect()[0]["cnt"] == 2
+    assert grid.disc_counts(cells, points, "tag").collect()[0]["cnt"] == 2
+
+
+BUILT = (
+    "building_density", "vertical_development", "fsi_intensity", "height_diversity", "type_mix", "material_quality", "development_potential", "redevelopment_index", "urban_compactness", "modernization",
+)
+
+
+@pytest.mark.parametrize("lat", [4.3, 22.7, 37.2])
+def test_disc_is_as_wide_as_its_latitude(spark, lat):
+    """Bins by brute force: centres within the radius, longitude as long as at the cell's rounded latitude."""
+    import math
+    import random
+
+    r, step = random.Random(1), 36 / 4**8
+    points = [(i, lat + r.uniform(-0.02, 0.02), 75.0 + r.uniform(-0.02, 0.02), i % 3) for i in range(3000)]
+    cells = [(f"c{i}", lat + r.uniform(-0.01, 0.01), 75.0 + r.uniform(-0.01, 0.01)) for i in range(20)]
+    at = lambda la, lo: (math.floor((la - 2.5) / step), math.floor((lo - 63.5) / step))
+    expect = {}
+    for k, la, lo in cells:
+        row, col = at(la, lo)
+        for _, pla, plo, tag in points:
+            y, x = at(pla, plo)
+            dy, dx = (y - row) * step * 111_320, (x - col) * step * 111_320 * math.cos(math.radians(round(la)))
+            if dy * dy + dx * dx <= 700**2:
+                expect[k, tag] = expect.get((k, tag), 0) + 1
+    found = grid.disc_counts(spark.createDataFrame(cells, "k string, lat double, lon double"), spark.createDataFrame(points, "k long, lat double, lon double, tag int"), "tag", radius_m=700.0)
+    assert {(x["k"], x["tag"]): x["cnt"] for x in found.collect()} == expect
 
 
 def test_ranking(spark):
@@ -79,7 +106,7 @@ def test_ranking(spark):
     r = {x["k"]: x["score"] for x in scores.rank(s, {"green": 2.0, "safety": 1.0}).collect()}
     assert r == {"a": pytest.approx(250 / 3), "b": 30.0, "c": 0.0}
     assert len(scores.CATALOG) == 45
-    assert {s for w in scores.CATALOG.values() for s in w} <= set(scores.SHORT.values())
+    assert {s for w in scores.CATALOG.values() for s in w} <= set(scores.WEIGHTED) | set(scores.LIVABILITY) | {"livability", "population_proxy", "religious_diversity", "flood_risk"} | set(BUILT)
 
 
 def test_religious_diversity(spark):
@@ -196,6 +223,9 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.upsert_manifest(spark, f"{d}/manifest", m)
     again = sinks.upsert_manifest(spark, f"{d}/manifest", m.withColumn("level", F.lit(7)).unionByName(spark.createDataFrame([("r2", 6)], m.schema)))
     assert sorted(map(tuple, again.collect())) == [("r1", 7), ("r2", 6)]
+    assert spark.read.json(f"{d}/manifest/v00000001").count() == 1  # the version before is still there
+    (tmp_path / "manifest" / "v00000003").mkdir()  # one that was never finished doesn't count
+    assert sinks.upsert_manifest(spark, f"{d}/manifest", m.limit(0)).count() == 2
     sinks.append_csv(spark.createDataFrame([("=x", ["a", "b"])], "t string, l array<string>"), f"{d}/out")
     assert spark.read.option("header", True).csv(f"{d}/out").first() == ("'=x", "a; b")
 
@@ -256,7 +286,7 @@ def test_tags_and_directives(spark):
     assert [one(spark, a=streets.width(lit(w), lit(n), lit(k))) for w, n, k in (("5 m", "2", "trunk"), ("x", "2", "trunk"), ("0", "0", "steps"), ("-1m", "a", "other"))] == [5, 7, 1.5, 4]
     assert one(spark, a=streets.width(none, none, none)) == 4
     got = one(spark, a=streets.directives(lit("[ACTION] Go a:1 b:'x y' a:2\n[ACTION]\nnone [ACTION] z")))
-    assert [(r["type"], dict(r["params"])) for r in got] == [("go", {"a": "2", "b": "x y"})]
+    assert [(r["type"], dict(r["params"]), dict(r["numbers"])) for r in got] == [("go", {"a": "2", "b": "x y"}, {"a": 2.0})]
     assert one(spark, a=streets.directives(lit("")), b=streets.without_directives(lit("a\n[ACTION] x\nb"))) == ([], "a\nb")
     assert [one(spark, a=streets.context(lit(q))) for q in ("What does it need?", "AQI now", "hello")] == ["planning", "environment", "general"]
 
