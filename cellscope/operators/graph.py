@@ -178,17 +178,19 @@ def greedy_clusters(points: DataFrame, metres: float, by: str) -> DataFrame:
     return points.select(by, "seq", "lat", "lon").groupBy(by).applyInPandas(run, f"{by} {kind}, seq long, cluster long")
 
 
-def reachable_within(edges: DataFrame, sources: DataFrame, limit: float, rounds: int = 64) -> DataFrame:
-    """``source, node, cost``: nodes within a cost of each source, by bounded relaxation (an isochrone)."""
-    step = durable(both_ways(edges))
+def reachable_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """``source, node, cost``: nodes within a cost of each source, by relaxation until nothing changes (an isochrone).
+
+    Each round joins only what the round before has improved; costs are positive, so there is an end.
+    """
+    step = durable(both_ways(edges).withColumnRenamed("a", "node"))
     best = durable(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")))
     edge = best
-    for _ in range(rounds):
-        new = edge.join(step.withColumnRenamed("a", "node"), "node").select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).filter(F.col("cost") <= limit)
-        merged = durable(best.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0))).groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("old", F.struct("cost", -F.col("old"))).alias("old")))
+    while not edge.isEmpty():
+        new = edge.join(step, "node").select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).filter(F.col("cost") <= limit)
+        both = best.withColumn("old", F.lit(1)).unionByName(new.withColumn("old", F.lit(0)))
+        merged = durable(both.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("old", F.struct("cost", -F.col("old"))).alias("old")))
         best, edge = merged.select("source", "node", "cost"), merged.filter("old = 0").select("source", "node", "cost")
-        if edge.isEmpty():
-            break
     return best
 
 
@@ -202,7 +204,7 @@ def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     Every source costs a table of all nodes that it reaches; name the sources to bound that.
     """
     n = both_ways(edges).select("a").distinct().count()
-    far = reachable_within(edges, sources, float("inf"), rounds=n)
+    far = reachable_within(edges, sources, float("inf"))
     g = far.groupBy(F.col("source").alias("node")).agg((F.count("*") - 1).alias("m"), F.sum("cost").alias("total"))
     value = F.when(F.col("total") > 0, F.col("m") / F.col("total") * (F.col("m") / F.lit(float(max(1, n - 1))))).otherwise(0.0)
     return g.select("node", value.alias("closeness"))

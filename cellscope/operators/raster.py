@@ -58,24 +58,26 @@ def local_minima(r: DataFrame, reach: int = 1) -> DataFrame:
     return r.join(around, ["row", "col"]).filter("v < m").select("row", "col")
 
 
-def flow_accumulation(direction: DataFrame, rounds: int = 10_000, weights: DataFrame | None = None) -> DataFrame:
+def flow_accumulation(direction: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``row, col, cells``: how many cells drain through each cell, itself included; with ``weights(row, col, w)`` their sum.
 
     Counts walk downstream one step per round from all cells at once; a round's table only holds what
-    is still moving, and what has met on a cell moves on as one sum.
+    is still moving, and what has met on a cell moves on as one sum. Directions that run in a circle are an error.
     """
     down = durable(direction.select("row", "col", (F.col("row") + F.col("dr")).alias("r2"), (F.col("col") + F.col("dc")).alias("c2")))
     start = down.select("row", "col", F.lit(1).cast("long").alias("n"))
     if weights is not None:
         start = durable(down.select("row", "col").join(weights, ["row", "col"], "left").select("row", "col", F.coalesce("w", F.lit(0.0)).alias("n")))
     moving, parts = start, [start]
-    for _ in range(rounds):
+    for _ in range(down.count() + 1):  # no path is longer than there are cells
         moving = durable(moving.join(down.filter("r2 is not null"), ["row", "col"]).groupBy(F.col("r2").alias("row"), F.col("c2").alias("col")).agg(F.sum("n").alias("n")))
         if moving.isEmpty():
             break
         parts.append(moving)
         if len(parts) == 16:
             parts = [durable(_total(parts))]
+    else:
+        raise ValueError("the directions run in a circle")
     return _total(parts).select("row", "col", F.col("n").alias("cells"))
 
 

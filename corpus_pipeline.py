@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellscope.llm import mixing, packing, pii, quality_rules, simhash
 from cellscope.llm._common import documents, stored
-from cellscope.llm.queries import tokenizer_path
+from cellscope.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [
