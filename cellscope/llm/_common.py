@@ -7,49 +7,19 @@ machine-local folder on a cluster.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 # The word of every contract: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; on a local master a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cellscope-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellscope/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind what ``stored`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written.remove((spark, df.stored_at))
+    return durable(df, label)
 
 
 def hub_join(left: DataFrame, right: DataFrame, on: str | list[str], total: int) -> DataFrame:
@@ -63,25 +33,6 @@ def hub_join(left: DataFrame, right: DataFrame, on: str | list[str], total: int)
     return left.join(hubs, on).unionByName(left.join(hubs.select(on), on, "left_anti").join(rest, on))
 
 
-def forget_stored(spark: SparkSession) -> None:
-    """Delete the tables that ``stored`` has written in this session; results read from them are gone too."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for own, path in list(_written):
-        if own is spark:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-            _written.remove((own, path))
-
-
-@atexit.register
-def _leave_nothing() -> None:
-    for spark in {id(s): s for s, _ in _written}.values():
-        try:
-            forget_stored(spark)
-        except Exception:  # noqa: BLE001, S110 - the session may have ended, and its folder with it
-            pass
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, hub_join, stored
+from ..session import discard
+from ._common import hub_join, stored
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, hub_join, stored
+from ..session import discard
+from ._common import hub_join, stored
 
 # Fixed values: (verdict, host, path) of the rules, longest rule first when several fit.
 RULES = (
