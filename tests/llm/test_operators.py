@@ -288,6 +288,19 @@ def test_html_round_trip():
         assert "no" not in html_text.html_to_text(html)
 
 
+def test_html_words_equal_a_plain_reading(spark, sf):
+    """Over all pages: the words outside head, scripts, styles and comments, each once and in order, by patterns alone."""
+    from html import unescape
+
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        page = re.sub(r"(?is)<!--.*?-->|<head>.*?</head>|<(script|style)\b.*?</\1>", "", r["html"] or "")
+        page = re.sub(r"(?i)</?(b|a|i|em)\b[^>]*>", "", page)
+        expect = unescape(re.sub("<[^>]*>", " ", page)).split()
+        text = re.sub(r"(?m)^- ", "", found[r["page_id"]])
+        assert text.split() == expect
+
+
 def test_html_deep_and_long():
     assert html_text.html_to_text("<div>" * 20_000 + "x") == "x"
     assert html_text.html_to_text("<b " * 30_000 + "x")[-1:] in ("x", "")
