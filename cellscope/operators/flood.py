@@ -40,3 +40,25 @@ def zones(cells: DataFrame, evidence: DataFrame, urban_pct: float) -> DataFrame:
     for kind, (_, points) in NEAR.items():
         score = score + F.when(F.col(kind), points).otherwise(0)
     return cells.select("k").join(g, "k", "left").select("k", score.alias("score")).withColumn("level", band_desc(F.col("score"), LEVELS, "low"))
+
+
+# Points by kilometres to the nearest drain, for a depression within half a kilometre, and the levels.
+DRAIN_KM = ((0.1, 40), (0.3, 20), (0.5, 10))
+DEPRESSION_KM, DEPRESSION_POINTS = 0.5, 30
+EXPOSED = [(40, "high"), (20, "medium")]
+
+
+def building_exposure(buildings: DataFrame, drains: DataFrame, depressions: DataFrame) -> DataFrame:
+    """``k, drain_km, score, level`` of every building (k, lat, lon), none left out; drain_km is null beyond half a kilometre.
+
+    Drains are points along watercourses. Both kinds of evidence are bucket joins at half a kilometre, and
+    meet the buildings in one aggregation.
+    """
+    reach = DRAIN_KM[-1][0]
+    hits = spatial_joins.within(buildings, drains, reach).select("k", F.col("d").alias("drain"), F.lit(None).cast("double").alias("low"))
+    hits = hits.unionByName(spatial_joins.within(buildings, depressions, DEPRESSION_KM).select("k", F.lit(None).cast("double").alias("drain"), F.col("d").alias("low")))
+    g = hits.groupBy("k").agg(F.min("drain").alias("drain_km"), F.min("low").alias("low"))
+    d = F.col("drain_km")
+    near = F.when(d < DRAIN_KM[0][0], DRAIN_KM[0][1]).when(d < DRAIN_KM[1][0], DRAIN_KM[1][1]).when(d < DRAIN_KM[2][0], DRAIN_KM[2][1]).otherwise(0)
+    score = near + F.when(F.col("low") < DEPRESSION_KM, DEPRESSION_POINTS).otherwise(0)
+    return buildings.select("k").join(g, "k", "left").select("k", "drain_km", score.alias("score")).withColumn("level", band_desc(F.col("score"), EXPOSED, "low"))
