@@ -259,7 +259,7 @@ def gated_advice(spark, d):
     rows = F.array(
         F.struct(F.lit(1).alias("seq"), F.lit("CRITICAL").alias("priority"), F.lit("Dam safety").alias("category"), F.lit(None).cast("double").alias("figure")),
         F.struct(F.lit(2).alias("seq"), F.lit("CRITICAL").alias("priority"), F.lit("Storm drainage").alias("category"), F.when(c("drains") > 0, c("drains") / 10.0).otherwise(F.lit(0.0)).alias("figure")),
-        F.when(c("runoff") > 4000, F.struct(F.lit(3).alias("seq"), F.lit("HIGH").alias("priority"), F.lit("Water retention").alias("category"), F.round("runoff", 2).alias("figure"))),
+        F.when(c("runoff") > 4000, F.struct(F.lit(3).alias("seq"), F.lit("HIGH").alias("priority"), F.lit("Water retention").alias("category"), F.floor("runoff").cast("double").alias("figure"))),
         F.when(c("cover") > 0, F.struct(F.lit(4).alias("seq"), F.lit("HIGH").alias("priority"), F.lit("Green infrastructure").alias("category"), c("cover").cast("double").alias("figure"))),
     )
     return n.select("c_nationkey", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("c_nationkey", "r.*")
@@ -386,7 +386,7 @@ QUERIES = {
     "heat_rings": (heat_rings, f"""WITH r AS (SELECT floor(lat / 0.03::DOUBLE)::BIGINT AS y, floor(lon / 0.03::DOUBLE)::BIGINT AS x, max(14500 + k % 900) / 50.0::DOUBLE - 273.15::DOUBLE AS night FROM {g.POI} GROUP BY ALL),
         own AS (SELECT s.k, r.night FROM {g.SITE} s JOIN r ON r.y = floor(s.lat / 0.03::DOUBLE) AND r.x = floor(s.lon / 0.03::DOUBLE)),
         ring AS (SELECT s.k, avg(r.night) AS around, count(*) AS n FROM {g.SITE} s, (VALUES {', '.join(map(str, models.RING))}) o(dy, dx), r WHERE r.y = floor((s.lat + dy * 0.09::DOUBLE) / 0.03::DOUBLE) AND r.x = floor((s.lon + dx * (0.09::DOUBLE / cos(radians(s.lat)))) / 0.03::DOUBLE) GROUP BY s.k)
-        SELECT own.k, round(night, 6) AS cell, round(around, 6) AS around, coalesce(n, 0)::BIGINT AS n, greatest(0, least(100, floor((night - around + 2) * 12 + 0.5)))::INT AS uhi FROM own LEFT JOIN ring ON ring.k = own.k"""),
+        SELECT own.k, round(night, 6) AS cell, round(around, 6) AS around, coalesce(n, 0)::BIGINT AS n, CASE WHEN around IS NOT NULL THEN greatest(0, least(100, floor((night - around + 2) * 12 + 0.5)))::INT END AS uhi FROM own LEFT JOIN ring ON ring.k = own.k"""),
     "element_kinds": (element_kinds, f"""SELECT k, CASE WHEN amenity = 'bus_station' THEN 'bus_station' WHEN highway <> '' THEN highway WHEN public_transport <> '' THEN public_transport ELSE 'stop' END AS transit,
         CASE WHEN amenity = 'police' THEN 'police' WHEN railway = 'level_crossing' THEN railway WHEN barrier IN ('toll_booth', 'lift_gate') THEN barrier END AS safety,
         CASE WHEN amenity = 'place_of_worship' OR building IN ('temple', 'mosque', 'church') OR religion <> '' THEN {_WORSHIP} WHEN amenity = 'marketplace' THEN 'market' WHEN amenity IN ('school', 'college', 'university') THEN 'school'
@@ -427,7 +427,7 @@ QUERIES = {
     "rain_gauges": (rain_gauges, f"SELECT (floor((lat - 22.5::DOUBLE) / 0.03::DOUBLE) * 14 + floor((lon - 75.6::DOUBLE) / 0.03::DOUBLE) + 1)::BIGINT AS gauge, count(*) AS sites FROM {g.SITE} GROUP BY 1"),
     "gated_advice": (gated_advice, """WITH n AS (SELECT c_nationkey, count(*) FILTER (c_acctbal < 0) AS drains, avg(c_acctbal) AS runoff, count(*) FILTER (c_custkey % 50 = 0) AS cover FROM customer GROUP BY 1)
         SELECT c_nationkey, 1 AS seq, 'CRITICAL' AS priority, 'Dam safety' AS category, NULL::DOUBLE AS figure FROM n UNION ALL SELECT c_nationkey, 2, 'CRITICAL', 'Storm drainage', CASE WHEN drains > 0 THEN drains / 10.0::DOUBLE ELSE 0.0 END FROM n
-        UNION ALL SELECT c_nationkey, 3, 'HIGH', 'Water retention', round(runoff, 2) FROM n WHERE runoff > 4000 UNION ALL SELECT c_nationkey, 4, 'HIGH', 'Green infrastructure', cover::DOUBLE FROM n WHERE cover > 0"""),
+        UNION ALL SELECT c_nationkey, 3, 'HIGH', 'Water retention', floor(runoff) FROM n WHERE runoff > 4000 UNION ALL SELECT c_nationkey, 4, 'HIGH', 'Green infrastructure', cover::DOUBLE FROM n WHERE cover > 0"""),
     "category_items": (category_items, f"""WITH p AS (SELECT k, tag, 's' || (k % 3) AS sub FROM {g.POI}), f AS (SELECT tag, string_agg(k::VARCHAR, ';' ORDER BY k) AS first FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY k) AS n FROM p) WHERE n <= 20 GROUP BY tag),
         s AS (SELECT tag, sum(n)::BIGINT AS n, string_agg(sub || '=' || n, ';' ORDER BY sub) AS subs FROM (SELECT tag, sub, count(*) AS n FROM p GROUP BY ALL) GROUP BY tag) SELECT tag, n, subs, first FROM s JOIN f USING (tag)"""),
     "coverage_cells": (coverage_cells, f"""SELECT idx, n, round(least(100.0::DOUBLE, area / 1000000 * 100), 2) AS coverage, round(area / n, 1) AS mean_area FROM (SELECT {q_space._IDX} AS idx, count(*) AS n, coalesce(sum(CASE WHEN k % 7 <> 0 THEN k % 50 * 1000.0::DOUBLE END), 0.0::DOUBLE) AS area FROM {g.POI} WHERE {q_space._IN} GROUP BY 1)"""),
