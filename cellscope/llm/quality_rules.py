@@ -28,8 +28,18 @@ WHITE = " \t\n\x0b\f\r"
 BARS = "|»•·"
 
 
-def _length_without(c: Column, chars: str) -> Column:
-    return F.length(F.translate(c, chars, ""))
+def _marks(c: Column, chars: str) -> Column:
+    """How many of ``chars`` a text has: by plain search for one character, by one pattern for several."""
+    if len(chars) == 1:
+        return F.length(c) - F.length(F.replace(c, F.lit(chars), F.lit("")))
+    return F.coalesce(F.regexp_count(c, F.lit(f"[{chars}]")), F.lit(0))
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text: white space of all kinds becomes blanks, then the text is cut at each."""
+    for white in WHITE[1:]:
+        text = F.replace(text, F.lit(white), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda x: x != "")
 
 
 def repeated_words(w: Column) -> Column:
@@ -57,10 +67,6 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(found)
 
 
-def _marks(c: Column, chars: str) -> Column:
-    return F.length(c) - _length_without(c, chars)
-
-
 def judged_line(line: Column) -> Column:
     """``struct(line, words)`` of a line; words is null unless it fails.
 
@@ -80,11 +86,14 @@ def judged_line(line: Column) -> Column:
 
 def may_fail(text: Column) -> Column:
     """False only if no line of the text can fail: too few marks in all of it, and no phrase of site furniture."""
-    some = F.lower(text)
-    phrase = None
-    for p in BOILERPLATE.split("|"):
-        phrase = some.contains(p) if phrase is None else phrase | some.contains(p)
-    return (_marks(text, SYMBOLS) >= 3) | (_marks(text, "!") >= 6) | (_marks(text, BARS) >= 3) | phrase
+
+    def has_phrase(low: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE.split("|"):
+            found = found | low.contains(p)
+        return found
+
+    return (_marks(text, SYMBOLS) >= 3) | (_marks(text, "!") >= 6) | (_marks(text, BARS) >= 3) | let(F.lower(text), has_phrase)
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,9 +106,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     empty table gives an empty result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    w = F.filter(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), lambda x: x != "")
     lines = F.split(t, "\n", -1)
-    base = docs.withColumns({"q__t": t, "q__w": w, "q__lines": lines})
+    base = docs.withColumns({"q__t": t, "q__w": words_of(t), "q__lines": lines})
     with_word = F.filter("q__lines", lambda x: F.btrim(x, F.lit(WHITE)) != "")
     base = base.withColumn("q__judged", F.when(may_fail(F.col("q__t")), F.transform("q__lines", judged_line)))
     lost = F.aggregate("q__judged", F.lit(0), lambda n, x: n + F.coalesce(x["words"], F.lit(0)))
@@ -108,8 +116,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     figures = base.withColumns(
         {
             "q_n_words": F.size("q__w").cast("long"),
-            "q_word_chars": _length_without(F.col("q__t"), WHITE).cast("long"),
-            "q_n_symbols": (F.length("q__t") - _length_without(F.col("q__t"), SYMBOLS)).cast("long"),
+            "q_word_chars": F.length(F.array_join("q__w", "")).cast("long"),
+            "q_n_symbols": _marks(F.col("q__t"), SYMBOLS).cast("long"),
             "q_n_dup_lines": let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "q_n_repeat_words": repeated_words(F.col("q__w")).cast("long"),
             "q_lost_words": F.coalesce(lost, F.lit(0)).cast("long"),
