@@ -25,7 +25,7 @@ SPAN, STEPS, BATCH, RATE = 64, 320, 128, 0.03
 ROWS = 768  # windows in a batch
 CHARS = 2_000_000  # characters of texts whose windows are made together
 UNKNOWN = "und"
-SALTS = 64
+SALTS = 8
 _LETTER = re.compile(r"[^\W\d_]")
 
 
