@@ -25,10 +25,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def hub_join(left: DataFrame, right: DataFrame, on: str | list[str], total: int) -> DataFrame:
     """``left`` joined with ``right``, which has one row per key and in ``n`` how often ``left`` has it out of ``total``.
 
-    Keys with over a thousandth of all rows are at most a thousand: these rows of ``right`` are broadcast, so
+    Keys with over a thousandth of all rows (a hundred rows at least) are at most a thousand: these rows of ``right`` are broadcast, so
     that no task gets a hot key whole. The other keys meet by shuffle. ``n`` is left out.
     """
-    hot = F.col("n") > max(1000, total // 1000)
+    hot = F.col("n") > max(100, total // 1000)
     hubs, rest = F.broadcast(right.filter(hot).drop("n")), right.filter(~hot).drop("n")
     return left.join(hubs, on).unionByName(left.join(hubs.select(on), on, "left_anti").join(rest, on))
 

@@ -19,12 +19,12 @@ verified by their Hamming distance.
 Only links that connect are returned: all of a short list, a spanning forest of a long one, so groups of
 thousands of copies never become all pairs. Equal fingerprints are collapsed before the index is built.
 
-Where texts must reach a similarity, the distance only proposes: links go out to a wider distance, those
-too close to be in doubt are taken, and the others are compared on the texts' sets of shingles. Long lists
-then give all links of small clusters; in a larger cluster, what is not in doubt joins up as a forest, and
-each member outside the largest part links to its nearest member of another part. Once these are verified,
-the lists of such clusters are gone through again, and every pair that is still in different components
-is compared: no pair that was proposed stays undecided.
+Where texts must reach a similarity, the distance only proposes. Links too close to be in doubt are taken, as
+above. Of all others up to a wider distance no pair is made: their members are marked, and marked texts
+are compared exactly. Each is listed under the rarest of its shingles, as many as it must share one of with
+any text alike, and pairs that are still in different components are checked where their sizes and places
+in the list leave room for the similarity. No pair is left undecided, and of the many pairs of a crowd that
+are near but not alike hardly any is ever made.
 """
 
 from __future__ import annotations
@@ -175,63 +175,23 @@ def _long_links(at: int, n: int, fps: np.ndarray, least: int, distance: int) ->
     return out
 
 
-def _cluster_links(members: np.ndarray, fps: np.ndarray, least: int, distance: int, sure: int) -> list[tuple[int, int]]:
-    """Links of one cluster of a long list, to be verified: all if it is small, else those described above.
-
-    A larger cluster of several parts also gives a loop for each member: its other pairs are still to be looked at.
-    """
-    if len(members) <= SHORT_LIST:
-        i, j = np.triu_indices(len(members), 1)
-        hit = _near(fps[members[i]], fps[members[j]], least, distance)
-        return list(zip(members[i][hit].tolist(), members[j][hit].tolist(), strict=True))
-    own = np.ascontiguousarray(fps[members])
-    out = _long_links(0, len(members), own, least, sure)
-    part = np.arange(len(members))
-    for x, y in out:  # a forest lists x before y, so x's part is known
-        part[y] = part[x]
-    if (part != part[0]).any():
-        out += [(x, x) for x in range(len(members))]
-    largest = np.bincount(part).argmax()
-    for x in np.flatnonzero(part != largest):
-        far = _far(own, own[x][None, :])
-        far[(part == part[x]) | ~_near(own, own[x][None, :], least, distance)] = distance + 1
-        y = int(far.argmin())
-        if far[y] <= distance:
-            out.append((int(x), y))
-    return [(int(members[x]), int(members[y])) for x, y in out]
-
-
-def _doubtful_long_links(at: int, n: int, fps: np.ndarray, least: int, distance: int, sure: int) -> list[tuple[int, int]]:
-    """Links of a long list that are to be verified."""
-    part = {}
-    for x, y in _long_links(at, n, fps, least, distance):
-        part[y] = part.setdefault(x, x)
-    clusters: dict[int, list[int]] = {}
-    for x, root in part.items():
-        clusters.setdefault(root, []).append(x)
-    return [link for c in clusters.values() for link in _cluster_links(np.array(c), fps, least, distance, sure)]
-
-
-def _apart_links(at: int, n: int, fps: np.ndarray, label: np.ndarray, least: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links of a list between members of different labels, some rows at a time."""
-    if (label[at : at + n] == label[at]).all():
-        return
-    step = max(1, BLOCK // n)
+def _in_doubt(at: int, n: int, fps: np.ndarray, least: int, distance: int, sure: int) -> np.ndarray:
+    """Members of a long list that are near another one, but not so near that there is no doubt."""
+    out, step = [], max(1, BLOCK // n)
     for x in range(at, at + n, step):
-        rows = slice(x, min(x + step, at + n))
-        near = _near(fps[rows, None, :], fps[None, x : at + n, :], least, distance)
-        i, j = np.nonzero(near & (label[rows, None] != label[None, x : at + n]))
-        yield i[i < j] + x, j[i < j] + x
+        rows, every = fps[x : min(x + step, at + n), None, :], fps[None, at : at + n, :]
+        out.append((_near(rows, every, least, distance) & ~_near(rows, every, least, sure)).any(axis=1))
+    return np.flatnonzero(np.concatenate(out)) + at
 
 
-def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, least: int, sure: int | None = None, firsts: tuple[int, ...] = (), apart: bool = False) -> Iterator[pd.DataFrame]:
+def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, least: int, sure: int | None = None, firsts: tuple[int, ...] = ()) -> Iterator[pd.DataFrame]:
     """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches.
 
-    With ``sure`` the links are to be verified unless ``d``, their distance, is at most this. ``firsts`` has the
-    position of each list's byte if the lists are to be divided by a second byte of its GROUP here. With ``apart``
-    the links are all those between members of different ``label``.
+    With ``sure`` the links are those of at most this distance; whatever has another within ``distance`` gives a
+    loop. ``firsts`` has the position of each list's byte if the lists are to be divided by a second byte of its
+    GROUP here.
     """
-    held: list[pd.DataFrame] = []
+    link = distance if sure is None else sure
 
     def divided(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers in the order of the lists, and where each list starts."""
@@ -247,58 +207,53 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, l
                 order = np.argsort(second, kind="stable")
                 yield rows[order], second[order]
 
-    def named(raw: list[bytes], i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-        found = {(raw[x], raw[y]) if raw[x] > raw[y] else (raw[y], raw[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
-        out = pd.DataFrame(sorted(found), columns=["u", "v"])
-        if sure is not None:
-            out["d"] = _far(_rows(out["u"], width), _rows(out["v"], width)).astype(np.int32) if len(out) else np.empty(0, np.int32)
-        return out
-
     def emit(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         fps, raw = np.ascontiguousarray(_rows(frame["fp"], width)), frame["fp"].tolist()
-        label = pd.factorize(frame["label"])[0] if apart else None
-        left, right, count = [], [], 0
+        found: set[tuple[bytes, bytes]] = set()
+        marked = np.zeros(len(raw), bool)
         for rows, lists in divided(frame["key"].to_numpy(), fps):
             own = fps[rows]
             cut = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
             sizes = np.diff(np.r_[cut, len(lists)])
-            if apart:
-                for at, n in zip(cut[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-                    for i, j in _apart_links(at, n, own, label[rows], least, distance):
-                        left.append(rows[i])
-                        right.append(rows[j])
-                        count += len(i)
-                        if count > BLOCK:
-                            yield named(raw, np.concatenate(left), np.concatenate(right))
-                            left, right, count = [], [], 0
-                continue
             small = (sizes > 1) & (sizes <= SHORT_LIST)
             i, j = _short_links(cut[small], sizes[small], own, least, distance)
-            left.append(rows[i])
-            right.append(rows[j])
+            if sure is not None:
+                near = _far(own[i], own[j]) <= sure
+                marked[rows[i[~near]]] = marked[rows[j[~near]]] = True
+                i, j = i[near], j[near]
+            pairs = list(zip(i.tolist(), j.tolist(), strict=True))
             for at, n in zip(cut[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
-                pairs = _long_links(at, n, own, least, distance) if sure is None else _doubtful_long_links(at, n, own, least, distance, sure)
-                i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-                left.append(rows[i])
-                right.append(rows[j])
-        if left:
-            yield named(raw, np.concatenate(left), np.concatenate(right))
+                pairs += _long_links(at, n, own, least, link)
+                if sure is not None:
+                    marked[rows[_in_doubt(at, n, own, least, distance, sure)]] = True
+            names = [raw[r] for r in rows.tolist()] if pairs else []
+            found.update((names[x], names[y]) if names[x] > names[y] else (names[y], names[x]) for x, y in pairs)
+        found.update((raw[x], raw[x]) for x in np.flatnonzero(marked).tolist())
+        if found:
+            yield pd.DataFrame(sorted(found), columns=["u", "v"])
 
+    for frame in _whole_lists(batches):
+        yield from emit(frame)
+
+
+def _whole_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key`` in frames that no list is cut by."""
+    held: list[pd.DataFrame] = []
     for b in batches:
         if not len(b):
             continue
         last = b["key"].iloc[-1]
         split = int(np.searchsorted((b["key"] == last).to_numpy(), True))
         if split:
-            yield from emit(pd.concat([*held, b.iloc[:split]], ignore_index=True))
+            yield pd.concat([*held, b.iloc[:split]], ignore_index=True)
             held = [b.iloc[split:]]
         elif held and held[-1]["key"].iloc[-1] != last:
-            yield from emit(pd.concat(held, ignore_index=True))
+            yield pd.concat(held, ignore_index=True)
             held = [b]
         else:
             held.append(b)
     if held:
-        yield from emit(pd.concat(held, ignore_index=True))
+        yield pd.concat(held, ignore_index=True)
 
 
 def _bytes_at(positions: tuple[int, ...]):
@@ -327,29 +282,31 @@ def _group_lists(distinct: DataFrame, firsts: tuple[int, ...]) -> DataFrame:
     entries = [F.concat(F.lit(bytes([i])), *_bytes_at((p,))) for i, p in enumerate(firsts)]
     lists = distinct.select("*", F.explode(F.array(*entries)).alias("key"))
     # At most 256 rows for each position, whatever the corpus.
-    counts = F.broadcast(lists.groupBy("key").count().filter(F.col("count") > TILE))
+    return _tiled(lists, F.broadcast(lists.groupBy("key").count().filter(F.col("count") > TILE)))
+
+
+def _tiled(lists: DataFrame, counts: DataFrame) -> DataFrame:
+    """``lists(fp, key, ...)`` with each list that ``counts(key, count)`` names dealt out: one list for each pair of its parts."""
     parts = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int")
     own = F.pmod(F.hash("fp"), F.col("parts"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.concat("key", F.unhex(F.format_string("%08x%08x", F.least(own, o), F.greatest(own, o)))))
-    return lists.join(counts, "key", "left").withColumn("parts", parts).select(*distinct.columns, F.explode(tiles).alias("key"))
+    return lists.join(counts, "key", "left").withColumn("parts", parts).select(*[c for c in lists.columns if c != "key"], F.explode(tiles).alias("key"))
 
 
-def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None, apart: bool = False) -> DataFrame:
-    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer; with ``sure`` also ``d``.
+def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None) -> DataFrame:
+    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer.
 
-    With ``sure``, a loop marks a fingerprint that has pairs left to look at. With ``apart`` the links are all
-    those between fingerprints of different ``label``.
+    With ``sure``, at so many bits or fewer; a loop marks a fingerprint that has others within ``distance``.
     """
     width, least = bits // 8, least_shared(bits, distance)
-    more = ["label"] if apart else []
     if blocks_of(bits, distance):
         firsts, lists = (), _block_lists(distinct.select("fp"), bits, distance)
     else:
         firsts = tuple(i for i in range(width - 1) if i % GROUP < GROUP - 1)
-        lists = _group_lists(distinct.select("fp", *more), firsts)
+        lists = _group_lists(distinct.select("fp"), firsts)
     found = (
-        lists.repartition("key").sortWithinPartitions("key").select("key", "fp", *more)
-        .mapInPandas(lambda it: links_in_lists(it, width, distance, least, sure, firsts, apart), "u binary, v binary" + (", d int" if sure is not None else ""))
+        lists.repartition("key").sortWithinPartitions("key").select("key", "fp")
+        .mapInPandas(lambda it: links_in_lists(it, width, distance, least, sure, firsts), "u binary, v binary")
     )
     return found.distinct()
 
@@ -366,22 +323,72 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("fp", "text").mapInPandas(run, "fp binary, set array<bigint>")
 
 
-def verified_links(links: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, sure: int) -> DataFrame:
-    """Links ``u, v`` out of ``links(u, v, d)`` whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+def sets_of(wanted: DataFrame, rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``fp, set`` for the fingerprints of ``wanted(fp)``; ``rows(fp, doc_id, text_hash)`` says which text stands for one.
 
-    ``rows(fp, doc_id, text_hash)`` says which text stands for a fingerprint; only texts with a link in
-    doubt are read again, each once.
+    Only these texts are read again, each once. While they are few, their ids are broadcast and no text is shuffled.
     """
-    doubtful = links.filter(F.col("d") > sure)
-    ends = doubtful.select(F.col("u").alias("fp")).unionByName(doubtful.select(F.col("v").alias("fp"))).distinct()
-    one = rows.groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")).join(ends, "fp", "left_semi")
+    one = stored(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")).join(wanted, "fp", "left_semi"), "ends")
     own = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__hash"), "text")
     same = F.col("__doc").eqNullSafe(F.col("k.doc_id")) & (F.col("__hash") == F.col("k.text_hash"))
-    sets = stored(shingle_sets(own.join(one, same), size).groupBy("fp").agg(F.any_value("set").alias("set")), "shingles")
-    pairs = doubtful.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
+    found = own.join(F.broadcast(one) if one.count() <= BROADCAST_LISTS else one, same)
+    return stored(shingle_sets(found, size).groupBy("fp").agg(F.any_value("set").alias("set")), "shingles")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    near = pairs.filter(shared / (F.size("a") + F.size("b") - shared) >= similarity)
-    return near.select("u", "v").unionByName(links.filter(F.col("d") <= sure).select("u", "v"))
+    return both.filter(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v")
+
+
+def pairs_in_prefixes(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs ``u, v`` of different ``label`` in lists (``key, fp, label, n, place``) that may have the similarity.
+
+    Two sets of n and m members that meet first at places p and q share at most 1 + min(n - p, m - q), and
+    need similarity / (1 + similarity) * (n + m).
+    """
+    for frame in _whole_lists(batches):
+        keys, raw = frame["key"].to_numpy(), frame["fp"].tolist()
+        label = pd.factorize(frame["label"])[0]
+        n, left = frame["n"].to_numpy(np.int64), frame["n"].to_numpy(np.int64) - frame["place"].to_numpy(np.int64)
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for at, upto in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+            if upto - at < 2 or (label[at:upto] == label[at]).all():
+                continue
+            step = max(1, BLOCK // (upto - at))
+            for x in range(at, upto, step):
+                i, j = slice(x, min(x + step, upto)), slice(x, upto)
+                room = 1 + np.minimum(left[i, None], left[None, j])
+                fits = (room * (1 + similarity) >= similarity * (n[i, None] + n[None, j]) - 1e-9) & (label[i, None] != label[None, j])
+                a, b = np.nonzero(fits)
+                a, b = a[a < b] + x, b[a < b] + x
+                if len(a):
+                    yield pd.DataFrame([(max(raw[k], raw[m]), min(raw[k], raw[m])) for k, m in zip(a.tolist(), b.tolist(), strict=True)], columns=["u", "v"])
+
+
+def crowd_links(crowd: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """All pairs ``u, v`` of ``crowd(fp, label)`` with different labels whose texts are alike.
+
+    A set of n shingles shares one of its first n - ceil(similarity * n) + 1 with any set alike, in an order that
+    is the same for all: rare ones first. Only these make lists.
+    """
+    sets = sets_of(crowd.select("fp"), rows, docs, size)
+    named = stored(sets.join(crowd, "fp").withColumn("id", F.monotonically_increasing_id()), "named")
+    postings = named.select("id", F.explode("set").alias("s"))
+    often = stored(postings.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    # A shingle of one text alone comes first in its order and can be left out: only its number counts.
+    counted = hub_join(postings, often.withColumn("f", F.col("n")), "s", total)
+    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o")).join(named.select("id", "fp", "label", F.size("set").alias("n")), "id")
+    alone = F.col("n") - F.size("o")
+    first = F.slice("o", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - alone).cast("int"))
+    lists = ordered.select("fp", "label", "n", alone.alias("alone"), F.posexplode(first).alias("i", "e"))
+    lists = stored(lists.select("fp", "label", "n", (F.col("alone") + F.col("i") + 1).alias("place"), F.unhex(F.lpad(F.hex("e.s"), 16, "0")).alias("key")), "prefixes")
+    long = stored(lists.groupBy("key").count().filter(F.col("count") > TILE), "long")
+    lists = _tiled(lists, F.broadcast(long) if long.count() <= BROADCAST_LISTS else long)
+    pairs = lists.repartition("key").sortWithinPartitions("key").mapInPandas(lambda it: pairs_in_prefixes(it, similarity), "u binary, v binary").distinct()
+    return alike(stored(pairs, "pairs"), sets, similarity)
 
 
 def bits_at(similarity: float, bits: int) -> int:
@@ -408,15 +415,13 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
     else:
         sure = bits_at(min(1.0, similarity + MARGIN), bits)
         found = stored(linked_fingerprints(least.select("fp"), bits, distance, sure), "links")
-        links = verified_links(found.filter("u <> v"), rows, docs, size, similarity, sure)
-    roots = connected_components(links)
+        links = found.filter("u <> v")
+    roots = stored(connected_components(links), "roots")
     if similarity is not None:
-        roots = stored(roots, "roots")
-        crowded = found.filter("u = v").select(F.col("u").alias("fp"))
-        crowded = crowded.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
-        rest = stored(linked_fingerprints(crowded, bits, distance, sure, apart=True).join(found, ["u", "v"], "left_anti"), "links")
-        if not rest.isEmpty():
-            more = verified_links(rest, rows, docs, size, similarity, sure)
+        marked = found.filter("u = v").select(F.col("u").alias("fp"))
+        crowd = stored(marked.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "crowd")
+        if not crowd.isEmpty():
+            more = crowd_links(crowd, rows, docs, size, similarity)
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", F.col("n").alias("times"))
     member = stored(member, "members")

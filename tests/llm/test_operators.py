@@ -448,20 +448,50 @@ def test_near_dedup_compares_all_of_a_crowd(spark):
     assert sorted(x["doc_id"] for x in simhash.near_dedup(df).collect()) == expect
 
 
-def test_pairs_apart_in_lists():
-    """Every pair within the distance whose members have different labels, each list by itself, and only these."""
-    r = np.random.default_rng(4)
-    base = r.integers(0, 256, 64, np.uint8)
-    fps = np.stack([base ^ np.packbits(r.random(512) < 0.1) for _ in range(90)])
-    fps[:, 0] = base[0]
-    label = [bytes([i % 5]) for i in range(90)]
-    raw = [f.tobytes() for f in fps]
-    frame = pd.DataFrame({"key": [b"\0" + raw[0][:1]] * 90, "fp": raw, "label": label})
-    found = pd.concat(simhash.links_in_lists(iter([frame]), 64, 95, 2, 47, (0,), True))
-    near = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(raw[i], raw[j], strict=True))
-    meet = lambda i, j: (fps[i, 1:8] == fps[j, 1:8]).any()
-    expect = {(max(raw[i], raw[j]), min(raw[i], raw[j])) for i in range(90) for j in range(i) if label[i] != label[j] and near(i, j) <= 95 and meet(i, j)}
-    assert expect and set(zip(found["u"], found["v"], strict=True)) == expect
+def test_crowd_links_equal_all_pairs(spark, monkeypatch):
+    """Variants of one text with more and more changes: all pairs of 0.8 and more with different labels, and only these."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(9000)}" for _ in range(120)]
+    data = []
+    for i in range(90):
+        u = list(base[: 120 - i % 5])
+        for at in r.sample(range(len(u)), i % 7):
+            u[at] = f"own{i}x{at}" if i % 2 else f"shared{at}"
+        data.append((i, " ".join(u)))
+    docs = spark.createDataFrame([*data, (200, None), (201, "a b"), (202, "A  b")], "doc_id long, text string")
+    rows = simhash.fingerprints(docs, 5, 512, True)
+    fps = {x["doc_id"]: bytes(x["fp"]) for x in rows.collect()}
+    crowd = [(f, bytes([i % 3])) for i, f in enumerate(sorted(set(fps.values())))]
+    label = dict(crowd)
+    text = {fps[i]: t for i, t in data}
+    expect = {(max(x, y), min(x, y)) for x in text for y in text if x != y and label[x] != label[y] and jaccard(text[x], text[y]) >= 0.8}
+    for tile in (20_000, 7):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        found = simhash.crowd_links(spark.createDataFrame(crowd, "fp binary, label binary"), rows, docs, 5, 0.8)
+        assert {(bytes(x["u"]), bytes(x["v"])) for x in found.collect()} == expect and len(expect) > 100
+
+
+def test_a_crowd_makes_few_pairs(spark):
+    """Three hundred variants that are all about 0.7 alike: the prefixes' places rule nearly all pairs out before any is made."""
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    lists = []
+    for i in range(300):
+        u = list(base)
+        for at in r.sample(range(150), 5):
+            u[at] = f"own{i}x{at}"
+        lists.append(simhash.shingle_hashes(" ".join(u), 5))
+    often = {}
+    for h in lists:
+        for x in h.tolist():
+            often[x] = often.get(x, 0) + 1
+    rows_ = []
+    for i, h in enumerate(lists):
+        order = sorted(h.tolist(), key=lambda x: (often[x], x))
+        rows_ += [(x.to_bytes(8), bytes([i // 256, i % 256]), bytes([i // 256, i % 256]), len(order), p + 1) for p, x in enumerate(order[: len(order) - math.ceil(0.8 * len(order)) + 1]) if often[x] > 1]
+    frame = pd.DataFrame(sorted(rows_), columns=["key", "fp", "label", "n", "place"])
+    pairs = sum(map(len, simhash.pairs_in_prefixes(iter([frame]), 0.8)))
+    assert pairs < 300
 
 
 def test_near_dedup_at_the_threshold(spark):
