@@ -175,20 +175,25 @@ def _long_links(at: int, n: int, fps: np.ndarray, least: int, distance: int) ->
     return out
 
 
-def _in_doubt(at: int, n: int, fps: np.ndarray, least: int, distance: int, sure: int) -> np.ndarray:
-    """Members of a long list that are near another one, but not so near that there is no doubt."""
-    out, step = [], max(1, BLOCK // n)
+def _in_doubt(at: int, n: int, fps: np.ndarray, least: int, distance: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of a long list that are near another one, but not so near that there is no doubt; the nearest such one, and its distance."""
+    who, other, far, step = [], [], [], max(1, BLOCK // n)
     for x in range(at, at + n, step):
         rows, every = fps[x : min(x + step, at + n), None, :], fps[None, at : at + n, :]
-        out.append((_near(rows, every, least, distance) & ~_near(rows, every, least, sure)).any(axis=1))
-    return np.flatnonzero(np.concatenate(out)) + at
+        d = np.where(_near(rows, every, least, distance) & ~_near(rows, every, least, sure), _far(rows, every), 1 << 30)
+        best = d.argmin(axis=1)
+        d = d[np.arange(len(d)), best]
+        who.append(np.flatnonzero(d <= distance) + x)
+        other.append(best[d <= distance] + at)
+        far.append(d[d <= distance])
+    return np.concatenate(who), np.concatenate(other), np.concatenate(far)
 
 
 def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, least: int, sure: int | None = None, firsts: tuple[int, ...] = ()) -> Iterator[pd.DataFrame]:
-    """Links ``u, v`` of lists that arrive sorted by key; a list may go over several batches.
+    """Links ``u, v, kind`` of lists that arrive sorted by key; a list may go over several batches.
 
-    With ``sure`` the links are those of at most this distance; whatever has another within ``distance`` gives a
-    loop. ``firsts`` has the position of each list's byte if the lists are to be divided by a second byte of its
+    With ``sure`` the links of kind 0 are those of at most this distance; whatever has another within ``distance``
+    is marked by a link of kind 1 to the nearest of them. ``firsts`` has the position of each list's byte if the lists are to be divided by a second byte of its
     GROUP here.
     """
     link = distance if sure is None else sure
@@ -210,7 +215,14 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, l
     def emit(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         fps, raw = np.ascontiguousarray(_rows(frame["fp"], width)), frame["fp"].tolist()
         found: set[tuple[bytes, bytes]] = set()
-        marked = np.zeros(len(raw), bool)
+        nearest, away = np.full(len(raw), -1), np.full(len(raw), 1 << 30)
+
+        def mark(who: np.ndarray, other: np.ndarray, far: np.ndarray) -> None:
+            order = np.argsort(-far, kind="stable")  # the nearest is written last
+            who, other, far = who[order], other[order], far[order]
+            closer = far < away[who]
+            nearest[who[closer]], away[who[closer]] = other[closer], far[closer]
+
         for rows, lists in divided(frame["key"].to_numpy(), fps):
             own = fps[rows]
             cut = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
@@ -218,19 +230,21 @@ def links_in_lists(batches: Iterator[pd.DataFrame], width: int, distance: int, l
             small = (sizes > 1) & (sizes <= SHORT_LIST)
             i, j = _short_links(cut[small], sizes[small], own, least, distance)
             if sure is not None:
-                near = _far(own[i], own[j]) <= sure
-                marked[rows[i[~near]]] = marked[rows[j[~near]]] = True
-                i, j = i[near], j[near]
+                d = _far(own[i], own[j])
+                a, b, far = rows[i[d > sure]], rows[j[d > sure]], d[d > sure]
+                mark(np.r_[a, b], np.r_[b, a], np.r_[far, far])
+                i, j = i[d <= sure], j[d <= sure]
             pairs = list(zip(i.tolist(), j.tolist(), strict=True))
             for at, n in zip(cut[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
                 pairs += _long_links(at, n, own, least, link)
                 if sure is not None:
-                    marked[rows[_in_doubt(at, n, own, least, distance, sure)]] = True
+                    who, other, far = _in_doubt(at, n, own, least, distance, sure)
+                    mark(rows[who], rows[other], far)
             names = [raw[r] for r in rows.tolist()] if pairs else []
             found.update((names[x], names[y]) if names[x] > names[y] else (names[y], names[x]) for x, y in pairs)
-        found.update((raw[x], raw[x]) for x in np.flatnonzero(marked).tolist())
-        if found:
-            yield pd.DataFrame(sorted(found), columns=["u", "v"])
+        out = [(u, v, 0) for u, v in sorted(found)] + [(raw[x], raw[nearest[x]], 1) for x in np.flatnonzero(nearest >= 0).tolist()]
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v", "kind"])
 
     for frame in _whole_lists(batches):
         yield from emit(frame)
@@ -294,9 +308,9 @@ def _tiled(lists: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int | None = None) -> DataFrame:
-    """Links ``u, v`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer.
+    """Links ``u, v, kind`` between different fingerprints of ``distinct(fp)`` at ``distance`` bits or fewer.
 
-    With ``sure``, at so many bits or fewer; a loop marks a fingerprint that has others within ``distance``.
+    With ``sure``, at so many bits or fewer, and of kind 1 from each u that has others within ``distance`` to near ones.
     """
     width, least = bits // 8, least_shared(bits, distance)
     if blocks_of(bits, distance):
@@ -306,7 +320,7 @@ def linked_fingerprints(distinct: DataFrame, bits: int, distance: int, sure: int
         lists = _group_lists(distinct.select("fp"), firsts)
     found = (
         lists.repartition("key").sortWithinPartitions("key").select("key", "fp")
-        .mapInPandas(lambda it: links_in_lists(it, width, distance, least, sure, firsts), "u binary, v binary")
+        .mapInPandas(lambda it: links_in_lists(it, width, distance, least, sure, firsts), "u binary, v binary, kind int")
     )
     return found.distinct()
 
@@ -367,13 +381,12 @@ def pairs_in_prefixes(batches: Iterator[pd.DataFrame], similarity: float) -> Ite
                     yield pd.DataFrame([(max(raw[k], raw[m]), min(raw[k], raw[m])) for k, m in zip(a.tolist(), b.tolist(), strict=True)], columns=["u", "v"])
 
 
-def crowd_links(crowd: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def crowd_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs ``u, v`` of ``crowd(fp, label)`` with different labels whose texts are alike.
 
     A set of n shingles shares one of its first n - ceil(similarity * n) + 1 with any set alike, in an order that
     is the same for all: rare ones first. Only these make lists.
     """
-    sets = sets_of(crowd.select("fp"), rows, docs, size)
     named = stored(sets.join(crowd, "fp").withColumn("id", F.monotonically_increasing_id()), "named")
     postings = named.select("id", F.explode("set").alias("s"))
     often = stored(postings.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "often")
@@ -415,14 +428,17 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 64, distance:
     else:
         sure = bits_at(min(1.0, similarity + MARGIN), bits)
         found = stored(linked_fingerprints(least.select("fp"), bits, distance, sure), "links")
-        links = found.filter("u <> v")
-    roots = stored(connected_components(links), "roots")
-    if similarity is not None:
-        marked = found.filter("u = v").select(F.col("u").alias("fp"))
-        crowd = stored(marked.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "crowd")
-        if not crowd.isEmpty():
-            more = crowd_links(crowd, rows, docs, size, similarity)
-            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        links = found.filter("kind = 0")
+    roots = stored(connected_components(links.select("u", "v")), "roots")
+    if similarity is not None and not found.filter("kind = 1").isEmpty():
+        # The nearest first: most of a crowd is one component then, and few pairs of it are left to look at.
+        edges = lambda: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        marked = found.filter("kind = 1")
+        sets = sets_of(marked.select(F.col("u").alias("fp")).unionByName(marked.select(F.col("v").alias("fp"))).distinct(), rows, docs, size)
+        pairs = marked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        roots = stored(connected_components(edges().unionByName(alike(pairs, sets, similarity))), "roots")
+        crowd = sets.select("fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
+        roots = connected_components(edges().unionByName(crowd_links(stored(crowd, "crowd"), sets, similarity)))
     member = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", F.col("n").alias("times"))
     member = stored(member, "members")
     smallest = member.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))

@@ -467,7 +467,8 @@ def test_crowd_links_equal_all_pairs(spark, monkeypatch):
     expect = {(max(x, y), min(x, y)) for x in text for y in text if x != y and label[x] != label[y] and jaccard(text[x], text[y]) >= 0.8}
     for tile in (20_000, 7):
         monkeypatch.setattr(simhash, "TILE", tile)
-        found = simhash.crowd_links(spark.createDataFrame(crowd, "fp binary, label binary"), rows, docs, 5, 0.8)
+        of = spark.createDataFrame(crowd, "fp binary, label binary")
+        found = simhash.crowd_links(of, simhash.sets_of(of.select("fp"), rows, docs, 5), 0.8)
         assert {(bytes(x["u"]), bytes(x["v"])) for x in found.collect()} == expect and len(expect) > 100
 
 
