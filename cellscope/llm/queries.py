@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, mixing, packing, pii, quality_model, quality_rules, simhash, topk, url_filters
+from . import html_text, langid, mixing, packing, periodic, pii, quality_model, quality_rules, simhash, substrings, topk, url_filters, vector_codes
 from ._common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,8 +71,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), TOKENIZER)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(spark, sf_dir), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_topk, op2_html_text, op3_simhash, op4_mixing, op5_quality_rules, op6_language_id, op7_url_filters, op8_quality_model, op9_pii, op10_packing)
+    own = (op1_exact_topk, op2_html_text, op3_simhash, op4_mixing, op5_quality_rules, op6_language_id, op7_url_filters, op8_quality_model, op9_pii, op10_packing,
+           op11_substring_dedup, op12_vector_codes, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
@@ -158,11 +171,64 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 20
 """
 
+_SUBSTRINGS = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1
+), word AS (
+  SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+), judged AS (
+  SELECT word.doc_id, word.i, word, max(again.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM word LEFT JOIN again ON word.doc_id = again.doc_id AND word.i = again.i
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN counted ON t.doc_id = counted.doc_id
+"""
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Rounds one after the other: distances of all parts to all entries of their position, the first of the least, new means."""
+    sql = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (
+  SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) r(part)
+), b0 AS (
+  SELECT part, (dense_rank() OVER (ORDER BY vec_id) - 1) AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+)"""
+    for n in range(rounds + 1):
+        sql += f""", d{n} AS (
+  SELECT vec_id, label, p.part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{n} b ON p.part = b.part
+), a{n} AS (
+  SELECT vec_id, label, part, x, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) AS k FROM d{n}) WHERE k = 1
+)"""
+        if n < rounds:
+            sql += f""", m{n} AS (
+  SELECT part, entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS c FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY part, entry, i
+), b{n + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS c FROM m{n} GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry
+)"""
+    return sql + f""", coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label
+), hashed AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, hashed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express over whole tables in reasonable time."""
     return {
         "op1_exact_topk": _TOPK,
         "op4_mixing": _LEVEL,
+        "op11_substring_dedup": _SUBSTRINGS,
+        "op12_vector_codes": _codes_sql(),
         "op5_quality_rules": _QUALITY.replace("{BOILERPLATE}", quality_rules.BOILERPLATE),
     }
