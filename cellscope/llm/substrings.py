@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,7 +184,7 @@ def _word_hashes(lane: int):
 def _marked(docs: DataFrame, size: int) -> DataFrame:
     """``row, text, bits, firsts``: flagged anchors, and the starts of windows in first place, packed; both null where there are none."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", d.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", d.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, chars // 36 // SHARD))
 
@@ -249,7 +250,8 @@ def _marked(docs: DataFrame, size: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (th[1:] != th[:-1])]))
         return pd.DataFrame([(d[a], th[a], start[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(d)], strict=True)], columns=["d", "th", "firsts"])
 
-    windows = met.filter("bits is not null").select("d", "th", "bits", _word_hashes(1).alias("h"), _word_hashes(2).alias("other"))
+    # The row goes along, so that this join reads the very shuffle of texts that the last one reads.
+    windows = met.filter("bits is not null").select("row", "d", "th", "bits", _word_hashes(1).alias("h"), _word_hashes(2).alias("other"))
     sent = windows.mapInArrow(repeated, "part long, h1 binary, h2 binary, d binary, th binary, start binary")
     firsts = sent.groupBy("part").applyInPandas(grouped, "d long, th long, firsts binary").groupBy("d", "th").agg(F.collect_list("firsts").alias("firsts"))
     return met.join(firsts, ["d", "th"], "left").select("row", "text", "bits", "firsts", F.when(F.col("bits").isNotNull(), _word_hashes(1)).alias("h"))
@@ -287,10 +289,11 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
         for b in batches:
             rows = [(len(words), len(words) - int(keep.sum()), hashlib.sha256(b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest()) for words, keep in _kept(b, size)]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["row", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _marked(docs.select("doc_id", "text"), size).select(F.col("row.doc_id").alias("doc_id"), "text", "bits", "firsts", "h").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    out = _marked(docs.select("doc_id", "text"), size).mapInArrow(run, f"row struct<doc_id:{kind}>, n_words long, n_removed long, kept_sha256 string")
+    return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -301,9 +304,9 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if keep.all() else b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k]).decode("utf-8", "surrogatepass") for words, keep in _kept(b, size)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "cut"])
+            cut = [None if keep.all() else b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k]).decode("utf-8", "surrogatepass") for words, keep in _kept(b, size)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pc.coalesce(pa.array(cut, b.column("text").type), b.column("text"))], names=["row", "text"])
 
     marked = _marked(docs, size)
-    cut = marked.mapInArrow(run, f"row {marked.schema['row'].dataType.simpleString()}, cut string")
-    return cut.select(*[(F.coalesce("cut", "row.text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+    cut = marked.mapInArrow(run, marked.select("row", "text").schema)
+    return cut.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
