@@ -137,6 +137,14 @@ def parking_pressure(demand: Column, supply: Column, bus: Column, weight: Column
     return F.greatest(F.lit(0.0), (demand * 15 - supply * 10 + bus * 5) * weight)
 
 
+def hotspot_score(vehicles: Column, speed: Column, limit: Column, waiting: Column, loss: Column, occupancy: Column) -> Column:
+    """Congestion of an edge: slowness against its limit, waiting and lost seconds per vehicle and occupancy, by volume; one digit."""
+    slow = F.greatest(F.lit(0.0), F.lit(1.0) - F.when(limit > 0, speed / limit).otherwise(F.lit(1.0)))
+    each = lambda total: F.when(vehicles > 0, total / vehicles).otherwise(F.lit(0.0))
+    level = slow * 40 + F.least(each(waiting), F.lit(30.0)) * 1.5 + F.least(each(loss), F.lit(60.0)) * 0.8 + occupancy * 20
+    return F.round(level * F.least(vehicles / 50, F.lit(2.0)), 1)
+
+
 def discharge_risk(ratio: Column) -> Column:
     """Bands of a day's discharge against day 0, strict at the cuts."""
     return band(ratio, [(1.2, "normal"), (2.0, "elevated"), (4.0, "high"), (6.0, "severe")], "extreme", op="<")

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import discard, durable
+from . import chains
+from .chains import hub_join
 
 BROADCAST_EDGES = 5_000_000  # 60 bytes each on a worker
 
@@ -32,62 +34,127 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("centrality", F.col("degree") / F.lit(float(max(1, n - 1))))
 
 
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Link every larger neighbour of a node to the smallest label around the node."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return hub_join(both.filter("v > u"), least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Link a node and its smaller neighbours to the smallest of them. Takes edges with u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = hub_join(edges, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Two numbers that stay the same when a round has changed nothing; the first is the number of edges."""
+    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return row[0], row[1] or 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its smallest node): labels flow over edges, then jump to the label's own label.
+    """``node, component`` (its smallest node) of every node of ``edges(a, b)``, by alternating large-star and small-star rounds.
 
-    Jumping halves the distance to the smallest node, so rounds are logarithmic in a component's
-    diameter. Each round is stored; loops end when no label has changed.
+    Edges only ever move towards smaller labels, so the rounds grow with the logarithm of a component's
+    diameter. Hubs are joined by broadcast, so that a component of any size is spread over tasks. Null ends and loops take no
+    part; repeated edges count once.
+    """
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = durable(ends.filter("a is not null and b is not null and a <> b").distinct())
+    state = _state(now)
+    while state[0]:
+        middle = durable(_large_star(now, state[0]))
+        discard(now)
+        now = durable(_small_star(middle, state[0]))
+        discard(middle)
+        before, state = state, _state(now)
+        if state == before:
+            break
+    tops = now.select(F.col("v").alias("node")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.withColumn("component", F.col("node")))
+
+
+def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: edges that join each component as a tree, and ``node``: one root of each tree.
+
+    Every round each group of nodes picks, in an order by hash, its first edge to another group; groups that
+    picks join become one. There are half as many groups or fewer after each round.
     """
-    pairs = durable(both_ways(edges).select("a", "b"))
-    labels = durable(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        heard = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        moved = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("before"))
-        parent = moved.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = durable(moved.join(parent, "label").select("node", F.least("label", "up").alias("label"), "before"))
-        labels = after.select("node", "label")
-        if after.filter("label <> before").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-
-
-def _bridges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one component that lie on no cycle: low links by an explicit stack."""
-    near: dict[object, list[tuple[object, int]]] = {}
-    for i, (a, b) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
-        near.setdefault(a, []).append((b, i))
-        near.setdefault(b, []).append((a, i))
-    order: dict[object, int] = {}
-    low: dict[object, int] = {}
-    found = []
-    root = pdf["a"].iloc[0]
-    order[root] = low[root] = 0
-    stack = [(root, -1, iter(near[root]))]
-    while stack:
-        node, via, rest = stack[-1]
-        for other, edge in rest:
-            if edge == via:
-                continue
-            if other in order:
-                low[node] = min(low[node], order[other])
-            else:
-                order[other] = low[other] = len(order)
-                stack.append((other, edge, iter(near[other])))
+    live = durable(edges.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("e")))
+    nodes = live.select(F.col("u").alias("node")).unionByName(live.select(F.col("v").alias("node"))).distinct()
+    trees, hooked = live.select("e.a", "e.b").limit(0), nodes.limit(0)
+    n = live.count()
+    while n:
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "e"))
+        pick = durable(both.groupBy("u").agg(F.min(F.struct("e", "v")).alias("m"), F.count("*").alias("n")).select("u", "m.e", F.col("m.v").alias("up"), "n"))
+        trees = trees.unionByName(pick.select("e.a", "e.b").distinct())
+        # Picks follow one order, so the only circles are two groups that picked the same edge: the smaller is their root.
+        back = pick.select(F.col("u").alias("up"), F.col("up").alias("back"), "n")
+        rooted = hub_join(pick.select("u", "up"), back, "up", 2 * n).select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("up")), F.col("u")).otherwise(F.col("up")).alias("up"))
+        group = durable(rooted)
+        hooked = hooked.unionByName(group.filter("u <> up").select(F.col("u").alias("node")))
+        groups = group.count()
+        while True:
+            sizes = group.groupBy("up").agg(F.count("*").alias("n"))
+            above = group.select(F.col("u").alias("up"), F.col("up").alias("top")).join(sizes, "up")
+            jumped = durable(hub_join(group, above, "up", groups).select("u", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            still = jumped.filter("moved").isEmpty()
+            group = jumped.select("u", "up")
+            if still:
                 break
-        else:
-            stack.pop()
-            if stack:
-                up = stack[-1][0]
-                low[up] = min(low[up], low[node])
-                if low[node] > order[up]:
-                    found.append(via)
-    return pdf.iloc[sorted(found)][["a", "b"]]
+        degree = group.join(pick.select("u", "n"), "u")
+        left = hub_join(live, degree, "u", 2 * n).select(F.col("up").alias("a"), "v", "e")
+        other = degree.select(F.col("u").alias("v"), F.col("up").alias("b"), "n")
+        between = hub_join(left, other, "v", 2 * n).filter("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.min("e").alias("e"))
+        live = durable(between)
+        n = live.count()
+    return trees, nodes.join(hooked, "node", "left_anti")
+
+
+def _tour(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, next, u, first``: the trees' edges, each in both directions, in the order of one walk around each tree.
+
+    ``node`` is the arc (from, to) with to = u, and ``next`` the arc that leaves u for its neighbour after from, null where the walk
+    ends at the root. ``first`` holds for one of the arcs into u. A node's neighbours are ordered in
+    slices of some ten thousand, so that a hub isn't ordered in one task.
+    """
+    arcs = tree.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(tree.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    arcs = durable(arcs)
+    most = arcs.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+    own = arcs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(1 + most // 50_000)))
+    order = Window.partitionBy("u", "s").orderBy("v")
+    within = own.withColumns({"after": F.lead("v").over(order), "n": F.row_number().over(order)})
+    heads = own.groupBy("u", "s").agg(F.min("v").alias("head"))
+    around = Window.partitionBy("u").orderBy("s")
+    heads = heads.withColumns({"then": F.lead("head").over(around), "start": F.first("head").over(around), "slice": F.row_number().over(around)})
+    met = within.join(heads, ["u", "s"]).join(roots.select(F.col("node").alias("u"), F.lit(True).alias("root")), "u", "left")
+    following = F.coalesce("after", "then", F.when(F.col("root").isNull(), F.col("start")))
+    arc = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    return met.select(arc(F.col("v"), F.col("u")).alias("node"), F.when(following.isNotNull(), arc(F.col("u"), following)).alias("next"), "u", ((F.col("n") == 1) & (F.col("slice") == 1)).alias("first"))
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """``a, b``: edges whose loss parts their component. One task holds one component, as the search needs."""
-    kind = edges.schema["a"].dataType.simpleString()
-    placed = edges.select("a", "b").join(components(edges).withColumnRenamed("node", "a"), "a")
-    return placed.groupBy("component").applyInPandas(_bridges, f"a {kind}, b {kind}")
+    """``a, b``: edges whose loss parts their component.
+
+    Every edge outside a spanning forest gets 128 bits by hash, and every node the XOR of its edges' bits. Over
+    one side of a tree edge each outside edge within that side counts twice and goes; what is left are the outside edges
+    that lead across, and only a bridge has none. Sides are stretches of a walk around the tree, whose XOR comes
+    from the walk's ends by pointer doubling. Components of any size are spread over tasks.
+    """
+    tree, roots = spanning_forest(edges)
+    tree = durable(tree)
+    outside = edges.filter("a <> b").select("a", "b").join(tree, ["a", "b"], "left_anti")
+    marks = outside.select(F.explode(F.array("a", "b")).alias("u"), F.xxhash64("a", "b", F.lit(1)).alias("x"), F.xxhash64("a", "b", F.lit(2)).alias("y"))
+    marks = marks.groupBy("u").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    entered = lambda c: F.when(F.col("first"), F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(c)
+    walk = _tour(tree, roots)
+    # Only the first arc into a node carries its mark, so the join meets one row a node.
+    marked = walk.filter("first").join(marks, "u", "left").unionByName(walk.filter("not first"), allowMissingColumns=True).select("node", "next", entered("x"), entered("y"))
+    summed = chains.along(marked, {"x": lambda a, b: a.bitwiseXOR(b), "y": lambda a, b: a.bitwiseXOR(b)})
+    sides = summed.groupBy(F.least("node.from", "node.to").alias("a"), F.greatest("node.from", "node.to").alias("b")).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    return sides.filter("x = 0 and y = 0").select("a", "b")
 
 
 def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:

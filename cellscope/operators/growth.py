@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import discard, durable
 from . import raster
 
 
@@ -78,6 +78,30 @@ def project(urban: DataFrame, potential: DataFrame, demand: int, steps: int) ->
     return out.join(floor, ["row", "col"], "left").select("row", "col", F.greatest("p", F.coalesce("low", F.lit(0.0))).alias("p"))
 
 
+def simulate(urban: DataFrame, potential: DataFrame, demand: int, steps: int) -> DataFrame:
+    """``row, col, v`` after ``steps`` steps of growth; each step's state is written out and the one before it deleted."""
+    state, p = durable(urban.select("row", "col", F.col("v").cast("double").alias("v"))), potential.select("row", "col", F.col("potential").alias("p"))
+    for _ in range(max(0, steps)):
+        after = durable(raster.ca_step(state, p, demand))
+        discard(state)
+        state = after
+    return state
+
+
+def hindcast(cells: DataFrame, drivers: list[str], steps: int = 3, trees: int = 200, depth: int = 12, least: int = 5) -> DataFrame:
+    """One row, ``merit, kappa, demand``: how well growth learned on a first period foretells a second one.
+
+    ``cells(row, col, first, middle, last, drivers...)`` says whether a cell was urban at three times. A forest learns the transition
+    from first to middle; the demand of a step is what that period gained; ``steps`` steps from the
+    middle are held against the last state.
+    """
+    potential = durable(transition_potential(cells.select("row", "col", F.col("first").alias("was"), F.col("middle").alias("now"), *drivers), drivers, trees, depth, least))
+    state = lambda c: cells.select("row", "col", F.col(c).cast("double").alias("v"))
+    demand = raster.markov_demand(state("first").withColumn("year", F.lit(0)).unionByName(state("middle").withColumn("year", F.lit(1)))).first()[0]
+    grown = simulate(state("middle"), potential, demand, steps)
+    return raster.agreement(state("middle"), grown, state("last")).withColumn("demand", F.lit(demand).cast("long"))
+
+
 def rasterise(lines: DataFrame, south: float, west: float, cell: float) -> DataFrame:
     """``row, col``: cells that lines (lat1, lon1, lat2, lon2) touch, marked at steps of half a cell."""
     n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("lat2") - F.col("lat1")), F.abs(F.col("lon2") - F.col("lon1"))) / (cell / 2)).cast("int"))

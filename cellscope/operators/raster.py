@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from . import chains
 
 EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -61,44 +62,43 @@ def local_minima(r: DataFrame, reach: int = 1) -> DataFrame:
 def flow_accumulation(direction: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``row, col, cells``: how many cells drain through each cell, itself included; with ``weights(row, col, w)`` their sum.
 
-    Counts walk downstream one step per round from all cells at once; a round's table only holds what
-    is still moving, and what has met on a cell moves on as one sum. Directions that run in a circle are an error.
+    Sums are made by pointer doubling over the forest of directions, so rounds grow with the logarithm of the longest
+    path. A cell that points out of the raster is an outlet. Directions that run in a circle are an error.
     """
-    down = durable(direction.select("row", "col", (F.col("row") + F.col("dr")).alias("r2"), (F.col("col") + F.col("dc")).alias("c2")))
-    start = down.select("row", "col", F.lit(1).cast("long").alias("n"))
+    at = lambda r, c: F.struct(r.cast("long").alias("row"), c.cast("long").alias("col"))
+    cells = direction.select("row", "col", at(F.col("row"), F.col("col")).alias("node"), at(F.col("row") + F.col("dr"), F.col("col") + F.col("dc")).alias("down"), (F.col("dr").isNotNull() & F.col("dc").isNotNull()).alias("runs"))
+    inside = cells.select(F.col("node").alias("down"), F.lit(True).alias("inside"))
+    own = cells.join(inside, "down", "left").select("row", "col", "node", F.when(F.col("runs") & F.col("inside"), F.col("down")).alias("down"))
+    w = F.lit(1).cast("long")
     if weights is not None:
-        start = durable(down.select("row", "col").join(weights, ["row", "col"], "left").select("row", "col", F.coalesce("w", F.lit(0.0)).alias("n")))
-    moving, parts = start, [start]
-    for _ in range(down.count() + 1):  # no path is longer than there are cells
-        moving = durable(moving.join(down.filter("r2 is not null"), ["row", "col"]).groupBy(F.col("r2").alias("row"), F.col("c2").alias("col")).agg(F.sum("n").alias("n")))
-        if moving.isEmpty():
-            break
-        parts.append(moving)
-        if len(parts) == 16:
-            parts = [durable(_total(parts))]
-    else:
-        raise ValueError("the directions run in a circle")
-    return _total(parts).select("row", "col", F.col("n").alias("cells"))
-
-
-def _total(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("row", "col").agg(F.sum("n").alias("n"))
-
-
-def ca_step(r: DataFrame, potential: DataFrame, demand: int) -> DataFrame:
+        own, w = own.join(weights, ["row", "col"], "left"), F.coalesce("w", F.lit(0.0))
+    own = durable(own.withColumn("w", w))
+    sums = chains.upstream_sums(own.select("node", "down", "w"))
+    return own.select("row", "col", "node").join(sums, "node").select("row", "col", F.col("total").alias("cells"))
+
+
+def ca_step(r: DataFrame, potential: DataFrame, demand: int, neighbour_weight: float = 0.5) -> DataFrame:
     """One step of growth: of the cells that are not urban, the ``demand`` with the highest suitability turn.
 
-    Suitability is potential times neighbour fraction; ties go by row and column.
+    Suitability is potential x (1 + neighbour_weight x neighbour fraction), so a cell without urban neighbours can turn
+    too; a cell of no potential can't. Ties go by row and column.
     """
     s = neighbour_fraction(r).join(potential, ["row", "col"]).join(r, ["row", "col"])
-    score = F.when(F.col("v") == 0, F.col("p") * F.col("frac"))
-    chosen = s.filter((F.col("v") == 0) & (score > 0)).orderBy(score.desc(), "row", "col").limit(demand).select("row", "col", F.lit(1.0).alias("new"))
+    score = F.when(F.col("v") == 0, F.col("p") * (F.lit(1.0) + F.lit(float(neighbour_weight)) * F.col("frac")))
+    chosen = s.filter((F.col("v") == 0) & (score > 0)).orderBy(score.desc(), "row", "col").limit(max(0, demand)).select("row", "col", F.lit(1.0).alias("new"))
     return r.join(chosen, ["row", "col"], "left").select("row", "col", F.coalesce("new", "v").alias("v"))
 
 
+def markov_demand(masks: DataFrame) -> DataFrame:
+    """One row, ``demand``: the mean number of cells that turn urban from one mask to the next, halves to the even number.
+
+    ``masks(year, row, col, v)`` has 1 for urban; years needn't be consecutive. Fewer than two masks give 0.
+    """
+    before = F.lag("v").over(Window.partitionBy("row", "col").orderBy("year"))
+    gained = masks.select("year", "v", before.alias("before")).agg(F.count_if((F.col("v") == 1) & (F.col("before") == 0)).alias("gain"), F.countDistinct("year").alias("years"))
+    return gained.select(F.when(F.col("years") > 1, F.bround(F.col("gain") / (F.col("years") - 1), 0)).otherwise(0).cast("long").alias("demand"))
+
+
 def agreement(before: DataFrame, simulated: DataFrame, observed: DataFrame) -> DataFrame:
     """One row: figure of merit (hits over hits, misses and false alarms) and Cohen's kappa."""
     j = before.withColumnRenamed("v", "b").join(simulated.withColumnRenamed("v", "s"), ["row", "col"]).join(observed.withColumnRenamed("v", "o"), ["row", "col"])

@@ -96,10 +96,12 @@ def parking_pressure(spark, d):
 
 
 def hotspot_score(spark, d):
-    """Top edges by waiting and slowness over intervals; edges with fewer than five vehicles are left out."""
-    x = g.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("vehicles"), F.avg("l_quantity").alias("speed"), F.sum("l_tax").alias("waiting"))
-    score = c("waiting") / c("vehicles") * 100 + F.greatest(F.lit(0.0), F.lit(50.0) - c("speed"))
-    return x.filter("vehicles >= 5").select("l_suppkey", "vehicles", F.round(score, 5).alias("score")).orderBy(F.desc("score"), "l_suppkey").limit(30)
+    """The thirty most congested edges; edges with fewer than five vehicles are left out."""
+    x = g.table(spark, d, "lineitem").groupBy("l_suppkey").agg(
+        F.count("*").alias("vehicles"), F.avg("l_quantity").alias("speed"), (F.sum(F.col("l_quantity") * (c("l_suppkey") % 9)) / 4).alias("waiting"), (F.sum("l_quantity") * (c("l_suppkey") % 5) / 2).alias("loss"), F.avg("l_discount").alias("occupancy"),
+    )
+    score = m.hotspot_score(c("vehicles"), c("speed"), c("l_suppkey") % 4 * 15 + 20, c("waiting"), c("loss"), c("occupancy"))
+    return x.filter("vehicles >= 5").select("l_suppkey", "vehicles", score.alias("score")).orderBy(F.desc("score"), "l_suppkey").limit(30)
 
 
 def scenario_adjust(spark, d):
@@ -171,8 +173,9 @@ QUERIES = {
         SELECT cell, round(a * 0.2::DOUBLE + b * 0.2::DOUBLE + (1 - c) * 0.2::DOUBLE + d * 0.15::DOUBLE + (1 - e) * 0.15::DOUBLE + f * 0.1::DOUBLE, 4) AS informality FROM y"""),
     "crowd_capacity": (crowd_capacity, _Q + "round(l_quantity / 5 * 0.75::DOUBLE * 82, 6) AS flow_per_min, round(l_quantity / 5 * 0.75::DOUBLE * (l_extendedprice / 100) * 2, 6) AS standing FROM lineitem"),
     "parking_pressure": (parking_pressure, _Q + "round(greatest(0.0::DOUBLE, (l_quantity * 15 - l_linenumber * 5 * 10 + l_partkey % 4 * 5) * (l_discount * 10 + 0.5::DOUBLE)), 6) AS pressure FROM lineitem"),
-    "hotspot_score": (hotspot_score, """SELECT l_suppkey, vehicles, round(waiting / vehicles * 100 + greatest(0.0::DOUBLE, 50.0 - speed), 5) AS score FROM (SELECT l_suppkey, count(*) AS vehicles, avg(l_quantity) AS speed, sum(l_tax) AS waiting FROM lineitem GROUP BY 1) WHERE vehicles >= 5
-        ORDER BY score DESC, l_suppkey LIMIT 30"""),
+    "hotspot_score": (hotspot_score, """SELECT l_suppkey, vehicles, round((40 * greatest(0.0::DOUBLE, 1 - speed / (20 + 15 * (l_suppkey % 4))) + 1.5::DOUBLE * least(waiting / vehicles, 30) + 0.8::DOUBLE * least(loss / vehicles, 60) + 20 * occupancy)
+        * least(vehicles / 50, 2), 1) AS score FROM (SELECT l_suppkey, count(*) AS vehicles, avg(l_quantity) AS speed, sum(l_quantity * (l_suppkey % 9)) / 4 AS waiting, sum(l_quantity) * (l_suppkey % 5) / 2 AS loss, avg(l_discount) AS occupancy FROM lineitem GROUP BY 1)
+        WHERE vehicles >= 5 ORDER BY score DESC, l_suppkey LIMIT 30"""),
     "scenario_adjust": (scenario_adjust, _Q + """floor(greatest(0.0::DOUBLE, least(100.0::DOUBLE, l_quantity * 2 + 25 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0 - l_discount * 40 / 3)))) + 0.5)::INT AS transit_hub,
         floor(least(100.0::DOUBLE, CASE WHEN l_quantity * 1.5::DOUBLE >= 60 THEN l_quantity * 2 * 0.4::DOUBLE WHEN l_quantity * 1.5::DOUBLE >= 40 THEN l_quantity * 2 * 0.7::DOUBLE ELSE l_quantity * 2 END) + 0.5)::INT AS protect_flood,
         floor(least(100.0::DOUBLE, CASE WHEN l_extendedprice / 300 < 50 THEN l_quantity * 2 * 0.5::DOUBLE WHEN l_extendedprice / 300 < 150 THEN l_quantity * 2 * 0.8::DOUBLE ELSE l_quantity * 2 END) + 0.5)::INT AS curb_sprawl FROM lineitem"""),

@@ -92,8 +92,14 @@ def _cells(spark, d):
     return g.table(spark, d, "part").select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), (k * 13 % 7 == 0).alias("was"), ((k * 13 % 7 == 0) | (k * 29 % 31 < 8)).alias("now"), (k * 29 % 31).cast("double").alias("a"), (k * 17 % 23).cast("double").alias("b"))
 
 
+def growth_hindcast(spark, d):
+    """Learned on the cells' first period, held against a second one in which the next cells of the same kind turn."""
+    x = _cells(spark, d).select("row", "col", c("was").alias("first"), c("now").alias("middle"), (c("now") | (c("a") < 12)).alias("last"), "a", "b")
+    return growth.hindcast(x, ["a", "b"], steps=1).select(F.round("merit", 4).alias("merit"), F.round("kappa", 4).alias("kappa"), "demand")
+
+
 def growth_potential(spark, d):
-    p = growth.transition_potential(_cells(spark, d), ["a", "b"], trees=20)
+    p = growth.transition_potential(_cells(spark, d), ["a", "b"])
     return p.select("row", "col", F.round("potential", 4).alias("potential"))
 
 
@@ -231,6 +237,7 @@ QUERIES = {
     "ridge_weights": (ridge_weights, None),
     "growth_potential": (growth_potential, None),
     "growth_projection": (growth_projection, None),
+    "growth_hindcast": (growth_hindcast, None),
     "carbon_scores": (carbon_scores, f"""SELECT floor({_HELD(f'least({_K} % 80 / 50.0::DOUBLE, 1) * 30 + least({_K} % 30 / 20.0::DOUBLE, 1) * 25 + {_K} % 101 / 100.0::DOUBLE * 20 + CASE WHEN {_K} % 5 <> 0 THEN least({_K} % 6 / 3.0::DOUBLE, 1) * 15 ELSE 0 END - {_K} % 90 / 100.0::DOUBLE * 25')} + 0.5::DOUBLE)::BIGINT AS carbon,
         floor({_HELD(f'25 + least({_K} % 80 / 30.0::DOUBLE, 1) * 25 + greatest(0, 100 - {_K} % 90) / 100.0::DOUBLE * 25 + {_K} % 101 / 100.0::DOUBLE * 25')} + 0.5::DOUBLE)::BIGINT AS efficiency, count(*) AS n FROM lineitem GROUP BY ALL"""),
     "emergency_readiness": (emergency_readiness, f"SELECT k, round(least(100.0::DOUBLE, CASE WHEN k % 3 > 0 THEN 30 ELSE 0 END + CASE WHEN k % 2 > 0 THEN 30 ELSE 0 END + CASE WHEN k % 5 > 0 THEN 20 ELSE 0 END + CASE WHEN k % 7 <> 0 THEN k % 101 ELSE 0 END * 0.2::DOUBLE), 4) AS score FROM {g.SITE}"),

@@ -84,6 +84,12 @@ def growth_agreement(spark, d):
     return raster.agreement(u, urban_growth_step(spark, d), seen).select(F.round("merit", 6).alias("merit"), F.round("kappa", 6).alias("kappa"))
 
 
+def growth_demand(spark, d):
+    """Cells that turn urban a step, over masks of four years in which the bar falls."""
+    r = _dem(spark, d)
+    return raster.markov_demand(r.select(F.explode(F.array(*map(F.lit, range(4)))).alias("year"), "row", "col", "v").withColumn("v", F.when(c("v") > 29 - c("year"), 1.0).otherwise(0.0)))
+
+
 def stream_tumbling(spark, d):
     """The tumbling windows of the events, run as a stream to its end."""
     counts = ingest.tumbling(ingest.events_stream(spark, d), "5 minutes")
@@ -107,7 +113,7 @@ _FLOW = f"""SELECT o.row, o.col, f.dr, f.dc FROM {_DEM} o LEFT JOIN (SELECT row,
     FROM {_DEM} x, {_DIR}, {_DEM} y WHERE y.row = x.row + k.dr AND y.col = x.col + k.dc AND (x.v - y.v) / k.len > 0) WHERE n = 1) f ON f.row = o.row AND f.col = o.col"""
 _DIFF = lambda a, b, s: f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN 0.0::DOUBLE ELSE (coalesce({b}, o) - coalesce({a}, o)) / ((({a} IS NOT NULL)::INT + ({b} IS NOT NULL)::INT) * {s}) END"
 _FRAC = f"(SELECT u.row, u.col, coalesce(sum(n.v), 0.0) / 8 AS frac FROM {_URBAN} u LEFT JOIN {_URBAN} n ON abs(n.row - u.row) <= 1 AND abs(n.col - u.col) <= 1 AND NOT (n.row = u.row AND n.col = u.col) GROUP BY ALL)"
-_STEP = f"""(WITH s AS (SELECT f.row, f.col, row_number() OVER (ORDER BY d.v / 50 * f.frac DESC, f.row, f.col) AS n FROM {_FRAC} f JOIN {_DEM} d USING (row, col) JOIN {_URBAN} u USING (row, col) WHERE u.v = 0 AND d.v / 50 * f.frac > 0)
+_STEP = f"""(WITH s AS (SELECT f.row, f.col, row_number() OVER (ORDER BY d.v / 50 * (1 + 0.5::DOUBLE * f.frac) DESC, f.row, f.col) AS n FROM {_FRAC} f JOIN {_DEM} d USING (row, col) JOIN {_URBAN} u USING (row, col) WHERE u.v = 0 AND d.v > 0)
     SELECT u.row, u.col, CASE WHEN s.n <= 60 THEN 1.0 ELSE u.v END::DOUBLE AS v FROM {_URBAN} u LEFT JOIN s USING (row, col))"""
 
 QUERIES = {
@@ -130,6 +136,8 @@ QUERIES = {
     "growth_agreement": (growth_agreement, f"""WITH j AS (SELECT u.v AS b, s.v AS s, CASE WHEN u.v = 1 OR (u.row + u.col) % 9 = 0 THEN 1.0 ELSE 0.0 END AS o FROM {_URBAN} u JOIN {_STEP} s USING (row, col)),
         a AS (SELECT count(*) FILTER (b = 0 AND s = 1 AND o = 1)::DOUBLE AS h, count(*) FILTER (b = 0 AND (s = 1 OR o = 1)) AS a, count(*) FILTER (s = o) / count(*)::DOUBLE AS p, (sum(s) / count(*))::DOUBLE AS s1, (sum(o) / count(*))::DOUBLE AS o1 FROM j)
         SELECT round(h / a, 6) AS merit, round((p - (s1 * o1 + (1 - s1) * (1 - o1))) / (1 - (s1 * o1 + (1 - s1) * (1 - o1))), 6) AS kappa FROM a"""),
+    "growth_demand": (growth_demand, f"""WITH y AS (SELECT y, row, col, v > 29 - y AS on_now, v > 30 - y AS on_before FROM {_DEM}, range(4) t(y))
+        SELECT round_even(count(*) FILTER (y > 0 AND on_now AND NOT on_before) / 3.0::DOUBLE, 0)::BIGINT AS demand FROM y"""),
     "stream_tumbling": (stream_tumbling, "SELECT floor(epoch(ts))::BIGINT // 300 * 300 AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "stream_dedupe": (stream_dedupe, "SELECT DISTINCT user_id, event_type FROM events"),
 }

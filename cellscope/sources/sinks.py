@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
+from ..session import discard, durable
 
 
 def write_shards(scores: DataFrame, path: str, region: str, prefix_len: int = 4) -> None:
-    """Scores by region and code prefix; only the region's own partitions are replaced."""
-    out = scores.withColumns({"region": F.lit(region), "prefix": F.left("k", F.lit(prefix_len))})
+    """Scores by region and code prefix; afterwards the region holds exactly these rows, other regions what they held.
+
+    The region's partitions are replaced one by one when the write commits; prefixes that it had before and
+    has no longer are deleted after that, from a listing of the region's own folder.
+    """
+    spark = scores.sparkSession
+    out = durable(scores.withColumns({"region": F.lit(region), "prefix": F.left("k", F.lit(prefix_len))}))
     out.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region", "prefix").parquet(path)
+    kept = {f"prefix={r[0] or '__HIVE_DEFAULT_PARTITION__'}" for r in out.select("prefix").distinct().toLocalIterator()}
+    own = _hadoop_path(spark, f"{path}/region={region}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in files.listStatus(own) if files.exists(own) else []:
+        if f.getPath().getName().startswith("prefix=") and f.getPath().getName() not in kept:
+            files.delete(f.getPath(), True)
+    discard(out)
 
 
 def upsert_manifest(spark: SparkSession, path: str, entry: DataFrame, key: str = "name") -> DataFrame:
