@@ -37,6 +37,8 @@ from ._common import SPACE, stored, words_of
 SIZE, GRAM = 20, 10
 # Anchors in a task's sketch, and aimed at in a shard; counters for each of them; windows aimed at in a group of the second pass.
 SKETCH, SHARD, COUNTERS, GROUP = 1 << 20, 1 << 17, 8, 1 << 18
+# Words of a batch that are looked at together, unless one document has more.
+WORDS = 1 << 18
 MOST_SHARDS = 1 << 17
 NULL_ID = -(2**63)
 SKETCH_SCHEMA = "shard int, chunk long, codes binary, places binary, counts binary, flags binary"
@@ -102,6 +104,16 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), offsets
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' documents in pieces of WORDS words or one document, so that memory doesn't follow the batches' size."""
+    for b in batches:
+        upto, at = np.cumsum(np.asarray(b.column("h").value_lengths().fill_null(0)).astype(np.int64)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _packed(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
@@ -197,7 +209,7 @@ def _marked(docs: DataFrame, size: int) -> DataFrame:
             chunk, held, n = chunk + 1, [], 0
             return out
 
-        for b in batches:
+        for b in _pieces(batches):
             w = Windows(*_lists(b.column("h")), size)
             held.append((b.column("d").to_numpy(), b.column("th").to_numpy(), w.values, w.per_doc))
             n += len(w.values)
@@ -228,7 +240,7 @@ def _marked(docs: DataFrame, size: int) -> DataFrame:
             rows = [(int(part[a]), *_packed(*(x[keep[a:b]] for x in (h1, h2, d, th, start)))) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 5], strict=True)], names=["part", "h1", "h2", "d", "th", "start"])
 
-        for b in batches:
+        for b in _pieces(batches):
             h, offsets = _lists(b.column("h"))
             w = Windows(h, offsets, size)
             at = w.start[_flagged(w, b.column("bits").to_pylist())]
@@ -286,7 +298,7 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             rows = [(len(words), len(words) - int(keep.sum()), hashlib.sha256(b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k])).hexdigest()) for words, keep in _kept(b, size)]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("row"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]], names=["row", "n_words", "n_removed", "kept_sha256"])
@@ -303,7 +315,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             cut = [None if keep.all() else b" ".join([x for x, k in zip(words, keep.tolist(), strict=True) if k]).decode("utf-8", "surrogatepass") for words, keep in _kept(b, size)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pc.coalesce(pa.array(cut, b.column("text").type), b.column("text"))], names=["row", "text"])
 
