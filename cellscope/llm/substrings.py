@@ -31,7 +31,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.tables import sequential_ids
 from ._common import SPACE, stored, words_of
 
 SIZE, GRAM = 20, 10
@@ -196,7 +198,11 @@ def _word_hashes(lane: int):
 def _marked(docs: DataFrame, size: int) -> DataFrame:
     """``row, text, bits, firsts``: flagged anchors, and the starts of windows in first place, packed; both null where there are none."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", d.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        # Other ids are numbered in their order.
+        numbers = sequential_ids(docs.select("doc_id").filter("doc_id is not null").distinct(), ["doc_id"], "__d").withColumnRenamed("doc_id", "__doc")
+        docs, d = docs.join(numbers, docs["doc_id"] == numbers["__doc"], "left").drop("__doc"), F.coalesce("__d", F.lit(NULL_ID))
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c not in ("text", "__d")]).alias("row"), "text", d.alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, chars // 36 // SHARD))
 
@@ -290,7 +296,7 @@ def _kept(b: pa.RecordBatch, size: int) -> Iterator[tuple[list[bytes], np.ndarra
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``: a row per document.
 
-    Which is earlier is decided by doc_id, a null before all numbers, then by start. Rows that share a doc_id share its
+    Which is earlier is decided by doc_id, a null before all others, then by start. Rows that share a doc_id share its
     places: repeated rows all get the same result, and neither of two windows at one place is earlier than the other. A
     null, empty or blank text has no words; one of fewer than ``size`` words no window. Long texts are read
     whole, each in one task. An empty table gives an empty result. Further columns are ignored. Windows are

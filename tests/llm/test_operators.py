@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellscope.llm import html_text, langid, mixing, packing, pii, quality_model, quality_rules, queries, simhash, topk, url_filters
+from cellscope.llm import html_text, langid, mixing, packing, periodic, pii, quality_model, quality_rules, queries, simhash, substrings, topk, url_filters
 from cellscope.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,6 +58,10 @@ OPERATORS = {
     "masked": pii.masked,
     "packing": lambda d: packing.pack(d, queries.tokenizer_path()),
     "langid": lambda d: langid.predict(d, None),
+    "substrings": substrings.digest,
+    "deduplicated": substrings.deduplicated,
+    "periodic": periodic.periodic_runs,
+    "collapse": periodic.collapse,
     "quality_model": lambda d: quality_model.predict(d, quality_model.SubwordClassifier()),
 }
 
