@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,7 +34,7 @@ DEPTH = 1 << 20  # the interpreter's recursion limit while a page is rendered; p
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas annotation annotation-xml select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -290,18 +290,36 @@ def _span(cell: Node, name: str, most: int) -> int:
 
 
 def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
-    """(column, span, lines) of every cell: a cell goes right of those that reach down from rows above."""
-    out, reach = [], []  # first column, column after it, rows that it is still taken for
-    for cells in rows:
-        at, k, now, new = 0, 0, [], []
+    """(column, span, lines) of every cell: a cell goes right of those that reach down from rows above.
+
+    Cells that reach down side by side, none shorter than the one to its left, are one run of columns: it is passed in one step,
+    and loses its first cells as they end.
+    """
+    out: list = []
+    runs: list[tuple[deque, list[int]]] = []  # cells (column, row where it has ended), and the column after the last
+    for r, cells in enumerate(rows):
+        at, k, now = 0, 0, []
         for lines, wide, high in cells:
-            while k < len(reach) and reach[k][0] <= at:
-                at, k = max(at, reach[k][1]), k + 1
+            while k < len(runs):
+                held, after = runs[k]
+                while held and held[0][1] <= r:
+                    held.popleft()
+                if not held:
+                    del runs[k]
+                elif held[0][0] <= at:
+                    at, k = max(at, after[0]), k + 1
+                else:
+                    break
             now.append((at, wide, lines))
-            if high > 1:
-                new.append((at, at + wide, high))
+            end = min(r + high, len(rows))
+            if end > r + 1:
+                if k and runs[k - 1][1][0] == at and runs[k - 1][0][-1][1] <= end:
+                    runs[k - 1][0].append((at, end))
+                    runs[k - 1][1][0] = at + wide
+                else:
+                    runs.insert(k, (deque([(at, end)]), [at + wide]))
+                    k += 1
             at += wide
-        reach = sorted((a, b, n - 1) for a, b, n in reach + new if n > 1)
         out.append(now)
     return out
 
@@ -385,6 +403,43 @@ def _svg(node: Node, out: _Text) -> None:
                 _svg(c, out)
 
 
+def _options(select: Node, disabled: bool = False) -> Iterator[tuple[str, bool, bool, bool]]:
+    """(text, selected, disabled, heading) of a select's options and the labels of its groups."""
+    for c in select.children:
+        if isinstance(c, str):
+            continue
+        if c.tag == "option":
+            text = c.attrs.get("label") or _WHITE.sub(" ", "".join(_plain(c))).strip()
+            yield text, "selected" in c.attrs, disabled or "disabled" in c.attrs, False
+        elif c.tag == "optgroup":
+            yield c.attrs.get("label", ""), False, True, True
+            yield from _options(c, disabled or "disabled" in c.attrs)
+        else:
+            yield from _options(c, disabled)
+
+
+def _chosen(select: Node) -> list[str]:
+    """What a select shows: all lines of a list box; of a drop-down the last option marked, else the first that can be chosen."""
+    rows = int(size) if (size := select.attrs.get("size", "")).isascii() and size.isdigit() and len(size) < 9 else 0
+    options = list(_options(select))
+    if "multiple" in select.attrs or rows > 1:
+        return [text for text, _, _, _ in options if text]
+    marked = [text for text, selected, _, _ in options if selected]
+    free = (text for text, _, disabled, heading in options if not disabled and not heading)
+    return [text for text in (marked[-1:] or [next(free, "")]) if text]
+
+
+def _select(node: Node, out: _Text) -> None:
+    shown = _chosen(node)
+    if "multiple" in node.attrs or len(shown) > 1:
+        out.flush()
+        for text in shown:
+            out.inline(text)
+            out.flush()
+    elif shown:
+        out.inline(f" {shown[0]} ")
+
+
 def _into(children: list, out: _Text) -> None:
     for c in children:
         if isinstance(c, str):
@@ -399,6 +454,8 @@ def _into(children: list, out: _Text) -> None:
         elif c.tag == "input":
             if c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and c.attrs.get("value"):
                 out.inline(f" {c.attrs['value']} ")
+        elif c.tag == "select":
+            _select(c, out)
         elif c.tag == "svg":
             _svg(c, out)
         elif c.tag in BLOCK:
@@ -435,12 +492,18 @@ def _plain(node: Node) -> Iterator[str]:
             yield "\n".join(_lines([c], LEVELS))
         elif c.tag == "br":
             yield "\n"
+        elif c.tag == "select":
+            yield "\n".join(_chosen(c))
         else:
             yield from _plain(c)
 
 
 def html_to_text(html: str | None) -> str:
-    """Visible text of a page. Null or empty: an empty text. Text without any tag is collapsed text."""
+    """Visible text of a page. Null or empty: an empty text. Text without any tag is collapsed text.
+
+    Visible is what a browser with scripts shows: ``noscript`` and the stand-in content of ``object``, ``audio``, ``video`` and
+    ``canvas`` are not; of a drop-down the chosen option is, of a list box all.
+    """
     if not html:
         return ""
     before = sys.getrecursionlimit()

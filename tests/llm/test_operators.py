@@ -204,7 +204,7 @@ def test_training_takes_any_id_and_no_repeats(spark, monkeypatch):
         ("<a href='x>y'>link</a> 1 < 2", "link 1 < 2"),
         ("<b>bold<p>still</b> here", "bold\n\nstill here"),
         ("</div>stray<img alt='pic'>", "straypic"),
-        ("<select><option>a<option>b</select>c", "c"),
+        ("<select><option>a<option>b</select>c", "a c"),
     ],
 )
 def test_html_cases(html, text):
@@ -223,7 +223,7 @@ def test_html_cases(html, text):
         ("<table><caption>cap<td>a</table>", "cap\na"),
         ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
         ("<svg><title>no</title><defs><text>no</text></defs><g><text>one</text><text>two</text></g></svg>", "one two"),
-        ("<select><option>a<input value=c>b", "c b"),
+        ("<select><option>a<input value=c>b", "a c b"),
     ],
 )
 def test_html_keeps_visible_text(html, text):
@@ -246,6 +246,43 @@ def test_html_layout_and_visibility(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("x<select><option>a<option selected>b<option selected>c</select>y", "x c y"),
+        ("<select><option disabled>pick<option>b</select>", "b"),
+        ("<select><optgroup label=g><option disabled>a<option>b</optgroup></select>", "b"),
+        ("<select multiple><optgroup label=g><option>a<option>b</optgroup></select>", "g\na\nb"),
+        ("p<select size=3><option>a<option>b</select>q", "p\na\nb\nq"),
+        ("<select><option label=L>a</select>", "L"),
+        ("<select><option style='display:none' selected>a<option>b</select>", "b"),
+        ("<select hidden><option>a</select>b", "b"),
+        ("<select></select>b", "b"),
+        ("<pre>a <select><option>b</select></pre>", "a b"),
+    ],
+)
+def test_html_selects(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+def test_html_row_spans_equal_a_grid():
+    """Cells stand where a grid of taken places puts them, and open spans cost no more with every row."""
+    r = random.Random(9)
+    for _ in range(300):
+        rows_ = [[([], r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 2, 3, 9])) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(1, 9))]
+        taken = set()
+        for y, (cells, found) in enumerate(zip(rows_, html_text._placed(rows_), strict=True)):
+            at = 0
+            for (_, wide, high), (column, span, _) in zip(cells, found, strict=True):
+                while (y, at) in taken:
+                    at += 1
+                assert (column, span) == (at, wide)
+                taken |= {(y + i, at + j) for i in range(1, high) for j in range(wide)}
+                at += wide
+    cells = [[([], 1, 20_000), ([], 1, 1)]] * 30_000
+    assert [c[0][0] for c in html_text._placed(cells)][:20_000] == list(range(20_000))
+
+
 def test_html_layout_is_bounded():
     """No page makes much more text than it has: wide cells beside many rows, spans, lists and quotes in each other."""
     pages = [
