@@ -3,7 +3,7 @@
 The score, an inner product, is a sum over slices of the dimensions; each slice gives a score list of its own.
 Queries come in blocks of bounded size; the rows stay where they are and are never copied for a block.
 
-1. Gather: over about SAMPLE_ROWS rows, chosen by hash, each task gives the entries at the head of every
+1. Gather: over one row in SAMPLE_SHARE (SAMPLE_ROWS at least), chosen by hash, each task gives the entries at the head of every
    slice's list, with their full scores. The k-th best of them is a safe cutoff c for a query: no more than
    k - 1 rows of the table can be missing from the answer below it.
 2. Collect: the block of queries with its cutoffs is broadcast. A row whose sum over m slices reaches c has a
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 QUERY_BLOCK, SAMPLE_ROWS, STRIP, SLICES = 8192, 4096, 64, 4
+# One row in so many is gathered first, SAMPLE_ROWS at least: cutoffs tighten with the table, and the rows that pass one stay about k times this.
+SAMPLE_SHARE = 64
 # Rows of a batch that are scored together.
 ROWS = 8192
 
@@ -68,6 +70,15 @@ def _lists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[:, s] @ b[:, s].T for s in slices_of(a.shape[1])])
 
 
+def best_of(at: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score, then smaller id) of each query, by query, and which of them is a query's k-th."""
+    order = np.lexsort((row, -score, at))
+    at, row, score = at[order], row[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = place < k
+    return at[keep], row[keep], score[keep], place[keep] == k - 1
+
+
 def gathered(qid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query's place, row id and full score of the k + 1 highest entries of every list, some queries at a time."""
     n = min(k + 1, len(rid))  # one more than k: the query itself may be among them
@@ -81,15 +92,19 @@ def gathered(qid: np.ndarray, a: np.ndarray, rid: np.ndarray, b: np.ndarray, k:
         yield (at + i)[own], rid[j[own]], lists[:, i[own], j[own]].sum(axis=0)
 
 
-def resolved(qid: np.ndarray, a: np.ndarray, cut: np.ndarray, rid: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query's place, row id and exact score of the rows with an entry from c / m up, where the score reaches c."""
+def resolved(qid: np.ndarray, a: np.ndarray, cut: np.ndarray, rid: np.ndarray, b: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query's place, row id and exact score of the rows with an entry from c / m up, where the score reaches c.
+
+    With ``k``, only a query's k best of these rows: however many tie, no more than k go on.
+    """
     for at in range(0, len(a), STRIP):
         lists = _lists(a[at : at + STRIP], b)
         c = cut[at : at + STRIP]
         i, j = np.nonzero((lists * len(lists) >= c[None, :, None]).any(axis=0))
         exact = lists[:, i, j].sum(axis=0)
         good = (exact >= c[i]) & (qid[at + i] != rid[j])
-        yield at + i[good], rid[j[good]], exact[good]
+        found = at + i[good], rid[j[good]], exact[good]
+        yield found if k is None else best_of(*found, k)[:3]
 
 
 class Best:
@@ -103,13 +118,8 @@ class Best:
         parts = list(zip(*found, strict=True)) or [[], [], []]
         at, row = (np.concatenate([own, *map(np.asarray, p)]).astype(np.int64) for own, p in ((self.at, parts[0]), (self.row, parts[1])))
         score = np.concatenate([self.score, *[np.asarray(p, np.int64) for p in parts[2]]])
-        order = np.lexsort((row, -score, at))
-        at, row, score = at[order], row[order], score[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        keep = place < self.k
-        self.at, self.row, self.score = at[keep], row[keep], score[keep]
-        last = place == self.k - 1
-        cut[at[last]] = np.maximum(cut[at[last]], score[last])
+        self.at, self.row, self.score, last = best_of(at, row, score, self.k)
+        cut[self.at[last]] = np.maximum(cut[self.at[last]], self.score[last])
 
 
 def _search(rows: DataFrame, block, k: int, gather: bool) -> DataFrame:
@@ -123,7 +133,7 @@ def _search(rows: DataFrame, block, k: int, gather: bool) -> DataFrame:
                 part = whole.iloc[at : at + ROWS]
                 a, b = _same_width(queries, part["v"])
                 rid = part["vec_id"].to_numpy()
-                best.add(gathered(qid, a, rid, b, k) if gather else resolved(qid, a, cut, rid, b), cut)
+                best.add(gathered(qid, a, rid, b, k) if gather else resolved(qid, a, cut, rid, b, k), cut)
         yield pd.DataFrame({"query_id": qid[best.at], "vec_id": best.row, "score": best.score})
 
     return rows.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score long")
@@ -141,7 +151,7 @@ def topk(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     """
     context = rows.sparkSession.sparkContext
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    sample = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, rows.count() // SAMPLE_ROWS))) == 0
+    sample = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, min(SAMPLE_SHARE, rows.count() // SAMPLE_ROWS)))) == 0
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda d: d.withColumn("rank", F.row_number().over(order))
     parts = []

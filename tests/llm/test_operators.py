@@ -143,6 +143,19 @@ def test_topk_resolves_few_scores():
         assert mine == expect
 
 
+def test_topk_holds_few_of_many_ties():
+    """Rows that all tie with the cutoff pass k at a time, the smallest ids first."""
+    rows_, ids = np.ones((4000, 8)), np.arange(4000)
+    cut = np.full(300, 8.0)
+    sizes = []
+    best = topk.Best(20)
+    for at, row, score in topk.resolved(ids[:300], rows_[:300], cut, ids, rows_, 20):
+        sizes.append(len(at))
+        best.add(iter([(at, row, score)]), cut)
+    assert max(sizes) <= topk.STRIP * 20
+    assert [r for a, r in zip(best.at.tolist(), best.row.tolist(), strict=True) if a == 5] == [i for i in range(21) if i != 5]
+
+
 # --- ids stay out of Python
 
 LARGE = 2**53
