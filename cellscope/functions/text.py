@@ -57,8 +57,11 @@ def first_match(text: Column, groups: list[tuple[str, str]], otherwise: str) ->
 
 
 def lexicon_weights(question: Column) -> Column:
-    """Scores' weights by all concepts that occur, in order, held to [-1, 1] after each; empty for none."""
-    low = F.lower(question)
+    """Scores' weights by all concepts that occur, in order, held to [-1, 1] after each; empty for none.
+
+    Letters beyond ASCII are no part of a word, as in the patterns' own language.
+    """
+    low = F.regexp_replace(F.lower(question), r"[^\x00-\x7F]", "~")
     out: dict[str, Column] = {}
     for _, pattern, weights in LEXICON:
         for score, w in weights.items():

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..session import discard, durable
-from . import chains
+from . import chains, tables
 from .chains import hub_join
 
 BROADCAST_EDGES = 5_000_000  # 60 bytes each on a worker
@@ -157,15 +159,63 @@ def bridges(edges: DataFrame) -> DataFrame:
     return sides.filter("x = 0 and y = 0").select("a", "b")
 
 
-def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
+def _path_sums(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """``source, node, v``: the sum of ``start(source, node, v)`` over all paths along ``steps(source, node, to)`` that end in a node.
+
+    Steps of a source make no circle. A round moves every value one step on; what has met on a node moves on as one sum.
+    """
+    moving = durable(start.select("source", "node", "v"))
+    parts = [moving]
+    while True:
+        moving = durable(moving.join(steps, ["source", "node"]).groupBy("source", F.col("to").alias("node")).agg(F.sum("v").alias("v")))
+        if moving.isEmpty():
+            break
+        parts.append(moving)
+        if len(parts) == 16:
+            parts = [durable(_summed(parts))]
+    return durable(_summed(parts))
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("source", "node").agg(F.sum("v").alias("v"))
+
+
+def _joined_flows(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``a, b, v``: how much of all shortest paths from ``sources(node)`` runs over each edge, by joins alone.
+
+    With p(v) shortest paths to v from a source, and q(v) the sum of 1 / p(u) over all ways on from v to any u, a step from
+    v to w of the shortest paths carries p(v) q(w). Both are sums over paths of the steps, one forward, one backward, for all sources at once.
+    """
+    far = reachable_within(edges, sources, float("inf"))
+    ahead = far.select("source", F.col("node").alias("b"), F.col("cost").alias("there"))
+    legs = far.join(both_ways(edges).withColumnRenamed("a", "node"), "node").join(ahead, ["source", "b"])
+    on_way = F.abs(F.col("cost") + F.col("w") - F.col("there")) <= 1e-9 * (F.lit(1.0) + F.col("there"))
+    steps = durable(legs.filter(on_way).select("source", "node", F.col("b").alias("to")))
+    paths = _path_sums(steps, sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("v")))
+    back = steps.select("source", F.col("to").alias("node"), F.col("node").alias("to"))
+    onward = _path_sums(back, paths.select("source", "node", (F.lit(1.0) / F.col("v")).alias("v")))
+    flow = steps.join(paths.withColumnRenamed("v", "p"), ["source", "node"]).join(onward.select("source", F.col("node").alias("to"), F.col("v").alias("q")), ["source", "to"])
+    return flow.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"), (F.col("p") * F.col("q")).alias("v"))
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """``a, b, betweenness`` of edges, weighted and normalised by the number of node pairs.
 
-    Searches run from every node, or from ``sources`` nodes chosen by hash and scaled up. They are dealt over
-    tasks; the edges travel as a broadcast of flat arrays (60 bytes an edge), refused beyond BROADCAST_EDGES.
+    Searches run from every node, or from ``sources`` nodes chosen by hash and scaled up. Up to ``broadcast_edges``
+    the edges travel as a broadcast of flat arrays (60 bytes an edge) and searches are dealt over tasks. Larger graphs stay in tables:
+    the searches of all sources advance together, by joins, a round for each step of the longest shortest path.
     """
     spark = edges.sparkSession
-    if edges.count() > BROADCAST_EDGES:
-        raise ValueError(f"more than {BROADCAST_EDGES} edges: cut the graph into components or regions first")
+    if edges.count() > broadcast_edges:
+        ends = both_ways(edges).select(F.col("a").alias("node")).distinct()
+        n = ends.count()
+        few = sources is not None and sources < n
+        chosen = durable(ends.orderBy(F.xxhash64("node"), "node").limit(sources)) if few else ends
+        summed = _joined_flows(edges, chosen).groupBy("a", "b").agg((F.sum("v") / max(1, n * (n - 1)) * (n / sources if few else 1.0)).alias("betweenness"))
+        return edges.select("a", "b").join(summed, ["a", "b"], "left").na.fill(0.0)
     rows = edges.select("a", "b", "w").toPandas()
     codes, names = pd.factorize(pd.concat([rows["a"], rows["b"]]))
     m, n = len(rows), len(names)
@@ -222,30 +272,61 @@ def _add_flows(source: int, first: np.ndarray, other: np.ndarray, edge: np.ndarr
             total[e] += part
 
 
-def greedy_clusters(points: DataFrame, metres: float, by: str) -> DataFrame:
-    """``by, seq, cluster``: in the order of ``seq`` a point joins the first cluster within reach, or starts one.
+METRES_PER_DEGREE = 6371000.0 * math.pi / 180
 
-    The result depends on the order, so each group of ``by`` is folded in one task.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from math import asin, cos, radians, sin, sqrt
+def _cluster_cell(metres: float) -> tuple[float, Callable[[Column], Column]]:
+    """Height of a row of cells in degrees, and the width of the cells of a row: no two points of a cell are ``metres`` apart."""
+    high = metres / 1.5 / METRES_PER_DEGREE
+    nearest = lambda row: F.when(row >= 0, row).otherwise(-row - 1) * F.lit(high)  # noqa: E731  the row's least latitude, where cells are widest
+    return high, lambda row: F.lit(high) / F.greatest(F.lit(1e-6), F.cos(F.radians(nearest(row))))
 
-        def far(p, q):
-            h = sin(radians(q[0] - p[0]) / 2) ** 2 + cos(radians(p[0])) * cos(radians(q[0])) * sin(radians(q[1] - p[1]) / 2) ** 2
-            return 12742000.0 * asin(sqrt(min(1.0, h)))
 
-        centres, out = [], []
-        for row in pdf.sort_values("seq").itertuples():
-            at = next((i for i, c in enumerate(centres) if far(c, (row.lat, row.lon)) <= metres), None)
-            if at is None:
-                at = len(centres)
-                centres.append((row.lat, row.lon))
-            out.append((getattr(row, by), row.seq, at))
-        return pd.DataFrame(out, columns=[by, "seq", "cluster"])
+def _reached_cells(points: DataFrame, metres: float) -> DataFrame:
+    """``points`` with ``row, col`` of every cell that a circle of ``metres`` around them may touch."""
+    high, wide = _cluster_cell(metres)
+    reach = metres / METRES_PER_DEGREE * 1.000001
+    out = points.withColumn("row", F.explode(F.sequence(F.floor((F.col("lat") - reach) / high), F.floor((F.col("lat") + reach) / high))))
+    far = F.lit(reach) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + reach))))
+    return out.withColumn("col", F.explode(F.sequence(F.floor((F.col("lon") - far) / wide(F.col("row"))), F.floor((F.col("lon") + far) / wide(F.col("row"))))))
 
-    kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "seq", "lat", "lon").groupBy(by).applyInPandas(run, f"{by} {kind}, seq long, cluster long")
+
+def greedy_clusters(points: DataFrame, metres: float, by: str) -> DataFrame:
+    """``by, seq, cluster``: in the order of ``seq`` a point joins the first cluster within reach of its first point, or starts one.
+
+    A point starts a cluster if no earlier one that does is within reach. That is decided by rounds, for all groups
+    at once: in each grid cell, whose points are all within reach of each other, the earliest open point starts a cluster if
+    no earlier open point around it is within reach; whatever it reaches is settled. Then every point finds the
+    earliest start around it. A round costs as much as there are open points. ``seq`` tells the points of a group
+    apart; points without a place take no part; reach ends at the date line.
+    """
+    high, wide = _cluster_cell(metres)
+    row = F.floor(F.col("lat") / high)
+    placed = points.filter("lat is not null and lon is not null").select(F.col(by).alias("g"), "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    own = durable(placed.withColumn("home_row", row).withColumn("home_col", F.floor(F.col("lon") / wide(F.col("home_row")))))
+    far = lambda a, b: geo.haversine(F.col(f"{a}lat"), F.col(f"{a}lon"), F.col(f"{b}lat"), F.col(f"{b}lon"), 6371000.0)
+    same = lambda d: d.withColumn("g", F.coalesce(F.col("g").cast("string"), F.lit("\0")))  # noqa: E731  a null group is a group
+    keyed = same(own)
+    open_, starts = durable(keyed), None
+    while not open_.isEmpty():
+        first = open_.groupBy("g", F.col("home_row").alias("row"), F.col("home_col").alias("col")).agg(F.min(F.struct("seq", "lat", "lon")).alias("c")).select("g", "row", "col", F.col("c.seq").alias("start"), F.col("c.lat").alias("clat"), F.col("c.lon").alias("clon"))
+        near = durable(_reached_cells(open_.select("g", "seq", "lat", "lon"), metres).join(first, ["g", "row", "col"]).filter(far("", "c") <= metres).select("g", "seq", "start", "clat", "clon"))
+        blocked = near.filter(F.col("seq") < F.col("start")).select("g", "start").distinct()
+        new = durable(near.filter(F.col("seq") == F.col("start")).select("g", "start", "clat", "clon").join(blocked, ["g", "start"], "left_anti"))
+        settled = near.join(new.select("g", "start"), ["g", "start"], "left_semi").select("g", "seq").distinct()
+        after = durable(open_.join(settled, ["g", "seq"], "left_anti"))
+        discard(open_)
+        discard(near)
+        open_, starts = after, new if starts is None else starts.unionByName(new)
+    if starts is None:
+        return points.select(by, "seq", F.lit(0).cast("long").alias("cluster")).limit(0)
+    numbered = tables.sequential_ids(starts, ["g", "start"], "place")
+    lowest = numbered.groupBy("g").agg(F.min("place").alias("low"))
+    numbered = numbered.join(lowest, "g").select("g", "start", "clat", "clon", (F.col("place") - F.col("low")).cast("long").alias("cluster"))
+    homes = numbered.withColumn("row", F.floor(F.col("clat") / high)).withColumn("col", F.floor(F.col("clon") / wide(F.col("row"))))
+    met = _reached_cells(keyed.select("g", "seq", "lat", "lon"), metres).join(homes, ["g", "row", "col"]).filter(far("", "c") <= metres)
+    joined = met.groupBy("g", "seq").agg(F.min("cluster").alias("cluster"))
+    return keyed.select("g", "seq").join(joined, ["g", "seq"]).join(same(own.select("g").distinct().withColumn("named", F.col("g"))), "g").select(F.col("named").alias(by), "seq", "cluster")
 
 
 def reachable_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:

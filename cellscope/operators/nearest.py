@@ -31,13 +31,17 @@ SPARE = 4
 RADIUS = 6371.0
 
 
-def _place(low: float, span: float, c: str) -> Column:
-    return F.least(F.floor((F.col(c) - low) / span * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
+GLOBE = (-90.0, -180.0, 90.0, 180.0)
 
 
-def leaves_of(targets: DataFrame, size: int) -> DataFrame:
-    """``t, tlat, tlon, leaf`` of all targets: the quadtree cell, and slice of it, that each is in."""
-    open_, parts, depth = targets.withColumns({"x": _place(-180.0, 360.0, "tlon"), "y": _place(-90.0, 180.0, "tlat")}), [], 0
+def _place(low: float, high: float, c: str) -> Column:
+    share = (F.col(c) - low) / (high - low) if high > low else F.lit(0.0)
+    return F.least(F.floor(share * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
+
+
+def leaves_of(targets: DataFrame, size: int, box: tuple[float, float, float, float] = GLOBE) -> DataFrame:
+    """``t, tlat, tlon, leaf`` of all targets: the quadtree cell of ``box`` (south, west, north, east), and slice of it, that each is in."""
+    open_, parts, depth = targets.withColumns({"x": _place(box[1], box[3], "tlon"), "y": _place(box[0], box[2], "tlat")}), [], 0
     while True:
         depth = min(DEPTH, depth + 2)
         cell = F.concat_ws("/", F.lit(depth), F.shiftright("x", DEPTH - depth), F.shiftright("y", DEPTH - depth))

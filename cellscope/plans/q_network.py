@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import geo, models, num, places
 from ..functions import text as x
 from ..operators import graph, grid, network, scores, spatial_joins
+from ..session import durable
 from . import geography as g
 from . import q_space
 
 c = F.col
 VIEW = (22.58, 75.72, 22.71, 75.88)  # south, west, north, east of a view within the scored cells
-PLAIN = "^[ -~\\n\\t]*$"  # questions in ASCII, where word boundaries are the same everywhere
 OFF_GRID = (12.9, 77.5, 13.1, 77.7)
 
 
@@ -39,8 +39,8 @@ def live_viewport(spark, d):
 
 def _asked(spark, d):
     """Questions as weights: the lexicon's where it finds any concept, else those of the query that key words name."""
-    q = g.table(spark, d, "conversations").filter("conv_id % 10 = turn").filter(c("text").rlike(PLAIN)).groupBy((c("conv_id") * 100 + c("turn")).alias("question")).agg(F.min("text").alias("q"))
-    q = q.withColumn("own", x.lexicon_weights(c("q")))
+    q = g.table(spark, d, "conversations").filter("text is not null").groupBy((c("conv_id") * 100 + c("turn")).alias("question")).agg(F.min("text").alias("q"))
+    q = durable(q.withColumn("own", x.lexicon_weights(c("q"))))  # patterns are searched once
     lexicon = q.filter(F.size("own") > 0).select("question", F.explode("own").alias("e")).select("question", c("e.score").alias("score_id"), c("e.w").alias("weight"))
     named = F.broadcast(spark.createDataFrame(scores.named_weights(), "query string, score_id string, weight double"))
     keys = q.filter(F.size("own") == 0).select("question", x.first_match(c("q"), x.ROUTES, "best_residential").alias("query")).join(named, "query")
@@ -320,7 +320,7 @@ def _asked_sql():
     for i, (_, pattern, weights) in enumerate(x.LEXICON):
         for s, w in weights.items():
             lexicon.append(f"({i}, '{pattern.replace(chr(39), chr(39) * 2)}', '{s}', {w}::DOUBLE)")
-    return f"""(WITH q AS (SELECT conv_id * 100 + turn AS question, min(text) AS q FROM conversations WHERE regexp_full_match(text, '[ -~\n\t]*') AND conv_id % 10 = turn GROUP BY 1),
+    return f"""(WITH q AS (SELECT conv_id * 100 + turn AS question, min(text) AS q FROM conversations WHERE text IS NOT NULL GROUP BY 1),
       hits AS (SELECT question, i, score_id, w FROM q, (VALUES {", ".join(lexicon)}) l(i, pattern, score_id, w) WHERE regexp_matches(lower(q), pattern)),
       held AS (SELECT question, score_id, list_reduce(list_prepend(0.0::DOUBLE, list(w ORDER BY i)), lambda a, b: greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a + b))) AS w FROM hits GROUP BY ALL),
       keyed AS (SELECT question, {_route_sql()} AS query FROM q WHERE question NOT IN (SELECT question FROM hits))
