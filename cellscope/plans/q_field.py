@@ -67,9 +67,9 @@ def street_closeness(spark, d):
 
 
 def building_exposure(spark, d):
-    """Every site's flood exposure by rivers and the fifty first ponds."""
+    """Every site's flood exposure by rivers and ponds."""
     p = g.pois(spark, d)
-    found = flood.building_exposure(g.sites(spark, d), p.filter("tag = 13"), p.filter("tag = 12").orderBy("k").limit(50))
+    found = flood.building_exposure(g.sites(spark, d), p.filter("tag = 13"), p.filter("tag = 12"))
     return found.select("k", F.round("drain_km", 6).alias("drain_km"), "score", "level")
 
 
@@ -117,7 +117,7 @@ QUERIES = {
         d0 AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e UNION SELECT a, a, 0.0::DOUBLE FROM e UNION SELECT b, b, 0.0::DOUBLE FROM e), d1 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d0 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d0 x JOIN d0 y ON x.b = y.a) GROUP BY ALL), d2 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d1 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d1 x JOIN d1 y ON x.b = y.a) GROUP BY ALL), d3 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d2 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d2 x JOIN d2 y ON x.b = y.a) GROUP BY ALL), d4 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d3 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d3 x JOIN d3 y ON x.b = y.a) GROUP BY ALL), d5 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d4 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d4 x JOIN d4 y ON x.b = y.a) GROUP BY ALL), d6 AS (SELECT a, b, min(w) AS w FROM (SELECT a, b, w FROM d5 UNION ALL SELECT x.a, y.b, x.w + y.w FROM d5 x JOIN d5 y ON x.b = y.a) GROUP BY ALL)
         SELECT a AS node, round((count(*) - 1) / sum(w) * ((count(*) - 1) / ((SELECT count(DISTINCT a) FROM d0) - 1)::DOUBLE), 6) AS closeness FROM d6 GROUP BY a"""),
     "building_exposure": (building_exposure, f"""WITH w AS (SELECT a.k, min({g.haversine_sql('a', 'b')}) AS d FROM {g.SITE} a, {g.POI} b WHERE b.tag = 13 GROUP BY a.k),
-        p AS (SELECT a.k, min({g.haversine_sql('a', 'b')}) AS d FROM {g.SITE} a, (SELECT * FROM {g.POI} WHERE tag = 12 ORDER BY k LIMIT 50) b GROUP BY a.k),
+        p AS (SELECT a.k, min({g.haversine_sql('a', 'b')}) AS d FROM {g.SITE} a, {g.POI} b WHERE b.tag = 12 GROUP BY a.k),
         s AS (SELECT w.k, w.d, CASE WHEN w.d < 0.1 THEN 40 WHEN w.d < 0.3 THEN 20 WHEN w.d < 0.5 THEN 10 ELSE 0 END + CASE WHEN p.d < 0.5 THEN 30 ELSE 0 END AS score FROM w JOIN p ON p.k = w.k)
         SELECT k, CASE WHEN d <= 0.5 THEN round(d, 6) END AS drain_km, score, CASE WHEN score >= 40 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level FROM s"""),
     "norm_gaps": (norm_gaps, """SELECT c_nationkey, kind, need, have, need - have AS gap FROM (SELECT c_nationkey, unnest(['school', 'clinic', 'park']) AS kind, unnest([ceil(count(*) / 40)::BIGINT, ceil(count(*) / 100)::BIGINT, ceil(count(*) / 25)::BIGINT]) AS need,

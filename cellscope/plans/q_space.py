@@ -63,6 +63,22 @@ def composite_scores(spark, d):
     return scores.composite(cells, counts)
 
 
+def environment_scores(spark, d):
+    """Scores that follow a cell's surroundings: people per hectare, ground and religions known for some cells only."""
+    k = F.col("c_custkey")
+    kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("r"), F.when(k % m != 0, k % (m + 3)).otherwise(F.lit(0)).cast("long").alias("n")) for n, m in (("hindu", 2), ("jain", 3), ("sikh", 5), ("muslim", 7))]), lambda x: k % 4 != 3)
+    cells = g.table(spark, d, "customer").select(
+        k.alias("k"), F.when(k % 3 != 0, F.col("c_acctbal") / 20).alias("persons_per_hectare"), F.when(k % 5 != 0, k % 7 == 0).alias("low_lying"),
+        F.when(k % 5 != 0, (k % 23 - 9).cast("double")).alias("relative_elevation"), F.when(k % 11 != 0, F.map_from_entries(kinds)).alias("religions"),
+    )
+    o = g.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.element_at(F.array(*[F.lit(x) for x in _AROUND]), (F.col("o_orderkey") % len(_AROUND) + 1).cast("int")).alias("f"))
+    counts = o.groupBy("k", F.split_part("f", F.lit("/"), F.lit(1)).alias("category"), F.split_part("f", F.lit("/"), F.lit(2)).alias("feature")).agg(F.count("*").alias("cnt"))
+    return scores.composite(cells, counts).select("k", "population_proxy", "religious_diversity", "flood_risk")
+
+
+_AROUND = ("entertainment/worship", "infrastructure/river", "infrastructure/bridge", "landuse/industrial_area", "landuse/res_buildings", "shopping/convenience", "infrastructure/power")
+
+
 def rank_query_topk(spark, d):
     ranked = scores.rank(composite_scores(spark, d), scores.CATALOG["family"])
     return ranked.orderBy(F.desc("score"), "k").limit(10)
@@ -192,7 +208,20 @@ _SEG = f"""(SELECT p.k, (s.lon1 - p.lon) * {_KX} AS ax, (s.lat1 - p.lat) * 11132
   FROM {g.POI} p, {g.ROAD} s WHERE abs(s.lat1 - p.lat) < 0.01 AND abs(s.lon1 - p.lon) < 0.01)"""
 _MID = f"(SELECT k, (lat1 + lat2) / 2 AS lat, (lon1 + lon2) / 2 AS lon, {_BEARING} % 180 AS dir FROM {g.ROAD} WHERE class = 3)"
 
+_ENVIRONMENT = """WITH n AS (SELECT o_custkey AS k, count(*) FILTER (o_orderkey % 7 = 0) AS worship, count(*) FILTER (o_orderkey % 7 = 1) AS river, count(*) FILTER (o_orderkey % 7 = 2) AS bridge, count(*) FILTER (o_orderkey % 7 = 3) AS industry,
+        count(*) FILTER (o_orderkey % 7 = 4) AS homes, count(*) FILTER (o_orderkey % 7 = 5) AS shops, count(*) FILTER (o_orderkey % 7 = 6) AS power FROM orders GROUP BY 1),
+      x AS (SELECT c_custkey AS k, c_custkey % 3 <> 0 AND c_acctbal > 0 AS counted, c_acctbal / 20 AS people, c_custkey % 5 <> 0 AS ground, c_custkey % 7 = 0 AS low, c_custkey % 23 - 9 AS rise, coalesce(worship, 0) AS worship, coalesce(river, 0) AS river, coalesce(bridge, 0) AS bridge,
+        coalesce(industry, 0) AS industry, coalesce(homes, 0) AS homes, coalesce(shops, 0) AS shops, coalesce(power, 0) AS power,
+        CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 4 <> 3 THEN list_filter([CASE WHEN c_custkey % 2 <> 0 THEN c_custkey % 5 ELSE 0 END, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 6 ELSE 0 END, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 8 ELSE 0 END,
+          CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 10 ELSE 0 END], lambda c: c > 0) ELSE [] END AS faiths FROM customer LEFT JOIN n ON n.k = c_custkey),
+      y AS (SELECT *, list_sum(faiths)::DOUBLE AS told, least(len(faiths) / 4, 1) AS rich, CASE WHEN counted THEN people ELSE homes * 5 + shops * 8 END AS crowd, CASE WHEN counted THEN 500 ELSE 200 END AS anchor FROM x),
+      z AS (SELECT *, CASE WHEN len(faiths) > 1 THEN -list_sum(list_transform(faiths, lambda c: c / told * ln(c / told))) / ln(len(faiths)) END AS even FROM y)
+      SELECT k, (CASE WHEN crowd > 0 THEN least(100, floor(ln(1 + crowd) / ln(1.0::DOUBLE + anchor) * 100 + 0.5)) ELSE 0 END)::INT AS population_proxy,
+        (CASE WHEN len(faiths) = 0 THEN floor(least(100, floor(ln(1.0::DOUBLE + worship) / ln(21.0::DOUBLE) * 100 + 0.5)) * 0.5::DOUBLE + 0.5) WHEN len(faiths) = 1 THEN floor(100 * (0.4::DOUBLE * rich) * least(1, told / 3) + 0.5) ELSE floor(100 * (0.6::DOUBLE * even + 0.4::DOUBLE * rich) + 0.5) END)::INT AS religious_diversity,
+        greatest(0, least(100, 30 + CASE WHEN ground AND low THEN 25 WHEN ground AND rise < 0 THEN 10 WHEN ground AND rise > 5 THEN -15 ELSE 0 END + 12 * river - 5 * bridge - 2 * power + 5 * industry))::INT AS flood_risk FROM z"""
+
 QUERIES = {
+    "environment_scores": (environment_scores, _ENVIRONMENT),
     "cell_encode": (cell_encode, f"SELECT k, c[1:3] || '-' || c[4:6] || '-' || c[7:10] AS code FROM (SELECT k, {g.code_sql('r', 'q', 10)} AS c FROM (SELECT k, {g.row_sql('lat', 10)} AS r, {g.col_sql('lon', 10)} AS q FROM {g.SITE}))"),
     "cell_decode": (cell_decode, f"""SELECT k, {g.code_sql('r', 'c', 8)} AS code, round(2.5 + r * w + w / 2, 6) AS lat, round(63.5 + c * w + w / 2, 6) AS lon, round(2.5 + r * w, 6) AS south,
         round(2.5 + r * w + w, 6) AS north, round(63.5 + c * w, 6) AS west, round(63.5 + c * w + w, 6) AS east FROM (SELECT k, {g.row_sql('lat', 8)} AS r, {g.col_sql('lon', 8)} AS c, {36 / 4**8!r}::DOUBLE AS w FROM {g.SITE})"""),

@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellscope-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -45,6 +45,11 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Have ``path``, written below the shared folder, deleted with the tables of this session."""
+    _written.append((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

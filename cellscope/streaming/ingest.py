@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import remember, shared_dir
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -71,7 +74,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Results of a bounded stream as a table in memory: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Results of a bounded stream as a table in the shared folder: in append mode all rows, in complete mode the last batch's.
+
+    Each batch is a folder of its own, written by the executors; the driver only learns its number.
+    """
+    spark = stream.sparkSession
+    path, batches = f"{shared_dir(spark)}/cellscope/stream-{name}-{uuid.uuid4().hex}", []
+    remember(spark, path)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{epoch:08d}")
+        batches.append(epoch)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    kept = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{epoch:08d}" for epoch in kept])
