@@ -138,6 +138,28 @@ def coarsen(r: DataFrame, factor: int) -> DataFrame:
     return r.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(F.avg("v").alias("v"))
 
 
+def aligned(r: DataFrame, grid: tuple[float, float, float, float], to: tuple[float, float, float, float], height: int, width: int) -> DataFrame:
+    """``row, col, v`` on a grid of ``height`` x ``width`` cells: the mean of the source's cells there, by the area that they share.
+
+    Grids are (west, north, cell width, cell height), rows going south, in the same coordinates. A source cell is sent to the few cells that
+    it overlaps. Source cells without a value take no part; where there is none, and for a source without any, v is 0.
+    """
+    west, north, wide, high = grid
+    west2, north2, wide2, high2 = to
+    left, top = west + F.col("col") * wide, (F.lit(north) - F.col("row") * high)
+    span = lambda low, upto, most: F.sequence(F.greatest(F.lit(0), F.floor(low)).cast("long"), F.least(F.lit(most - 1), F.ceil(upto) - 1).cast("long"))
+    hit = r.filter("v is not null").withColumns({"l": left, "t": top})
+    inside = (F.col("l") < west2 + width * wide2) & (F.col("l") + wide > west2) & (F.col("t") > north2 - height * high2) & (F.col("t") - high < north2)
+    sent = hit.filter(inside).withColumn("r2", F.explode(span((F.lit(north2) - F.col("t")) / high2, (F.lit(north2) - F.col("t") + high) / high2, height)))
+    sent = sent.withColumn("c2", F.explode(span((F.col("l") - west2) / wide2, (F.col("l") + wide - west2) / wide2, width)))
+    across = F.least(F.col("l") + wide, west2 + (F.col("c2") + 1) * wide2) - F.greatest(F.col("l"), west2 + F.col("c2") * wide2)
+    down = F.least(F.col("t"), F.lit(north2) - F.col("r2") * high2) - F.greatest(F.col("t") - high, F.lit(north2) - (F.col("r2") + 1) * high2)
+    shared = sent.withColumn("w", F.greatest(F.lit(0.0), across) * F.greatest(F.lit(0.0), down)).filter("w > 0")
+    means = shared.groupBy(F.col("r2").alias("row"), F.col("c2").alias("col")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    every = r.sparkSession.range(height * width).select(F.floor(F.col("id") / width).alias("row"), (F.col("id") % width).alias("col"))
+    return every.join(means, ["row", "col"], "left").select("row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 def window_mean(points: DataFrame, r: DataFrame, reach: int) -> DataFrame:
     """``k, v``: the mean of the raster around each point (k, row, col); 0 where no cell of the window is there."""
     span = F.sequence(F.lit(-reach), F.lit(reach))

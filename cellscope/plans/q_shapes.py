@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import areas, raster, tessellation, vector_tiles
+from ..operators import areas, raster, siting, tessellation, vector_tiles
 from . import geography as g
 
 c = F.col
@@ -58,6 +58,24 @@ def vector_tiles_built(spark, d):
     return vector_tiles.tiles(p, ["class", "height"]).select("z", "x", "y", "features", F.length("tile").alias("bytes"))
 
 
+def retention_ponds(spark, d):
+    """Ponds among the places, taken as depressions of a terrain of 90 m cells."""
+    p = g.pois(spark, d).select((c("k") * 7919 % 1000003).alias("k"), "lat", "lon", (c("k") * 31 % 211).alias("accum"), (c("k") % 13 / 4.0).alias("depth"))
+    r = siting.retention_ponds(p, 90.0, top=100)
+    return r.select("k", F.round("catchment_km2", 4).alias("catchment_km2"), F.round("volume_m3", 2).alias("volume_m3"), "cells", "priority")
+
+
+def pumping_stations(spark, d):
+    p = g.sites(spark, d).select("k", "lat", "lon", (c("k") * 17 % 97 / 32.0).alias("depth"))
+    return siting.pumping_stations(p, reach=900.0, top=100).select("k", F.round("depth", 4).alias("depth"), "priority")
+
+
+def aligned_raster(spark, d):
+    """The terrain's cells drawn onto a grid of another origin and cell size; some cells have no source."""
+    r = g.table(spark, d, "lineitem").groupBy((c("l_partkey") % 40).alias("row"), (c("l_suppkey") % 40).alias("col")).agg(F.avg("l_quantity").alias("v"))
+    return raster.aligned(r, (0.0, 40.0, 1.0, 1.0), (-2.25, 39.5, 1.5, 0.75), 60, 32).select("row", "col", F.round("v", 7).alias("v"))
+
+
 _MASK = "(SELECT (p_partkey - 1) // 50 AS row, (p_partkey - 1) % 50 AS col, p_partkey - 1 AS id FROM part WHERE (p_size * 7 + p_partkey * 13) % 10 < 6)"
 
 QUERIES = {
@@ -73,4 +91,10 @@ QUERIES = {
     "tessellation_cells": (tessellation_cells, None),
     "contiguous_sites": (contiguous_sites, None),
     "vector_tiles": (vector_tiles_built, None),
+    "retention_ponds": (retention_ponds, None),
+    "pumping_stations": (pumping_stations, None),
+    "aligned_raster": (aligned_raster, """WITH s AS (SELECT l_partkey % 40 AS r, l_suppkey % 40 AS q, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT a.i AS row, b.j AS col FROM range(60) a(i), range(32) b(j)),
+        o AS (SELECT row, col, v, greatest(0.0::DOUBLE, least(q + 1.0::DOUBLE, (col + 1) * 1.5::DOUBLE - 2.25::DOUBLE) - greatest(q::DOUBLE, col * 1.5::DOUBLE - 2.25::DOUBLE))
+          * greatest(0.0::DOUBLE, least(40.0::DOUBLE - r, 39.5::DOUBLE - row * 0.75::DOUBLE) - greatest(39.0::DOUBLE - r, 38.75::DOUBLE - row * 0.75::DOUBLE)) AS w FROM t, s)
+        SELECT row, col, round(coalesce(sum(v * w) FILTER (w > 0) / sum(w) FILTER (w > 0), 0.0::DOUBLE), 7) AS v FROM o GROUP BY row, col"""),
 }

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cellscope.operators import areas, graph, raster, tessellation, vector_tiles
+from cellscope.operators import areas, graph, raster, siting, tessellation, vector_tiles
 
 
 def test_rings_of_relations(spark):
@@ -157,3 +157,39 @@ def test_betweenness_by_joins_equals_the_broadcast(spark):
     for sources in (None, 9):
         flat, joined = ({(x["a"], x["b"]): x["betweenness"] for x in graph.betweenness(e, sources, limit).collect()} for limit in (10**6, 0))
         assert joined == pytest.approx(flat, rel=1e-9, abs=1e-12) and max(joined.values()) > 0.1
+
+
+def test_sites_equal_a_sequential_pass(spark):
+    r = random.Random(5)
+    far = lambda p, q: 12742000.0 * asin(sqrt(min(1.0, sin(radians(q[1] - p[1]) / 2) ** 2 + cos(radians(p[1])) * cos(radians(q[1])) * sin(radians(q[2] - p[2]) / 2) ** 2)))
+    rows = [(i, 24.6 + r.random() / 50, 77.3 + r.random() / 50, r.randrange(20, 90), r.randrange(1, 9) / 4) for i in range(300)]
+    ponds, used = [], set()
+    own = [p for p in rows if p[3] > 30]
+    for p in own:
+        if p[0] in used:
+            continue
+        near = [q for q in own if q[0] >= p[0] and q[0] not in used and (q is p or far(p, q) < 500)]
+        used |= {q[0] for q in near}
+        best = max(near, key=lambda q: (q[3], -q[0]))
+        ponds.append((best[0], best[3] * 8100 / 1e6, best[4] * 8100 * len(near), len(near)))
+    df = spark.createDataFrame(rows, "k long, lat double, lon double, accum int, depth double")
+    got = [(x["k"], pytest.approx(x["catchment_km2"]), pytest.approx(x["volume_m3"]), x["cells"]) for x in siting.retention_ponds(df, 90.0).collect()]
+    assert sorted(ponds, key=lambda x: (-x[1], x[0]))[:15] == got
+    chosen = []
+    for p in sorted((p for p in rows if p[4] > 0.5), key=lambda p: (-p[4], p[0])):
+        if all(far(p, q) >= 300 for q in chosen):
+            chosen.append(p)
+    assert [x["k"] for x in siting.pumping_stations(df, top=20).collect()] == [p[0] for p in chosen][:20]
+    assert siting.pumping_stations(df.limit(0)).count() == 0 and siting.retention_ponds(df.limit(0), 90.0).count() == 0
+
+
+def test_aligned_keeps_sums(spark):
+    r = random.Random(7)
+    cells = [(y, x, r.random()) for y in range(9) for x in range(7)]
+    df = spark.createDataFrame(cells, "row int, col int, v double")
+    got = {(x["row"], x["col"]): x["v"] for x in raster.aligned(df, (10.0, 50.0, 2.0, 3.0), (10.0, 50.0, 0.7, 0.9), 30, 20).collect()}
+    assert len(got) == 600 and sum(got.values()) * 0.63 == pytest.approx(sum(v for _, _, v in cells) * 6)
+    same = {(x["row"], x["col"]): x["v"] for x in raster.aligned(df, (10.0, 50.0, 2.0, 3.0), (10.0, 50.0, 2.0, 3.0), 9, 7).collect()}
+    assert same == pytest.approx({(y, x): v for y, x, v in cells})
+    assert {x["v"] for x in raster.aligned(df.limit(0), (0.0, 1.0, 1.0, 1.0), (0.0, 1.0, 1.0, 1.0), 2, 2).collect()} == {0.0}
+    assert {x["v"] for x in raster.aligned(df, (10.0, 50.0, 2.0, 3.0), (500.0, 50.0, 1.0, 1.0), 2, 2).collect()} == {0.0}
