@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, tables
+from ..functions import models
+from . import graph, spatial_joins, tables
 
 # Metres of reach, least accumulation and number of ponds; metres of reach, least depth and number of pumping stations.
 POND_REACH, POND_ACCUM, PONDS = 500.0, 30, 15
@@ -45,3 +46,23 @@ def pumping_stations(flooded: DataFrame, reach: float = PUMP_REACH, least: float
     ordered = tables.sequential_ids(own.select("k", "lat", "lon", "depth", "__d"), ["__d", "k"], "seq").drop("__d")
     first = _folded(ordered, reach).groupBy("cluster").agg(F.min_by(F.struct("k", "lat", "lon", "depth"), "seq").alias("p"), F.min("seq").alias("seq"))
     return first.orderBy("seq").limit(top).select("p.*", F.when(F.col("p.depth") > 1, "CRITICAL").otherwise("HIGH").alias("priority"))
+
+
+# Metres within which demand, supply and stops count for a road, and the weight of its class.
+PARKING_REACH = {"demand": 200.0, "supply": 300.0, "stops": 100.0}
+PARKING_WEIGHT = {"primary": 1.5, "secondary": 1.2, "tertiary": 1.0}
+
+
+def parking_zones(roads: DataFrame, demand: DataFrame, supply: DataFrame, stops: DataFrame) -> DataFrame:
+    """``name, category, demand, supply, stops, segments, pressure``: parking pressure of each named road.
+
+    ``roads(name, k, lat, lon, category)`` are segments; places ``k, lat, lon`` count by their distance from a road's first segment (the least k), each kind
+    within its own reach. A class without a weight has 1; pressure is 0 at least, rounded to one digit.
+    """
+    first = roads.groupBy("name").agg(F.min_by(F.struct("k", "lat", "lon", "category"), "k").alias("s"), F.count("*").alias("segments"))
+    own = first.select("name", "segments", "s.k", "s.lat", "s.lon", "s.category")
+    for kind, places in (("demand", demand), ("supply", supply), ("stops", stops)):
+        near = spatial_joins.within(own, places, PARKING_REACH[kind] / 1000).filter(F.col("d") < PARKING_REACH[kind] / 1000)
+        own = own.join(near.groupBy("k").agg(F.count("*").alias(kind)), "k", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for e in PARKING_WEIGHT.items() for x in e]), F.col("category")), F.lit(1.0))
+    return own.select("name", "category", "demand", "supply", "stops", "segments", F.round(models.parking_pressure(F.col("demand"), F.col("supply"), F.col("stops"), weight), 1).alias("pressure"))

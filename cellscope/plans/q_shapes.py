@@ -76,6 +76,14 @@ def aligned_raster(spark, d):
     return raster.aligned(r, (0.0, 40.0, 1.0, 1.0), (-2.25, 39.5, 1.5, 0.75), 60, 32).select("row", "col", F.round("v", 7).alias("v"))
 
 
+def parking_zones(spark, d):
+    """Parking pressure of roads named by their customer, from places of three kinds."""
+    r = g.roads(spark, d).withColumns({"name": c("k") % 977, "lat": c("lat1"), "lon": c("lon1"), "category": F.element_at(F.array(*map(F.lit, ("primary", "secondary", "tertiary", "residential"))), (c("k") % 4 + 1).cast("int"))})
+    p = g.sites(spark, d)
+    return siting.parking_zones(r.select("name", "k", "lat", "lon", "category"), p.filter("k % 3 <> 0"), p.filter("k % 3 = 0"), g.pois(spark, d).filter("tag = 5")).select("name", "category", "demand", "supply", "stops", "segments", "pressure")
+
+
+_NEAR = lambda places, km: f"(SELECT f.name, count(*) AS n FROM f JOIN {places} t ON abs(t.lat - f.lat) < 0.01 AND {g.haversine_sql('f', 't')} < {km}::DOUBLE GROUP BY f.name)"
 _MASK = "(SELECT (p_partkey - 1) // 50 AS row, (p_partkey - 1) % 50 AS col, p_partkey - 1 AS id FROM part WHERE (p_size * 7 + p_partkey * 13) % 10 < 6)"
 
 QUERIES = {
@@ -93,6 +101,10 @@ QUERIES = {
     "vector_tiles": (vector_tiles_built, None),
     "retention_ponds": (retention_ponds, None),
     "pumping_stations": (pumping_stations, None),
+    "parking_zones": (parking_zones, f"""WITH f AS MATERIALIZED (SELECT k % 977 AS name, min(k) AS k, arg_min(lat1, k) AS lat, arg_min(lon1, k) AS lon, count(*) AS segments FROM {g.ROAD} GROUP BY 1),
+        j AS (SELECT f.name, ['primary', 'secondary', 'tertiary', 'residential'][k % 4 + 1] AS category, coalesce(a.n, 0) AS demand, coalesce(b.n, 0) AS supply, coalesce(s.n, 0) AS stops, segments, CASE k % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 1.2 ELSE 1.0 END::DOUBLE AS w FROM f
+          LEFT JOIN {_NEAR(f"(SELECT * FROM {g.SITE} WHERE k % 3 <> 0)", 0.2)} a ON a.name = f.name LEFT JOIN {_NEAR(f"(SELECT * FROM {g.SITE} WHERE k % 3 = 0)", 0.3)} b ON b.name = f.name LEFT JOIN {_NEAR(f"(SELECT * FROM {g.POI} WHERE tag = 5)", 0.1)} s ON s.name = f.name)
+        SELECT name, category, demand, supply, stops, segments, round(greatest(0.0::DOUBLE, (demand * 15 - supply * 10 + stops * 5) * w), 1) AS pressure FROM j"""),
     "aligned_raster": (aligned_raster, """WITH s AS (SELECT l_partkey % 40 AS r, l_suppkey % 40 AS q, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT a.i AS row, b.j AS col FROM range(60) a(i), range(32) b(j)),
         o AS (SELECT row, col, v, greatest(0.0::DOUBLE, least(q + 1.0::DOUBLE, (col + 1) * 1.5::DOUBLE - 2.25::DOUBLE) - greatest(q::DOUBLE, col * 1.5::DOUBLE - 2.25::DOUBLE))
           * greatest(0.0::DOUBLE, least(40.0::DOUBLE - r, 39.5::DOUBLE - row * 0.75::DOUBLE) - greatest(39.0::DOUBLE - r, 38.75::DOUBLE - row * 0.75::DOUBLE)) AS w FROM t, s)
