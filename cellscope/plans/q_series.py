@@ -152,8 +152,8 @@ def edge_metrics(spark, d):
 
 def charging_summary(spark, d):
     """Stations around a place: nearest, fast ones, points, and the first four operators by distance."""
-    k = c("l_orderkey")
-    s = g.table(spark, d, "lineitem").filter("l_linenumber = 1").select((k % 40).alias("place"), (k * 7 % 83 / 10.0).alias("km"), F.when(k % 6 != 0, k % 120).alias("kw"), (k % 5).alias("points"), F.concat(F.lit("op"), (k % 7).cast("string")).alias("op"))
+    k = c("o_orderkey")
+    s = g.table(spark, d, "orders").select((k % 40).alias("place"), (k * 7 % 83 / 10.0).alias("km"), F.when(k % 6 != 0, k % 120).alias("kw"), (k % 5).alias("points"), F.concat(F.lit("op"), (k % 7).cast("string")).alias("op"))
     first = s.groupBy("place", "op").agg(F.count("*").alias("n"), F.min("km").alias("km"), F.count_if(c("kw") >= 50).alias("fast"), F.sum("points").alias("points"))
     ops = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("km", "op"))), 1, 4), lambda v: v["op"])
     return first.groupBy("place").agg(F.sum("n").alias("n"), F.min("km").alias("nearest"), F.sum("fast").alias("fast"), F.sum("points").alias("points"), F.array_join(ops, ",").alias("operators"))
@@ -248,7 +248,7 @@ QUERIES = {
         (SELECT c_nationkey, count(*) AS p, count(*) FILTER (c_custkey % 3 = 0) AS w, count(*) FILTER (c_custkey % 7 = 0) AS ch, count(*) FILTER (c_custkey % 4 <> 0) AS l FROM customer GROUP BY 1)"""),
     "edge_metrics": (edge_metrics, """SELECT l_suppkey, round(coalesce(avg(CASE WHEN l_linenumber <> 4 THEN l_quantity / 4 END), 0) * 3.6::DOUBLE, 1) AS kmh, round(avg(l_discount), 2) AS density, sum(l_partkey % 20)::BIGINT AS entered, count(*) AS samples FROM lineitem WHERE l_suppkey % 10 <> 0 GROUP BY 1"""),
     "charging_summary": (charging_summary, """SELECT place, sum(n)::BIGINT AS n, min(km) AS nearest, sum(fast)::BIGINT AS fast, sum(points)::BIGINT AS points, array_to_string(list(op ORDER BY km, op)[1:4], ',') AS operators FROM (SELECT place, op, count(*) AS n, min(km) AS km, count(*) FILTER (kw >= 50) AS fast, sum(points) AS points FROM
-        (SELECT l_orderkey % 40 AS place, l_orderkey * 7 % 83 / 10.0::DOUBLE AS km, CASE WHEN l_orderkey % 6 <> 0 THEN l_orderkey % 120 END AS kw, l_orderkey % 5 AS points, 'op' || (l_orderkey % 7) AS op FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL) GROUP BY place"""),
+        (SELECT o_orderkey % 40 AS place, o_orderkey * 7 % 83 / 10.0::DOUBLE AS km, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 120 END AS kw, o_orderkey % 5 AS points, 'op' || (o_orderkey % 7) AS op FROM orders) GROUP BY ALL) GROUP BY place"""),
     "tile_pyramid": (tile_pyramid, f"""SELECT z, x, y, count(*) AS n, count(*) FILTER (tag = 3) AS health FROM (SELECT tag, z, n, x, {_SPAN.format('ty')} AS y FROM (SELECT tag, z, n, ty, {_SPAN.format('tx')} AS x FROM
         (SELECT tag, z, 2 ** z::BIGINT AS n, {_TX} AS tx, {_TY} AS ty FROM {g.POI}, (SELECT unnest(range(10, 15))::INT AS z)))) GROUP BY ALL"""),
     "merged_trips": (merged_trips, "SELECT o_orderkey AS trip, o_orderkey * 37 % 3600 AS depart, row_number() OVER (ORDER BY o_orderkey * 37 % 3600, o_orderkey) - 1 AS id FROM orders"),
