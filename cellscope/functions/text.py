@@ -62,14 +62,17 @@ def lexicon_weights(question: Column) -> Column:
     Letters beyond ASCII are no part of a word, as in the patterns' own language.
     """
     low = F.regexp_replace(F.lower(question), r"[^\x00-\x7F]", "~")
-    out: dict[str, Column] = {}
-    for _, pattern, weights in LEXICON:
+    held: dict[str, list[Column]] = {}
+    for i, (_, _, weights) in enumerate(LEXICON):
         for score, w in weights.items():
-            before = out.get(score, F.lit(None).cast("double"))
-            after = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(before, F.lit(0.0)) + w))
-            out[score] = F.when(low.rlike(pattern), after).otherwise(before)
-    entries = F.array(*[F.struct(F.lit(s).alias("score"), F.round(v, 6).alias("w")) for s, v in sorted(out.items())])
-    return F.filter(entries, lambda e: e["w"].isNotNull())
+            held.setdefault(score, []).append(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")))
+
+    def entries(hits: Column) -> Column:
+        fold = lambda own: F.aggregate(F.filter(F.array(*own), lambda e: F.get(hits, e["i"])), F.lit(None).cast("double"), lambda a, e: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(a, F.lit(0.0)) + e["w"])))
+        return F.filter(F.array(*[F.struct(F.lit(s).alias("score"), F.round(fold(own), 6).alias("w")) for s, own in sorted(held.items())]), lambda e: e["w"].isNotNull())
+
+    # Each pattern is searched once, however many scores it weighs.
+    return F.element_at(F.transform(F.array(F.array(*[low.rlike(pattern) for _, pattern, _ in LEXICON])), entries), 1)
 
 
 def strip_tags(html: Column) -> Column:
