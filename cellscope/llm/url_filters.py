@@ -2,12 +2,16 @@
 
 Rules give verdicts to the urls that they cover; these are the labels. Each url is put on a node of its
 host's template tree, at its full depth: path segments whose values vary (numbers, hashes, or segments with
-many siblings under one parent) are generalised to wildcards. Labelled sibling branches of a host are merged
-when two likelihood-ratio tests find no difference between them: one on their blocked and allowed urls, one
-on how their urls spread over the templates below them. A template is rejected if its purity, the share of
-blocked among its labelled urls smoothed towards the share of its merged branches, reaches the threshold;
-a template in a branch without labelled urls is allowed. All of it is counting: aggregation map-side first,
-joins on (host, template).
+many siblings under one parent) are generalised to wildcards. Level by level from the top, labelled sibling
+branches are merged when two likelihood-ratio tests find no difference between them: one on their blocked
+and allowed urls, one on how their urls spread over the templates below them. A branch without labels joins
+the merged branches that its commonest template below is most usual in, if the second test finds no
+difference and both sides have ``EVIDENCE``: urls here, labels there. What was below merged branches is
+merged in the next level. A template is rejected if its purity reaches the threshold: the share of blocked
+among its labelled urls, smoothed towards that of its merged branch, which is smoothed towards that of the
+branch above it. A template whose first segment has and gets no labels is allowed. All of it is counting:
+aggregation map-side first, joins on (host, branch); no two branches are paired but neighbours and a branch
+with its candidate.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ VARIES = 24  # different values under one parent from which a segment is a wildc
 PRIOR = 4.0  # labelled urls that the parent's share weighs
 BASE_SHARE = 0.25  # share of blocked urls that is assumed where nothing is known
 THRESHOLD = 0.8
+EVIDENCE = 8  # urls of a branch without labels, and labels of the branches that it joins
 # Fixed value: the 95 % point of chi-squared with one degree of freedom; for more degrees see ``unlike``.
 CHI_ONE = 3.841
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,42 +112,89 @@ def unlike(g: Column, freedom: Column) -> Column:
     return (freedom > 0) & (g > point)
 
 
-def merged_branches(counted: DataFrame) -> DataFrame:
-    """``host, branch, gb, gl``: labelled branches with the blocked and labelled urls of all branches they merge with.
+def alike(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``on, alike`` from two tables ``on, below, m``: do urls spread alike over the templates below?"""
+    zero = F.lit(0).cast("long")
+    both = left.select(*on, "below", F.col("m").alias("x"), zero.alias("y")).unionByName(right.select(*on, "below", zero.alias("x"), F.col("m").alias("y")))
+    x, y = F.col("x"), F.col("y")
+    sums = both.groupBy(*on, "below").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    whole = sums.groupBy(*on).agg(F.sum(_entropy(x, y) - _entropy(x + y)).alias("parts"), F.sum("x").alias("x"), F.sum("y").alias("y"), (F.count("*") - 1).alias("freedom"))
+    return whole.select(*on, (~unlike(2 * (F.col("parts") + _entropy(x + y) - _entropy(x, y)), F.col("freedom"))).alias("alike"))
 
-    A branch is a host's first segment; a host has at most VARIES of them and a wildcard. Labelled ones are
-    ordered by their share of blocked urls; neighbours that the two tests find alike are merged.
+
+def merged_siblings(below: DataFrame, branches: DataFrame) -> DataFrame:
+    """``host, parent, child, as, gb, gl`` of the branches that have or get labels.
+
+    ``below(host, parent, child, below, m)`` counts urls, ``branches(host, parent, child, n, b, l)`` sums
+    them up. ``as`` is one child for all that merge, ``gb`` and ``gl`` their blocked and labelled urls.
+    Labelled siblings are ordered by their share of blocked urls, and neighbours that are alike are merged.
     """
-    branches = counted.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).filter("l > 0")
-    along = Window.partitionBy("host").orderBy(F.col("b") / F.col("l"), "branch")
+    family = ["host", "parent"]
+    along = Window.partitionBy(*family).orderBy(F.col("b") / F.col("l"), "child")
     before = lambda c: F.lag(c).over(along).alias(f"{c}0")
-    near = stored(branches.select("*", F.row_number().over(along).alias("place"), before("branch"), before("n"), before("b"), before("l")), "branches")
-    b, l, b0, l0, n, n0 = (F.col(c) for c in ("b", "l", "b0", "l0", "n", "n0"))
+    near = stored(branches.filter("l > 0").select("*", F.row_number().over(along).alias("place"), before("child"), before("b"), before("l")), "branches")
+    b, l, b0, l0 = (F.col(c) for c in ("b", "l", "b0", "l0"))  # noqa: E741
     labels = 2 * (_entropy(b, l - b, b0, l0 - b0) + _entropy(l + l0) - _entropy(b + b0, l - b + l0 - b0) - _entropy(l, l0))
-    pairs = near.filter("branch0 is not null")
-    below = counted.groupBy("host", "branch", F.array_join(F.slice("nodes", 2, F.greatest(F.size("nodes") - 1, F.lit(0))), "/").alias("below")).agg(F.sum("n").alias("m"))
-    own = pairs.select("host", "place", "branch").join(below, ["host", "branch"]).select("host", "place", "below", F.col("m").alias("x"), F.lit(0).cast("long").alias("y"))
-    other = pairs.select("host", "place", F.col("branch0").alias("branch")).join(below, ["host", "branch"]).select("host", "place", "below", F.lit(0).cast("long").alias("x"), F.col("m").alias("y"))
-    both = own.unionByName(other).groupBy("host", "place", "below").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    spread = both.groupBy("host", "place").agg(F.sum(_entropy(F.col("x"), F.col("y")) - _entropy(F.col("x") + F.col("y"))).alias("parts"), (F.count("*") - 1).alias("freedom"))
-    tested = pairs.join(spread, ["host", "place"])
-    shape = 2 * (F.col("parts") + _entropy(n + n0) - _entropy(n, n0))
-    breaks = tested.select("host", "place", (unlike(labels, F.lit(1)) | unlike(shape, F.col("freedom"))).cast("int").alias("break"))
-    run = Window.partitionBy("host").orderBy("place")
-    grouped = near.join(breaks, ["host", "place"], "left").select("host", "branch", "b", "l", F.sum(F.coalesce("break", F.lit(0))).over(run).alias("g"))
-    whole = Window.partitionBy("host", "g")
-    return grouped.select("host", "branch", F.sum("b").over(whole).alias("gb"), F.sum("l").over(whole).alias("gl"))
+    pairs = near.filter("child0 is not null")
+    own = pairs.join(below, [*family, "child"])
+    other = pairs.select(*family, "place", F.col("child0").alias("child")).join(below, [*family, "child"])
+    tested = pairs.join(alike(own, other, [*family, "place"]), [*family, "place"])
+    breaks = tested.select(*family, "place", (unlike(labels, F.lit(1)) | ~F.col("alike")).cast("int").alias("break"))
+    run = Window.partitionBy(*family).orderBy("place")
+    runs = near.join(breaks, [*family, "place"], "left").select(*family, "child", "place", "b", "l", F.sum(F.coalesce("break", F.lit(0))).over(run).alias("g"))
+    whole = Window.partitionBy(*family, "g")
+    groups = stored(runs.select(*family, "child", "g", F.min_by("child", "place").over(whole).alias("as"), F.sum("b").over(whole).alias("gb"), F.sum("l").over(whole).alias("gl")), "groups")
+    # Branches without labels: one candidate for each.
+    sums = groups.filter(F.col("gl") >= EVIDENCE).join(below, [*family, "child"]).groupBy(*family, "g", "below").agg(F.sum("m").alias("m"))
+    spread = stored(sums.withColumn("part", F.col("m") / F.sum("m").over(whole)), "spread")
+    bare = branches.filter((F.col("l") == 0) & (F.col("n") >= EVIDENCE)).join(below, [*family, "child"])
+    chief = bare.groupBy(*family, "child").agg(F.min(F.struct((-F.col("m")).alias("m"), "below"))["below"].alias("below"))
+    best = stored(chief.join(spread, [*family, "below"]).groupBy(*family, "child").agg(F.min(F.struct((-F.col("part")).alias("part"), "g"))["g"].alias("g")), "candidates")
+    fits = alike(best.join(below, [*family, "child"]), best.join(spread, [*family, "g"]), [*family, "child"]).filter("alike")
+    named = groups.select(*family, "g", "as", "gb", "gl").distinct()
+    joined = best.join(fits, [*family, "child"]).join(named, [*family, "g"])
+    columns = [*family, "child", "as", "gb", "gl"]
+    return groups.select(columns).unionByName(joined.select(columns))
+
+
+def merged_level(tree: DataFrame, level: int) -> DataFrame:
+    """``tree`` with the segment at ``level`` merged, and ``share`` smoothed by the labels there.
+
+    Below the first level a branch without siblings adds nothing to its parent's share.
+    """
+    parent, child = F.slice("nodes", 1, level), F.get(F.col("nodes"), F.lit(level))
+    rest = F.slice("nodes", level + 2, F.greatest(F.size("nodes") - level - 1, F.lit(0)))
+    here = tree.filter((F.size("nodes") > level) & (F.lit(level == 0) | F.col("share").isNotNull()))
+    keyed = here.select("host", parent.alias("parent"), child.alias("child"), F.array_join(rest, "/").alias("below"), "n", "blocked", "labelled")
+    below = stored(keyed.groupBy("host", "parent", "child", "below").agg(F.sum("n").alias("m"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l")), "below")
+    family = Window.partitionBy("host", "parent")
+    branches = below.groupBy("host", "parent", "child").agg(F.sum("m").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"))
+    branches = branches.withColumns({"any": F.sum("l").over(family) > 0, "siblings": F.count("*").over(family)})
+    branches = stored(branches.filter(F.col("any") & (F.lit(level == 0) | (F.col("siblings") > 1))), "siblings")
+    found = merged_siblings(below.select("host", "parent", "child", "below", "m"), branches)
+    joined = tree.withColumns({"parent": parent, "child": child}).join(found, ["host", "parent", "child"], "left")
+    above = F.lit(BASE_SHARE) if level == 0 else F.col("share")
+    share = F.when(F.col("gl").isNotNull(), (F.col("gb") + PRIOR * above) / (F.col("gl") + PRIOR)).otherwise(F.col("share"))
+    own = F.when(F.col("as").isNotNull(), F.concat("parent", F.array("as"), rest)).otherwise(F.col("nodes"))
+    return joined.select("host", "raw", "n", "blocked", "labelled", "template", own.alias("nodes"), share.alias("share"))
 
 
 def judged_templates(counted: DataFrame) -> DataFrame:
-    """``host, raw, n, template, purity, rejected`` from ``wildcards``' table; purity is null in a branch without labels."""
-    counted = counted.withColumn("template", F.concat(F.lit("/"), F.array_join("nodes", "/"))).withColumn("branch", F.coalesce(F.get("nodes", F.lit(0)), F.lit("")))
-    counted = stored(counted, "counted")
-    smoothed = lambda blocked, labelled, to: (F.col(blocked) + PRIOR * to) / (F.col(labelled) + PRIOR)
-    templates = counted.groupBy("host", "branch", "template").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
-    scored = templates.join(merged_branches(counted), ["host", "branch"], "left")
-    scored = scored.select("host", "template", smoothed("tb", "tl", smoothed("gb", "gl", F.lit(BASE_SHARE))).alias("purity"))
-    return counted.select("host", "raw", "n", "template").join(scored, ["host", "template"]).select("host", "raw", "n", "template", "purity", F.coalesce(F.col("purity") >= THRESHOLD, F.lit(False)).alias("rejected"))
+    """``host, raw, n, template, purity, rejected`` from ``wildcards``' table; purity is null where no labels reach.
+
+    A round for each level at which a host with labels still has two paths.
+    """
+    template = F.concat(F.lit("/"), F.array_join("nodes", "/"))
+    nodes = F.when(F.size("nodes") == 0, F.array(F.lit(""))).otherwise(F.col("nodes"))
+    tree = stored(counted.select("host", "raw", "n", "blocked", "labelled", template.alias("template"), nodes.alias("nodes"), F.lit(None).cast("double").alias("share")), "tree")
+    level = 0
+    while level == 0 or not tree.filter((F.size("nodes") > level) & F.col("share").isNotNull()).select("host", "nodes").distinct().groupBy("host").count().filter("count > 1").isEmpty():
+        after = stored(merged_level(tree, level), "tree")
+        discard(tree)
+        tree, level = after, level + 1
+    templates = tree.groupBy("host", "template").agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"), F.max("share").alias("share"))
+    scored = templates.select("host", "template", ((F.col("tb") + PRIOR * F.col("share")) / (F.col("tl") + PRIOR)).alias("purity"))
+    return tree.select("host", "raw", "n", "template").join(scored, ["host", "template"]).select("host", "raw", "n", "template", "purity", F.coalesce(F.col("purity") >= THRESHOLD, F.lit(False)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:

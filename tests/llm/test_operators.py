@@ -749,6 +749,51 @@ def test_url_templates_follow_labels(spark):
     assert found[1][0] == "block" and found[1][1] > 0.9
 
 
+def entropy(*n):
+    return sum(x * math.log(x) for x in n if x > 0)
+
+
+def plain_shape(x, y):
+    """Do two counts of what is below spread alike?"""
+    every = set(x) | set(y)
+    pairs = [(x.get(e, 0), y.get(e, 0)) for e in every]
+    n, m = sum(x.values()), sum(y.values())
+    shape = 2 * (sum(entropy(p, q) - entropy(p + q) for p, q in pairs) + entropy(n + m) - entropy(n, m))
+    d = len(every) - 1
+    return d == 0 or shape <= (3.841 if d == 1 else d * (1 - 2 / (9 * d) + 1.645 * math.sqrt(2 / (9 * d))) ** 3)
+
+
+def plain_merges(branches):
+    """Child -> (child for all that merge, blocked, labelled) for the siblings under one parent."""
+    groups = []
+    for k in sorted((k for k, b in branches.items() if b["l"]), key=lambda k: (branches[k]["b"] / branches[k]["l"], k)):
+        alike = False
+        if groups:
+            x, y = branches[groups[-1][-1]], branches[k]
+            g = 2 * (entropy(x["b"], x["l"] - x["b"], y["b"], y["l"] - y["b"]) + entropy(x["l"] + y["l"]) - entropy(x["b"] + y["b"], x["l"] + y["l"] - x["b"] - y["b"]) - entropy(x["l"], y["l"]))
+            alike = g <= 3.841 and plain_shape(x["below"], y["below"])
+        groups[-1].append(k) if alike else groups.append([k])
+    out, large = {}, []
+    for names in groups:
+        gb, gl = (sum(branches[k][c] for k in names) for c in "bl")
+        out |= dict.fromkeys(names, (names[0], gb, gl))
+        if gl >= url_filters.EVIDENCE:
+            spread = {}
+            for k in names:
+                for e, m in branches[k]["below"].items():
+                    spread[e] = spread.get(e, 0) + m
+            large.append((spread, out[names[0]]))
+    for k, b in branches.items():
+        if b["l"] == 0 and b["n"] >= url_filters.EVIDENCE:
+            chief = min(b["below"], key=lambda e: (-b["below"][e], e))
+            having = [(-s[chief] / sum(s.values()), i) for i, (s, _) in enumerate(large) if chief in s]
+            if having:
+                spread, found = large[min(having)[1]]
+                if plain_shape(b["below"], spread):
+                    out[k] = found
+    return out
+
+
 def plain_tree(urls):
     """Verdicts without a rule, by a tree in plain Python: page -> (template, purity)."""
     form = lambda s: s
@@ -773,7 +818,6 @@ def plain_tree(urls):
             stems.append(form(stem + end))
         hosts.setdefault(host, {})[i] = stems
     out = {}
-    entropy = lambda *n: sum(x * math.log(x) for x in n if x > 0)
     for own in hosts.values():
         for level in range(max(map(len, own.values()), default=0)):
             kids = {}
@@ -783,37 +827,30 @@ def plain_tree(urls):
             for s in own.values():
                 if len(s) > level and len(kids[tuple(s[:level])]) > url_filters.VARIES:
                     s[level] = "*"
-        branches = {}
-        for i, s in own.items():
-            b = branches.setdefault(s[0] if s else "", {"n": 0, "b": 0, "l": 0, "below": {}})
-            b["n"] += 1
-            b["b"] += labels[i] == "block"
-            b["l"] += labels[i] is not None
-            below = "/".join(s[1:])
-            b["below"][below] = b["below"].get(below, 0) + 1
-        order = sorted((k for k, b in branches.items() if b["l"]), key=lambda k: (branches[k]["b"] / branches[k]["l"], k))
-        groups = []
-        for k in order:
-            alike = False
-            if groups:
-                x, y = branches[groups[-1][-1]], branches[k]
-                g = 2 * (entropy(x["b"], x["l"] - x["b"], y["b"], y["l"] - y["b"]) + entropy(x["l"] + y["l"]) - entropy(x["b"] + y["b"], x["l"] + y["l"] - x["b"] - y["b"]) - entropy(x["l"], y["l"]))
-                every = set(x["below"]) | set(y["below"])
-                pairs = [(x["below"].get(e, 0), y["below"].get(e, 0)) for e in every]
-                shape = 2 * (sum(entropy(p, q) - entropy(p + q) for p, q in pairs) + entropy(x["n"] + y["n"]) - entropy(x["n"], y["n"]))
-                d = len(every) - 1
-                point = 3.841 if d <= 1 else d * (1 - 2 / (9 * d) + 1.645 * math.sqrt(2 / (9 * d))) ** 3
-                alike = g <= 3.841 and (d == 0 or shape <= point)
-            groups[-1].append(k) if alike else groups.append([k])
-        share = {}
-        for names in groups:
-            gb, gl = (sum(branches[k][c] for k in names) for c in "bl")
-            share |= dict.fromkeys(names, (gb + 4 * 0.25) / (gl + 4))
-        for i, s in own.items():
-            same = [j for j, t in own.items() if t == s]
+        plain = {i: list(s) for i, s in own.items()}
+        for s in own.values():
+            s[:] = s or [""]
+        share = dict.fromkeys(own)
+        for level in range(max(map(len, own.values()))):
+            families = {}
+            for i, s in own.items():
+                if len(s) > level and (level == 0 or share[i] is not None):
+                    b = families.setdefault(tuple(s[:level]), {}).setdefault(s[level], {"n": 0, "b": 0, "l": 0, "below": {}})
+                    b["n"] += 1
+                    b["b"] += labels[i] == "block"
+                    b["l"] += labels[i] is not None
+                    below = "/".join(s[level + 1 :])
+                    b["below"][below] = b["below"].get(below, 0) + 1
+            names = {(f, k): v for f, kids in families.items() if level == 0 or len(kids) > 1 for k, v in plain_merges(kids).items()}
+            for i, s in own.items():
+                name = names.get((tuple(s[:level]), s[level])) if len(s) > level else None
+                if name is not None:
+                    s[level], gb, gl = name
+                    share[i] = (gb + 4 * (0.25 if level == 0 else share[i])) / (gl + 4)
+        for i, s in plain.items():
+            same = [j for j, t in plain.items() if t == s]
             tb, tl = sum(labels[j] == "block" for j in same), sum(labels[j] is not None for j in same)
-            k = s[0] if s else ""
-            out[i] = ("/" + "/".join(s), (tb + 4 * share[k]) / (tl + 4) if k in share else None)
+            out[i] = ("/" + "/".join(s), None if share[i] is None else (tb + 4 * share[i]) / (tl + 4))
     return out, labels
 
 
@@ -836,6 +873,20 @@ def test_url_tree_equals_brute_force(spark, sf):
         assert x["verdict"] == (labels[x["page_id"]] or method)
 
 
+def test_url_trees_reject_by_likeness(spark):
+    """Urls without a rule are rejected on the labels of branches like theirs, at any depth; few urls or other shapes are not."""
+    rules = (("block", "bad.net", "/es/"), ("block", "bad.net", "/fr/"), ("block", "deep.org", "/shop/pills/"), ("allow", "deep.org", "/shop/books/"))
+    data = [f"https://bad.net/{c}/{i}/{'x' if i % 2 else 'y'}" for c in ("es", "fr", "de") for i in range(20)]
+    data += [f"https://bad.net/few/{i}/x" for i in range(4)] + [f"https://bad.net/about/{c}/z" for c in "abcdefghijkl"]
+    data += [f"https://deep.org/shop/{c}/item/{i}" for c in ("pills", "drugs") for i in range(30)] + [f"https://deep.org/shop/{c}/author/{i}" for c in ("books", "poems") for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    found = {x["path"]: x for x in url_filters.filter_urls(df, rules).collect()}
+    assert found["/de/3/x"]["rule"] is None and found["/de/3/x"]["verdict"] == "block" and found["/de/3/x"]["purity"] > 0.9
+    assert found["/few/3/x"]["verdict"] == found["/about/a/z"]["verdict"] == "allow" and found["/about/a/z"]["purity"] is None
+    assert found["/shop/drugs/item/3"]["rule"] is None and found["/shop/drugs/item/3"]["verdict"] == "block"
+    assert found["/shop/poems/author/3"]["verdict"] == "allow" and found["/shop/poems/author/3"]["purity"] < 0.2
+
+
 # --- 8 quality model
 
 
