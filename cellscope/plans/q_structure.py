@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import graph, raster
+from ..session import remember, shared_dir
 from ..streaming import ingest
 from . import geography as g
 
@@ -102,6 +103,19 @@ def stream_dedupe(spark, d):
     return ingest.run_to_end(seen, f"dedupe_{uuid.uuid4().hex}", "append")
 
 
+def keyed_ingest(spark, d):
+    """Events fed week by week: a user's first event of a type, again once two days without one are behind the watermark."""
+    path = f"{shared_dir(spark)}/cellscope/keyed-{uuid.uuid4().hex}"
+    remember(spark, path)
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    week = F.date_trunc("week", "ts")
+    for (start,) in sorted(events.filter("ts is not null").select(week).distinct().collect()):
+        events.filter(week == F.lit(start)).write.mode("append").parquet(f"{path}/feed")
+        feed = spark.readStream.schema(events.schema).parquet(f"{path}/feed")
+        ingest.ingest_keyed(feed, ["user_id", "event_type"], "ts", 2 * 86_400_000, "1 hour", ["event_id"], f"{path}/history", f"{path}/checkpoint")
+    return spark.read.schema(events.schema).parquet(f"{path}/history").select("event_id", "user_id", "event_type", F.unix_millis("ts").alias("ms"))
+
+
 _E = """(SELECT least(a, b) AS a, greatest(a, b) AS b, min(greatest(0.1::DOUBLE, t)) AS w FROM (
     SELECT c_custkey AS a, greatest(c_custkey - c_custkey % 40, c_custkey - 1 - c_custkey * c_custkey % 9) AS b, (c_custkey % 9 + 1) / 10.0::DOUBLE AS t FROM customer
     UNION ALL SELECT c_custkey, greatest(c_custkey - c_custkey % 40, c_custkey - 2), (c_custkey % 7 + 1) / 10.0::DOUBLE FROM customer WHERE c_custkey % 4 = 0) WHERE a <> b GROUP BY ALL)"""
@@ -139,5 +153,9 @@ QUERIES = {
     "growth_demand": (growth_demand, f"""WITH y AS (SELECT y, row, col, v > 29 - y AS on_now, v > 30 - y AS on_before FROM {_DEM}, range(4) t(y))
         SELECT round_even(count(*) FILTER (y > 0 AND on_now AND NOT on_before) / 3.0::DOUBLE, 0)::BIGINT AS demand FROM y"""),
     "stream_tumbling": (stream_tumbling, "SELECT floor(epoch(ts))::BIGINT // 300 * 300 AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "keyed_ingest": (keyed_ingest, """WITH k AS (SELECT user_id, event_type, date_trunc('week', ts) AS wk, epoch_us(max(ts)) // 1000 AS last, min({'ts': ts, 'id': event_id}) AS f FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+        w AS (SELECT wk, max(max(last)) OVER (ORDER BY wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS mark FROM k GROUP BY wk),
+        s AS (SELECT *, lag(last) OVER (PARTITION BY user_id, event_type ORDER BY wk) AS seen FROM k JOIN w USING (wk))
+        SELECT f.id AS event_id, user_id, event_type, epoch_us(f.ts) // 1000 AS ms FROM s WHERE seen IS NULL OR seen + 172800000 <= mark"""),
     "stream_dedupe": (stream_dedupe, "SELECT DISTINCT user_id, event_type FROM events"),
 }

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..session import remember, shared_dir
 
@@ -68,6 +69,78 @@ def ingest(feed: DataFrame, keys: list[str], history: str, latest: str, checkpoi
     return query
 
 
+class FirstSight(StatefulProcessor):
+    """Passes a key's first row on; the key is forgotten when the watermark is ``keep_ms`` past its last row.
+
+    One long integer and one timer per key are all the state there is. A batch's rows of a key are read one
+    by one, so a hot key needs no more memory than others.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], keep_ms: int):
+        self.columns, self.order, self.keep_ms = columns, order, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.last.get()
+        old = None if found is None else found[0]
+        first = rank = None
+        latest = old
+        for row in rows:
+            own = (row["__ms"], *((row[c] is not None, row[c]) for c in self.order))
+            if rank is None or own < rank:
+                first, rank = row, own
+            latest = row["__ms"] if latest is None else max(latest, row["__ms"])
+        if latest != old:
+            if old is not None:
+                self.handle.deleteTimer(old + self.keep_ms)
+            self.last.update((latest,))
+            self.handle.registerTimer(latest + self.keep_ms)
+        # Timers fire after a batch's rows, so a key whose time is over may still be there.
+        if old is None or old + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
+            yield T.Row(**{c: first[c] for c in self.columns})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_sights(feed: DataFrame, keys: list[str], when: str, keep_ms: int, late: str, order: list[str]) -> DataFrame:
+    """The rows of a stream whose key is new, or was last seen ``keep_ms`` or more before the watermark.
+
+    Of a batch's rows of a new key the earliest counts, ties by ``order``. Null keys are keys like others.
+    Rows without an instant, or from before the watermark (the latest instant less ``late``), take no part:
+    a forgotten key's old rows can't come back as new. Repeated rows pass once.
+    """
+    timed = feed.filter(F.col(when).isNotNull()).withColumn("__ms", F.unix_millis(when)).withWatermark(when, late)
+    return timed.groupBy(*keys).transformWithState(FirstSight(feed.columns, order, keep_ms), feed.schema, "Append", "EventTime")
+
+
+def ingest_keyed(feed: DataFrame, keys: list[str], when: str, keep_ms: int, late: str, order: list[str], history: str, checkpoint: str):
+    """Run a feed to its end: ``first_sights`` are appended to ``history``, which is never read.
+
+    Keys are state of the stream and leave it by their timers, so a run's work grows with the new rows and
+    the keys of the last ``keep_ms``, not with the history. The file sink keeps a log of its batches, so one that
+    is run again after a failure adds nothing. State needs the provider that holds it on disk; the setting
+    is read when the query starts and put back after it.
+    """
+    spark, name = feed.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = first_sights(feed, keys, when, keep_ms, late, order)
+        query = rows.writeStream.format("parquet").option("path", history).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return query
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

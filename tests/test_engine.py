@@ -249,6 +249,38 @@ def test_ingest_adds_nothing_twice(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/latest").collect()) == ["b", "c"]
 
 
+def test_keyed_ingest_forgets_by_timer(spark, tmp_path):
+    feed, day = tmp_path / "feed", 86_400_000
+    feed.mkdir()
+
+    def run(name, *rows):
+        if name:
+            (feed / name).write_text("".join(f'{{"id": {i}, "n": {n}, "ts": {t}}}\n' for i, n, t in rows))
+        stream = spark.readStream.schema("id string, n int, ts string").json(str(feed)).withColumn("ts", F.to_timestamp("ts"))
+        query = ingest.ingest_keyed(stream, ["id"], "ts", day, "0 seconds", ["n"], f"{tmp_path}/history", f"{tmp_path}/cp")
+        return [p for p in query.recentProgress]
+
+    def history():
+        return sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/history").collect())
+
+    run("1.json", ('"a"', 2, '"2024-01-01 00:00:00"'), ('"a"', 1, '"2024-01-01 00:00:00"'), ('"b"', 3, '"2024-01-01 10:00:00"'), ("null", 4, '"2024-01-01 09:00:00"'), ('"z"', 9, "null"))
+    assert history() == [1, 3, 4]
+    run("2.json", ('"a"', 5, '"2024-01-01 12:00:00"'), ('"b"', 6, '"2024-01-01 11:00:00"'), ("null", 7, '"2024-01-01 13:00:00"'))
+    assert history() == [1, 3, 4]
+    # A day and more on: all old keys are forgotten, and only the rows of this run are read.
+    last = run("3.json", ('"c"', 10, '"2024-01-09 00:00:00"'))
+    assert sum(p["numInputRows"] for p in last) == 1
+    assert last[-1]["stateOperators"][0]["numRowsTotal"] < 8
+    run("4.json", ('"a"', 11, '"2024-01-09 01:00:00"'), ('"c"', 12, '"2024-01-09 02:00:00"'), ('"b"', 13, '"2024-01-03 00:00:00"'))
+    assert history() == [1, 3, 4, 10, 11]
+    # The last batches run again after a failure.
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for own in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        own.unlink(missing_ok=True)
+    run(None)
+    assert history() == [1, 3, 4, 10, 11]
+
+
 def test_viewshed_brute_force(spark):
     n, radius = 14, 5
     v = {(y, x): float((y * 31 + x * 17) % 23) for y in range(n) for x in range(n)}
