@@ -20,6 +20,15 @@ EVENTS = T.StructType(
 )
 
 
+# Keyed state lives on disk. A run that ends needs no store afterwards, so each is closed, and its working
+# folder given up, when its task has committed; checkpoints get a batch's changes instead of the whole store.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, with ``ts`` as an instant."""
     raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -126,18 +135,19 @@ def ingest_keyed(feed: DataFrame, keys: list[str], when: str, keep_ms: int, late
 
     Keys are state of the stream and leave it by their timers, so a run's work grows with the new rows and
     the keys of the last ``keep_ms``, not with the history. The file sink keeps a log of its batches, so one that
-    is run again after a failure adds nothing. State needs the provider that holds it on disk; the setting
-    is read when the query starts and put back after it.
+    is run again after a failure adds nothing. The settings of ``STATE`` hold for this query alone.
     """
-    spark, name = feed.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark = feed.sparkSession
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         rows = first_sights(feed, keys, when, keep_ms, late, order)
         query = rows.writeStream.format("parquet").option("path", history).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return query
 
 
