@@ -62,7 +62,8 @@ def disc_counts(cells: DataFrame, points: DataFrame, by: str, level: int = 8, ra
     Points are first counted per fine bin, so what is joined is bins, however many points a bin has. A bin
     belongs to the disc when its centre does, with a degree of longitude as long as at the cell's own latitude,
     rounded to a degree. In each row of bins the disc is a run of columns; bins are summed up to aligned blocks
-    of 1, 2, 4, ... columns beforehand, so a run meets a few blocks in an equi-join on (row, level, block).
+    of 1, 2, 4, ... columns beforehand, so a run meets a few blocks in an equi-join on (row, level, block). Cells that share a bin
+    and a width share their disc, which is counted once; the runs, whose number no size estimate shows, are never broadcast.
     """
     step = geo.SPAN / 4**level * METRES_PER_DEGREE
     across = step * F.cos(F.radians(F.bround("lat", 0)))
@@ -71,10 +72,13 @@ def disc_counts(cells: DataFrame, points: DataFrame, by: str, level: int = 8, ra
     bins = indexed(points, level).groupBy("row", "col", by).agg(F.count("*").alias("n"))
     levels = F.explode(F.sequence(F.lit(0), F.lit(widest.bit_length())))
     blocks = bins.withColumn("j", levels).groupBy("row", "j", F.floor(F.col("col") / F.pow(F.lit(2.0), F.col("j"))).alias("i"), by).agg(F.sum("n").alias("n"))
-    rows = indexed(cells, level).select(key, "row", "col", across.alias("across"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("r"))
+    placed = indexed(cells, level).select(key, "row", "col", across.alias("across"))
+    discs = placed.select("row", "col", "across").distinct().withColumnsRenamed({"row": "at", "col": "mid"})
+    rows = discs.withColumn("r", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     rows = rows.filter(F.abs("r") * step <= radius_m).withColumn("w", F.floor(F.sqrt(F.lit(radius_m**2) - (F.col("r") * step) * (F.col("r") * step)) / F.col("across")))
-    covered = rows.select(key, (F.col("row") + F.col("r")).alias("row"), F.explode(runs(F.col("col") - F.col("w"), F.col("col") + F.col("w"), widest)).alias("b")).select(key, "row", "b.j", "b.i")
-    return covered.join(blocks, ["row", "j", "i"]).groupBy(key, by).agg(F.sum("n").cast("long").alias("cnt"))
+    covered = rows.select("at", "mid", "across", (F.col("at") + F.col("r")).alias("row"), F.explode(runs(F.col("mid") - F.col("w"), F.col("mid") + F.col("w"), widest)).alias("b")).select("at", "mid", "across", "row", "b.j", "b.i")
+    counts = covered.hint("merge").join(blocks, ["row", "j", "i"]).groupBy(F.col("at").alias("row"), F.col("mid").alias("col"), "across", by).agg(F.sum("n").alias("n"))
+    return placed.join(counts.hint("merge"), ["row", "col", "across"]).groupBy(key, by).agg(F.sum("n").cast("long").alias("cnt"))
 
 
 def dense_index(points: DataFrame, south: float, west: float, north: float, east: float, ny: int, nx: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.operators import spatial_joins
+from cellscope.operators import grid, spatial_joins
 
 
 def plan(df):
@@ -32,3 +32,19 @@ def test_points_near_segments_without_broadcast(spark, crowded):
     near = (np.hypot(ax + t * dx, ay + t * dy) <= 150.0).any(1)
     assert found.columns == df.columns and sorted(r["k"] for r in found.collect()) == np.flatnonzero(near).tolist() and 0 < near.sum() < len(p)
     assert "BroadcastHashJoin" not in plan(found)
+
+
+def test_disc_counts_without_broadcast(spark, crowded):
+    _, df = crowded
+    named = df.select(F.concat_ws(":", F.lit("c"), "k").alias("k"), "lat", "lon")
+    kinds = df.withColumn("tag", F.col("k") % 2)
+    found = grid.disc_counts(named, kinds, "tag")
+    rows = grid.indexed(df, 8).withColumn("across", F.lit(36 / 4**8 * 111_320.0) * F.cos(F.radians(F.bround("lat", 0)))).toPandas()
+    step = 36 / 4**8 * 111_320.0
+    want = {}
+    for a in rows.itertuples():
+        inside = ((rows.row - a.row) * step) ** 2 + ((rows.col - a.col) * a.across) ** 2 <= 400.0**2
+        for tag, n in (rows.k[inside] % 2).value_counts().items():
+            want[f"c:{a.k}", tag] = n
+    assert {(r["k"], r["tag"]): r["cnt"] for r in found.collect()} == want and max(want.values()) > 3
+    assert "BroadcastHashJoin" not in plan(found)
