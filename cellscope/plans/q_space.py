@@ -130,8 +130,11 @@ def radius_join(spark, d):
 
 def radius_counts(spark, d):
     s = g.sites(spark, d)
-    near = spatial_joins.within(s, g.pois(spark, d), 3.0).groupBy("k").agg(*[F.count_if(F.col("d") <= km).alias(f"n{m}") for m, km in ((1000, 1.0), (2000, 2.0), (3000, 3.0))])
-    return s.select("k").join(near, "k", "left").na.fill(0)
+    pois = g.pois(spark, d)
+    here = pois.groupBy(F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).agg(F.count("*").alias("n"))
+    met = spatial_joins.place_pairs(s, pois, 3.0).join(here.hint("merge"), ["tlat", "tlon"])
+    near = met.groupBy("lat", "lon").agg(*[F.sum(F.when(F.col("d") <= km, F.col("n")).otherwise(0)).alias(f"n{m}") for m, km in ((1000, 1.0), (2000, 2.0), (3000, 3.0))])
+    return s.join(near.hint("merge"), ["lat", "lon"], "left").select("k", "n1000", "n2000", "n3000").na.fill(0)
 
 
 def bucket_segment_semi(spark, d):

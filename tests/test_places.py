@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.operators import grid, spatial_joins
+from cellscope.operators import graph, grid, nearest, sight, siting, spatial_joins
 
 
 def plan(df):
@@ -48,3 +48,36 @@ def test_disc_counts_without_broadcast(spark, crowded):
             want[f"c:{a.k}", tag] = n
     assert {(r["k"], r["tag"]): r["cnt"] for r in found.collect()} == want and max(want.values()) > 3
     assert "BroadcastHashJoin" not in plan(found)
+
+
+def test_clusters_of_crowded_places_by_few_rows(spark, crowded, monkeypatch):
+    p, df = crowded
+    p = pd.concat([p, p.assign(k=p.k + len(p))], ignore_index=True)
+    written, plain = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda d: written.append(plain(d)) or written[-1])
+    many = spark.createDataFrame(p).select(F.lit("x").alias("kind"), (F.col("k") * 37 % 181).alias("seq"), "lat", "lon")
+    found = {r["seq"]: r["cluster"] for r in graph.greedy_clusters(many, 900.0, "kind").collect()}
+    starts, want = [], {}
+    for r in p.assign(seq=p.k * 37 % 181).sort_values("seq").itertuples():
+        far = [nearest.haversine(a, b, r.lat, r.lon) * 1000 for a, b in starts]
+        want[r.seq] = next((i for i, d in enumerate(far) if d <= 900.0), len(starts))
+        if want[r.seq] == len(starts):
+            starts.append((r.lat, r.lon))
+    assert found == want and len(starts) > 3
+    assert spark.read.parquet(written[0].stored_at).count() == 30  # places, not points
+
+
+def test_ponds_with_equal_keys(spark):
+    rows = [(7, 22.5, 75.6, 90, 1.0), (7, 22.6, 75.7, 50, 1.0), (8, 22.5, 75.6, 40, 2.0), (9, 22.6001, 75.7, 60, 0.5)]
+    got = siting.retention_ponds(spark.createDataFrame(rows, "k long, lat double, lon double, accum int, depth double"), 100.0).collect()
+    assert [(r["k"], r["lat"], r["cells"]) for r in got] == [(7, 22.5, 2), (9, 22.6001, 2)]
+
+
+def test_pairs_are_of_places(spark, crowded):
+    p, df = crowded
+    d = nearest.haversine(p.lat.to_numpy()[:, None], p.lon.to_numpy()[:, None], p.lat.to_numpy()[None], p.lon.to_numpy()[None])
+    pairs = spatial_joins.place_pairs(df, df, 1.0)
+    assert pairs.count() == (d[::3, ::3] <= 1.0).sum() and "BroadcastHashJoin" not in plan(pairs)
+    assert {(r["k"], r["t"]) for r in spatial_joins.within(df, df, 1.0).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 1.0)), strict=True))
+    first = sight.nearest_within(df, df.filter("k % 3 > 0"), 1.0)
+    assert {r["k"]: r["t"] for r in first.collect()} == {k: k // 3 * 3 + 1 for k in range(len(p))} and "BroadcastHashJoin" not in plan(first)
