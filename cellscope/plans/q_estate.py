@@ -55,9 +55,9 @@ def culvert_sites(spark, d):
 
 def gauge_coverage(spark, d):
     """Candidate sites farther than 2 km from every gauge."""
-    gauges = g.facilities(spark, d)
-    near = spatial_joins.within(g.sites(spark, d), gauges, 2.0).select("k").distinct()
-    return g.sites(spark, d).join(near, "k", "left_anti").select("k")
+    s = g.sites(spark, d)
+    near = spatial_joins.place_pairs(s, g.facilities(spark, d), 2.0).select("lat", "lon").distinct()
+    return s.join(near.hint("merge"), ["lat", "lon"], "left_anti").select("k")
 
 
 def grade_fallback(spark, d):
