@@ -292,25 +292,37 @@ def _reached_cells(points: DataFrame, metres: float) -> DataFrame:
 
 
 def greedy_clusters(points: DataFrame, metres: float, by: str) -> DataFrame:
-    """``by, seq, cluster``: in the order of ``seq`` a point joins the first cluster within reach of its first point, or starts one.
+    """``by, seq, cluster``: in the order of ``seq`` a point joins the first cluster within reach of its first point, or starts one."""
+    named = _named(points, by)
+    places = cluster_places(points, metres, by).withColumnRenamed(by, "g")
+    return named.join(places.hint("merge"), ["g", "lat", "lon"]).select(F.col("named").alias(by), "seq", "cluster")
 
-    A point starts a cluster if no earlier one that does is within reach. That is decided by rounds, for all groups
+
+def _named(points: DataFrame, by: str) -> DataFrame:
+    """``named, g, seq, lat, lon`` of points that have a place; a null group is a group."""
+    group = F.coalesce(F.col(by).cast("string"), F.lit("\0"))
+    return points.filter("lat is not null and lon is not null").select(F.col(by).alias("named"), group.alias("g"), "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+
+
+def cluster_places(points: DataFrame, metres: float, by: str) -> DataFrame:
+    """``by, lat, lon, cluster`` of the places of ``greedy_clusters``, the group as text.
+
+    Points of a group that share a place share their cluster, so their first stands for them. It starts a cluster if no
+    earlier one that does is within reach. That is decided by rounds, for all groups
     at once: in each grid cell, whose points are all within reach of each other, the earliest open point starts a cluster if
-    no earlier open point around it is within reach; whatever it reaches is settled. Then every point finds the
-    earliest start around it. A round costs as much as there are open points. ``seq`` tells the points of a group
-    apart; points without a place take no part; reach ends at the date line.
+    no earlier open point around it is within reach; whatever it reaches is settled. Then every place finds the
+    earliest start around it. A round costs as much as there are open places. Equal ``seq`` go by place;
+    points without a place take no part; reach ends at the date line.
     """
     high, wide = _cluster_cell(metres)
     row = F.floor(F.col("lat") / high)
-    placed = points.filter("lat is not null and lon is not null").select(F.col(by).alias("g"), "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    own = durable(placed.withColumn("home_row", row).withColumn("home_col", F.floor(F.col("lon") / wide(F.col("home_row")))))
+    first_here = _named(points, by).groupBy("g", "lat", "lon").agg(F.min("seq").alias("seq")).withColumn("seq", F.struct("seq", "lat", "lon"))
+    keyed = durable(first_here.withColumn("home_row", row).withColumn("home_col", F.floor(F.col("lon") / wide(F.col("home_row")))))
     far = lambda a, b: geo.haversine(F.col(f"{a}lat"), F.col(f"{a}lon"), F.col(f"{b}lat"), F.col(f"{b}lon"), 6371000.0)
-    same = lambda d: d.withColumn("g", F.coalesce(F.col("g").cast("string"), F.lit("\0")))  # noqa: E731  a null group is a group
-    keyed = same(own)
     open_, starts = durable(keyed), None
     while not open_.isEmpty():
         first = open_.groupBy("g", F.col("home_row").alias("row"), F.col("home_col").alias("col")).agg(F.min(F.struct("seq", "lat", "lon")).alias("c")).select("g", "row", "col", F.col("c.seq").alias("start"), F.col("c.lat").alias("clat"), F.col("c.lon").alias("clon"))
-        near = durable(_reached_cells(open_.select("g", "seq", "lat", "lon"), metres).join(first, ["g", "row", "col"]).filter(far("", "c") <= metres).select("g", "seq", "start", "clat", "clon"))
+        near = durable(_reached_cells(open_.select("g", "seq", "lat", "lon"), metres).hint("merge").join(first, ["g", "row", "col"]).filter(far("", "c") <= metres).select("g", "seq", "start", "clat", "clon"))
         blocked = near.filter(F.col("seq") < F.col("start")).select("g", "start").distinct()
         new = durable(near.filter(F.col("seq") == F.col("start")).select("g", "start", "clat", "clon").join(blocked, ["g", "start"], "left_anti"))
         settled = near.join(new.select("g", "start"), ["g", "start"], "left_semi").select("g", "seq").distinct()
@@ -319,14 +331,13 @@ def greedy_clusters(points: DataFrame, metres: float, by: str) -> DataFrame:
         discard(near)
         open_, starts = after, new if starts is None else starts.unionByName(new)
     if starts is None:
-        return points.select(by, "seq", F.lit(0).cast("long").alias("cluster")).limit(0)
+        return keyed.select(F.col("g").alias(by), "lat", "lon", F.lit(0).cast("long").alias("cluster"))
     numbered = tables.sequential_ids(starts, ["g", "start"], "place")
     lowest = numbered.groupBy("g").agg(F.min("place").alias("low"))
     numbered = numbered.join(lowest, "g").select("g", "start", "clat", "clon", (F.col("place") - F.col("low")).cast("long").alias("cluster"))
     homes = numbered.withColumn("row", F.floor(F.col("clat") / high)).withColumn("col", F.floor(F.col("clon") / wide(F.col("row"))))
-    met = _reached_cells(keyed.select("g", "seq", "lat", "lon"), metres).join(homes, ["g", "row", "col"]).filter(far("", "c") <= metres)
-    joined = met.groupBy("g", "seq").agg(F.min("cluster").alias("cluster"))
-    return keyed.select("g", "seq").join(joined, ["g", "seq"]).join(same(own.select("g").distinct().withColumn("named", F.col("g"))), "g").select(F.col("named").alias(by), "seq", "cluster")
+    met = _reached_cells(keyed.select("g", "lat", "lon"), metres).hint("merge").join(homes, ["g", "row", "col"]).filter(far("", "c") <= metres)
+    return met.groupBy(F.col("g").alias(by), "lat", "lon").agg(F.min("cluster").alias("cluster"))
 
 
 def reachable_within(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
