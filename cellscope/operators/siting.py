@@ -16,10 +16,10 @@ PUMP_REACH, PUMP_DEPTH, PUMPS = 300.0, 0.5, 8
 
 
 def _folded(ordered: DataFrame, metres: float) -> DataFrame:
-    """``ordered(seq, lat, lon, ...)`` with ``cluster``: the first earlier choice nearer than ``metres``, or its own."""
+    """``ordered(seq, lat, lon, ...)`` with ``cluster``: the first earlier choice nearer than ``metres``, or its own. Those of one place share it."""
     under = math.nextafter(metres, 0.0)
-    placed = graph.greedy_clusters(ordered.withColumn("__all", F.lit(0)), under, "__all").select("seq", "cluster")
-    return ordered.join(placed, "seq")
+    placed = graph.cluster_places(ordered.withColumn("__all", F.lit(0)), under, "__all").select("lat", "lon", "cluster")
+    return ordered.join(placed.hint("merge"), ["lat", "lon"])
 
 
 def retention_ponds(depressions: DataFrame, cell_m: float, reach: float = POND_REACH, least: int = POND_ACCUM, top: int = PONDS) -> DataFrame:
