@@ -237,7 +237,8 @@ def tethers(spark, d):
 
 def drain_upgrades(spark, d):
     """Zones of a hundredth of a degree with three encroachments or more."""
-    e = g.sites(spark, d).groupBy(F.bround("lat", 2).alias("lat"), F.bround("lon", 2).alias("lon")).agg(F.count("*").alias("n"))
+    near = lambda x: (F.rint(c(x) * 100) / 100).alias(x)  # noqa: E731  halves of the binary value go to the even number; bround takes the decimal one
+    e = g.sites(spark, d).groupBy(near("lat"), near("lon")).agg(F.count("*").alias("n"))
     return e.filter("n >= 3").withColumn("priority", F.when(c("n") >= 10, "CRITICAL").otherwise("HIGH"))
 
 

@@ -1,11 +1,14 @@
 """Joins by distance on tables in which many points share a place, at sizes that no estimate shows."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cellscope.operators import graph, grid, nearest, sight, siting, spatial_joins
+from cellscope.plans import q_field, q_network
 
 
 def plan(df):
@@ -81,3 +84,40 @@ def test_pairs_are_of_places(spark, crowded):
     assert {(r["k"], r["t"]) for r in spatial_joins.within(df, df, 1.0).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 1.0)), strict=True))
     first = sight.nearest_within(df, df.filter("k % 3 > 0"), 1.0)
     assert {r["k"]: r["t"] for r in first.collect()} == {k: k // 3 * 3 + 1 for k in range(len(p))} and "BroadcastHashJoin" not in plan(first)
+
+
+def test_parallel_pairs_of_lines_on_one_course(spark, crowded):
+    p, _ = crowded
+    s = p.assign(lat1=p.lat, lon1=p.lon, lat2=p.lat + 0.001 * (p.k // 3 % 4 + 1), lon2=p.lon + 0.002)[["k", "lat1", "lon1", "lat2", "lon2"]]
+    found = spatial_joins.parallel_pairs(spark.createDataFrame(s), 50.0, 1500.0, 20.0)
+    rows = {(r["a"], r["b"]): r["metres"] for r in found.collect()}
+    lat, lon = (s.lat1 + s.lat2).to_numpy() / 2, (s.lon1 + s.lon2).to_numpy() / 2
+    metres = nearest.haversine(lat[:, None], lon[:, None], lat[None], lon[None]) * 1000
+    r1, r2, d = np.radians(s.lat1.to_numpy()), np.radians(s.lat2.to_numpy()), np.radians((s.lon2 - s.lon1).to_numpy())
+    way = np.degrees(np.arctan2(np.sin(d) * np.cos(r2), np.cos(r1) * np.sin(r2) - np.sin(r1) * np.cos(r2) * np.cos(d))) % 180
+    turn = np.abs(way[:, None] - way[None])
+    near = (metres >= 50) & (metres <= 1500) & (np.minimum(turn, 180 - turn) <= 20) & (s.k.to_numpy()[:, None] < s.k.to_numpy()[None])
+    assert set(rows) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)) and rows
+    assert rows == pytest.approx({ab: metres[ab] for ab in rows}) and found.count() == len(rows) and "BroadcastHashJoin" not in plan(found)
+
+
+def test_zones_round_the_binary_value(spark, tmp_path):
+    # Places 22.5 + 850 / 10000 = 22.585 and so on: their hundredfold is a half or just beside it, whatever their decimals say.
+    keys = [k for k in range(4000) if k * 7919 % 100 == 50] * 3
+    pd.DataFrame({"c_custkey": keys}).to_parquet(tmp_path / "customer.parquet")
+    got = {(r["lat"], r["lon"]): r["n"] for r in q_network.drain_upgrades(spark, str(tmp_path)).collect()}
+    want = Counter((np.rint((22.5 + k * 7919 % 4000 / 10000) * 100) / 100, np.rint((75.6 + k * 6007 % 4000 / 10000) * 100) / 100) for k in keys)
+    assert got == {z: n for z, n in want.items() if n >= 3}
+
+
+def test_bands_are_joined_once_for_each_pixel(spark, tmp_path):
+    n = 3000
+    line = pd.DataFrame({"l_orderkey": [1517 * i + 5 for i in range(n)], "l_linenumber": [i % 5 for i in range(n)], "l_quantity": np.arange(n) % 50 * 1.0})
+    line.to_parquet(tmp_path / "lineitem.parquet")
+    pixel = next(k for k in range(1, 2000) if k % 37 == 5 and k * 3 % 41 == 5)
+    pd.DataFrame({"c_custkey": [pixel + 1517 * i for i in range(50)]}).to_parquet(tmp_path / "customer.parquet")
+    df = q_field.pixel_bands(spark, str(tmp_path))
+    own = lambda i: line[line.l_linenumber == i].l_quantity.max()
+    assert [tuple(r)[1:] for r in df.collect()] == [tuple(own(i) for i in range(1, 5))] * 50
+    above = plan(df).split("Join")[0]
+    assert "Aggregate" not in above  # nothing is left to aggregate after the join
