@@ -62,5 +62,7 @@ def encroachment(distance_m: Column, depth_m: Column, buffers: tuple[float, floa
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, km: float) -> DataFrame:
-    """``k, t, d``: the nearest target within ``km``, ties to the smaller id; points without one are absent."""
-    return spatial_joins.within(points, targets, km).groupBy("k").agg(F.min(F.struct("d", "t")).alias("n")).select("k", "n.t", "n.d")
+    """``k, t, d``: the nearest target within ``km``, ties to the smaller id; points without one are absent. Points and targets that share a place count once."""
+    first = targets.groupBy(F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).agg(F.min("k").alias("t"))
+    near = spatial_joins.place_pairs(points, targets, km).join(first.hint("merge"), ["tlat", "tlon"]).groupBy("lat", "lon").agg(F.min(F.struct("d", "t")).alias("n"))
+    return points.select("k", "lat", "lon").join(near.hint("merge"), ["lat", "lon"]).select("k", "n.t", "n.d")
