@@ -24,7 +24,7 @@ def hub_join(left: DataFrame, right: DataFrame, on: str | list[str], total: int)
     hot = F.col("n") > max(100, total // 1000)
     keys = [on] if isinstance(on, str) else on
     hubs, rest = F.broadcast(right.filter(hot).drop("n")), right.filter(~hot).drop("n")
-    return left.join(hubs, keys).unionByName(left.join(hubs.select(*keys), keys, "left_anti").join(rest, keys))
+    return left.join(hubs, keys).unionByName(left.join(hubs.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys))
 
 
 def along(links: DataFrame, folds: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
@@ -76,10 +76,10 @@ def upstream_sums(tree: DataFrame) -> DataFrame:
         moving = now.filter("down is not null")
         gained = moving.groupBy(F.col("down").alias("node")).agg(F.sum("w").alias("more"), F.count("*").alias("n"))
         # ``met`` has a row for each node that others drain into at this distance: its gain, and where it drains itself.
-        met = durable(gained.join(now.select("node", F.col("down").alias("further")), "node"))
+        met = durable(gained.join(now.select("node", F.col("down").alias("further")).hint("merge"), "node"))
         onward = hub_join(moving.select("node", "down"), met.select(F.col("node").alias("down"), "further", "n"), "down", n).select("node", "further")
-        added = now.select("node", "w").join(met.select("node", "more"), "node", "left").select("node", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
-        after = durable(added.join(onward.filter("further is not null"), "node", "left").select("node", F.col("further").alias("down"), "w"))
+        added = now.select("node", "w").join(met.select("node", "more").hint("merge"), "node", "left").select("node", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        after = durable(added.join(onward.filter("further is not null").hint("merge"), "node", "left").select("node", F.col("further").alias("down"), "w"))
         discard(now)
         discard(met)
         now, rounds = after, rounds + 1

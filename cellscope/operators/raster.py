@@ -16,9 +16,12 @@ EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
 def _sent(r: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
-    """``row, col, dr, dc, v``: v is the value of the cell at (row + dr, col + dc)."""
+    """``row, col, dr, dc, v``: v is the value of the cell at (row + dr, col + dc).
+
+    Joins with it are merge joins: no size estimate shows what the explode adds, so it would be broadcast.
+    """
     m = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in moves]))
-    return r.select("row", "col", "v", m.alias("m")).select((F.col("row") - F.col("m.dr")).alias("row"), (F.col("col") - F.col("m.dc")).alias("col"), "m.dr", "m.dc", "v")
+    return r.select("row", "col", "v", m.alias("m")).select((F.col("row") - F.col("m.dr")).alias("row"), (F.col("col") - F.col("m.dc")).alias("col"), "m.dr", "m.dc", "v").hint("merge")
 
 
 def slope(r: DataFrame, cell: float) -> DataFrame:
@@ -68,13 +71,13 @@ def flow_accumulation(direction: DataFrame, weights: DataFrame | None = None) ->
     at = lambda r, c: F.struct(r.cast("long").alias("row"), c.cast("long").alias("col"))
     cells = direction.select("row", "col", at(F.col("row"), F.col("col")).alias("node"), at(F.col("row") + F.col("dr"), F.col("col") + F.col("dc")).alias("down"), (F.col("dr").isNotNull() & F.col("dc").isNotNull()).alias("runs"))
     inside = cells.select(F.col("node").alias("down"), F.lit(True).alias("inside"))
-    own = cells.join(inside, "down", "left").select("row", "col", "node", F.when(F.col("runs") & F.col("inside"), F.col("down")).alias("down"))
+    own = cells.join(inside.hint("merge"), "down", "left").select("row", "col", "node", F.when(F.col("runs") & F.col("inside"), F.col("down")).alias("down"))
     w = F.lit(1).cast("long")
     if weights is not None:
-        own, w = own.join(weights, ["row", "col"], "left"), F.coalesce("w", F.lit(0.0))
+        own, w = own.join(weights.hint("merge"), ["row", "col"], "left"), F.coalesce("w", F.lit(0.0))
     own = durable(own.withColumn("w", w))
     sums = chains.upstream_sums(own.select("node", "down", "w"))
-    return own.select("row", "col", "node").join(sums, "node").select("row", "col", F.col("total").alias("cells"))
+    return own.select("row", "col", "node").join(sums.hint("merge"), "node").select("row", "col", F.col("total").alias("cells"))
 
 
 def ca_step(r: DataFrame, potential: DataFrame, demand: int, neighbour_weight: float = 0.5) -> DataFrame:

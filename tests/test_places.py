@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.operators import graph, grid, nearest, sight, siting, spatial_joins
+from cellscope.operators import graph, grid, nearest, raster, sight, siting, spatial_joins
 from cellscope.plans import q_field, q_network
 
 
@@ -102,8 +102,8 @@ def test_parallel_pairs_of_lines_on_one_course(spark, crowded):
 
 
 def test_zones_round_the_binary_value(spark, tmp_path):
-    # Places 22.5 + 850 / 10000 = 22.585 and so on: their hundredfold is a half or just beside it, whatever their decimals say.
-    keys = [k for k in range(4000) if k * 7919 % 100 == 50] * 3
+    # Places 75.6 + 150 / 10000 = 75.615 and so on: their hundredfold is a half or just beside it, whatever their decimals say.
+    keys = [k for k in range(4000) if k * 6007 % 100 == 50] * 3
     pd.DataFrame({"c_custkey": keys}).to_parquet(tmp_path / "customer.parquet")
     got = {(r["lat"], r["lon"]): r["n"] for r in q_network.drain_upgrades(spark, str(tmp_path)).collect()}
     want = Counter((np.rint((22.5 + k * 7919 % 4000 / 10000) * 100) / 100, np.rint((75.6 + k * 6007 % 4000 / 10000) * 100) / 100) for k in keys)
@@ -121,3 +121,8 @@ def test_bands_are_joined_once_for_each_pixel(spark, tmp_path):
     assert [tuple(r)[1:] for r in df.collect()] == [tuple(own(i) for i in range(1, 5))] * 50
     above = plan(df).split("Join")[0]
     assert "Aggregate" not in above  # nothing is left to aggregate after the join
+
+
+def test_neighbours_of_cells_are_not_broadcast(spark):
+    r = spark.range(36).select((F.col("id") / 6).cast("int").alias("row"), (F.col("id") % 6).cast("int").alias("col"), (F.col("id") * 7 % 11).cast("double").alias("v"))
+    assert "BroadcastHashJoin" not in plan(raster.flow_direction(r, 0.0))
