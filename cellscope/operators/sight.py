@@ -39,16 +39,27 @@ def crowd_spread(events: DataFrame, segments: DataFrame) -> DataFrame:
 
     Segments are filled by distance: a share of the people left that falls with distance, at most six per
     square metre. What one takes depends on those before, so an event's segments are folded in order; they
-    are those of one disc of at most 1.8 km.
+    are those of one disc of at most 1.8 km. Discs are put together once for a place, however many events are there, and a fold
+    ends with the distance at which too few people are left to change the result.
     """
     most_km = 1.8
-    near = spatial_joins.within(events.select("k", "lat", "lon"), segments.select(F.col("t").alias("k"), "lat", "lon"), most_km, 6371.0)
-    own = events.select("k", F.col("people").cast("double").alias("people"), streets.crowd_radius(F.col("people")).alias("r"))
-    met = near.join(own, "k").filter(F.col("d") * 1000 <= F.col("r")).join(segments.select("t", "area"), "t")
-    item = F.struct((F.col("d") * 1000).alias("d"), F.col("t"), (F.lit(1.0) - F.col("d") * 1000 / F.col("r")).alias("near"), (F.col("area") * 6.0).alias("cap"))
-    g = met.groupBy("k").agg(F.first("people").alias("people"), F.array_sort(F.collect_list(item)).alias("items"))
-    left = F.aggregate("items", F.col("people"), lambda a, x: F.when(a > 0, a - F.least(a * x["near"] * 0.3, x["cap"])).otherwise(a))
-    return g.select("k", F.size("items").alias("segments"), (F.col("people") - left).alias("placed"))
+    at = ["lat", "lon"]
+    own = events.select("k", *at, F.col("people").cast("double").alias("people"), streets.crowd_radius(F.col("people")).alias("r"))
+    held = segments.filter("lat is not null and lon is not null").groupBy(F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+    held = held.agg(F.collect_list(F.struct("t", (F.col("area") * 6.0).alias("cap"))).alias("own"))
+    near = spatial_joins.place_pairs(events, segments, most_km, 6371.0).join(held.hint("merge"), ["tlat", "tlon"])
+    rings = near.groupBy(*at, (F.col("d") * 1000).alias("d")).agg(F.transform(F.array_sort(F.flatten(F.collect_list("own"))), lambda x: x["cap"]).alias("caps"))
+    discs = rings.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("d", "caps"))).alias("rings"))
+    met = own.join(discs.hint("merge"), at).withColumn("rings", F.filter("rings", lambda g: g["d"] <= F.col("r"))).filter(F.size("rings") > 0)
+    met = met.repartition("k")  # folds are long and places few
+
+    def fill(a: Column, g: Column) -> Column:
+        share = F.lit(1.0) - g["d"] / F.col("r")
+        return F.aggregate(g["caps"], a, lambda a, cap: F.when(a > 0, a - F.least(a * share * 0.3, cap)).otherwise(a))
+
+    left = F.aggregate("rings", F.col("people"), lambda a, g: F.when(a > F.col("people") * 2.0**-60, fill(a, g)).otherwise(a))
+    segments_met = F.aggregate("rings", F.lit(0), lambda n, g: n + F.size(g["caps"]))
+    return met.select("k", segments_met.alias("segments"), (F.col("people") - left).alias("placed"))
 
 
 def encroachment(distance_m: Column, depth_m: Column, buffers: tuple[float, float, float] = (30.0, 60.0, 100.0)) -> Column:
