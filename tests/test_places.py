@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.operators import graph, grid, nearest, raster, sight, siting, spatial_joins
+from cellscope.functions import streets
+from cellscope.operators import graph, grid, nearest, network, raster, sight, siting, spatial_joins
 from cellscope.plans import q_field, q_network
 
 
@@ -126,3 +127,34 @@ def test_bands_are_joined_once_for_each_pixel(spark, tmp_path):
 def test_neighbours_of_cells_are_not_broadcast(spark):
     r = spark.range(36).select((F.col("id") / 6).cast("int").alias("row"), (F.col("id") % 6).cast("int").alias("col"), (F.col("id") * 7 % 11).cast("double").alias("v"))
     assert "BroadcastHashJoin" not in plan(raster.flow_direction(r, 0.0))
+
+
+def test_pairs_are_drawn_out_after_the_last_join(spark, crowded):
+    p, _ = crowded
+    df = spark.createDataFrame(p[["k", "lat", "lon"]])
+    above = plan(spatial_joins.within(df, df, 1.0)).split("SortMergeJoin")[0]
+    assert above.count("Generate") == 2 and "Exchange" not in above.split("Generate")[0]  # lists are shuffled, pairs are not
+
+
+def test_crowds_at_one_place_share_a_disc(spark):
+    events = spark.createDataFrame([(k, 22.0, 75.0, 400 + k) for k in range(300)], "k long, lat double, lon double, people int")
+    rows = [(t, 22.0 + t % 4 * 1e-4, 75.0, 0.5 + t % 7) for t in range(200)]
+    found = sight.crowd_spread(events, spark.createDataFrame(rows, "t long, lat double, lon double, area double"))
+    reach = {r["k"]: r["r"] for r in events.select("k", streets.crowd_radius(F.col("people")).alias("r")).collect()}
+    metres = {i: float(nearest.haversine(np.array(22.0), np.array(75.0), np.array(22.0 + i * 1e-4), np.array(75.0))) * 1000 for i in range(4)}
+    for e in found.collect():
+        left, n = 400.0 + e["k"], 0
+        for d, t, area in sorted((metres[t % 4], t, area) for t, _, _, area in rows):
+            if d <= reach[e["k"]]:
+                left, n = left - min(left * (1 - d / reach[e["k"]]) * 0.3, area * 6), n + 1
+        assert e["segments"] == n > 0 and e["placed"] == pytest.approx(400.0 + e["k"] - left, abs=1e-6)
+    assert found.count() == 300 and plan(found).count("collect_list(named_struct(t") <= 2  # once for a place of segments, not for an event
+
+
+def test_two_places_of_a_radius_graph_meet_once(spark, crowded):
+    p, df = crowded
+    d = nearest.haversine(*(p[c].to_numpy()[:, None] for c in ("lat", "lon")), *(p[c].to_numpy()[None] for c in ("lat", "lon")))
+    near = (d <= 1.0) & (p.k.to_numpy()[:, None] < p.k.to_numpy()[None])
+    found = network.radius_graph(df, 1.0, 6)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    assert "round" not in plan(found).split("SortMergeJoin")[0]
