@@ -158,3 +158,12 @@ def test_two_places_of_a_radius_graph_meet_once(spark, crowded):
     found = network.radius_graph(df, 1.0, 6)
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
     assert "round" not in plan(found).split("SortMergeJoin")[0]
+
+
+def test_metapaths_are_not_shuffled(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 150), rng.integers(0, 12, 150), strict=True)] + [(1, None), (None, 3)]
+    found = network.metapaths(spark.createDataFrame(rows, "thing long, street long"))
+    of = {t: {s for x, s in rows if x == t and s is not None} for t in range(40)}
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if of[a] & of[b]]
+    assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
