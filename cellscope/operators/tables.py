@@ -9,27 +9,45 @@ from ..functions.num import trend
 from ..session import durable
 
 
+def _ranked(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, v, m, i, n``: each group's different values in order, how often each stands, the rank of its first, and the group's size.
+
+    Values are counted where they are read and cut into ranges over all groups; a range's first rank is the count of
+    what comes before it, so that no task holds a group. Nulls come first, as in Spark's order.
+    """
+    counts = df.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    held = durable(counts.repartitionByRange(by, "v").withColumn("__p", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy(by, "__p").agg(F.sum("m").alias("__m"))  # a row for each range and group
+    first = parts.select(F.col(by).alias("__by"), F.col("__p").alias("__q"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__at"), F.sum("__m").over(Window.partitionBy(by)).alias("n"))
+    own = Window.partitionBy("__p", by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = held.withColumn("__n", F.coalesce(F.sum("m").over(own), F.lit(0)))
+    return ranked.join(first, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__q"))).select(by, "v", "m", (F.col("__at") + F.col("__n")).alias("i"), "n")
+
+
+def _at(at: Column) -> Column:
+    """The value at a rank counted from 0, among rows of ``_ranked``."""
+    return F.max(F.when((F.col("i") <= at) & (at < F.col("i") + F.col("m")), F.col("v")))
+
+
 def positional_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group: n, min, max, mean, upper median s[n // 2], s[int(.9 n)], s[int(.95 n)], and n - 1 variation.
 
-    Order statistics come from a rank within the group, sorted on disk if need be; no group is collected.
+    Order statistics come from the ranks of counted values; no task holds a group.
     """
-    w = Window.partitionBy(by)
-    ranked = df.select(by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("v")))
     at = lambda share: F.least(F.col("n") - 1, F.floor(F.col("n") * share))
-    return ranked.groupBy(by).agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"),
-        pick(F.floor(F.col("n") / 2)).alias("upper_median"), pick(at(0.9)).alias("p90"), pick(at(0.95)).alias("p95"),
-        (F.stddev_samp("v") / F.avg("v")).alias("variation"),
+    picked = _ranked(df, by, value).groupBy(by).agg(_at(F.floor(F.col("n") / 2)).alias("upper_median"), _at(at(0.9)).alias("p90"), _at(at(0.95)).alias("p95"))
+    plain = df.groupBy(by).agg(
+        F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.avg(value)).alias("variation")
     )
+    picked = picked.withColumnRenamed(by, "__by")
+    return plain.join(picked, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "low", "high", "mean", "upper_median", "p90", "p95", "variation")
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """``by, v``: the value at index round-half-even(share * (n - 1)) of each group."""
-    w = Window.partitionBy(by)
-    ranked = df.select(by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.filter(F.col("i") == F.bround(F.lit(share) * (F.col("n") - 1), 0).cast("int")).select(by, "v")
+    at = F.bround(F.lit(share) * (F.col("n") - 1), 0).cast("long")
+    return _ranked(df, by, value).filter((F.col("i") <= at) & (at < F.col("i") + F.col("m"))).select(by, "v")
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:

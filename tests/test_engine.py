@@ -472,3 +472,19 @@ def test_upsample_keeps_corners(spark):
     r = spark.createDataFrame([(y, x, float(y * 3 + x)) for y in range(3) for x in range(3)], "row int, col int, v double")
     up = {(q["row"], q["col"]): q["v"] for q in raster.upsample(r, 3, 5).collect()}
     assert len(up) == 25 and (up[0, 0], up[4, 4], up[1, 1], up[0, 1]) == (0.0, 8.0, 2.0, 0.5)
+
+
+def test_order_statistics_hold_no_group_in_one_task(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else None, float(v) if i % 17 else None) for i, v in enumerate(rng.integers(0, 60, 900))] + [("b", 7.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    found = tables.positional_stats(df, "g", "v")
+    of = lambda g: sorted((v for x, v in rows if x == g), key=lambda v: (v is not None, v or 0.0))
+    for r in found.collect():
+        s = of(r["g"])
+        n = len(s)
+        assert (r["n"], r["upper_median"], r["p90"], r["p95"]) == (n, s[n // 2], s[min(n - 1, int(n * 0.9))], s[min(n - 1, int(n * 0.95))])
+    rank = {r["g"]: r["v"] for r in tables.nearest_rank(df, "g", "v", 0.3).collect()}
+    assert rank == {g: of(g)[round(0.3 * (len(of(g)) - 1))] for g in ("a", "b", "c", None)}
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (found, tables.nearest_rank(df, "g", "v", 0.3))]
+    assert not any("row_number" in p for p in plans)
