@@ -50,6 +50,21 @@ def nearest_rank(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
     return _ranked(df, by, value).filter((F.col("i") <= at) & (at < F.col("i") + F.col("m"))).select(by, "v")
 
 
+def linear_percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the percentiles named in ``shares``, between the two values around a rank; nulls take no part."""
+    place = lambda share: F.lit(share) * (F.col("n") - 1)
+    ranked = _ranked(df.filter(F.col(value).isNotNull()), by, value)
+    ends = ranked.groupBy(by).agg(F.first("n").alias("n"), *[_at(f(place(s))).alias(f"__{n}_{f.__name__}") for n, s in shares.items() for f in (F.floor, F.ceil)])
+
+    def between(n: str, share: float) -> Column:
+        low, high, at = F.col(f"__{n}_floor"), F.col(f"__{n}_ceil"), place(share)
+        return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    found = ends.select(by, *[between(n, s).alias(n) for n, s in shares.items()])
+    everyone = df.select(F.col(by).alias("__by")).distinct()
+    return everyone.join(found, F.col("__by").eqNullSafe(F.col(by)), "left").select(F.col("__by").alias(by), *shares)
+
+
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """``key, share``: whole shares of ``total`` by weight that add up to it; the largest fractions round up."""
     everything = Window.partitionBy()

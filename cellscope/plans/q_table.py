@@ -22,8 +22,9 @@ def nearest_rank_p95(spark, d):
 
 
 def linear_percentile(spark, d):
-    p = lambda s: F.round(F.percentile("l_extendedprice", F.lit(s)), 4)
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.1).alias("p10"), p(0.9).alias("p90"), p(0.98).alias("p98"))
+    shares = {"p10": 0.1, "p90": 0.9, "p98": 0.98}
+    p = tables.linear_percentiles(t(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", shares)
+    return p.select("l_returnflag", *[F.round(n, 4).alias(n) for n in shares])
 
 
 def grouping_sets_trips(spark, d):

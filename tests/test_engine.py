@@ -486,5 +486,7 @@ def test_order_statistics_hold_no_group_in_one_task(spark):
         assert (r["n"], r["upper_median"], r["p90"], r["p95"]) == (n, s[n // 2], s[min(n - 1, int(n * 0.9))], s[min(n - 1, int(n * 0.95))])
     rank = {r["g"]: r["v"] for r in tables.nearest_rank(df, "g", "v", 0.3).collect()}
     assert rank == {g: of(g)[round(0.3 * (len(of(g)) - 1))] for g in ("a", "b", "c", None)}
+    lines = {r["g"]: r["m"] for r in tables.linear_percentiles(df, "g", "v", {"m": 0.37}).collect()}
+    assert lines == {g: pytest.approx(np.quantile([v for v in of(g) if v is not None], 0.37)) for g in ("a", "b", None)} | {"c": None}
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (found, tables.nearest_rank(df, "g", "v", 0.3))]
     assert not any("row_number" in p for p in plans)
