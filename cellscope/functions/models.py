@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .num import band, clamp, half_up_int, norm_log, piecewise
+from .num import band, clamp, half_up_int, let, norm_log, piecewise
 
 # Weights of the growth horizons for built-up expansion, densification and capital.
 HORIZONS = {"nowcast": (0.4, 0.3, 0.3), "year_2": (0.2, 0.2, 0.6), "year_5": (0.4, 0.3, 0.3)}
@@ -156,11 +156,16 @@ def normalised_difference(a: Column, b: Column) -> Column:
 
 
 def growth_horizons(bue: Column, den: Column, cap: Column, trend: Column, expansion: Column) -> Column:
-    """A cell's growth record, null without any sub-score: now, in two and in five years, each with a band.
+    """A cell's growth record, null without any sub-score: now, in two and in five years, each with a band. Each part is worked out once.
 
     Five years on, the composite follows ``num.trend`` (may be null) of built-up
     presence, and moves up to 20 towards what ``expansion`` (0 to 1, may be null) projects.
     """
+    parts = F.struct(bue.alias("bue"), den.alias("den"), cap.alias("cap"), trend.alias("trend"), expansion.alias("expansion"))
+    return let(parts, lambda p: _growth_record(p["bue"], p["den"], p["cap"], p["trend"], p["expansion"]))
+
+
+def _growth_record(bue: Column, den: Column, cap: Column, trend: Column, expansion: Column) -> Column:
     arrow = lambda s: F.when(s.isNull(), "none").when(s > 60, "up").when(s > 45, "level").otherwise("down")
     now, two = horizon(bue, den, cap, "nowcast"), horizon(bue, den, cap, "year_2")
     r2 = trend["r2"]
