@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .num import let
+
 # Ordered key words of alert severities and categories; the first group that occurs counts.
 SEVERITY = [
     ("Extreme", "extreme|red alert|evacuat|very severe"), ("Severe", "severe|heavy|intense|warning|orange alert"), ("Moderate", "moderate|watch|yellow alert"),
@@ -71,8 +73,8 @@ def lexicon_weights(question: Column) -> Column:
         fold = lambda own: F.aggregate(F.filter(F.array(*own), lambda e: F.get(hits, e["i"])), F.lit(None).cast("double"), lambda a, e: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(a, F.lit(0.0)) + e["w"])))
         return F.filter(F.array(*[F.struct(F.lit(s).alias("score"), F.round(fold(own), 6).alias("w")) for s, own in sorted(held.items())]), lambda e: e["w"].isNotNull())
 
-    # Each pattern is searched once, however many scores it weighs.
-    return F.element_at(F.transform(F.array(F.array(*[low.rlike(pattern) for _, pattern, _ in LEXICON])), entries), 1)
+    # The question is lowered once; each pattern is searched once, however many scores it weighs.
+    return let(low, lambda q: let(F.array(*[q.rlike(pattern) for _, pattern, _ in LEXICON]), entries))
 
 
 def strip_tags(html: Column) -> Column:

@@ -50,7 +50,7 @@ def _questions(spark, d):
 
 
 def lexicon_weights(spark, d):
-    return _questions(spark, d).select("k", F.explode(x.lexicon_weights(c("q"))).alias("e")).select("k", c("e.score").alias("score_id"), c("e.w").alias("w"))
+    return g.spread(_questions(spark, d), "k").select("k", F.explode(x.lexicon_weights(c("q"))).alias("e")).select("k", c("e.score").alias("score_id"), c("e.w").alias("w"))
 
 
 def question_normalise(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellscope.functions import buildings, estate, geo, models, num, streets, sun, text
 from cellscope.operators import classify, flood, graph, grid, growth, quality, raster, scores, sight, spatial_joins, tables
+from cellscope.plans import q_estate, q_filter, q_text
 from cellscope.sources import readers, sinks
 from cellscope.streaming import ingest
 
@@ -490,3 +491,16 @@ def test_order_statistics_hold_no_group_in_one_task(spark):
     assert lines == {g: pytest.approx(np.quantile([v for v in of(g) if v is not None], 0.37)) for g in ("a", "b", None)} | {"c": None}
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (found, tables.nearest_rank(df, "g", "v", 0.3))]
     assert not any("row_number" in p for p in plans)
+
+
+def test_costly_values_are_worked_out_once_and_in_many_tasks(spark, sf):
+    df = spark.createDataFrame([(k, [0.1 * k, 0.2, 0.5]) for k in range(9)], "k long, s array<double>")
+    t = df.select(num.trend(F.col("s")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert t.count("aggregate(") == 2  # one mean, one pass of sums
+    q = df.select(text.lexicon_weights(F.col("k").cast("string")).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert q.count("regexp_replace(") == 1
+    g = df.select(models.growth_horizons(F.col("k") * 1.0, F.col("k") * 1.0, F.col("k").cast("int"), num.trend(F.col("s")), F.lit(0.5)).alias("g"))
+    assert g._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
+    for run in (q_estate.estate_outlooks, q_estate.estate_drivers, q_text.lexicon_weights, q_filter.viewport_cells):
+        assert "RepartitionByExpression" in run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(sequence" not in q_filter.viewport_cells(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
