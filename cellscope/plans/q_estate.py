@@ -18,14 +18,14 @@ def _values(k):
 
 def estate_outlooks(spark, d):
     """The outlook of every site for four intents, in one pass."""
-    s = g.sites(spark, d).select("k", _values(c("k")).alias("v"))
+    s = g.spread(g.sites(spark, d).select("k"), "k").select("k", _values(c("k")).alias("v"))
     per = F.array(*[F.struct(F.lit(i).alias("intent"), estate.outlook(c("v"), i).alias("o")) for i in estate.INTENTS])
     return s.select("k", F.explode(per).alias("x")).select("k", "x.intent", "x.o.score", "x.o.band", "x.o.confidence", "x.o.used", "x.o.low", "x.o.mid", "x.o.high")
 
 
 def estate_drivers(spark, d):
     o = estate.outlook(_values(c("k")), "invest")
-    return g.sites(spark, d).select("k", o.alias("o")).select("k", "o.lifted", "o.held")
+    return g.spread(g.sites(spark, d).select("k"), "k").select("k", o.alias("o")).select("k", "o.lifted", "o.held")
 
 
 def factor_values(spark, d):
