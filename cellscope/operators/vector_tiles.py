@@ -11,7 +11,7 @@ import math
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,33 +26,46 @@ def world(lon: float, lat: float) -> tuple[float, float]:
     return (lon + 180) / 360, (1 - math.log(math.tan(s) + 1 / math.cos(s)) / math.pi) / 2
 
 
-def simplified(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """An open ring without the corners that lie within ``tolerance`` of the line that stays; as it was if under three would be left.
+def weights(ring: list[tuple[float, float]], tolerance: float) -> list[float]:
+    """For each corner of an open ring the squared tolerance at which it goes; those that go at ``tolerance`` have none.
 
     The two corners farthest apart from the first one cut the ring in two lines; of each the farthest corner stays, again and
-    again, while it is farther than the tolerance.
+    again, while it is farther than the tolerance. The cuts are the same for every tolerance, only their depth is not.
     """
-    n = len(ring)
-    if n <= 3:
-        return ring
-    far = max(range(n), key=lambda i: (ring[i][0] - ring[0][0]) ** 2 + (ring[i][1] - ring[0][1]) ** 2)
-    keep, stack = {0, far}, [(0, far), (far, n)]
+    n, least = len(ring), tolerance * tolerance
+    x0, y0 = ring[0]
+    away = [(x - x0) ** 2 + (y - y0) ** 2 for x, y in ring]
+    far = away.index(max(away))
+    out = [-1.0] * n
+    out[0] = out[far] = math.inf
+    stack = [(0, far, math.inf), (far, n, math.inf)]
     while stack:
-        a, b = stack.pop()
+        a, b, above = stack.pop()
+        if b - a < 2:
+            continue
         (ax, ay), (bx, by) = ring[a], ring[b % n]
         dx, dy = bx - ax, by - ay
         length = dx * dx + dy * dy
-        worst, at = tolerance * tolerance, None
+        worst, at = least, None
         for i in range(a + 1, b):
             px, py = ring[i][0] - ax, ring[i][1] - ay
-            t = max(0.0, min(1.0, (px * dx + py * dy) / length)) if length else 0.0
+            t = (px * dx + py * dy) / length if length else 0.0
+            t = 0.0 if t < 0.0 else 1.0 if t > 1.0 else t
             d = (px - t * dx) ** 2 + (py - t * dy) ** 2
             if d > worst:
                 worst, at = d, i
         if at is not None:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return [ring[i] for i in sorted(keep)] if len(keep) >= 3 else ring
+            out[at] = above = min(above, worst)
+            stack += [(a, at, above), (at, b, above)]
+    return out
+
+
+def simplified(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """An open ring without the corners that lie within ``tolerance`` of the line that stays; as it was if under three would be left."""
+    if len(ring) <= 3:
+        return ring
+    kept = [p for p, w in zip(ring, weights(ring, tolerance), strict=True) if w >= 0]
+    return kept if len(kept) >= 3 else ring
 
 
 def clipped(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
@@ -75,12 +88,18 @@ def clipped(ring: list[tuple[float, float]], box: tuple[float, float, float, flo
 
 def on_grid(ring: list[tuple[float, float]], z: int, x: int, y: int) -> list[tuple[int, int]]:
     """Tile coordinates from 0 to EXTENT, y down; places that fall together and the repeated end are dropped."""
+    return _gridded([world(*p) for p in ring], 2**z, x, y)
+
+
+def _gridded(places: list[tuple[float, float]], n: int, x: int, y: int) -> list[tuple[int, int]]:
+    """``on_grid`` of places on the unit square."""
     out: list[tuple[int, int]] = []
-    for lon, lat in ring:
-        u, v = world(lon, lat)
-        p = (round((u * 2**z - x) * EXTENT), round((v * 2**z - y) * EXTENT))
-        if not out or p != out[-1]:
+    last = None
+    for u, v in places:
+        p = (round((u * n - x) * EXTENT), round((v * n - y) * EXTENT))
+        if p != last:
             out.append(p)
+            last = p
     while len(out) > 1 and out[0] == out[-1]:
         out.pop()
     return out
@@ -101,6 +120,9 @@ def varint(n: int) -> bytes:
     return bytes(out)
 
 
+SMALL = [varint(n) for n in range(16384)]
+
+
 def zigzag(n: int) -> int:
     return n << 1 if n >= 0 else -n * 2 - 1
 
@@ -119,7 +141,7 @@ def geometry(ring: list[tuple[int, int]]) -> bytes:
         words += [zigzag(u - x), zigzag(v - y)]
         x, y = u, v
     words.append(15)
-    return b"".join(map(varint, words))
+    return b"".join([SMALL[w] if w < 16384 else varint(w) for w in words])
 
 
 def value(v: object) -> bytes:
@@ -131,15 +153,58 @@ def value(v: object) -> bytes:
     return varint(3 << 3 | 1) + struct.pack("<d", v)
 
 
-def layer(name: str, keys: list[str], features: list[tuple[bytes, list[object]]]) -> bytes:
-    """A tile with one layer of ``features`` (geometry, values in the order of ``keys``, None where a feature has none)."""
-    known: dict[bytes, int] = {}
-    body = field(1, name.encode())
-    for shape, values in features:
-        tags = b"".join(varint(k) + varint(known.setdefault(value(v), len(known))) for k, v in enumerate(values) if v is not None and v == v)
-        body += field(2, (field(2, tags) if tags else b"") + varint(3 << 3) + varint(3) + field(4, shape))
-    body += b"".join(field(3, k.encode()) for k in keys) + b"".join(field(4, v) for v in known)
-    return field(3, body + varint(5 << 3) + varint(EXTENT) + varint(15 << 3) + varint(2))
+class Layer:
+    """A tile with one layer, to which features are added one by one: encoded bytes are all it holds."""
+
+    def __init__(self, name: str, keys: list[str]):
+        self.keys, self.known, self.count = [varint(k) for k in range(len(keys))], {}, 0
+        self.body = bytearray(field(1, name.encode()))
+        self.tail = b"".join(field(3, k.encode()) for k in keys)
+
+    def add(self, shape: bytes, values: list[bytes | None]) -> None:
+        """A feature of its geometry and its value messages in the order of the keys, None where it has none."""
+        known = self.known
+        tags = b"".join([k + varint(known.setdefault(v, len(known))) for k, v in zip(self.keys, values, strict=True) if v is not None])
+        self.body += field(2, (field(2, tags) if tags else b"") + POLYGON + field(4, shape))
+        self.count += 1
+
+    def encoded(self) -> bytes:
+        self.body += self.tail + b"".join(field(4, v) for v in self.known) + varint(5 << 3) + varint(EXTENT) + varint(15 << 3) + varint(2)
+        return varint(3 << 3 | 2) + varint(len(self.body)) + bytes(self.body)
+
+
+POLYGON = varint(3 << 3) + varint(3)
+
+
+def _shapes(points: list[tuple[float, float]], zooms: range) -> Iterator[tuple[int, int, int, bytes]]:
+    """``z, x, y, geometry`` of an open ring of three corners or more in every tile that it touches.
+
+    Corners are projected and weighed once for all zooms; only a ring that leaves its tile is clipped.
+    """
+    top = max(zooms)
+    places = [world(*p) for p in points]
+    fine = [720 / (2**z * EXTENT) for z in zooms if z != top]
+    weight = weights(points, min(fine)) if fine and len(points) > 3 else None
+    for z in zooms:
+        n = 2**z
+        own, at = points, places
+        if z != top and weight is not None:
+            bound = (720 / (n * EXTENT)) ** 2
+            kept = [i for i, w in enumerate(weight) if w > bound]
+            if 3 <= len(kept) < len(points):
+                own, at = [points[i] for i in kept], [places[i] for i in kept]
+        us, vs = [p[0] for p in at], [p[1] for p in at]
+        west, east, low, high = min(us) * n, max(us) * n, min(vs) * n, max(vs) * n
+        for x in range(max(0, math.floor(west - BUFFER)), min(n - 1, math.floor(east + BUFFER)) + 1):
+            for y in range(max(0, math.floor(low - BUFFER)), min(n - 1, math.floor(high + BUFFER)) + 1):
+                # A hair's breadth from the tile's side rounding decides, and that is clipping's to do.
+                if x + 1e-6 < west and east < x + 1 - 1e-6 and y + 1e-6 < low and high < y + 1 - 1e-6:
+                    part = turned(_gridded(at, n, x, y))
+                else:
+                    north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * e / n)))) for e in (y, y + 1))
+                    part = turned(on_grid(clipped(own, (x / n * 360 - 180, south, (x + 1) / n * 360 - 180, north)), z, x, y))
+                if part:
+                    yield z, x, y, geometry(part)
 
 
 def tiles(polygons: DataFrame, properties: list[str], zooms: range = range(10, 15), name: str = "building") -> DataFrame:
@@ -147,42 +212,62 @@ def tiles(polygons: DataFrame, properties: list[str], zooms: range = range(10, 1
 
     Rings may be closed or not, and turn either way. Below the greatest zoom corners go that lie within two units of the tile's grid.
     A shape that has no area left on the grid is left out, as are null rings and those of fewer than three corners. Within a tile features
-    are ordered by k. Null properties are not written.
+    are ordered by k. Null properties are not written. Polygons are spread over all tasks, and a tile is put together feature by feature
+    from rows that Spark has sorted.
     """
-    top = max(zooms)
     if properties and not set(properties) <= set(polygons.columns):
         raise ValueError(f"no such columns: {sorted(set(properties) - set(polygons.columns))}")
+    spark = polygons.sparkSession
+    shared = len(properties)
 
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for at, ring in enumerate(b["ring"]):
-                points = [(p["x"], p["y"]) for p in ring]
+            rings, given = b.column("ring"), [b.column(p).to_pylist() for p in properties]
+            starts, xy = rings.offsets.to_pylist(), rings.values
+            pairs = list(zip(xy.field("x").to_pylist(), xy.field("y").to_pylist(), strict=True))
+            rows, zs, xs, ys, found = [], [], [], [], []
+            for at in range(len(rings)):
+                points = pairs[starts[at] : starts[at + 1]]
                 points = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
-                for z in zooms if len(points) >= 3 else ():
-                    n = 2**z
-                    own = points if z == top else simplified(points, 720 / (n * EXTENT))
-                    us, vs = zip(*(world(*p) for p in own), strict=True)
-                    span = lambda values, n=n: range(max(0, math.floor(min(values) * n - BUFFER)), min(n - 1, math.floor(max(values) * n + BUFFER)) + 1)
-                    for x in span(us):
-                        for y in span(vs):
-                            north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * e / n)))) for e in (y, y + 1))
-                            part = turned(on_grid(clipped(own, (x / n * 360 - 180, south, (x + 1) / n * 360 - 180, north)), z, x, y))
-                            if part:
-                                out.append((at, z, x, y, geometry(part)))
-            found = pd.DataFrame(out, columns=["at", "z", "x", "y", "shape"])
-            yield pd.concat([found.drop(columns="at"), b.iloc[found["at"].to_numpy(int)][["k", *properties]].reset_index(drop=True)], axis=1)
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k", kind="stable")
-        own = [rows[p].astype(object).where(rows[p].notna(), None).tolist() for p in properties]
-        values = list(zip(*own, strict=True)) if own else [()] * len(rows)
-        made = layer(name, properties, list(zip(rows["shape"], map(list, values), strict=True)))
-        return pd.DataFrame({"z": rows["z"].iloc[:1], "x": rows["x"].iloc[:1], "y": rows["y"].iloc[:1], "features": len(rows), "tile": [made]})
-
-    kinds = "".join(f", {c} {polygons.schema[c].dataType.simpleString()}" for c in ("k", *properties))
-    cut = polygons.filter("ring is not null").select("k", "ring", *properties).mapInPandas(shapes, f"z int, x int, y int, shape binary{kinds}")
-    return cut.groupBy("z", "x", "y").applyInPandas(whole, "z int, x int, y int, features int, tile binary")
+                for z, x, y, shape in _shapes(points, zooms) if len(points) >= 3 else ():
+                    rows.append(at)
+                    zs.append(z)
+                    xs.append(x)
+                    ys.append(y)
+                    found.append(shape)
+            known: dict[object, bytes | None] = {}
+            # True, 1 and 1.0 are one key of a dictionary but not one value.
+            coded = [[None if v is None or v != v else known[type(v), v] if (type(v), v) in known else known.setdefault((type(v), v), value(v)) for v in own] for own in given]
+            taken = b.column("k").take(pa.array(rows, pa.int64()))
+            columns = [pa.array(zs, pa.int32()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32()), pa.array(found, pa.binary()), taken, *[pa.array([c[i] for i in rows], pa.binary()) for c in coded]]
+            yield pa.RecordBatch.from_arrays(columns, names=["z", "x", "y", "shape", "k", *[f"p{i}" for i in range(shared)]])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, made = None, None
+
+        def done() -> pa.RecordBatch:
+            z, x, y = ([v] for v in here)
+            return pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array([made.count], pa.int32()), pa.array([made.encoded()], pa.binary())], names=["z", "x", "y", "features", "tile"])
+
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(4 + shared)]
+            for z, x, y, shape, *values in zip(*columns, strict=True):
+                if (z, x, y) != here:
+                    if here is not None:
+                        yield done()
+                    here, made = (z, x, y), Layer(name, properties)
+                made.add(shape, values)
+        if here is not None:
+            yield done()
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    kinds = "".join(f", p{i} binary" for i in range(shared))
+    own = polygons.filter("ring is not null").select("k", plain.alias("ring"), *properties).repartition(tasks, "k")
+    cut = own.mapInArrow(shapes, f"z int, x int, y int, shape binary, k {polygons.schema['k'].dataType.simpleString()}{kinds}")
+    ordered = cut.repartition(tasks, "z", "x", "y").sortWithinPartitions("z", "x", "y", "k")
+    ordered = ordered.select("z", "x", "y", "shape", *[f"p{i}" for i in range(shared)])
+    return ordered.mapInArrow(whole, "z int, x int, y int, features int, tile binary")
 
 
 def decoded(tile: bytes) -> list[dict]:

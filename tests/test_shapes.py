@@ -1,6 +1,7 @@
 """Areas, outlines, tessellations, vector tiles, clusters and flows of graphs, against plain readings."""
 
 import random
+import time
 from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
@@ -193,3 +194,17 @@ def test_aligned_keeps_sums(spark):
     assert same == pytest.approx({(y, x): v for y, x, v in cells})
     assert {x["v"] for x in raster.aligned(df.limit(0), (0.0, 1.0, 1.0, 1.0), (0.0, 1.0, 1.0, 1.0), 2, 2).collect()} == {0.0}
     assert {x["v"] for x in raster.aligned(df, (10.0, 50.0, 2.0, 3.0), (500.0, 50.0, 1.0, 1.0), 2, 2).collect()} == {0.0}
+
+
+def test_vector_tiles_keep_kinds_of_values_and_hold_many_features(spark):
+    row = lambda k, n, flag: (k, [(0.1, 0.1), (0.2, 0.1), (0.2, 0.2)], n, flag)
+    df = spark.createDataFrame([row(1, 1, True), row(2, None, None), row(3, 1, False)], "k long, ring array<struct<x: double, y: double>>, n int, flag boolean")
+    (tile,) = vector_tiles.tiles(df, ["n", "flag"], range(10, 11)).filter("features = 3").limit(1).collect()
+    (layer,) = vector_tiles.decoded(bytes(tile["tile"]))
+    own = [f["properties"] for f in layer["features"]]
+    assert own == [{"n": 1, "flag": 1}, {}, {"n": 1, "flag": 0}] and type(own[0]["n"]) is int
+    made, shape = vector_tiles.Layer("building", ["n"]), vector_tiles.geometry([(0, 0), (4000, 0), (4000, 4000)])
+    start = time.perf_counter()
+    for i in range(200_000):
+        made.add(shape, [vector_tiles.value(i % 100)])
+    assert len(made.encoded()) > 200_000 * len(shape) and time.perf_counter() - start < 20  # copying the tile for each feature takes minutes
