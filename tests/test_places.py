@@ -2,13 +2,14 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cellscope.functions import streets
-from cellscope.operators import graph, grid, nearest, network, raster, sight, siting, spatial_joins
+from cellscope.operators import graph, grid, growth, nearest, network, raster, sight, siting, spatial_joins
 from cellscope.plans import q_field, q_network
 
 
@@ -167,3 +168,16 @@ def test_metapaths_are_not_shuffled(spark):
     of = {t: {s for x, s in rows if x == t and s is not None} for t in range(40)}
     assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(40) for b in range(a + 1, 40) if of[a] & of[b]]
     assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
+
+
+def test_parallel_roads_of_many_lines_on_one_course(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    k = np.concatenate([np.arange(400) * 8, np.arange(400) * 8 + 2])  # the second half is of another class
+    pd.DataFrame({"o_orderkey": k, "o_custkey": rng.choice([0, 4, 7, 4000, 4004], len(k)) + rng.integers(0, 2, len(k)) * 1000}).to_parquet(tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    df = q_network.parallel_roads(spark, str(tmp_path))
+    found = sorted(map(tuple, df.collect()))
+    assert found == sorted(con.execute(q_network.QUERIES["parallel_roads"][1]).fetchall()) and len(found) > 1000
+    above = plan(df).split("SortMergeJoin")[0]
+    assert above.count("Generate") == 2 and "Exchange" not in above and "round" not in above  # courses meet, lists are drawn out last
