@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, durable
-from . import raster
+from . import network, raster
 
 
 def ridge(samples: DataFrame, factors: list[str], target: str, penalty: float = 1.0) -> dict | None:
@@ -111,7 +111,8 @@ def rasterise(lines: DataFrame, south: float, west: float, cell: float) -> DataF
 
 
 def dual(edges: DataFrame) -> DataFrame:
-    """``a, b``: pairs a < b of edges (k, u, v) that share a node, once each; a node of a street graph has few edges."""
-    ends = edges.select("k", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
-    left, right = ends.select("node", F.col("k").alias("a")), ends.select("node", F.col("k").alias("b"))
-    return left.join(right, "node").filter("a < b").select("a", "b").distinct()
+    """``a, b``: pairs a < b of edges (k, u, v) that share a node, once each; a node of a street graph has few edges.
+
+    A pair comes from the least node that both touch, so pairs are neither shuffled nor made distinct.
+    """
+    return network.metapaths(edges.select(F.col("k").alias("thing"), F.explode(F.array("u", "v")).alias("street")))

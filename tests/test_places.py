@@ -181,3 +181,12 @@ def test_parallel_roads_of_many_lines_on_one_course(spark, tmp_path):
     assert found == sorted(con.execute(q_network.QUERIES["parallel_roads"][1]).fetchall()) and len(found) > 1000
     above = plan(df).split("SortMergeJoin")[0]
     assert above.count("Generate") == 2 and "Exchange" not in above and "round" not in above  # courses meet, lists are drawn out last
+
+
+def test_dual_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(2)
+    edges = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 9, 60), rng.integers(0, 9, 60), strict=True))] + [(60, None, 3), (61, 3, None), (62, None, None)]
+    found = growth.dual(spark.createDataFrame(edges, "k long, u long, v long"))
+    ends = [{u, v} - {None} for _, u, v in edges]
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(63) for b in range(a + 1, 63) if ends[a] & ends[b]]
+    assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
