@@ -39,8 +39,10 @@ def along(links: DataFrame, folds: dict[str, Callable[[Column, Column], Column]]
         if rounds > most:
             raise ValueError("some chains have no end")
         ahead = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), *[F.col(c).alias(f"{c}__2") for c in folds])
-        folded = [F.when(F.col("next").isNull(), F.col(c)).otherwise(f(F.col(c), F.col(f"{c}__2"))).alias(c) for c, f in folds.items()]
-        after = durable(now.join(ahead, "next", "left").select("node", F.col("next2").alias("next"), *folded))
+        # Nodes that have reached the end stay out of the join, or all of them would meet in one task.
+        folded = [f(F.col(c), F.col(f"{c}__2")).alias(c) for c, f in folds.items()]
+        onward = now.filter("next is not null").join(ahead.hint("merge"), "next", "left").select("node", F.col("next2").alias("next"), *folded)
+        after = durable(onward.unionByName(now.filter("next is null")))
         discard(now)
         now, rounds = after, rounds + 1
     return now.drop("next")
@@ -54,7 +56,7 @@ def ring_leaders(links: DataFrame) -> DataFrame:
     now = durable(links.select("node", "next", F.col("node").alias("leader")))
     while True:
         ahead = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("leader").alias("other"))
-        met = now.join(ahead, "next")
+        met = now.join(ahead.hint("merge"), "next")
         after = durable(met.select("node", F.col("next2").alias("next"), F.least("leader", "other").alias("leader"), (F.col("other") < F.col("leader")).alias("moved")))
         discard(now)
         now = after

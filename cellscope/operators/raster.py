@@ -198,7 +198,7 @@ def outlines(mask: DataFrame, width: int, least_cells: int = 1) -> DataFrame:
 
     Every cell has four directed sides with the cell to the left; sides of neighbours cancel. What is left is
     chained into rings: at a corner where two rings meet, a side goes on along its own cell. Rings are found and ordered by
-    pointer doubling, so a region of any size is spread over tasks until its rings are written. ``points`` are corners
+    pointer doubling, so a region of any size is spread over tasks until its rings are written; no join gathers a side for a broadcast. ``points`` are corners
     (row, col) where the ring turns, outer rings counter-clockwise, holes clockwise; ``area`` is signed, and a region's areas
     add up to its cells. ``width`` is the raster's number of columns; a region is named as by ``regions``.
     """
@@ -208,10 +208,10 @@ def outlines(mask: DataFrame, width: int, least_cells: int = 1) -> DataFrame:
     own = durable(mask.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct().withColumn("node", node))
     step = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0))]))
     to = own.select(F.col("node").alias("a"), "row", "col", step.alias("s")).select("a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    links = to.join(own, ["row", "col"]).select("a", F.col("node").alias("b"))
+    links = to.join(own.hint("merge"), ["row", "col"]).select("a", F.col("node").alias("b"))
     named = own.join(graph.components(links), "node", "left").withColumn("region", F.coalesce("component", "node"))
     if least_cells > 1:
-        named = named.join(named.groupBy("region").count().filter(F.col("count") >= least_cells).select("region"), "region", "left_semi")
+        named = named.join(named.groupBy("region").count().filter(F.col("count") >= least_cells).select("region").hint("merge"), "region", "left_semi")
     side = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("r1", "c1", "r2", "c2", "turn"), (*x, i), strict=True)]) for i, x in enumerate(SIDES)]))
     sides = named.select("region", "row", "col", side.alias("s")).select("region", *[(F.col(a) + F.col(f"s.{b}{i}")).alias(f"{b}{i}") for i in (1, 2) for a, b in (("row", "r"), ("col", "c"))], "s.turn")
     # Opposing sides lie on the same edge of the grid: its lower left corner, and whether it runs along the row.
@@ -224,10 +224,10 @@ def outlines(mask: DataFrame, width: int, least_cells: int = 1) -> DataFrame:
     # Of two sides that leave a corner the left turn stays with the own cell.
     left = F.pmod(F.col("then") - F.col("turn") + 3, F.lit(4))  # 0: left, 3: straight on, 2: right
     order = F.when(left == 0, 0).when(left == 3, 1).otherwise(2)
-    linked = durable(kept.join(onward, ["r2", "c2"]).groupBy("node").agg(F.min_by(F.struct("next", "then"), order).alias("to"), *[F.first(c).alias(c) for c in ("region", "r1", "c1", "r2", "c2", "turn")]).select("node", "to.next", "to.then", "region", "r1", "c1", "r2", "c2", "turn"))
-    led = durable(chains.ring_leaders(linked.select("node", "next")).join(linked, "node"))
+    linked = durable(kept.join(onward.hint("merge"), ["r2", "c2"]).groupBy("node").agg(F.min_by(F.struct("next", "then"), order).alias("to"), *[F.first(c).alias(c) for c in ("region", "r1", "c1", "r2", "c2", "turn")]).select("node", "to.next", "to.then", "region", "r1", "c1", "r2", "c2", "turn"))
+    led = durable(chains.ring_leaders(linked.select("node", "next")).join(linked.hint("merge"), "node"))
     cut = led.select("node", F.when(F.col("next") != F.col("leader"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("rest"))
-    placed = chains.along(cut, {"rest": lambda a, b: a + b}).join(led, "node")
+    placed = chains.along(cut, {"rest": lambda a, b: a + b}).join(led.hint("merge"), "node")
     corner = F.when(F.col("then") != F.col("turn"), F.struct(-F.col("rest"), F.col("r2").alias("row"), F.col("c2").alias("col")))
     rings = placed.groupBy("region", F.concat_ws("/", "leader.r", "leader.c", "leader.t").alias("ring")).agg(
         (F.sum(F.col("c1") * F.col("r2") - F.col("c2") * F.col("r1")) / 2).alias("area"), F.array_sort(F.collect_list(corner)).alias("p"),
