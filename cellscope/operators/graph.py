@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..session import discard, durable
@@ -56,15 +58,69 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+CHUNK = 1_000_000  # edges that a task joins at a time, some 100 bytes each
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every node but the least of each group that edges u, v hold together: the node, and that least one."""
+    names, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = codes[: len(u)], codes[len(u) :]
+    least = np.arange(len(names))
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return names[moved], names[least[moved]]
+
+
+def _joined_nearby(edges: DataFrame) -> DataFrame:
+    """Edges ``u > v`` of whole numbers as stars of what each part of a task's edges holds together.
+
+    Edges are cut in ranges by their ends, which puts those that follow each other along a street in one task, and a hub's in several. What is
+    connected stays so, and no node is lost; there are at most as many edges as nodes in each part.
+    """
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def joined() -> pa.RecordBatch:
+            u, v = _stars(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= CHUNK:
+                yield joined()
+                held, n = [], 0
+        if held:
+            yield joined()
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.repartitionByRange("v", "u").mapInArrow(stars, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node of ``edges(a, b)``, by alternating large-star and small-star rounds.
 
-    Edges only ever move towards smaller labels, so the rounds grow with the logarithm of a component's
+    Nodes that aren't whole numbers are numbered in their order; edges that lie in one task are joined there first. Edges only ever move towards smaller labels, so the rounds grow with the logarithm of a component's
     diameter. Hubs are joined by broadcast, so that a component of any size is spread over tasks. Null ends and loops take no
     part; repeated edges count once.
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = durable(ends.filter("a is not null and b is not null and a <> b").distinct())
+    known = ends.filter("a is not null and b is not null and a <> b")
+    if not isinstance(known.schema["u"].dataType, (T.LongType, T.IntegerType)):
+        known = durable(known.distinct())
+        nodes = known.select(F.col("u").alias("node")).unionByName(known.select(F.col("v").alias("node"))).distinct()
+        ids = durable(tables.sequential_ids(nodes, ["node"], "id").select("node", F.col("id").cast("long").alias("id")))
+        of = lambda n, i: ids.select(F.col("node").alias(n), F.col("id").alias(i)).hint("merge")
+        coded = components(known.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")).withColumnRenamed("node", "id")
+        return coded.join(of("node", "id"), "id").select("node", F.col("component").alias("least")).join(of("component", "least"), "least").select("node", "component").hint("merge")
+    now = durable(_joined_nearby(known).distinct())
     state = _state(now)
     while state[0]:
         middle = durable(_large_star(now, state[0]))
@@ -75,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     tops = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.withColumn("component", F.col("node")))
+    # No size on disk shows what a broadcast of the labels would take.
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.withColumn("component", F.col("node"))).hint("merge")
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,4 +433,4 @@ def without_isolates(edges: DataFrame, least_nodes: int) -> DataFrame:
     """The edges of components that have at least so many nodes."""
     labels = components(edges)
     large = labels.groupBy("component").count().filter(F.col("count") >= least_nodes).select("component")
-    return edges.join(labels.join(large, "component", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
+    return edges.join(labels.join(large.hint("merge"), "component", "left_semi").select(F.col("node").alias("a")).hint("merge"), "a", "left_semi")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellscope.operators import chains, graph, growth, nearest, raster
+from cellscope.operators import areas, chains, graph, growth, nearest, raster
 
 
 def plain_bridges(edges):
@@ -135,3 +135,28 @@ def test_hindcast_of_a_rule_that_holds(spark):
     df = spark.createDataFrame(cells, "row int, col int, first boolean, middle boolean, last boolean, east double")
     got = growth.hindcast(df, ["east"], steps=1, trees=10, depth=3).first()
     assert got["demand"] == 48 and 0.0 <= got["merit"] <= 1.0 and got["kappa"] <= 1.0
+
+
+def test_components_of_long_paths_take_few_tables(spark, monkeypatch):
+    n, written, plain = 20_000, [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, *a: written.append(1) or plain(df, *a))
+    path = spark.range(n).filter("id % 10000 < 9999").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graph.components(path)
+    assert found.filter("component <> floor(node / 10000) * 10000").isEmpty() and found.count() == n and len(written) <= 7
+    named = path.select(*[F.struct(F.lit("x").alias("kind"), F.col(c).alias("k")).alias(c) for c in ("a", "b")])
+    found = graph.components(named)
+    assert found.filter("component.k <> floor(node.k / 10000) * 10000").isEmpty() and found.count() == n and len(written) <= 16
+
+
+def test_rings_are_joined_without_broadcast(spark, monkeypatch):
+    plans = []
+    for module in (raster, areas, chains):
+        monkeypatch.setattr(module, "durable", lambda df, *a, plain=module.durable: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    cells = spark.range(60).select((F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col")).filter("(row * 5 + col * 3) % 7 > 1")
+    found = raster.outlines(cells, 8)
+    assert found.agg(F.sum("area")).first()[0] == cells.count()
+    ways = spark.range(24).select(F.col("id").alias("k"), F.array("id", F.floor(F.col("id") / 6) * 6 + (F.col("id") + 1) % 6).alias("refs"))
+    rings = areas.rings(ways.select(F.floor(F.col("k") / 6).alias("relation"), F.col("k").alias("way"), F.lit("outer").alias("role")), ways)
+    assert {r["relation"]: len(r["refs"]) for r in rings.collect()} == {i: 7 for i in range(4)}
+    plans += [d._jdf.queryExecution().executedPlan().toString() for d in (found, rings)]
+    assert len(plans) > 12 and not any("BroadcastHashJoin" in p for p in plans)
