@@ -3,6 +3,7 @@
 import gzip
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -282,6 +283,31 @@ def test_keyed_ingest_forgets_by_timer(spark, tmp_path):
     assert history() == [1, 3, 4, 10, 11]
 
 
+def test_keyed_ingest_holds_many_keys_in_few_states(spark, tmp_path):
+    hour, r = 3_600_000, random.Random(7)
+    keep, late, want, last, top = 30 * hour, hour, [], {}, None
+    for week in range(3):
+        nan = float("nan")
+        rows = [(r.choice([None, *range(1500)]), r.choice([None, -0.0, 0.0, nan, 1.5]), (1 + week * 40 + r.randrange(60)) * hour + r.randrange(9), 10_000 * week + i) for i in range(4000)]
+        mark = -1 if top is None else top - late
+        met = {}
+        for a, b, ms, n in rows:
+            if ms > max(mark, 0):
+                met.setdefault((a, "nan" if b != b else b), []).append((ms, n))
+        for k, seen in met.items():
+            if k not in last or last[k] + keep <= mark:
+                want.append(min(seen)[1])
+            last[k] = max(last.get(k, 0), *[ms for ms, _ in seen])
+        top = max(top or 0, *[ms for _, _, ms, _ in rows])
+        spark.createDataFrame(rows, "a long, b double, ms long, n long").write.mode("append").parquet(f"{tmp_path}/feed")
+        feed = spark.readStream.schema("a long, b double, ms long, n long").parquet(f"{tmp_path}/feed").withColumn("ts", F.timestamp_millis("ms"))
+        progress = ingest.ingest_keyed(feed, ["a", "b"], "ts", keep, "1 hour", ["n"], f"{tmp_path}/history", f"{tmp_path}/cp").recentProgress
+        # A value and a timer for each bucket of keys, not for each of some 3,700 keys.
+        assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3 * ingest.BUCKETS
+    assert sorted(x["n"] for x in spark.read.parquet(f"{tmp_path}/history").collect()) == sorted(want)
+    assert len(want) > len(last)
+
+
 def test_viewshed_brute_force(spark):
     n, radius = 14, 5
     v = {(y, x): float((y * 31 + x * 17) % 23) for y in range(n) for x in range(n)}
