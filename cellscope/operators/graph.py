@@ -194,9 +194,109 @@ def _tour(tree: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(arc(F.col("v"), F.col("u")).alias("node"), F.when(following.isNotNull(), arc(F.col("u"), following)).alias("next"), "u", ((F.col("n") == 1) & (F.col("slice") == 1)).alias("first"))
 
 
+def _cuts(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the edges u, v, parallel ones included, are bridges among them: a walk in depth, and how far back each node's branch reaches."""
+    names, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
+    m, n = len(u), len(names)
+    order = np.argsort(codes, kind="stable")
+    to, by = codes[(order + m) % (2 * m)].tolist(), (order % m).tolist()
+    ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n))])
+    at, end = ends[:-1].tolist(), ends[1:].tolist()
+    seen, low, cut, met = [-1] * n, [0] * n, np.zeros(m, bool), 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        path, via = [root], [-1]
+        seen[root] = low[root] = met
+        met += 1
+        while path:
+            x = path[-1]
+            i = at[x]
+            if i < end[x]:
+                at[x] = i + 1
+                y = to[i]
+                if by[i] == via[-1]:
+                    continue
+                if seen[y] < 0:
+                    seen[y] = low[y] = met
+                    met += 1
+                    path.append(y)
+                    via.append(by[i])
+                elif seen[y] < low[x]:
+                    low[x] = seen[y]
+                continue
+            path.pop()
+            edge = via.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[x])
+                cut[edge] = low[x] > seen[path[-1]]
+    return cut
+
+
+def _nearby_cuts(edges: DataFrame) -> DataFrame:
+    """``a, b, ea, eb`` of edges that are bridges of what a task holds, at most ``CHUNK`` at a time; for all others, with null in ``ea``, each node and the least of its block."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            a, b, ea, eb = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(4))
+            cut = _cuts(a, b)
+            node, least = _stars(a[~cut], b[~cut])
+            gap = pa.nulls(len(node), pa.from_numpy_dtype(a.dtype))
+            columns = [np.concatenate([a[cut], node]), np.concatenate([b[cut], least]), pa.concat_arrays([pa.array(ea[cut]), gap]), pa.concat_arrays([pa.array(eb[cut]), gap])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "ea", "eb"])
+
+        for b in batches:
+            while b.num_rows:
+                part = b.slice(0, CHUNK - n)
+                held, n, b = [*held, part], n + part.num_rows, b.slice(part.num_rows)  # noqa: PLW2901
+                if n == CHUNK:
+                    yield told()
+                    held, n = [], 0
+        if held:
+            yield told()
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.mapInArrow(split, ", ".join(f"{x} {kind}" for x in ("a", "b", "ea", "eb")))
+
+
 def bridges(edges: DataFrame) -> DataFrame:
     """``a, b``: edges whose loss parts their component.
 
+    With whole numbers for nodes, a task first looks at its own edges: what is no bridge among them is none at all, and the nodes that such
+    edges hold together become one. Edges are cut in ranges by their ends, which puts a street's in one task. This goes on while
+    a quarter of the edges goes each time; at most ``CHUNK`` that are left lie in one task and are decided there, more by walks around a forest.
+    """
+    given = edges.filter("a <> b").select("a", "b").distinct()
+    if not isinstance(given.schema["a"].dataType, (T.LongType, T.IntegerType)):
+        return _walked_bridges(given)
+    now = durable(given.select("a", "b", F.col("a").alias("ea"), F.col("b").alias("eb")))
+    n, before = now.count(), None
+    while n > CHUNK and (before is None or n <= before * 3 // 4):
+        parts = max(now.sparkSession.sparkContext.defaultParallelism, 4 * n // CHUNK + 1)
+        found = durable(_nearby_cuts(now.repartitionByRange(parts, "a", "b")))
+        discard(now)
+        blocks = components(found.filter("ea is null").select("a", "b"))
+        of = lambda c: blocks.select(F.col("node").alias(c), F.col("component").alias(f"{c}_block")).hint("merge")  # noqa: E731, B023
+        a, b = (F.coalesce(f"{c}_block", c) for c in ("a", "b"))
+        left = found.filter("ea is not null").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        now = durable(left.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "ea", "eb"))
+        discard(found)
+        n, before = now.count(), n
+    if n <= CHUNK:
+        last = durable(_nearby_cuts(now.coalesce(1)))
+        discard(now)
+        return last.filter("ea is not null").select(F.col("ea").alias("a"), F.col("eb").alias("b"))
+    # Where two edges join the same blocks, neither is a bridge.
+    lone = durable(now.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("ea").alias("ea"), F.first("eb").alias("eb")))
+    walked = _walked_bridges(lone.select("a", "b"))
+    return lone.filter("n = 1").join(walked.hint("merge"), ["a", "b"]).select(F.col("ea").alias("a"), F.col("eb").alias("b"))
+
+
+def _walked_bridges(edges: DataFrame) -> DataFrame:
+    """Bridges of any number of edges of any type, each given once.
+
     Every edge outside a spanning forest gets 128 bits by hash, and every node the XOR of its edges' bits. Over
     one side of a tree edge each outside edge within that side counts twice and goes; what is left are the outside edges
     that lead across, and only a bridge has none. Sides are stretches of a walk around the tree, whose XOR comes

@@ -51,6 +51,30 @@ def test_bridges_of_one_large_component(spark):
     assert tree.count() == n + 599 and roots.count() == 1
 
 
+def test_bridges_are_few_jobs_and_hold_in_parts(spark, monkeypatch):
+    r, n = random.Random(8), 3000
+    rings = {(k, k + 1) if k % 12 < 11 else (k - 11, k) for k in range(1200)} | {(1200 + t, 1201 + t) for t in range(99)}
+    rings |= {(12 * t + k, 1200 + t) for t in range(100) for k in ((0, 6) if t % 3 == 0 else (0,))} | {(40, 1000)}
+    mixed = {(r.randrange(max(0, i - 6), i), i) for i in range(1, n)} | {(i, i + 1 + r.randrange(3)) for i in range(n - 4) if r.random() < 0.4}
+    below = {(a - 1500, b - 1500) for a, b in mixed if b < 1000}
+    walked, walks = [], graph._walked_bridges
+    monkeypatch.setattr(graph, "_walked_bridges", lambda e: walked.append(e) or walks(e))
+    # A long road, and two rings that two edges tie, which lie apart until each ring is one node.
+    road = {(i, i + 1) for i in range(20, 600)} | {(9, 20), (0, 5000), (1, 5001)} | {(k + i, k + i + 1) for k in (0, 5000) for i in range(9)} | {(0, 9), (5000, 5009)}
+    # All in one part, a round of parts before it, and walks around what is left.
+    for name, edges, chunk in (("rings", rings, 1_000_000), ("below", below, 1_000_000), ("parts", rings, 1000), ("walks", road, 250)):
+        want = plain_bridges(edges)
+        assert 20 < len(want) < len(edges) - 20
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        df = graph.undirected(spark.createDataFrame(list(edges), "a long, b long"))
+        spark.sparkContext.setJobGroup(f"bridges {name}", "")
+        found = [tuple(x) for x in graph.bridges(df).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bridges {name}"))
+        assert len(found) == len(want) and set(found) == want
+        assert chunk < 1_000_000 or 0 < jobs < 20
+        assert len(walked) == (name == "walks")
+
+
 def test_bridges_of_nothing_and_of_strings(spark):
     empty = spark.createDataFrame([], "a long, b long, w double")
     assert graph.bridges(empty).count() == 0 and graph.components(empty).count() == 0
