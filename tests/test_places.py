@@ -170,6 +170,16 @@ def test_metapaths_are_not_shuffled(spark):
     assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
 
 
+def test_metapaths_of_streets_with_several_lists(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 900), rng.integers(0, 5, 900), strict=True)]
+    found = network.metapaths(spark.createDataFrame(rows, "thing long, street long"))
+    of = {t: {s for x, s in rows if x == t} for t in range(300)}
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(300) for b in range(a + 1, 300) if of[a] & of[b]]
+    above, *sides = plan(found).split("SortMergeJoin")[0:1] + plan(found).split("SortMergeJoin")[1].split("Exchange hashpartitioning(street")
+    assert above.count("Generate") == 2 and len(sides) == 3 and "aggregate(" in sides[0] and "aggregate(" not in sides[2]  # lists are shuffled, marks and pairs are not
+
+
 def test_parallel_roads_of_many_lines_on_one_course(spark, tmp_path):
     rng = np.random.default_rng(4)
     k = np.concatenate([np.arange(400) * 8, np.arange(400) * 8 + 2])  # the second half is of another class
