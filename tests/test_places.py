@@ -103,6 +103,21 @@ def test_parallel_pairs_of_lines_on_one_course(spark, crowded):
     assert rows == pytest.approx({ab: metres[ab] for ab in rows}) and found.count() == len(rows) and "BroadcastHashJoin" not in plan(found)
 
 
+def test_parallel_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(9)
+    at = rng.uniform([22.5, 75.6], [22.56, 75.66], (40, 2)).repeat(np.where(np.arange(40) < 2, 150, 2), 0)  # two courses of several lists
+    s = pd.DataFrame({"k": rng.permutation(len(at)), "lat1": at[:, 0], "lon1": at[:, 1], "lat2": at[:, 0] + 0.002, "lon2": at[:, 1] + 0.001})
+    found = spatial_joins.parallel_pairs(spark.createDataFrame(s), 0.0, 1800.0, 30.0, (4, 3))
+    above, *rest = plan(found).split("SortMergeJoin")  # before it runs, when there is one plan
+    lat, lon = (s.lat1 + s.lat2).to_numpy() / 2, (s.lon1 + s.lon2).to_numpy() / 2
+    metres = nearest.haversine(lat[:, None], lon[:, None], lat[None], lon[None]) * 1000
+    a, b = np.nonzero((metres <= 1800) & (s.k.to_numpy()[:, None] < s.k.to_numpy()[None]))
+    rows = {(r["a"], r["b"]): r["metres"] for r in found.collect()}
+    assert rows == pytest.approx({(int(s.k[i]), int(s.k[j])): metres[i, j] for i, j in zip(a, b, strict=True)}, abs=1e-3) and found.count() == len(a)
+    assert above.count("Generate") == 2 and "round" not in above.split("Generate")[0] + above.split("Generate")[1]  # figures are rounded once for two courses
+    assert "ASIN" in rest[0] and not any("ASIN" in x.split("\n", 1)[1] for x in rest)  # distances belong to the last join: no pair is shuffled
+
+
 def test_zones_round_the_binary_value(spark, tmp_path):
     # Places 75.6 + 150 / 10000 = 75.615 and so on: their hundredfold is a half or just beside it, whatever their decimals say.
     keys = [k for k in range(4000) if k * 6007 % 100 == 50] * 3
@@ -174,9 +189,10 @@ def test_metapaths_of_streets_with_several_lists(spark):
     rng = np.random.default_rng(7)
     rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 900), rng.integers(0, 5, 900), strict=True)]
     found = network.metapaths(spark.createDataFrame(rows, "thing long, street long"))
+    above, below = plan(found).split("SortMergeJoin")  # before it runs, when there is one plan
+    sides = below.split("Exchange hashpartitioning(street")
     of = {t: {s for x, s in rows if x == t} for t in range(300)}
     assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(300) for b in range(a + 1, 300) if of[a] & of[b]]
-    above, *sides = plan(found).split("SortMergeJoin")[0:1] + plan(found).split("SortMergeJoin")[1].split("Exchange hashpartitioning(street")
     assert above.count("Generate") == 2 and len(sides) == 3 and "aggregate(" in sides[0] and "aggregate(" not in sides[2]  # lists are shuffled, marks and pairs are not
 
 
