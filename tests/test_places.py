@@ -176,6 +176,16 @@ def test_two_places_of_a_radius_graph_meet_once(spark, crowded):
     assert "round" not in plan(found).split("SortMergeJoin")[0]
 
 
+def test_crowded_places_meet_in_short_lists_over_all_tasks(spark):
+    p = pd.DataFrame({"k": range(2400), "lat": 22.5 + np.arange(2400) % 3 * 1e-4, "lon": 75.6})
+    df = spark.createDataFrame(p)
+    lists = spatial_joins._lists(df, "ks", ["lat", "lon"])
+    assert sorted(k for r in lists.collect() for k in r["ks"]) == list(range(2400)) and max(len(r["ks"]) for r in lists.collect()) < 200
+    found = network.radius_graph(df, 0.015, 6)  # the first and last place are too far apart
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 3 * 800 * 799 // 2 + 2 * 800 * 800 and found.filter("a >= b").isEmpty()
+
+
 def test_metapaths_are_not_shuffled(spark):
     rng = np.random.default_rng(1)
     rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 150), rng.integers(0, 12, 150), strict=True)] + [(1, None), (None, 3)]
